@@ -41,7 +41,6 @@ class PrefixTable:
         self.longest = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int]] = {}
         self.apart: dict[tuple[int, int], bool] = {}
-        #: Ends of longer tokens: a token is looked for only where its tail is one of these.
         self._learn_merges()
 
     def _learn_merges(self) -> None:
@@ -85,7 +84,7 @@ class PrefixTable:
         last_a = last_b = len(self.rank)  # rank of the merge that took up the part at the border
         while True:
             made = self.merged.get((a, b))
-            if made is not None and (made < last_a if last_a <= last_b - 1 else made <= last_b - 1) and made < min(last_a, last_b):
+            if made is not None and made < min(last_a, last_b):
                 return False
             half_a, half_b = self.halves.get(a), self.halves.get(b)
             if half_a is None and half_b is None:

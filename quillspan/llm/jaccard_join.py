@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -326,16 +325,11 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(a, table["rep"].type), pa.array(b, table["rep"].type)], ["a", "b"]) if a else None
 
     def split(table: pa.Table) -> Iterator[pa.Table]:
-        key = pa.concat_arrays([mix_key(table).cast(pa.int64())]).to_numpy()
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+        centre, block = (table[c].combine_chunks().to_numpy() for c in ("centre", "block"))
+        cuts = (np.flatnonzero((centre[1:] != centre[:-1]) | (block[1:] != block[:-1])) + 1).tolist()
+        for x, y in zip([0, *cuts], [*cuts, len(centre)]):
             yield table.slice(x, y - x)
 
-    def mix_key(table: pa.Table) -> pa.Array:
-        a = table["centre"].combine_chunks().to_numpy().view(np.uint64)
-        b = table["block"].combine_chunks().to_numpy().astype(np.uint64)
-        return pa.array((mix(a) + mix(b + np.uint64(1))).view(np.int64))
-
     rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
