@@ -47,7 +47,7 @@ WINDOW, STRIDE, MARGIN = 64, 32, 24
 HIDDEN = 16
 #: At most so many documents, the first in a hash order of the id, give labelled spans.
 SAMPLE_DOCUMENTS = 3000
-TRAIN_WINDOWS, EPOCHS, BATCH = 512, 14, 64
+TRAIN_WINDOWS, STEPS, BATCH = 512, 300, 32
 #: Scaled score by which a span must beat the outside path, a character.
 MARGIN_SCORE = 1.5
 
@@ -254,23 +254,26 @@ def train(texts: list[str | None], seed: int = 5) -> Model | None:
     pick = rng.permutation(len(x))[:TRAIN_WINDOWS]
     x_all, y_all = np.array(x)[pick], np.array(y)[pick]
     model = Model.fresh()
+    move = np.full((TAGS, TAGS), 0.1)
+    real = (x_all[:, 1:] != PAD)
+    np.add.at(move, (y_all[:, :-1][real], y_all[:, 1:][real]), 1.0)
+    model.parts["trans"] = np.maximum(np.log(move / move.sum(1, keepdims=True)), -6.0)
     first = {k: np.zeros_like(v) for k, v in model.parts.items()}
     second = {k: np.zeros_like(v) for k, v in model.parts.items()}
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(x_all))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            xb = x_all[rows].copy()
-            for kinds in ((2, 3), (5, 6)):  # letters among letters and digits among digits are redrawn
-                own = np.isin(xb, kinds) & (rng.random(xb.shape) < 0.5)
-                xb[own] = rng.choice(kinds, own.sum(), p=(0.3, 0.7))
-            step += 1
-            rate = 0.03 * (1 - 0.8 * epoch / EPOCHS)
-            for k, g in _gradient(model, xb, y_all[rows]).items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                model.parts[k] = model.parts[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+    order = np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1):
+        if len(order) < BATCH:
+            order = np.concatenate([order, rng.permutation(len(x_all))])
+        rows, order = order[:BATCH], order[BATCH:]
+        xb = x_all[rows].copy()
+        for kinds in ((2, 3), (5, 6)):  # letters among letters and digits among digits are redrawn
+            own = np.isin(xb, kinds) & (rng.random(xb.shape) < 0.5)
+            xb[own] = rng.choice(kinds, own.sum(), p=(0.3, 0.7))
+        rate = 0.03 * (1 - 0.9 * step / STEPS)
+        for k, g in _gradient(model, xb, y_all[rows]).items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            model.parts[k] = model.parts[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
     return Model({k: v.astype(np.float32) for k, v in model.parts.items()})
 
 
