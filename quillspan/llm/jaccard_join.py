@@ -7,11 +7,13 @@ similarity of their sets is 0.8 or more.
    signature, and the shingles it met in several texts.  Documents of one set form a class and are
    searched as one.
 2. *Inverted lists.*  Linked sets of size n share at least T = ceil(0.8 n) shingles, so they share
-   one of the first n - T + 1 in any common order.  The order puts shingles known to
+   SHARED of the first n - T + SHARED in any common order.  The order puts shingles known to
    be frequent last, so the lists that are read are short; the very frequent ones are left to probing.
-   The members of a list that are near in size form a star around its smallest member (for frequent
-   shingles around the list's smallest signature, known by pre-aggregation and broadcast).  Any linked
-   pair lies in a common star.
+   Members of a list that are near in size form a run.  Short runs are merged: their pairs are
+   counted, and a pair with SHARED hits or more is a candidate.  The members of a longer run form a star around its
+   smallest member (for frequent shingles around the list's smallest signature, known by
+   pre-aggregation and broadcast).  A linked pair without a common star thus has its hits in
+   short runs alone, and all of them are counted.
 3. *T-occurrence search.*  A star, in blocks of bounded size, is searched in memory by DivideSkip:
    the short inverted lists of a query are merged and counted, members with at
    least T - L hits are looked up by binary search in the L long lists, and those that
@@ -50,6 +52,10 @@ FREQUENT = 32
 FREQUENT_KEPT = 1 << 16
 #: Shingles that a profile task holds before it counts them.
 HELD_SHINGLES = 1 << 22
+#: Inverted lists that two linked sets share at least, if they have as many shingles.
+SHARED = 6
+#: Runs of so many members are merged pair by pair, longer ones become stars.
+SHORT_RUN = 12
 #: Shingles of one block of a star.
 BLOCK_SHINGLES = 1 << 20
 #: Inverted lists of more members than this are long.
@@ -150,7 +156,7 @@ def _posting_batches(known: np.ndarray, rank: np.ndarray):
                     early = own[~is_known]
                 else:
                     early, late = own, own[:0]
-                k = n - least_overlap(n) + 1
+                k = min(n, n - least_overlap(n) + SHARED)
                 first = np.concatenate([early[:k], late[: max(0, k - len(early))]])
                 shingle.append(first)
                 often.append(np.arange(k) >= len(early))
@@ -168,47 +174,85 @@ def _posting_batches(known: np.ndarray, rank: np.ndarray):
 
 
 def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of each list's runs of near sizes, with the run's first member as centre; rows come sorted."""
-    last = None  # shingle, size, signature, centre of the row before, and whether that row is out
-    for batch in batches:
-        shingle, sig, n = (batch.column(c).to_numpy() for c in ("shingle", "sig", "n"))
+    """Hits of the pairs of short runs, and members of longer runs with the first member as centre.
+
+    Rows come sorted by list, size and signature.  ``hits`` is null for members of longer runs.  The last run of a
+    batch waits for the next one; of a longer run only what tells how it goes on waits.
+    """
+    names = ["centre", "sig", "hits"]
+    rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    for batch in _and_end(batches):
+        if batch is None:
+            if rest is None:
+                return
+            shingle, sig, n = rest
+        else:
+            shingle, sig, n = (batch.column(c).to_numpy() for c in ("shingle", "sig", "n"))
+            n = n.astype(np.int64)
+            if rest is not None:
+                shingle, sig, n = np.append(rest[0], shingle), np.append(rest[1], sig), np.append(rest[2], n)
         if not len(shingle):
             continue
-        n = n.astype(np.int64)
-        if last is not None:
-            shingle, sig, n = np.append(last[0], shingle), np.append(last[2], sig), np.append(last[1], n)
-        fresh = np.ones(len(shingle), bool)
-        fresh[1:] = (shingle[1:] != shingle[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
+        again = np.append(False, (shingle[1:] == shingle[:-1]) & (sig[1:] == sig[:-1]) & (n[1:] == n[:-1]))
+        shingle, sig, n = shingle[~again], sig[~again], n[~again]
+        fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (100 * n[:-1] < PERCENT * n[1:]))
         run = np.cumsum(fresh) - 1
         start = np.flatnonzero(fresh)
-        centre = sig[start].copy()
         length = np.bincount(run)
-        if last is not None:
-            centre[0] = last[3]
-        shared = length[run] > 1
-        if last is not None and last[4]:
-            shared[0] = False  # handed on before
-            shared[1:] |= run[1:] == 0
-        out_before = bool(shared[-1]) or (last is not None and len(shingle) == 1 and last[4])
-        last = (shingle[-1], n[-1], sig[-1], centre[run[-1]], out_before)
-        pairs = np.unique(np.stack([centre[run[shared]], sig[shared]], 1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["centre", "sig"])
-
-
-def stars(docs: DataFrame, known: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """centre, sig: any two sets that link are members of a common star; stored."""
+        done = run < run[-1] if batch is not None else np.ones(len(run), bool)
+        if batch is not None:
+            first = start[-1]
+            keep = np.arange(first, len(run))
+            if len(keep) > SHORT_RUN + 1:  # a longer run for certain: hand on all but its centre and the last members
+                done[first + 1 : -SHORT_RUN] = True
+                keep = np.append(first, keep[-SHORT_RUN:])
+            rest = shingle[keep], sig[keep], n[keep]
+        size, first_of = length[run], start[run]
+        large = done & (size > SHORT_RUN)
+        if large.any():
+            pairs = np.unique(np.stack([sig[first_of[large]], sig[large]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.int64())], names)
+        short = done & (size <= SHORT_RUN)
+        a, b = [], []
+        for step in range(1, SHORT_RUN):
+            i = np.flatnonzero(short[:-step] & (run[:-step] == run[step:])) if len(run) > step else np.zeros(0, np.int64)
+            i = i[PERCENT * n[i + step] <= 100 * n[i]]
+            if not len(i):
+                continue
+            a.append(np.minimum(sig[i], sig[i + step]))
+            b.append(np.maximum(sig[i], sig[i + step]))
+        if a:
+            pairs, times = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(times.astype(np.int64))], names)
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def stars(docs: DataFrame, classes: DataFrame, known: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """centre, sig, rep, n: any two sets that link are members of a common star; stored."""
     schema = "shingle long, sig long, n int, frequent boolean"
     postings = docs.select("text").mapInArrow(_posting_batches(known, rank), schema)
-    near = (
+    near = stored(
         postings.filter("NOT frequent").drop("frequent").repartition("shingle").sortWithinPartitions("shingle", "n", "sig")
-        .mapInArrow(_star_batches, "centre long, sig long")
+        .mapInArrow(_star_batches, "centre long, sig long, hits long"),
+        "near",
     )
     common = stored(postings.filter("frequent").select("shingle", "sig").distinct(), "frequent")
     # at most FREQUENT_KEPT rows, so a broadcast
     centres = common.groupBy("shingle").agg(F.min("sig").alias("centre"), F.count("*").alias("members")).filter("members > 1")
     far = common.join(F.broadcast(centres), "shingle").select("centre", "sig")
-    return stored(near.unionByName(far).distinct(), "stars")
+    named = classes.filter("rep IS NOT NULL").select(F.col("sig_a").alias("sig"), "rep", F.col("n_shingles").alias("n"))
+    # hits that linked sets of these sizes have at least
+    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100), F.ceil(F.col("m") * PERCENT / 100))
+    two = near.filter("hits IS NOT NULL").groupBy("centre", "sig").agg(F.sum("hits").alias("hits"))
+    two = two.join(named, "sig").join(named.select(F.col("sig").alias("centre"), F.col("n").alias("m")), "centre").filter(F.col("hits") >= enough)
+    two = stored(two.select("centre", "sig"), "pairs")
+    both = two.unionByName(two.select("centre", F.col("centre").alias("sig")))
+    members = near.filter("hits IS NULL").select("centre", "sig").unionByName(far).unionByName(both).distinct()
+    return stored(members.join(named, "sig"), "members")
 
 
 def _sets_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,9 +423,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     known, rank = frequent_shingles(profiled)
-    star = stars(docs, known, rank)
-    named = classes.filter("rep IS NOT NULL").select(F.col("sig_a").alias("sig"), "rep", F.col("n_shingles").alias("n"))
-    members = stored(star.join(named, "sig"), "members")
+    members = stars(docs, classes, known, rank)
     wanted = small(stored(members.select("rep").distinct(), "wanted"))
     sets = stored(
         docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(_sets_batches, f"sig long, rep {kind}, n long, shingles binary")
