@@ -48,8 +48,8 @@ HIDDEN = 16
 #: At most so many documents, the first in a hash order of the id, give labelled spans.
 SAMPLE_DOCUMENTS = 3000
 TRAIN_WINDOWS, STEPS, BATCH = 512, 300, 32
-#: Scaled score by which a span must beat the outside path, a character.
-MARGIN_SCORE = 1.5
+#: Score, per character, by which a span must beat the path that stays outside.
+MARGIN_SCORE = 0.5
 
 CLASS_OF = np.full(128, 1, np.int64)
 for _i, _group in enumerate(("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "012", "3456789", " ", "\n\t\r", "@", ".", "+", "-", "(", ")", "_", "%", ":", "/", "=", "\"'", ",;", "#*$&|<>")):
@@ -322,7 +322,10 @@ def decoded(model: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     trans = model.parts["trans"]
     for (i, a, _), e in zip(where, reconciled(model, [coded[i][a:b] for i, a, b in where])):
         path = viterbi(e, trans)
-        gain = e[np.arange(len(e)), path] - e[:, 0]
+        best = e[np.arange(len(e)), path]
+        best[1:] += trans[path[:-1], path[1:]]
+        outside = e[:, 0].copy()
+        outside[1:] += trans[0, 0]
         at = 0
         while at < len(path):
             tag = path[at]
@@ -332,7 +335,9 @@ def decoded(model: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
             kind, end = (tag - 1) // 2, at + 1
             while end < len(path) and path[end] == 2 + 2 * kind:
                 end += 1
-            if end - at >= 7 and gain[at:end].mean() >= MARGIN_SCORE and (path[at] == 1 + 2 * kind):
+            after = min(end + 1, len(path))  # with the step back outside
+            gain = (best[at:after].sum() - outside[at:after].sum()) / (end - at)
+            if end - at >= 7 and gain >= MARGIN_SCORE and tag == 1 + 2 * kind:
                 found[i].append((int(kind), a + at, a + end))
             at = end
     return found

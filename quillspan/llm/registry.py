@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspan.llm.byte_bpe import op6_byte_bpe
+from quillspan.llm.chat_format import op1_chat_format
 from quillspan.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from quillspan.llm.jaccard_join import op7_jaccard_join
 from quillspan.llm.packing import op4_best_fit_packing
@@ -13,6 +14,7 @@ from quillspan.llm.repeats import op3_repeated_strings
 from quillspan.llm.secrets import op8_secret_scan
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_repeated_strings": op3_repeated_strings,
     "op4_best_fit_packing": op4_best_fit_packing,
