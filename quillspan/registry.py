@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.plans import evaluation
+from quillspan.plans import cleaning, evaluation
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (evaluation,):
+for module in (cleaning, evaluation):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -56,3 +56,94 @@ predictions AS (
     CROSS JOIN (VALUES ('signal', 101, 1), ('signal_qc', 97, 7)) f(feature_set, modulus, step)
     CROSS JOIN (VALUES (0), (1), (2)) s(seed)
 )"""
+
+
+def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of ROLES as a DataFrame."""
+    source, columns, where = ROLES[name]
+    rows = table(spark, sf_dir, source)
+    if source == "events":
+        rows = rows.withColumn("ms", F.expr("unix_millis(CAST(ts AS TIMESTAMP)) - 1704067200000"))
+    return (rows.filter(where) if where else rows).selectExpr(*columns)
+
+
+def role_sql(*names: str) -> str:
+    """The same roles as the common table expressions of a query."""
+    out = []
+    for name in names:
+        source, columns, where = ROLES[name]
+        rows = "(SELECT *, epoch_ms(ts) - 1704067200000 AS ms FROM events)" if source == "events" else source
+        out.append(f"{name} AS (SELECT {', '.join(columns)} FROM {rows}{f' WHERE {where}' if where else ''})")
+    return ", ".join(out)
+
+
+#: Roles of the cohort model on the given tables: source, columns, condition; plain SQL that both engines read.
+ROLES: dict[str, tuple[str, list[str], str]] = {
+    "subjects": (
+        "customer",
+        [
+            "c_custkey AS subject",
+            "'A' || lpad(CAST(c_nationkey AS STRING), 2, '0') || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') AS a_id",
+            "CASE c_custkey % 13 WHEN 0 THEN '#N/A' WHEN 1 THEN '' WHEN 2 THEN 'abc' ELSE CAST(4 + c_custkey % 20 AS STRING)"
+            " || CASE WHEN c_custkey % 3 = 0 THEN '.5' ELSE '' END END AS age",
+            "CASE c_custkey % 7 WHEN 0 THEN ' NA ' WHEN 1 THEN 'nan' WHEN 2 THEN '' WHEN 3 THEN ' male ' WHEN 4 THEN 'male' ELSE 'female' END AS sex",
+            "CASE c_custkey % 6 WHEN 0 THEN 'None' WHEN 1 THEN 'G7' WHEN 2 THEN 'G8' WHEN 3 THEN 'G10' WHEN 4 THEN 'G11' ELSE 'other school' END AS grade",
+            "CASE WHEN c_custkey % 17 = 0 THEN '' WHEN c_acctbal > 4500 THEN '1' ELSE '0' END AS label",
+            "c_mktsegment AS diagnosis",
+            "CAST(c_nationkey AS STRING) AS site",
+            "CAST(c_custkey % 2 AS INT) AS has_eeg",
+            "CAST((c_custkey % 3 + 1) / 2 AS INT) AS has_fnirs_raw",
+            "CASE WHEN c_custkey % 3 > 0 THEN 1 ELSE 0 END AS has_fnirs",
+            "CASE WHEN c_custkey % 5 > 1 THEN 1 ELSE 0 END AS has_face",
+            "CASE WHEN c_custkey % 7 > 3 THEN 1 ELSE 0 END AS has_eye",
+            "c_acctbal AS balance",
+        ],
+        "",
+    ),
+    "takes": (
+        "lineitem",
+        [
+            "CAST(l_suppkey % 4 AS STRING) AS device",
+            "l_returnflag AS task",
+            "CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_partkey END AS subject",
+            "'rec/' || l_returnflag || '/' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || CASE WHEN l_linestatus = 'F' THEN '.bdf' ELSE '.evt' END AS path",
+            "CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS complete",
+            "CAST(l_quantity AS INT) AS n_segments",
+            "l_extendedprice AS duration",
+            "CAST(l_tax * 100 AS INT) AS size",
+            "l_orderkey AS stamp",
+            "l_linenumber AS line",
+        ],
+        "",
+    ),
+    "trials": (
+        "events",
+        [
+            "user_id AS subject",
+            "CAST(floor(ms / 86400000) AS INT) % 6 AS block",
+            "event_id AS trial",
+            "CAST(ms AS DOUBLE) / 1000 AS onset_sec",
+            "event_type AS stimulus",
+            "CASE event_type WHEN 'click' THEN '1' WHEN 'view' THEN '2' WHEN 'purchase' THEN '1' WHEN 'signup' THEN '2' ELSE '' END AS response",
+            "CASE WHEN event_type = 'error' THEN NULL ELSE value / 2e1 END AS rt_sec",
+            "CASE event_type WHEN 'signup' THEN 'win' WHEN 'purchase' THEN 'win' WHEN 'error' THEN 'loss' WHEN 'click' THEN 'loss' ELSE '' END AS feedback",
+            "CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END AS target",
+            "CASE WHEN value > 10 THEN 1e0 ELSE 0e0 END AS logged_correct",
+        ],
+        "",
+    ),
+    "gaze": (
+        "events",
+        [
+            "user_id AS recording",
+            "ms AS time_ms",
+            "event_id AS sample",
+            "CASE WHEN event_type = 'error' THEN NULL ELSE (event_id * 37 % 101) / 1e2 END AS x",
+            "CASE WHEN event_type = 'error' THEN NULL ELSE (event_id * 53 % 103) / 1.02e2 END AS y",
+            "CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS valid",
+            "value AS pupil",
+            "CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' WHEN 'purchase' THEN '' ELSE 'c' END AS media",
+        ],
+        "",
+    ),
+}
