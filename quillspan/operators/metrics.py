@@ -33,3 +33,90 @@ def auroc(df: DataFrame, keys: Sequence[str], score: str = "probability", label:
     return ranked.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))), F.sum("pos") * F.sum("neg")).alias("auroc")
     )
+
+
+def average_precision(df: DataFrame, keys: Sequence[str], score: str = "probability", label: str = "label", weight: Column | None = None) -> DataFrame:
+    """Step-wise average precision; tied scores form one block at its last precision."""
+    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = score_counts(df, keys, score, label, weight).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    return ranked.groupBy(*keys).agg(
+        F.try_divide(F.sum(F.try_divide(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("pos")).alias("auprc")
+    )
+
+
+def confusion(df: DataFrame, keys: Sequence[str], threshold: Column, score: str = "probability", label: str = "label", weight: Column | None = None) -> DataFrame:
+    """tp, fp, tn, fn of score >= threshold; the threshold may differ by row."""
+    w = F.lit(1).cast("long") if weight is None else weight
+    called, real = F.col(score) >= threshold, F.col(label) == 1
+
+    def total(condition: Column, name: str) -> Column:
+        return F.sum(F.when(condition, w).otherwise(0)).alias(name)
+
+    return df.groupBy(*keys).agg(total(called & real, "tp"), total(called & ~real, "fp"), total(~called & ~real, "tn"), total(~called & real, "fn"))
+
+
+THRESHOLD_METRICS = ("accuracy", "balanced_accuracy", "sensitivity", "specificity", "ppv", "npv", "f1", "macro_f1", "positive_rate")
+
+
+def threshold_metrics(counts: DataFrame) -> DataFrame:
+    """The metrics of a confusion table; 0 where a denominator is 0."""
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    n = tp + fp + tn + fn
+    f1, f0 = ratio(2 * tp, 2 * tp + fp + fn), ratio(2 * tn, 2 * tn + fp + fn)
+    sens, spec = ratio(tp, tp + fn), ratio(tn, tn + fp)
+    found = (ratio(tp + tn, n), (sens + spec) / 2, sens, spec, ratio(tp, tp + fp), ratio(tn, tn + fn), f1, (f1 + f0) / 2, ratio(tp + fp, n))
+    return counts.withColumns(dict(zip(THRESHOLD_METRICS, found)))
+
+
+def brier(df: DataFrame, keys: Sequence[str], score: str = "probability", label: str = "label") -> DataFrame:
+    return df.groupBy(*keys).agg(F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"))
+
+
+def calibration_bins(df: DataFrame, keys: Sequence[str], bins: int = 10, score: str = "probability", label: str = "label") -> DataFrame:
+    """Per bin of equal width: n, mean score, share of positives.  Edges are i * (1 / bins) as doubles; the last bin is closed."""
+    width = 1.0 / bins
+    edges = F.array(*[F.lit(i * width) for i in range(1, bins)])
+    return (
+        df.withColumn("bin", F.size(F.filter(edges, lambda e: F.col(score) >= e)))
+        .groupBy(*keys, "bin")
+        .agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("positive_share"))
+    )
+
+
+def calibration(df: DataFrame, keys: Sequence[str], bins: int = 10, score: str = "probability", label: str = "label") -> DataFrame:
+    """Expected and maximum calibration error."""
+    gap = F.abs(F.col("mean_score") - F.col("positive_share"))
+    return calibration_bins(df, keys, bins, score, label).groupBy(*keys).agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
+
+
+def all_metrics(df: DataFrame, keys: Sequence[str], threshold: Column, score: str = "probability", label: str = "label") -> DataFrame:
+    """One row per group with every metric; the parts share the group keys, so they join without a new grouping."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("n_positive"), F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"))
+    out = sizes
+    for part in (auroc(df, keys, score, label), average_precision(df, keys, score, label), threshold_metrics(confusion(df, keys, threshold, score, label)), calibration(df, keys, score=score, label=label)):
+        out = out.join(part, list(keys))
+    return out
+
+
+def select_threshold(df: DataFrame, keys: Sequence[str], grid: Sequence[float], score: str = "probability", label: str = "label") -> DataFrame:
+    """The first threshold of the grid with the best balanced accuracy."""
+    tried = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    scored = threshold_metrics(confusion(tried, [*keys, "threshold"], F.col("threshold"), score, label))
+    best = Window.partitionBy(*keys).orderBy(F.desc(F.round("balanced_accuracy", 12)), "threshold")
+    return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*keys, "threshold", "balanced_accuracy")
+
+
+def select_threshold_f1(df: DataFrame, keys: Sequence[str], score: str = "probability", label: str = "label") -> DataFrame:
+    """The score at which calling it and all above positive gives the best F1; the lowest on ties."""
+    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    ranked = score_counts(df, keys, score, label).withColumns({"tp": F.sum("pos").over(down), "called": F.sum(F.col("pos") + F.col("neg")).over(down), "real": F.sum("pos").over(whole)})
+    f1 = F.try_divide(2 * F.col("tp"), F.col("called") + F.col("real"))
+    best = whole.orderBy(F.desc(F.round("f1", 12)), score)
+    return ranked.withColumn("f1", f1).withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*keys, F.col(score).alias("threshold"), "f1")
+
+
+def fold_spread(folds: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Folds, and mean and sample deviation of each metric over them."""
+    spread = [f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return folds.groupBy(*keys).agg(F.count("*").alias("n_folds"), *spread)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.plans import cleaning, evaluation
+from quillspan.plans import cleaning, evaluation, sequences
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (cleaning, evaluation):
+for module in (cleaning, evaluation, sequences):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

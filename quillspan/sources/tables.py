@@ -38,7 +38,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("p"),
         F.col("doc_id").alias("subject"),
         F.col("quality").cast("int").alias("label"),
-    ).select("p.*", "subject", "label", (0.3 + 0.1 * F.col("p.outer_fold")).alias("fold_threshold"))
+    ).select("p.*", "subject", "label", ((F.col("p.outer_fold") + 3) / 10).alias("fold_threshold"))
 
 
 #: The same rows in SQL; a query starts from ``WITH {PREDICTIONS_SQL}``.
@@ -49,8 +49,8 @@ predictions AS (
                 ELSE CASE d.lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END END AS outer_fold,
            ((d.n_chars * f.step + s.seed) % f.modulus) / 100.0 AS probability,
            l.doc_id AS subject, CAST(l.quality AS INTEGER) AS label,
-           0.3 + 0.1 * CASE WHEN p.cv_protocol = 'standard' THEN CAST(d.doc_id % 5 AS INTEGER)
-                ELSE CASE d.lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END END AS fold_threshold
+           (3 + CASE WHEN p.cv_protocol = 'standard' THEN CAST(d.doc_id % 5 AS INTEGER)
+                ELSE CASE d.lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END END) / 10.0::DOUBLE AS fold_threshold
     FROM labels l JOIN documents d ON l.doc_id = d.doc_id
     CROSS JOIN (VALUES ('standard'), ('group')) p(cv_protocol)
     CROSS JOIN (VALUES ('signal', 101, 1), ('signal_qc', 97, 7)) f(feature_set, modulus, step)
@@ -63,7 +63,7 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns, where = ROLES[name]
     rows = table(spark, sf_dir, source)
     if source == "events":
-        rows = rows.withColumn("ms", F.expr("unix_millis(CAST(ts AS TIMESTAMP)) - 1704067200000"))
+        rows = rows.withColumn("ms", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) DIV 1000 - 1704067200000"))
     return (rows.filter(where) if where else rows).selectExpr(*columns)
 
 
@@ -72,7 +72,7 @@ def role_sql(*names: str) -> str:
     out = []
     for name in names:
         source, columns, where = ROLES[name]
-        rows = "(SELECT *, epoch_ms(ts) - 1704067200000 AS ms FROM events)" if source == "events" else source
+        rows = "(SELECT *, epoch_us(ts) // 1000 - 1704067200000 AS ms FROM events)" if source == "events" else source
         out.append(f"{name} AS (SELECT {', '.join(columns)} FROM {rows}{f' WHERE {where}' if where else ''})")
     return ", ".join(out)
 
