@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.plans import cleaning, evaluation, sequences
+from quillspan.plans import cleaning, cohort, evaluation, sequences
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (cleaning, evaluation, sequences):
+for module in (cleaning, evaluation, sequences, cohort):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
