@@ -10,3 +10,169 @@ def valid_gaze(df: DataFrame, usable: Column, low: float = 0.0, high: float = 1.
     """Samples with x, y and pupil set to NULL where the sample is not usable or off the screen."""
     ok = F.coalesce(usable & F.col("x").between(low, high) & F.col("y").between(low, high), F.lit(False))
     return df.withColumns({"valid": ok, **{c: F.when(ok, F.col(c)) for c in ("x", "y", "pupil")}})
+
+
+#: Dispersion on either axis, shortest fixation and longest gap in ms.
+DISPERSION, SHORTEST_MS, LONGEST_GAP_MS = 0.025, 80.0, 75.0
+
+
+def fixations(samples: DataFrame, keys: list[str], time: str, dispersion: float = DISPERSION, least_ms: float = SHORTEST_MS, most_gap_ms: float = LONGEST_GAP_MS) -> DataFrame:
+    """Fixations by dispersion: a group grows while both axes stay within the dispersion and no gap is too long.
+
+    The state at a sample depends on all before it, so this is a grouped map over one recording (or
+    trial) at a time.
+    """
+    import pandas as pd
+
+    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["x", "y"]).sort_values(time)
+        out, begin = [], 0
+        t, x, y = (pdf[c].to_numpy(float) for c in (time, "x", "y"))
+        low = high = None
+        for i in range(len(t) + 1):
+            if i < len(t):
+                point = (x[i], y[i])
+                new_low = point if low is None else (min(low[0], point[0]), min(low[1], point[1]))
+                new_high = point if high is None else (max(high[0], point[0]), max(high[1], point[1]))
+                near = all(b - a <= dispersion for a, b in zip(new_low, new_high))
+                if i == begin or (near and t[i] - t[i - 1] <= most_gap_ms):
+                    low, high = new_low, new_high
+                    continue
+            if i - begin >= 2 and t[i - 1] - t[begin] >= least_ms:
+                out.append((t[begin], t[i - 1], x[begin:i].mean(), y[begin:i].mean(), i - begin))
+            if i < len(t):
+                begin, low, high = i, (x[i], y[i]), (x[i], y[i])
+        found = pd.DataFrame(out, columns=["start", "end", "x", "y", "n_samples"])
+        for k in reversed(keys):
+            found.insert(0, k, pdf[k].iloc[0] if len(pdf) else None)
+        return found
+
+    schema = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in keys) + ", start double, end double, x double, y double, n_samples long"
+    return samples.select(*keys, time, "x", "y").groupBy(*keys).applyInPandas(detect, schema)
+
+
+def held_levels(track: DataFrame, key: str, frame: str, value: str, least_step: float, frames: int = 5) -> DataFrame:
+    """The level at each frame: a new one is taken on only if it is a step away and stays for some frames.
+
+    What counts as new depends on the level held, so this is a grouped map over one track at a time.
+    """
+    import pandas as pd
+
+    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(frame)
+        v = pdf[value].to_numpy(float)
+        level, out = (v[0] if len(v) else 0.0), []
+        for i in range(len(v)):
+            ahead = v[i : i + frames]
+            if abs(v[i] - level) >= least_step and len(ahead) == frames and (abs(ahead - v[i]) < least_step).all():
+                level = v[i]
+            out.append(level)
+        return pd.DataFrame({key: pdf[key], frame: pdf[frame], "level": out})
+
+    kinds = track.schema
+    return track.select(key, frame, value).groupBy(key).applyInPandas(hold, f"`{key}` {kinds[key].dataType.simpleString()}, `{frame}` {kinds[frame].dataType.simpleString()}, level double")
+
+
+def steps(levels: DataFrame, key: str, frame: str) -> DataFrame:
+    """Frames where the level changes: direction, amplitude, and whether it moves away from the middle (0.5)."""
+    from pyspark.sql import Window
+
+    before = F.lag("level").over(Window.partitionBy(key).orderBy(frame))
+    t = levels.withColumn("_b", before).filter("_b IS NOT NULL AND level <> _b")
+    return t.select(key, frame, F.signum(F.col("level") - F.col("_b")).alias("direction"), F.abs(F.col("level") - F.col("_b")).alias("amplitude"), (F.abs(F.col("level") - 0.5) > F.abs(F.col("_b") - 0.5)).alias("outward"))
+
+
+def score_saccades(samples: DataFrame, trials: DataFrame, key: str, time: str, least_ms: float, most_ms: float, offset: float) -> DataFrame:
+    """Per trial (key, onset, expected, amplitude): latency of the first sample that leaves the middle, its direction, whether it is right, a later correction, and the gain.
+
+    trials carry ``onset``, ``expected`` (-1 or 1) and ``amplitude``.
+    """
+    from quillspan.operators.joins import window_join
+
+    windows = trials.withColumns({"_from": F.col("onset") + least_ms, "_to": F.col("onset") + most_ms})
+    j = window_join(samples.filter("x IS NOT NULL"), windows, key, time, "_from", "_to", most_ms)
+    away = F.abs(F.col("x") - 0.5) >= offset
+    side = F.signum(F.col("x") - 0.5)
+    first = F.min(F.when(away, F.struct(F.col(time).alias("t"), side.alias("side"), F.abs(F.col("x") - 0.5).alias("size")))).alias("first")
+    right = F.min(F.when(away & (side == F.col("expected")), F.col(time))).alias("right_at")
+    found = j.groupBy(key, "onset", "expected", "amplitude").agg(first, right)
+    scored = trials.join(found.drop("expected", "amplitude"), [key, "onset"], "left")
+    correct = F.col("first.side") == F.col("expected")
+    return scored.select(key, "onset", "expected", (F.col("first.t") - F.col("onset")).alias("latency"), correct.alias("correct"), (~correct & (F.col("right_at") > F.col("first.t"))).alias("corrected"), F.try_divide(F.col("first.size"), F.col("amplitude")).alias("gain"))
+
+
+def smoothed_velocity(samples: DataFrame, key: str, time: str, value: str, width: int) -> DataFrame:
+    """Velocity by a quadratic least-squares fit over ``width`` (odd) samples; at the ends the edge window's parabola is used.
+
+    The fit of evenly spaced samples is a fixed convolution, done per series in a grouped map.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def derive(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time)
+        t, v = pdf[time].to_numpy(float), pdf[value].to_numpy(float)
+        out = np.full(len(v), np.nan)
+        if len(v) >= width:
+            half = width // 2
+            place = np.arange(-half, half + 1)
+            pinv = np.linalg.pinv(np.stack([np.ones(width), place, place**2], 1))
+            dt = np.median(np.diff(t)) / 1000.0
+            windows = np.lib.stride_tricks.sliding_window_view(v, width) @ pinv.T
+            out[half : len(v) - half] = windows[:, 1] / dt
+            for i in range(half):
+                out[i] = (windows[0, 1] + 2 * windows[0, 2] * (i - half)) / dt
+                out[-1 - i] = (windows[-1, 1] + 2 * windows[-1, 2] * (half - i)) / dt
+        return pd.DataFrame({key: pdf[key], time: pdf[time], "velocity": out})
+
+    kinds = samples.schema
+    return samples.select(key, time, value).groupBy(key).applyInPandas(derive, f"`{key}` {kinds[key].dataType.simpleString()}, `{time}` {kinds[time].dataType.simpleString()}, velocity double")
+
+
+def velocity_gain(pairs: DataFrame, key: str, least_target: float) -> DataFrame:
+    """Median of eye over target velocity where the target moves fast enough."""
+    ratio = F.when(F.abs("target_velocity") >= least_target, F.try_divide(F.col("eye_velocity"), F.col("target_velocity")))
+    return pairs.groupBy(key).agg(F.median(ratio).alias("velocity_gain"), F.count(ratio).alias("n_used"))
+
+
+def catch_up_rate(pairs: DataFrame, key: str, time: str, limit: float, least_ms: float) -> DataFrame:
+    """Runs of residual speed above the limit lasting ``least_ms``, per second of the recording."""
+    from quillspan.operators.windows import present_blocks
+
+    runs = present_blocks(pairs, key, time, F.coalesce(F.abs(F.col("eye_velocity") - F.col("target_velocity")) > limit, F.lit(False)), least_ms).groupBy(key).agg(F.count("*").alias("n_runs"))
+    span = pairs.groupBy(key).agg(((F.max(time) - F.min(time)) / 1000.0).alias("seconds"))
+    return span.join(runs, key, "left").select(key, F.coalesce("n_runs", F.lit(0)).alias("n_runs"), F.try_divide(F.coalesce("n_runs", F.lit(0)).cast("double"), F.col("seconds")).alias("rate"))
+
+
+def pursuit_block(pairs: DataFrame, keys: list[str], least_samples: int) -> DataFrame:
+    """Correlation, position gain (slope), RMSE and valid share of gaze against target; NULL under ``least_samples``."""
+    from quillspan.operators.resample import pearson
+
+    n = F.count(F.when(F.col("x").isNotNull() & F.col("tx").isNotNull(), 1))
+    enough = lambda c: F.when(n >= least_samples, c)
+    return pairs.groupBy(*keys).agg(
+        n.alias("n"), enough(pearson(F.col("x"), F.col("tx"))).alias("corr_x"), enough(F.regr_slope("x", "tx")).alias("gain_x"), enough(F.sqrt(F.avg(F.pow(F.col("x") - F.col("tx"), 2)))).alias("rmse"),
+        F.avg(F.col("x").isNotNull().cast("double")).alias("valid_share"),
+    )
+
+
+def saccade_block(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Response, error and corrected-error rates; median and IQR of latency and gain of the right ones."""
+    right = F.col("correct")
+    return scored.groupBy(*keys).agg(
+        F.avg(F.col("latency").isNotNull().cast("double")).alias("response_rate"), F.avg((~right).cast("double")).alias("error_rate"), F.avg(F.when(~right, F.col("corrected").cast("double"))).alias("corrected_rate"),
+        F.median(F.when(right, F.col("latency"))).alias("latency_median"), (F.percentile(F.when(right, F.col("latency")), 0.75) - F.percentile(F.when(right, F.col("latency")), 0.25)).alias("latency_iqr"), F.median(F.when(right, F.col("gain"))).alias("gain_median"),
+    )
+
+
+def viewing_features(trials: DataFrame, subject: str, valence: str, value: str, order: str, valences: list[str]) -> DataFrame:
+    """Mean and sample deviation per valence, the contrast of each later valence with the first, and the trend over trials."""
+    per = [x for v in valences for x in (F.avg(F.when(F.col(valence) == v, F.col(value))).alias(f"{v}_mean"), F.stddev_samp(F.when(F.col(valence) == v, F.col(value))).alias(f"{v}_sd"))]
+    out = trials.groupBy(subject).agg(*per, F.when(F.count(value) >= 3, F.regr_slope(value, order)).alias("trend"))
+    return out.withColumns({f"contrast_{v}": F.col(f"{v}_mean") - F.col(f"{valences[0]}_mean") for v in valences[1:]})
+
+
+def direction_agreement(samples: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Share of segments whose mean gaze lies on the target's side of the middle."""
+    seg = samples.filter("x IS NOT NULL").groupBy(*keys, "expected").agg(F.avg(F.col("x") - 0.5).alias("_m"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return seg.groupBy(*keys[:-1]).agg(F.avg((F.signum("_m") == F.col("expected")).cast("double")).alias("agreement"), F.count("*").alias("n_segments"))

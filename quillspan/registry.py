@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.plans import cleaning, cohort, evaluation, sequences
+from quillspan.plans import cleaning, cohort, evaluation, features, sequences
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (cleaning, evaluation, sequences, cohort):
+for module in (cleaning, evaluation, sequences, cohort, features):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
