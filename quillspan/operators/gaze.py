@@ -98,7 +98,7 @@ def score_saccades(samples: DataFrame, trials: DataFrame, key: str, time: str, l
     found = j.groupBy(key, "onset", "expected", "amplitude").agg(first, right)
     scored = trials.join(found.drop("expected", "amplitude"), [key, "onset"], "left")
     correct = F.col("first.side") == F.col("expected")
-    return scored.select(key, "onset", "expected", (F.col("first.t") - F.col("onset")).alias("latency"), correct.alias("correct"), (~correct & (F.col("right_at") > F.col("first.t"))).alias("corrected"), F.try_divide(F.col("first.size"), F.col("amplitude")).alias("gain"))
+    return scored.select(key, "onset", "expected", (F.col("first.t") - F.col("onset")).alias("latency"), correct.cast("int").alias("correct"), F.coalesce(~correct & (F.col("right_at") > F.col("first.t")), F.lit(False)).alias("corrected"), F.try_divide(F.col("first.size"), F.col("amplitude")).alias("gain"))
 
 
 def smoothed_velocity(samples: DataFrame, key: str, time: str, value: str, width: int) -> DataFrame:
@@ -158,7 +158,7 @@ def pursuit_block(pairs: DataFrame, keys: list[str], least_samples: int) -> Data
 
 def saccade_block(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Response, error and corrected-error rates; median and IQR of latency and gain of the right ones."""
-    right = F.col("correct")
+    right = F.col("correct") == 1
     return scored.groupBy(*keys).agg(
         F.avg(F.col("latency").isNotNull().cast("double")).alias("response_rate"), F.avg((~right).cast("double")).alias("error_rate"), F.avg(F.when(~right, F.col("corrected").cast("double"))).alias("corrected_rate"),
         F.median(F.when(right, F.col("latency"))).alias("latency_median"), (F.percentile(F.when(right, F.col("latency")), 0.75) - F.percentile(F.when(right, F.col("latency")), 0.25)).alias("latency_iqr"), F.median(F.when(right, F.col("gain"))).alias("gain_median"),

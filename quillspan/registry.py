@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.plans import cleaning, cohort, evaluation, features, sequences
+from quillspan.plans import cleaning, cohort, evaluation, features, inputs, sequences
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (cleaning, evaluation, sequences, cohort, features):
+for module in (cleaning, evaluation, sequences, cohort, features, inputs):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
