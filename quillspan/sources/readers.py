@@ -24,12 +24,25 @@ def read_table(spark: SparkSession, path: str, required: Sequence[str] = (), ids
 
 
 def decode_flexible(content: Column) -> Column:
-    """Text of bytes in UTF-8 (with or without a mark), or GB18030 where they are no UTF-8."""
-    utf = F.when(F.is_valid_utf8(F.decode(content, F.lit("ISO-8859-1"))), F.lit(1))  # always text; real check below
-    as_utf = content.cast("string")
-    valid = F.is_valid_utf8(as_utf)
-    text = F.when(valid, as_utf).otherwise(F.decode(content, "GB18030"))
-    return F.when(utf.isNotNull() | utf.isNull(), F.regexp_replace(text, "^﻿", ""))
+    """Text of bytes in UTF-8 (with or without a mark), or GB18030 where they are no UTF-8.
+
+    Spark's own ``decode`` knows no GB18030, so this is an Arrow-batched function.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def decode(raw: pd.Series) -> pd.Series:
+        def one(b: bytes | None) -> str | None:
+            if b is None:
+                return None
+            try:
+                return b.decode("utf-8-sig")
+            except UnicodeDecodeError:
+                return b.decode("gb18030", "replace")
+
+        return raw.map(one)
+
+    return decode(content.cast("binary"))
 
 
 def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
