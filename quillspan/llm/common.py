@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most so many narrow rows (two or three numbers) is broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch of texts.
+TEXTS_PER_BATCH = 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,13 +26,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts, which may be long, to Python tasks in batches of fewer rows, unless the session already does."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > TEXTS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage."""
+    small_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    released(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are over, now that their result is a table.
+
+    Its cleaner follows the driver's garbage collection, which else may be half an hour away.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove stored tables that nothing will read again."""
     for df in tables:
@@ -45,6 +65,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import BROADCAST_ROWS, documents, stored
+from quillspan.llm.common import documents, dropped, stored
 from quillspan.llm.textcore import _BASE, _INVERSE, _LETTER, mix, pieces, powers, text_bytes
 
 LENGTH = 200
@@ -200,8 +200,11 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
         rows.select("text", "key_a", "key_b").mapInArrow(_stretch_batches, "key_a long, key_b int, lo int, hi int, back int, name long, whole long"),
         "stretches",
     )
-    named = parts.groupBy("name").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).filter("n > 1")
-    again = stored(parts.join(named.select("name", (F.col("least") == F.col("most")).alias("alike")), "name"), "repeated")
+    often = parts.groupBy("name").count().filter("count > 1").select("name")
+    again = stored(parts.join(often, "name", "left_semi"), "repeated")
+    dropped(parts)
+    kinds = stored(again.groupBy("name").agg((F.min("whole") == F.max("whole")).alias("alike")), "kinds")
+    again = again.join(kinds, "name")
     mixed = again.filter("NOT alike")
     distinct = stored(
         mixed.groupBy("name", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b", "lo", "hi", "back")).alias("at")), "distinct"
@@ -213,14 +216,14 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("at.lo", "at.hi", "at.back", "name", "whole", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("asked")),
         "asked",
     )
-    if asked.count() <= BROADCAST_ROWS // 10:
-        asked = F.broadcast(asked)
     found = (
         rows.join(asked, ["key_a", "key_b"]).select("text", "asked").mapInArrow(_window_batches, "name long, whole long, part long, places binary, names binary")
         .repartition("name", "part").sortWithinPartitions("name", "part", "whole")
         .mapInArrow(_bucket_batches, "name long, whole long, `from` int, `to` int")
     )
-    some = mixed.join(stored(found, "runs"), ["name", "whole"]).select(
+    found = stored(found, "runs")
+    dropped(asked)
+    some = mixed.join(found, ["name", "whole"]).select(
         "key_a", "key_b", (F.col("lo") + F.col("back") + F.col("from")).alias("start"), (F.col("lo") + F.col("back") + F.col("to") + LENGTH).alias("end")
     )
     full = again.filter("alike").select("key_a", "key_b", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
@@ -228,7 +231,7 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
         "key_a", "key_b", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end")
     )
     every = full.unionByName(many).unionByName(some)
-    return every.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("start", "end")).alias("intervals"))
+    return stored(every.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("start", "end")).alias("intervals")), "intervals")
 
 
 def _cut_batches(with_text: bool):
@@ -263,9 +266,7 @@ def _cut_batches(with_text: bool):
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs, and the kept bytes on demand."""
     rows = keyed(docs)
-    intervals = stored(repeated_intervals(rows), "intervals")
-    if intervals.count() <= BROADCAST_ROWS // 10:
-        intervals = F.broadcast(intervals)
+    intervals = repeated_intervals(rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return rows.join(intervals, ["key_a", "key_b"], "left").select("doc_id", "text", "intervals").mapInArrow(_cut_batches(with_text), schema)

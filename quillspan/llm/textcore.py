@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: The white space that separates words: blank and the controls 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, bool)
@@ -52,7 +52,7 @@ def powers(base: int, n: int) -> np.ndarray:
         had = np.ones(size, np.uint64)
         had[1:] = np.uint64(base)
         np.cumprod(had, out=had)
-        if size <= 4 * PIECE:
+        if size <= 1 << 22:
             _powers[base] = had
     return had
 
