@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import documents, small, stored
+from quillspan.llm.common import documents, dropped, small, stored
 from quillspan.llm.components import components
 from quillspan.llm.textcore import mix, shingle_sets
 
@@ -57,7 +57,7 @@ SHARED = 6
 #: Runs of so many members are merged pair by pair, longer ones become stars.
 SHORT_RUN = 12
 #: Shingles of one block of a star.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
 #: Inverted lists of more members than this are long.
 LONG_LIST = 8
 
@@ -252,7 +252,9 @@ def stars(docs: DataFrame, classes: DataFrame, known: np.ndarray, rank: np.ndarr
     two = stored(two.select("centre", "sig"), "pairs")
     both = two.unionByName(two.select("centre", F.col("centre").alias("sig")))
     members = near.filter("hits IS NULL").select("centre", "sig").unionByName(far).unionByName(both).distinct()
-    return stored(members.join(named, "sig"), "members")
+    members = stored(members.join(named, "sig"), "members")
+    dropped(near, common, two)
+    return members
 
 
 def _sets_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,9 +426,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     known, rank = frequent_shingles(profiled)
     members = stars(docs, classes, known, rank)
-    wanted = small(stored(members.select("rep").distinct(), "wanted"))
+    wanted = stored(members.select("rep").distinct(), "wanted")
     sets = stored(
-        docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(_sets_batches, f"sig long, rep {kind}, n long, shingles binary")
+        docs.select(F.col("doc_id").alias("rep"), "text").join(small(wanted), "rep", "left_semi").mapInArrow(_sets_batches, f"sig long, rep {kind}, n long, shingles binary")
         .dropDuplicates(["sig", "rep"]),
         "sets",
     )
@@ -434,9 +436,11 @@ def _links(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str)
     large = small(stored(size.filter("blocks > 1"), "large"))
     block = F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int")
     placed = members.join(large, "centre", "left").withColumn("block", block).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = small(stored(placed, "placed"))
     own = placed.withColumn("component", F.col("rep")).withColumn("asks", F.lit(True)).withColumn("answers", F.lit(True))
     links = stored(_searched(own.join(sets.drop("n"), ["sig", "rep"]), kind), "links")
     wide = placed.filter("blocks > 1")
+    dropped(members, wanted)
     if wide.isEmpty():
         return links
     found = stored(components(links), "components").withColumnRenamed("node", "rep")
