@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +29,6 @@ def decode_flexible(content: Column) -> Column:
 
     Spark's own ``decode`` knows no GB18030, so this is an Arrow-batched function.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
         def one(b: bytes | None) -> str | None:

@@ -165,3 +165,23 @@ def test_flexible_text(spark):
 
     t = spark.createDataFrame([(bytearray("中文".encode("gb18030")),), (bytearray("﻿né".encode()),)], "c binary")
     assert [r[0] for r in t.select(decode_flexible(F.col("c"))).collect()] == ["中文", "né"]
+
+
+def test_job_files_and_results_round_trip(spark, tmp_path):
+    from quillspan.sources import readers
+
+    a = spark.createDataFrame([("standard", 1, "x")], "cv_protocol string, n int, device string")
+    b = spark.createDataFrame([("group", 2)], "cv_protocol string, n int")
+    readers.write_union([a, b], str(tmp_path / "jobs" / "all"))
+    jobs = readers.read_jobs(spark, str(tmp_path / "jobs"))
+    assert sorted((r.cv_protocol, r.n, r.device) for r in jobs.collect()) == [("group", "2", ""), ("standard", "1", "x")]
+    readers.write_result(jobs, str(tmp_path / "result"))
+    assert {r.cv_protocol for r in spark.read.parquet(str(tmp_path / "result")).collect()} == {"group", "standard"}
+
+
+def test_feature_names_by_role(spark):
+    from quillspan.sources import readers
+
+    t = spark.createDataFrame([(1, 1.0, 2.0, "x")], "s int, signal_a double, signal_contrast_b double, signal_text string")
+    assert readers.columns_by_role(t, ["signal_"], ["signal_contrast_"]) == ["signal_a"]
+    assert readers.prefix_features(t, "signal", "nback").columns == ["s", "signal_nback_a", "signal_contrast_nback_b", "signal_nback_text"]
