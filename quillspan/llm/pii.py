@@ -317,10 +317,9 @@ def reconciled(model: Model, code: list[np.ndarray]) -> list[np.ndarray]:
 def decoded(model: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans that the network finds in each text, each better than outside by the margin."""
     where = [(i, a, b) for i, text in enumerate(texts) for a, b in regions(text)]
-    coded = [classes(text) for text in texts]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     trans = model.parts["trans"]
-    for (i, a, _), e in zip(where, reconciled(model, [coded[i][a:b] for i, a, b in where])):
+    for (i, a, _), e in zip(where, reconciled(model, [classes(texts[i][a:b]) for i, a, b in where])):
         path = viterbi(e, trans)
         best = e[np.arange(len(e)), path]
         best[1:] += trans[path[:-1], path[1:]]
