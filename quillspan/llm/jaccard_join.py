@@ -177,10 +177,12 @@ def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Hits of the pairs of short runs, and members of longer runs with the first member as centre.
 
     Rows come sorted by list, size and signature.  ``hits`` is null for members of longer runs.  The last run of a
-    batch waits for the next one; of a longer run only what tells how it goes on waits.
+    batch waits for the next one; of a longer run only its centre and the last members wait, and between these
+    two no neighbours are compared, so that the run goes on from its last member.
     """
     names = ["centre", "sig", "hits"]
     rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    cut = False  # members between the first and the second row of rest were handed on
     for batch in _and_end(batches):
         if batch is None:
             if rest is None:
@@ -196,6 +198,8 @@ def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         again = np.append(False, (shingle[1:] == shingle[:-1]) & (sig[1:] == sig[:-1]) & (n[1:] == n[:-1]))
         shingle, sig, n = shingle[~again], sig[~again], n[~again]
         fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (100 * n[:-1] < PERCENT * n[1:]))
+        if cut:
+            fresh[1] = False
         run = np.cumsum(fresh) - 1
         start = np.flatnonzero(fresh)
         length = np.bincount(run)
@@ -203,6 +207,7 @@ def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if batch is not None:
             first = start[-1]
             keep = np.arange(first, len(run))
+            cut = (cut and first == 0) or len(keep) > SHORT_RUN + 1
             if len(keep) > SHORT_RUN + 1:  # a longer run for certain: hand on all but its centre and the last members
                 done[first + 1 : -SHORT_RUN] = True
                 keep = np.append(first, keep[-SHORT_RUN:])

@@ -104,6 +104,27 @@ def test_jaccard_join_over_many_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("rows", [1, 2, 5, 13, 40])
+def test_jaccard_stars_do_not_depend_on_batches(rows):
+    # sizes that grow by a tenth a step: 60 of one run, then a gap, a short run, and another list
+    size = [int(100 * 1.1**i) for i in range(60)] + [10**6 + i for i in range(5)] + [int(50 * 1.1**i) for i in range(30)]
+    whole = pa.RecordBatch.from_pydict({"shingle": pa.array([1] * 65 + [2] * 30), "sig": pa.array([(i * 37) % 101 for i in range(95)]), "n": pa.array(size, pa.int32())})
+
+    def found(batches):
+        stars, hits = set(), {}
+        for batch in jaccard_join._star_batches(batches):
+            for r in batch.to_pylist():
+                if r["hits"] is None:
+                    stars.add((r["centre"], r["sig"]))
+                else:
+                    hits[r["centre"], r["sig"]] = hits.get((r["centre"], r["sig"]), 0) + r["hits"]
+        return stars, hits
+
+    stars, hits = found(iter([whole]))
+    assert len(stars) == 90 and len(hits) == 10
+    assert found(whole.slice(at, rows) for at in range(0, 95, rows)) == (stars, hits)
+
+
 def test_jaccard_join_keeps_one_and_takes_empty_tables(clashing, empty):
     kept = jaccard_join.keep_one(clashing)
     assert kept.columns == clashing.columns
