@@ -20,7 +20,9 @@ similarity of their sets is 0.8 or more.
    reach the overlap are compared exactly.  Members known to be connected are not reported again, so a
    block hands on a spanning forest and never all its pairs.
 4. *Blocks of large stars* meet only where needed: after the links so far are turned into components, the members
-   outside a star's main component are sent as queries to its other blocks.
+   outside a star's main component are sent as queries to its other blocks.  A block holds members of
+   like size and is sent those queries alone whose sizes can link with its own; they are dealt over parts of bounded
+   size, each with a copy of the block, so no task holds more than a block and a part.
 5. *Components* by minimum-star steps; the label is the smallest doc_id.
 
 Defined cases: null and empty texts, and texts of white space only, have an empty set, link with
@@ -32,6 +34,7 @@ empty result; other columns are ignored by ``near_classes`` and kept by ``keep_o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +59,10 @@ HELD_SHINGLES = 1 << 22
 SHARED = 6
 #: Runs of so many members are merged pair by pair, longer ones become stars.
 SHORT_RUN = 12
-#: Shingles of one block of a star.
+#: Shingles of one block of a star, and of one part of the queries that a block is sent.
 BLOCK_SHINGLES = 1 << 18
+#: Blocks of one size class of a star, at most.
+CLASS_BLOCKS = 1 << 20
 #: Inverted lists of more members than this are long.
 LONG_LIST = 8
 
@@ -359,8 +364,12 @@ def _linked(rep: list, group: list, sets: list[np.ndarray], queries: list[int],
     return a, b
 
 
+#: What names the rows that are searched together.
+PLACE = ("centre", "block", "part")
+
+
 def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Searches block after block; rows come sorted by centre and block."""
+    """Searches block after block; rows come sorted by centre, block and part."""
     held: list[pa.Table] = []
 
     def searched(table: pa.Table) -> pa.RecordBatch | None:
@@ -376,9 +385,12 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(a, table["rep"].type), pa.array(b, table["rep"].type)], ["a", "b"]) if a else None
 
     def split(table: pa.Table) -> Iterator[pa.Table]:
-        centre, block = (table[c].combine_chunks().to_numpy() for c in ("centre", "block"))
-        cuts = (np.flatnonzero((centre[1:] != centre[:-1]) | (block[1:] != block[:-1])) + 1).tolist()
-        for x, y in zip([0, *cuts], [*cuts, len(centre)]):
+        new = np.zeros(max(0, table.num_rows - 1), bool)
+        for c in PLACE:
+            at = table[c].combine_chunks().to_numpy()
+            new |= at[1:] != at[:-1]
+        cuts = (np.flatnonzero(new) + 1).tolist()
+        for x, y in zip([0, *cuts], [*cuts, table.num_rows]):
             yield table.slice(x, y - x)
 
     rest: pa.Table | None = None
@@ -388,7 +400,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         table = pa.Table.from_batches([batch])
         groups = list(split(table))
         if rest is not None:
-            if rest["centre"][-1] == groups[0]["centre"][0] and rest["block"][-1] == groups[0]["block"][0]:
+            if all(rest[c][-1] == groups[0][c][0] for c in PLACE):
                 held.append(groups[0])
                 groups = groups[1:]
             if groups:
@@ -407,8 +419,8 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _searched(rows: DataFrame, kind: str) -> DataFrame:
     return (
-        rows.select("centre", "block", "rep", "component", "asks", "answers", "shingles")
-        .repartition("centre", "block").sortWithinPartitions("centre", "block")
+        rows.select(*PLACE, "rep", "component", "asks", "answers", "shingles")
+        .repartition(*PLACE).sortWithinPartitions(*PLACE)
         .mapInArrow(_block_batches, f"a {kind}, b {kind}")
     )
 
@@ -437,14 +449,18 @@ def _links(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str)
         .dropDuplicates(["sig", "rep"]),
         "sets",
     )
-    size = members.groupBy("centre").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    large = small(stored(size.filter("blocks > 1"), "large"))
-    block = F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int")
-    placed = members.join(large, "centre", "left").withColumn("block", block).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members_in = members.withColumn("size_class", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int"))
+    size = stored(members_in.groupBy("centre", "size_class").agg(F.sum("n").alias("shingles")), "size")
+    over = size.groupBy("centre").agg(F.sum("shingles").alias("total")).filter(F.col("total") > BLOCK_SHINGLES)
+    large = size.join(over, "centre", "left_semi").select("centre", "size_class", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
+    large = small(stored(large, "large"))
+    block = F.col("size_class") * CLASS_BLOCKS + F.pmod(F.xxhash64("rep"), "blocks")
+    placed = members_in.join(large, ["centre", "size_class"], "left").withColumn("block", F.coalesce(block, F.lit(0)).cast("long"))
+    placed = placed.withColumn("wide", F.col("blocks").isNotNull()).withColumn("part", F.lit(0)).drop("size_class", "blocks")
     placed = small(stored(placed, "placed"))
     own = placed.withColumn("component", F.col("rep")).withColumn("asks", F.lit(True)).withColumn("answers", F.lit(True))
     links = stored(_searched(own.join(sets.drop("n"), ["sig", "rep"]), kind), "links")
-    wide = placed.filter("blocks > 1")
+    wide = placed.filter("wide").drop("wide", "part")
     dropped(members, wanted)
     if wide.isEmpty():
         return links
@@ -455,11 +471,17 @@ def _links(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str)
         .groupBy("centre").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     )
     outside = wide.join(small(stored(main, "main")), "centre").filter("component <> main").drop("main")
-    asks = (
-        outside.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("to <> block")
-        .withColumn("block", F.col("to")).drop("to").withColumn("asks", F.lit(True)).withColumn("answers", F.lit(False))
-    )
-    answers = wide.withColumn("asks", F.lit(False)).withColumn("answers", F.lit(True))
+    sizes = wide.groupBy("centre", F.col("block").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    reaches = (F.col("to") != F.col("block")) & (PERCENT * F.col("n") <= 100 * F.col("most")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
+    asks = outside.join(small(stored(sizes, "sizes")), "centre").filter(reaches).withColumn("block", F.col("to")).drop("to", "least", "most")
+    asks = stored(asks, "asks")
+    parts = asks.groupBy("centre", "block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    parts = small(stored(parts, "parts"))
+    # another hash than the one that deals members to blocks
+    asks = asks.join(parts, ["centre", "block"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int"))
+    asks = asks.drop("parts").withColumn("asks", F.lit(True)).withColumn("answers", F.lit(False))
+    answers = wide.join(parts, ["centre", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    answers = answers.drop("parts").withColumn("asks", F.lit(False)).withColumn("answers", F.lit(True))
     more = _searched(asks.unionByName(answers).join(sets.drop("n"), ["sig", "rep"]), kind)
     return links.unionByName(stored(more, "more-links"))
 

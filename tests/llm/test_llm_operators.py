@@ -104,6 +104,27 @@ def test_jaccard_join_over_many_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_join_bounds_what_meets_in_one_task(spark, monkeypatch):
+    limit = 150
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", limit)
+    monkeypatch.setattr(jaccard_join, "SHORT_RUN", 3)
+    most = []
+
+    def searched(rows, kind, search=jaccard_join._searched):
+        place = [c for c in ("centre", "block", "part") if c in rows.columns]
+        most.append(rows.groupBy(*place).agg((F.sum(F.length("shingles")) / 8).alias("n")).agg(F.max("n")).first()[0])
+        return search(rows, kind)
+
+    monkeypatch.setattr(jaccard_join, "_searched", searched)
+    # texts wholly of common passages, under 0.8 similar, but for near copies and the longest ones
+    passages = [" ".join(f"p{i}w{j}" for j in range(10)) for i in range(8)]
+    texts = [" ".join(c) for k in (4, 7, 8) for c in itertools.combinations(passages, k)]
+    rows = list(enumerate(texts + [t + " more" for t in texts[:70:7]]))
+    got = {(r.doc_id, r.n_shingles): {r.component_id} for r in jaccard_join.near_classes(table(spark, rows)).collect()}
+    assert got == brute_components(rows) and len(most) == 2
+    assert max(most) <= 5 * limit
+
+
 @pytest.mark.parametrize("rows", [1, 2, 5, 13, 40])
 def test_jaccard_stars_do_not_depend_on_batches(rows):
     # sizes that grow by a tenth a step: 60 of one run, then a gap, a short run, and another list
