@@ -85,7 +85,7 @@ def k03(spark, d):
 
 @book.query("k04_nested_cv")
 def k04(spark, d):
-    return checked(models.nested_cv(dataset(spark, d), "subject", "fold", NUMBERS, ["sex"], grid=({"regParam": 0.01}, {"regParam": 0.1}), folds=[0, 1]))
+    return checked(models.nested_cv(dataset(spark, d), "subject", "fold", NUMBERS, ["sex"], grid=({"regParam": 0.01}, {"regParam": 0.1}), inner=3))
 
 
 @book.query("k05_visual_pca")
@@ -115,14 +115,14 @@ def k07(spark, d):
 
 @book.query("k08_noise_dilution")
 def k08(spark, d):
-    found = models.noise_dilution(dataset(spark, d), "subject", "fold", NUMBERS, 5, folds=[0, 1])
+    found = models.noise_dilution(dataset(spark, d), "subject", "fold", NUMBERS, 5)
     return found.select(*[F.round(c, 4).alias(c) for c in found.columns])
 
 
 @book.query("k09_reference_baseline")
 def k09(spark, d):
     rows = dataset(spark, d)
-    found = [metrics.auroc(models.nested_cv(rows, "subject", "fold", n, c, inner=0, folds=[0, 1]), []).withColumn("predictors", F.lit(k)) for k, n, c in (("age", ["age"], []), ("demographics", ["age"], ["sex"]), ("all", NUMBERS, ["sex"]))]
+    found = [metrics.auroc(models.nested_cv(rows, "subject", "fold", n, c, inner=0), []).withColumn("predictors", F.lit(k)) for k, n, c in (("age", ["age"], []), ("demographics", ["age"], ["sex"]), ("all", NUMBERS, ["sex"]))]
     return reduce(DataFrame.unionByName, found).withColumn("auroc", F.round("auroc", 4))
 
 

@@ -185,3 +185,20 @@ def test_feature_names_by_role(spark):
     t = spark.createDataFrame([(1, 1.0, 2.0, "x")], "s int, signal_a double, signal_contrast_b double, signal_text string")
     assert readers.columns_by_role(t, ["signal_"], ["signal_contrast_"]) == ["signal_a"]
     assert readers.prefix_features(t, "signal", "nback").columns == ["s", "signal_nback_a", "signal_contrast_nback_b", "signal_nback_text"]
+
+
+def test_every_outer_fold_is_scored(spark, monkeypatch):
+    from quillspan.operators import models
+    from quillspan.plans import modelling
+
+    t = spark.createDataFrame([(i, i // 3 % 2, i % 3, 1.0 * i, 20.0, 1.0, "f") for i in range(24)], "subject long, label int, fold int, balance double, age double, has_eeg double, sex string").cache()
+    fits = []
+    monkeypatch.setattr(modelling, "dataset", lambda spark, d: t)
+    monkeypatch.setattr(models, "fit", lambda *a, **k: fits.append(1))
+    monkeypatch.setattr(models, "score", lambda model, df, keep: df.select(*keep, F.lit(0.5).alias("probability")))
+    assert sorted(r.subject for r in modelling.k04(spark, "").collect()) == list(range(24))
+    assert len(fits) == 3 * (2 * 3 + 1)  # a fit for each parameter and inner fold, and one for the outer fold
+    for query, n in ((modelling.k08, 2), (modelling.k09, 3)):
+        fits.clear()
+        query(spark, "")
+        assert len(fits) == 3 * n
