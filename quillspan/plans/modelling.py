@@ -91,7 +91,7 @@ def k04(spark, d):
 @book.query("k05_visual_pca")
 def k05(spark, d):
     e = table(spark, d, "embeddings")
-    names = [f"emb_{i}" for i in range(16)]
+    names = [f"emb_{i}" for i in range(64)]
     rows = e.select(F.col("vec_id").alias("subject"), (F.col("label") < 5).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
     model = models.fit(rows.filter("subject % 2 = 0"), [], [], "logistic", names, 4)
     return checked(models.score(model, rows.filter("subject % 2 = 1"), ["subject", "label"]))

@@ -202,3 +202,13 @@ def test_every_outer_fold_is_scored(spark, monkeypatch):
         fits.clear()
         query(spark, "")
         assert len(fits) == 3 * n
+
+
+def test_visual_pca_reads_the_whole_vector(spark, monkeypatch):
+    from quillspan.plans import modelling
+
+    # the label lies in the last place of the vector alone
+    rows = [(i, 9 * (i // 2 % 2), [float(i * k % 7) / 100 for k in range(63)] + [50.0 * (i // 2 % 2)]) for i in range(40)]
+    monkeypatch.setattr(modelling, "table", lambda spark, d, name: spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"))
+    found = modelling.k05(spark, "").collect()
+    assert len(found) == 20 and all((r.probability > 0.5) == (r.label == 1) for r in found)
