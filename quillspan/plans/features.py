@@ -127,9 +127,11 @@ def a13(spark, d):
 
 @book.query("a14_event_sequence_examples", f"{T}, f AS (SELECT * FROM trials WHERE subject < 20 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY onset_sec, trial) <= 30) SELECT subject, string_agg(stimulus, ' ' ORDER BY onset_sec, trial) AS codes FROM f GROUP BY subject ORDER BY subject LIMIT 10")
 def a14(spark, d):
-    first = W.top_k(trials(spark, d).filter("subject < 20"), ["subject"], ["onset_sec", "trial"], 30)
+    t = trials(spark, d)
+    ten = t.filter("subject IS NOT NULL").select("subject").distinct().orderBy("subject").limit(10)
+    first = W.top_k(t.join(F.broadcast(ten), "subject", "left_semi"), ["subject"], ["onset_sec", "trial"], 30)
     codes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("onset_sec", "trial", "stimulus"))), lambda x: x["stimulus"]), " ")
-    return first.groupBy("subject").agg(codes.alias("codes")).orderBy("subject").limit(10)
+    return first.groupBy("subject").agg(codes.alias("codes")).orderBy("subject")
 
 
 @book.query("a15_summarize_vector", f"{T} SELECT stimulus, round(avg(rt_sec), 6) AS mean, round(stddev_pop(rt_sec), 6) AS std, min(rt_sec) AS min, max(rt_sec) AS max, round(quantile_cont(rt_sec, 0.25), 6) AS p25, round(quantile_cont(rt_sec, 0.5), 6) AS p50, round(quantile_cont(rt_sec, 0.75), 6) AS p75 FROM trials GROUP BY stimulus")

@@ -212,3 +212,11 @@ def test_visual_pca_reads_the_whole_vector(spark, monkeypatch):
     monkeypatch.setattr(modelling, "table", lambda spark, d, name: spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"))
     found = modelling.k05(spark, "").collect()
     assert len(found) == 20 and all((r.probability > 0.5) == (r.label == 1) for r in found)
+
+
+def test_sequence_examples_of_sparse_subjects(spark, monkeypatch):
+    from quillspan.plans import features as plans
+
+    t = spark.createDataFrame([(15 + 7 * s, float(o), o, f"s{o}") for s in range(12) for o in range(2)], "subject long, onset_sec double, trial int, stimulus string")
+    monkeypatch.setattr(plans, "trials", lambda spark, d: t)
+    assert rows(plans.a14(spark, ""), "subject", "codes") == [(15 + 7 * s, "s0 s1") for s in range(10)]
