@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most so many narrow rows (two or three numbers) is broadcast.
-BROADCAST_ROWS = 500_000
+#: A side of at most so many bytes is broadcast, whatever its number of rows.
+BROADCAST_BYTES = 24 << 20
 #: Rows of an Arrow batch of texts.
 TEXTS_PER_BATCH = 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """The folder in spark.checkpoint.dir; only in a local session without one (tests) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -60,8 +65,10 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows (it should be stored: this counts it), else df as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if it has few bytes (it should be stored: this reads it), else df as it is."""
+    sizes = [F.octet_length(f.name) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema.fields]
+    size = df.select(reduce(add, (F.coalesce(c, F.lit(0)) for c in sizes), F.lit(16)).alias("size")).agg(F.sum("size")).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,20 +7,24 @@ similarity of their sets is 0.8 or more.
    signature, and the shingles it met in several texts.  Documents of one set form a class and are
    searched as one.
 2. *Inverted lists.*  Linked sets of size n share at least T = ceil(0.8 n) shingles, so they share
-   SHARED of the first n - T + SHARED in any common order.  The order puts shingles known to
-   be frequent last, so the lists that are read are short; the very frequent ones are left to probing.
+   SHARED of the first n - T + SHARED in any common order, and more where their sizes are near
+   (``needed_hits``).  The order puts shingles known to be frequent last, so the lists that are read are
+   short; the very frequent ones are left to probing.
    Members of a list that are near in size form a run.  Short runs are merged: their pairs are
-   counted, and a pair with SHARED hits or more is a candidate.  The members of a longer run form a star around its
+   counted, and a pair with as many hits as its sizes ask for is a candidate.  The members of a longer run form a star around its
    smallest member (for frequent shingles around the list's smallest signature, known by
    pre-aggregation and broadcast).  A linked pair without a common star thus has its hits in
    short runs alone, and all of them are counted.
 3. *T-occurrence search.*  A star, in blocks of bounded size, is searched in memory by DivideSkip:
    the short inverted lists of a query are merged and counted, members with at
    least T - L hits are looked up by binary search in the L long lists, and those that
-   reach the overlap are compared exactly.  Members known to be connected are not reported again, so a
+   reach the overlap remain.  The search runs twice: first over the first shingles of each set alone, a fifth of
+   the bytes, which leaves the members that have a possible partner; then over the whole sets of these.
+   Members known to be connected are not reported again, so a
    block hands on a spanning forest and never all its pairs.
-4. *Blocks of large stars* meet only where needed: after the links so far are turned into components, the members
-   outside a star's main component are sent as queries to its other blocks.  A block holds members of
+4. *Blocks of large stars.*  A few pivots of every size class ask all blocks of their own and the next class, which
+   connects the blocks of a star of near copies.  After the links so far are turned into components, the members
+   outside a star's main component are sent, again their first shingles before their sets, as queries to its other blocks.  A block holds members of
    like size and is sent those queries alone whose sizes can link with its own; they are dealt over parts of bounded
    size, each with a copy of the block, so no task holds more than a block and a part.
 5. *Components* by minimum-star steps; the label is the smallest doc_id.
@@ -63,6 +67,8 @@ SHORT_RUN = 12
 BLOCK_SHINGLES = 1 << 18
 #: Blocks of one size class of a star, at most.
 CLASS_BLOCKS = 1 << 20
+#: Members of a size class that ask every block of their star's class and the next.
+PIVOTS = 4
 #: Inverted lists of more members than this are long.
 LONG_LIST = 8
 
@@ -72,11 +78,31 @@ def needed_overlap(n: np.ndarray | int, m: np.ndarray | int):
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-def least_overlap(n: int) -> int:
+def least_overlap(n: np.ndarray | int):
     """The least intersection of a set of n shingles with any set it links with."""
     return -(-PERCENT * n // 100)
 
 
+def listed(n: np.ndarray | int):
+    """How many shingles of a set of n are put into inverted lists, its first ones in the common order."""
+    return np.minimum(n, n - least_overlap(n) + SHARED)
+
+
+def needed_hits(n: np.ndarray | int, m: np.ndarray | int):
+    """Listed shingles that linked sets of n and m have in common at least.
+
+    Of the set whose listed part ends first, n - listed(n) shingles lie behind that end; the rest of the overlap is in both parts.
+    """
+    return np.maximum(1, needed_overlap(n, m) - np.maximum(n - listed(n), m - listed(m)))
+
+
+#: The same in SQL, of columns n and m; ``div`` rounds positive numbers down.
+_LISTED = f"least({{0}}, {{0}} - ({PERCENT} * {{0}} + 99) div 100 + {SHARED})"
+NEEDED_HITS = (
+    f"greatest(1, ({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT} - greatest(n - {_LISTED.format('n')}, m - {_LISTED.format('m')}))"
+)
+
+
 def signature(shingles: np.ndarray) -> tuple[int, int]:
     """Two 64-bit hashes of a set."""
     one = mix(shingles).sum(dtype=np.uint64)
@@ -144,8 +170,20 @@ def frequent_shingles(profiled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[order], order.astype(np.int64)
 
 
+def in_order(own: np.ndarray, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The listed shingles of a set, first in the common order first, and how many of them are not known to be frequent."""
+    k = int(listed(len(own)))
+    if not len(known):
+        return own[:k], k
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    is_known = known[at] == own
+    early = own[~is_known][:k]
+    late = own[is_known][np.argsort(rank[at[is_known]])]
+    return np.concatenate([early, late[: k - len(early)]]), len(early)
+
+
 def _posting_batches(known: np.ndarray, rank: np.ndarray):
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             shingle, sig, size, often = [], [], [], []
@@ -154,19 +192,11 @@ def _posting_batches(known: np.ndarray, rank: np.ndarray):
                 if not n or (key := signature(own)) in seen:
                     continue
                 seen.add(key)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    is_known = known[at] == own
-                    late = own[is_known][np.argsort(rank[at[is_known]])]
-                    early = own[~is_known]
-                else:
-                    early, late = own, own[:0]
-                k = min(n, n - least_overlap(n) + SHARED)
-                first = np.concatenate([early[:k], late[: max(0, k - len(early))]])
+                first, rare = in_order(own, known, rank)
                 shingle.append(first)
-                often.append(np.arange(k) >= len(early))
-                sig.append(np.full(k, key[0], np.int64))
-                size.append(np.full(k, n, np.int32))
+                often.append(np.arange(len(first)) >= rare)
+                sig.append(np.full(len(first), key[0], np.int64))
+                size.append(np.full(len(first), n, np.int32))
             if len(seen) > 200_000:
                 seen.clear()
             if shingle:
@@ -175,7 +205,7 @@ def _posting_batches(known: np.ndarray, rank: np.ndarray):
                     ["shingle", "sig", "n", "frequent"],
                 )
 
-    return prefixes
+    return postings
 
 
 def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +271,11 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def stars(docs: DataFrame, classes: DataFrame, known: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """centre, sig, rep, n: any two sets that link are members of a common star; stored."""
+def stars(docs: DataFrame, classes: DataFrame, known: np.ndarray, rank: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Members of stars and candidate pairs, both as centre, sig, rep, n and stored.
+
+    Any two sets that link are members of a common star or a candidate pair (the centre is one of its two).
+    """
     schema = "shingle long, sig long, n int, frequent boolean"
     postings = docs.select("text").mapInArrow(_posting_batches(known, rank), schema)
     near = stored(
@@ -251,40 +284,54 @@ def stars(docs: DataFrame, classes: DataFrame, known: np.ndarray, rank: np.ndarr
         "near",
     )
     common = stored(postings.filter("frequent").select("shingle", "sig").distinct(), "frequent")
-    # at most FREQUENT_KEPT rows, so a broadcast
+    # at most FREQUENT_KEPT rows of two numbers, so a broadcast
     centres = common.groupBy("shingle").agg(F.min("sig").alias("centre"), F.count("*").alias("members")).filter("members > 1")
     far = common.join(F.broadcast(centres), "shingle").select("centre", "sig")
     named = classes.filter("rep IS NOT NULL").select(F.col("sig_a").alias("sig"), "rep", F.col("n_shingles").alias("n"))
-    # hits that linked sets of these sizes have at least
-    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100), F.ceil(F.col("m") * PERCENT / 100))
     two = near.filter("hits IS NOT NULL").groupBy("centre", "sig").agg(F.sum("hits").alias("hits"))
-    two = two.join(named, "sig").join(named.select(F.col("sig").alias("centre"), F.col("n").alias("m")), "centre").filter(F.col("hits") >= enough)
-    two = stored(two.select("centre", "sig"), "pairs")
-    both = two.unionByName(two.select("centre", F.col("centre").alias("sig")))
-    members = near.filter("hits IS NULL").select("centre", "sig").unionByName(far).unionByName(both).distinct()
+    two = two.join(named, "sig").join(named.select(F.col("sig").alias("centre"), F.col("rep").alias("centre_rep"), F.col("n").alias("m")), "centre")
+    two = stored(two.filter(F.col("hits") >= F.expr(NEEDED_HITS)).select("centre", "sig", "rep", "n", "centre_rep", "m"), "pairs")
+    pairs = two.select("centre", "sig", "rep", "n").unionByName(
+        two.select("centre", F.col("centre").alias("sig"), F.col("centre_rep").alias("rep"), F.col("m").alias("n")).distinct()
+    )
+    members = near.filter("hits IS NULL").select("centre", "sig").unionByName(far).distinct()
     members = stored(members.join(named, "sig"), "members")
-    dropped(near, common, two)
-    return members
+    dropped(near, common)
+    return members, pairs
 
 
-def _sets_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sig, size, data = [], [], []
-        for own in shingle_sets(batch.column("text"), WORDS):
-            sig.append(signature(own)[0])
-            size.append(len(own))
-            data.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), batch.column("rep"), pa.array(size, pa.int64()), pa.array(data, pa.binary())], ["sig", "rep", "n", "shingles"])
+def _set_batches(cut):
+    """signature and shingles of every text, a repeated text once a task; of the shingles those that ``cut`` leaves."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            sig, data = [], []
+            for own in shingle_sets(batch.column("text"), WORDS):
+                key = signature(own)[0]
+                if key in seen:
+                    continue
+                seen.add(key)
+                sig.append(key)
+                data.append(cut(own).tobytes())
+            if len(seen) > 200_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(data, pa.binary())], ["sig", "shingles"])
+
+    return sets
 
 
 class Block:
-    """The inverted lists of some sets, searched by DivideSkip."""
+    """The inverted lists of some sets, or of their listed shingles, searched by DivideSkip.
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.m = len(sets)
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+    ``sizes`` are those of the whole sets; ``needed(n, m)`` tells how many of the shingles given here
+    linked sets of n and m have in common at least.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, needed) -> None:
+        self.m, self.sizes, self.needed = len(sets), sizes, needed
         every = np.concatenate(sets)
-        member = np.repeat(np.arange(self.m, dtype=np.int64), self.sizes)
+        member = np.repeat(np.arange(self.m, dtype=np.int64), [len(s) for s in sets])
         order = np.argsort(every, kind="stable")
         every, self.member = every[order], member[order]
         new = np.append(True, every[1:] != every[:-1])
@@ -293,12 +340,13 @@ class Block:
         # list number and member in one sorted key, for binary search in any list
         self.keys = (np.cumsum(new) - 1) * self.m + self.member
 
-    def search(self, query: np.ndarray) -> np.ndarray:
-        """Members whose overlap with the query makes them link, by their place in the block."""
-        n = len(query)
+    def search(self, query: np.ndarray, n: int) -> np.ndarray:
+        """Members that have enough in common with the query, of a set of n, by their place in the block."""
         at = np.minimum(np.searchsorted(self.names, query), len(self.names) - 1)
         lists = at[self.names[at] == query]
-        least = least_overlap(n)
+        near = (PERCENT * self.sizes <= 100 * n) & (PERCENT * n <= 100 * self.sizes)
+        wanted = self.needed(n, self.sizes)
+        least = int(wanted[near].min()) if near.any() else self.m + len(query)
         if len(lists) < least:
             return np.zeros(0, np.int64)
         length = self.start[lists + 1] - self.start[lists]
@@ -311,8 +359,7 @@ class Block:
         ends = np.cumsum(own)
         places = np.repeat(self.start[short] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
         hits = np.bincount(self.member[places], minlength=self.m)
-        wanted = np.maximum(needed_overlap(n, self.sizes), 1)
-        found = np.flatnonzero((hits > 0) & (hits >= wanted - n_long) & (self.sizes >= least) & (PERCENT * self.sizes <= 100 * n))
+        found = np.flatnonzero(near & (hits > 0) & (hits >= wanted - n_long))
         if n_long and len(found):
             hits = hits[found]
             wanted = wanted[found]
@@ -350,79 +397,93 @@ class Forest:
         return True
 
 
-def _linked(rep: list, group: list, sets: list[np.ndarray], queries: list[int], members: list[int]) -> tuple[list, list]:
-    """Links from queries to members that connect what was not connected."""
-    forest = Forest(group)
-    block = Block([sets[j] for j in members])
-    a, b = [], []
-    for i in queries:
-        for k in block.search(sets[i]).tolist():
-            j = members[k]
-            if j != i and forest.join(i, j):
-                a.append(rep[i])
-                b.append(rep[j])
-    return a, b
-
-
 #: What names the rows that are searched together.
 PLACE = ("centre", "block", "part")
+#: Columns of a row that is searched, but for its doc_id and component.
+ROW = "centre long, block long, part int, sig long, n long, asks boolean, answers boolean"
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Searches block after block; rows come sorted by centre, block and part."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one place after the other, from rows sorted by place and sig; copies of a set are left out."""
     held: list[pa.Table] = []
-
-    def searched(table: pa.Table) -> pa.RecordBatch | None:
-        rep = table["rep"].to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        asks = table["asks"].to_pylist()
-        answers = table["answers"].to_pylist()
-        members = [i for i, x in enumerate(answers) if x]
-        queries = [i for i, x in enumerate(asks) if x]
-        if not queries or len(rep) < 2 or not members:
-            return None
-        a, b = _linked(rep, table["component"].to_pylist(), sets, queries, members)
-        return pa.RecordBatch.from_arrays([pa.array(a, table["rep"].type), pa.array(b, table["rep"].type)], ["a", "b"]) if a else None
-
-    def split(table: pa.Table) -> Iterator[pa.Table]:
-        new = np.zeros(max(0, table.num_rows - 1), bool)
-        for c in PLACE:
-            at = table[c].combine_chunks().to_numpy()
-            new |= at[1:] != at[:-1]
-        cuts = (np.flatnonzero(new) + 1).tolist()
-        for x, y in zip([0, *cuts], [*cuts, table.num_rows]):
-            yield table.slice(x, y - x)
-
-    rest: pa.Table | None = None
+    last: tuple | None = None
+    keys = (*PLACE, "sig")
     for batch in batches:
         if not batch.num_rows:
             continue
+        columns = [batch.column(c).to_numpy() for c in keys]
+        same = [np.append(last is not None and c[0] == last[i], c[1:] == c[:-1]) for i, c in enumerate(columns)]
+        here = same[0] & same[1] & same[2]
+        last = tuple(c[-1] for c in columns)
         table = pa.Table.from_batches([batch])
-        groups = list(split(table))
-        if rest is not None:
-            if all(rest[c][-1] == groups[0][c][0] for c in PLACE):
-                held.append(groups[0])
-                groups = groups[1:]
-            if groups:
-                if (out := searched(pa.concat_tables(held))) is not None:
-                    yield out
+        fresh = ~(here & same[3])
+        cuts = [0, *(np.flatnonzero(~here[1:]) + 1).tolist(), len(here)]
+        for x, y in zip(cuts, cuts[1:]):
+            if not here[x] and held:
+                yield pa.concat_tables(held)
                 held = []
-        for group in groups[:-1]:
-            if (out := searched(group)) is not None:
-                yield out
-        if groups:
-            held = [groups[-1]]
-        rest = held[-1]
-    if held and (out := searched(pa.concat_tables(held))) is not None:
-        yield out
+            own = table.slice(x, y - x).filter(pa.array(fresh[x:y]))
+            if own.num_rows:
+                held.append(own)
+    if held:
+        yield pa.concat_tables(held)
 
 
-def _searched(rows: DataFrame, kind: str) -> DataFrame:
-    return (
-        rows.select(*PLACE, "rep", "component", "asks", "answers", "shingles")
-        .repartition(*PLACE).sortWithinPartitions(*PLACE)
-        .mapInArrow(_block_batches, f"a {kind}, b {kind}")
-    )
+def _block_of(table: pa.Table, needed) -> tuple[list[np.ndarray], list[int], list[int], Block | None, np.ndarray]:
+    """Sets, queries, members, the block of the members (None if nothing can be found) and the sizes."""
+    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+    queries = np.flatnonzero(table["asks"].to_numpy()).tolist()
+    members = np.flatnonzero(table["answers"].to_numpy()).tolist()
+    sizes = table["n"].to_numpy()
+    some = table.num_rows > 1 and queries and members
+    return sets, queries, members, Block([sets[j] for j in members], sizes[members], needed) if some else None, sizes
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from queries to members that connect what was not connected."""
+    for table in _groups(batches):
+        sets, queries, members, block, sizes = _block_of(table, needed_overlap)
+        if block is None:
+            continue
+        rep = table["rep"].to_pylist()
+        forest = Forest(table["component"].to_pylist())
+        a, b = [], []
+        for i in queries:
+            for k in block.search(sets[i], int(sizes[i])).tolist():
+                j = members[k]
+                if j != i and forest.join(i, j):
+                    a.append(rep[i])
+                    b.append(rep[j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, table["rep"].type), pa.array(b, table["rep"].type)], ["a", "b"])
+
+
+def _possible_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The queries that have enough listed shingles in common with a member of another component, and those members."""
+    names = ["centre", "block", "part", "sig", "n", "asks", "answers", "rep", "component"]
+    for table in _groups(batches):
+        sets, queries, members, block, sizes = _block_of(table, needed_hits)
+        if block is None:
+            continue
+        component = np.unique(table["component"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        of_member, members = component[members], np.array(members)
+        asks, answers = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+        for i in queries:
+            found = block.search(sets[i], int(sizes[i]))
+            found = members[found[of_member[found] != component[i]]]
+            asks[i] = len(found) > 0
+            answers[found] = True
+        keep = asks | answers
+        if keep.any():
+            table = table.drop_columns(["asks", "answers", "shingles"]).append_column("asks", pa.array(asks)).append_column("answers", pa.array(answers))
+            yield from table.filter(pa.array(keep)).select(names).to_batches()
+
+
+def _sets_at(docs: DataFrame, rows: DataFrame, cut) -> DataFrame:
+    """rows (stored) with the shingles of their sets, dealt by place."""
+    wanted = small(stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_set_batches(cut), "sig long, shingles binary")
+    return sets.join(small(rows), "sig").repartition(*PLACE).sortWithinPartitions(*PLACE, "sig")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -441,49 +502,73 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """a, b: links that connect the representatives of every component; stored."""
     known, rank = frequent_shingles(profiled)
-    members = stars(docs, classes, known, rank)
-    wanted = stored(members.select("rep").distinct(), "wanted")
-    sets = stored(
-        docs.select(F.col("doc_id").alias("rep"), "text").join(small(wanted), "rep", "left_semi").mapInArrow(_sets_batches, f"sig long, rep {kind}, n long, shingles binary")
-        .dropDuplicates(["sig", "rep"]),
-        "sets",
-    )
-    members_in = members.withColumn("size_class", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int"))
-    size = stored(members_in.groupBy("centre", "size_class").agg(F.sum("n").alias("shingles")), "size")
-    over = size.groupBy("centre").agg(F.sum("shingles").alias("total")).filter(F.col("total") > BLOCK_SHINGLES)
-    large = size.join(over, "centre", "left_semi").select("centre", "size_class", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
+    members, pairs = stars(docs, classes, known, rank)
+
+    def possible(rows: DataFrame) -> DataFrame:
+        found = _sets_at(docs, rows, lambda own: in_order(own, known, rank)[0]).mapInArrow(_possible_batches, f"{ROW}, rep {kind}, component {kind}")
+        found = stored(found, "possible")
+        dropped(rows)
+        return found
+
+    def linked(rows: DataFrame) -> DataFrame:
+        found = stored(_sets_at(docs, rows, lambda own: own).mapInArrow(_link_batches, f"a {kind}, b {kind}"), "links")
+        dropped(rows)
+        return found
+
+    def searched(rows: DataFrame, component: str, asks: bool, answers: bool) -> DataFrame:
+        rows = rows.withColumns({"component": F.col(component), "asks": F.lit(asks), "answers": F.lit(answers)})
+        return rows.select(*PLACE, "sig", "n", "asks", "answers", "rep", "component")
+
+    size_class = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
+    sized = members.withColumn("size_class", size_class).groupBy("centre", "size_class").agg(F.sum("n").alias("shingles"))
+    over = sized.groupBy("centre").agg(F.sum("shingles").alias("total")).filter(F.col("total") > BLOCK_SHINGLES)
+    large = sized.join(over, "centre", "left_semi").select("centre", "size_class", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
     large = small(stored(large, "large"))
     block = F.col("size_class") * CLASS_BLOCKS + F.pmod(F.xxhash64("rep"), "blocks")
-    placed = members_in.join(large, ["centre", "size_class"], "left").withColumn("block", F.coalesce(block, F.lit(0)).cast("long"))
-    placed = placed.withColumn("wide", F.col("blocks").isNotNull()).withColumn("part", F.lit(0)).drop("size_class", "blocks")
-    placed = small(stored(placed, "placed"))
-    own = placed.withColumn("component", F.col("rep")).withColumn("asks", F.lit(True)).withColumn("answers", F.lit(True))
-    links = stored(_searched(own.join(sets.drop("n"), ["sig", "rep"]), kind), "links")
-    wide = placed.filter("wide").drop("wide", "part")
-    dropped(members, wanted)
-    if wide.isEmpty():
+    placed = members.withColumn("size_class", size_class).join(large, ["centre", "size_class"], "left")
+    placed = stored(
+        placed.select("centre", "sig", "rep", "n", "size_class", F.coalesce(block, F.lit(0)).cast("long").alias("block"), F.lit(0).alias("part"), F.col("blocks").isNotNull().alias("wide")),
+        "placed",
+    )
+    wide = placed.filter("wide")
+    blocks = stored(
+        wide.groupBy("centre", "size_class", F.col("block").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most")), "blocks"
+    )
+    own = searched(placed, "rep", True, True)
+    some_wide = not blocks.isEmpty()
+    if some_wide:
+        pivot = F.array(*(F.min(F.struct(F.xxhash64("sig", F.lit(i)).alias("h"), "sig", "rep", "n", "block")) for i in range(PIVOTS)))
+        pivots = wide.groupBy("centre", "size_class").agg(F.array_distinct(F.transform(pivot, lambda x: x.dropFields("h"))).alias("p"))
+        pivots = pivots.select("centre", F.col("size_class").alias("of"), F.explode("p").alias("p"))
+        pivots = pivots.select("centre", F.explode(F.array("of", F.col("of") + 1)).alias("size_class"), "p.*")
+        pivots = pivots.join(small(blocks), ["centre", "size_class"]).filter("to <> block").withColumn("block", F.col("to")).withColumn("part", F.lit(0))
+        own = own.unionByName(searched(pivots, "rep", True, False))
+    found = possible(stored(own, "own"))
+    pairs = searched(pairs.withColumn("block", F.lit(-1).cast("long")).withColumn("part", F.lit(0)), "rep", True, True)
+    pairs = pairs.withColumn("asks", F.col("sig") == F.col("centre")).withColumn("answers", F.col("sig") != F.col("centre"))
+    rows = stored(found.unionByName(pairs), "rows")
+    dropped(members, found)
+    links = linked(rows)
+    if not some_wide:
         return links
-    found = stored(components(links), "components").withColumnRenamed("node", "rep")
-    wide = stored(wide.join(small(found), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "wide")
+    of = stored(components(links), "components").withColumnRenamed("node", "rep")
+    wide = stored(wide.join(small(of), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "wide")
     main = (
         wide.groupBy("centre", "component").agg(F.count("*").alias("size"))
         .groupBy("centre").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     )
-    outside = wide.join(small(stored(main, "main")), "centre").filter("component <> main").drop("main")
-    sizes = wide.groupBy("centre", F.col("block").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    outside = wide.join(small(stored(main, "main")), "centre").filter("component <> main").drop("main", "size_class")
     reaches = (F.col("to") != F.col("block")) & (PERCENT * F.col("n") <= 100 * F.col("most")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
-    asks = outside.join(small(stored(sizes, "sizes")), "centre").filter(reaches).withColumn("block", F.col("to")).drop("to", "least", "most")
-    asks = stored(asks, "asks")
+    asks = stored(outside.join(small(blocks), "centre").filter(reaches).withColumn("block", F.col("to")).drop("to", "least", "most", "size_class"), "asks")
     parts = asks.groupBy("centre", "block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
     parts = small(stored(parts, "parts"))
     # another hash than the one that deals members to blocks
     asks = asks.join(parts, ["centre", "block"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int"))
-    asks = asks.drop("parts").withColumn("asks", F.lit(True)).withColumn("answers", F.lit(False))
     answers = wide.join(parts, ["centre", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    answers = answers.drop("parts").withColumn("asks", F.lit(False)).withColumn("answers", F.lit(True))
-    more = _searched(asks.unionByName(answers).join(sets.drop("n"), ["sig", "rep"]), kind)
-    return links.unionByName(stored(more, "more-links"))
+    more = stored(searched(asks, "component", True, False).unionByName(searched(answers, "component", False, True)), "more")
+    return links.unionByName(linked(possible(more)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -110,19 +110,65 @@ def test_jaccard_join_bounds_what_meets_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHORT_RUN", 3)
     most = []
 
-    def searched(rows, kind, search=jaccard_join._searched):
-        place = [c for c in ("centre", "block", "part") if c in rows.columns]
-        most.append(rows.groupBy(*place).agg((F.sum(F.length("shingles")) / 8).alias("n")).agg(F.max("n")).first()[0])
-        return search(rows, kind)
+    def sets_at(docs, rows, cut, made=jaccard_join._sets_at):
+        out = made(docs, rows, cut)
+        most.append(out.groupBy(*jaccard_join.PLACE).agg((F.sum(F.length("shingles")) / 8).alias("n")).agg(F.max("n")).first()[0])
+        return out
 
-    monkeypatch.setattr(jaccard_join, "_searched", searched)
+    monkeypatch.setattr(jaccard_join, "_sets_at", sets_at)
     # texts wholly of common passages, under 0.8 similar, but for near copies and the longest ones
     passages = [" ".join(f"p{i}w{j}" for j in range(10)) for i in range(8)]
     texts = [" ".join(c) for k in (4, 7, 8) for c in itertools.combinations(passages, k)]
     rows = list(enumerate(texts + [t + " more" for t in texts[:70:7]]))
     got = {(r.doc_id, r.n_shingles): {r.component_id} for r in jaccard_join.near_classes(table(spark, rows)).collect()}
-    assert got == brute_components(rows) and len(most) == 2
-    assert max(most) <= 5 * limit
+    assert got == brute_components(rows) and len(most) == 4
+    assert max(m or 0 for m in most) <= 6 * limit
+
+
+def test_jaccard_stars_lose_no_pair():
+    """Every pair of a list that can link has a common star or is counted, wherever the rows are cut."""
+    rng = np.random.default_rng(8)
+    for case in range(60):
+        lists = [np.sort(rng.integers(20, (25, 60, 400, 3000)[case % 4], rng.integers(1, 70))) for _ in range(3)]
+        rows = [(k, i + 1000 * k, int(n)) for k, own in enumerate(lists) for i, n in enumerate(own)]
+        whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32()))], ["shingle", "sig", "n"])
+        cuts = [0, *sorted(rng.integers(0, len(rows), rng.integers(0, 12)).tolist()), len(rows)]
+        stars, counted = {}, set()
+        for batch in jaccard_join._star_batches(whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])):
+            for r in batch.to_pylist():
+                if r["hits"] is None:
+                    stars.setdefault(r["sig"], set()).add(r["centre"])
+                else:
+                    counted.add((r["centre"], r["sig"]))
+        for (k, a, n), (other, b, m) in itertools.combinations(rows, 2):
+            if k == other and 80 * max(n, m) <= 100 * min(n, m):
+                assert stars.get(a, set()) & stars.get(b, set()) or (a, b) in counted
+
+
+def test_jaccard_needed_hits_hold_for_all_sets_that_link():
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        n = int(rng.integers(1, 80))
+        m = int(rng.integers(-(-4 * n // 5), 5 * n // 4 + 1))
+        common = int(jaccard_join.needed_overlap(n, m))
+        if common > min(n, m):
+            continue
+        own = rng.permutation(400)[: n + m - common]
+        a, b = np.sort(own[:n]), np.sort(own[n - common :])
+        hits = len(np.intersect1d(a[: jaccard_join.listed(n)], b[: jaccard_join.listed(m)]))
+        assert hits >= jaccard_join.needed_hits(n, m)
+
+
+def test_jaccard_join_of_short_texts_with_a_template(spark):
+    rng = np.random.default_rng(12)
+    template = [f"t{i}" for i in range(11)]
+    rows = []
+    for i in range(28):
+        own = template + [f"x{i}y{j}" for j in range(rng.integers(2, 6))]
+        rows.append((i, " ".join(own)))
+    rows.append((28, rows[3][1] + " z"))
+    found = jaccard_join.near_classes(table(spark, rows).repartition(40))
+    assert {(r.doc_id, r.n_shingles): {r.component_id} for r in found.collect()} == brute_components(rows)
 
 
 @pytest.mark.parametrize("rows", [1, 2, 5, 13, 40])
