@@ -1,12 +1,15 @@
 """Quality rules run as a short-circuit cascade.
 
-``measure`` takes the counts that the rules look at in one pass over whole texts.
-``plan_cascade`` times every rule on a sample of documents and counts what it rejects there, then
-orders the rules by rejections per second of cost.  ``apply_cascade`` evaluates them in that
-order as one ``CASE`` expression, so a document that a rule rejects is not looked at by the
-later ones; the verdict is the same in any order, only the work and the named first rule
+A rule names the measures that it needs and the condition under which a text fails.  ``plan_cascade``
+times every rule, its measures included, on a sample of documents and counts what it rejects there, then
+orders the rules by rejections per second of cost.  ``cascade`` takes the rules in that
+order over a piece of texts: each rule takes its own measures, of the texts that are left, and
+the texts that it rejects are cut out of the piece, so no later measure reads them.  Where words are cut and hashed for one
+rule, the next ones that need them use them again.  The verdict is the same in any order, only the work and the named first rule
 depend on it.
 
+The measures that a query returns for every text are taken first; rules that need no others then cost no more than a comparison.
+
 The two base rules are the contract's; the others are kept loose, so that they reject
 texts that are junk by any reading: symbol noise, shouting, repeated lines, endless words.
 
@@ -19,42 +22,25 @@ names, do not take part.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import documents
 from quillspan.llm.textcore import IS_SPACE, pieces, shingles, span_hashes, text_bytes, word_bounds
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
+#: What the base rules are about; the query returns these for every text.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 #: Sentence marks counted for the shouting rule.
 MARKS = b"!?"
-#: Rows of the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 400
-
-
-@dataclass(frozen=True)
-class Rule:
-    """A name, the condition (SQL over the measures) under which a document fails, whether it is a base rule."""
-
-    name: str
-    fails: str
-    base: bool = False
-
-
-RULES = (
-    Rule("too_short", "n_words < 50", True),
-    Rule("repeated_words", "100 * n_repeat_words > 50 * n_words", True),
-    Rule("symbol_noise", "2 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
-    Rule("long_words", "word_chars > 40 * n_words"),
-    Rule("shouting", "n_letters > 0 AND 10 * n_upper > 8 * n_letters AND 2 * n_marks > n_words"),
-)
+#: Documents of the sample on which costs and selectivities are estimated, and the bytes of the longest text in it.
+SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 400, 1 << 17
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -122,120 +108,185 @@ def _repeated(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def measures_of(texts: pa.Array) -> dict[str, np.ndarray]:
-    """The measures of a column of texts."""
-    data, offsets = text_bytes(texts)
-    found: dict[str, list[np.ndarray]] = {k: [] for k in MEASURES}
+class Piece:
+    """Some texts in one run of bytes, and what was found in them so far."""
+
+    def __init__(self, data: np.ndarray, places: np.ndarray) -> None:
+        self.data, self.places = data, places
+        self.n = len(places) - 1
+        self._words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._lines: tuple[np.ndarray, np.ndarray] | None = None
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and past-last byte of each word, and each text's first word (one more at the end)."""
+        if self._words is None:
+            starts, ends = word_bounds(self.data, self.places)
+            self._words = starts, ends, np.searchsorted(starts, self.places)
+        return self._words
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._lines is None:
+            self._lines = _lines(self.data, self.places, self.words()[0])
+        return self._lines
+
+    def left(self, keep: np.ndarray) -> Piece:
+        """The texts marked in keep alone, with their words if these are known."""
+        size = np.diff(self.places)
+        out = Piece(self.data[np.repeat(keep, size)], np.append(0, np.cumsum(size[keep])))
+        if self._words is not None:
+            starts, ends, first = self._words
+            count = np.diff(first)
+            shift = np.repeat(self.places[:-1][keep] - out.places[:-1], count[keep])
+            own = np.repeat(keep, count)
+            out._words = starts[own] - shift, ends[own] - shift, np.append(0, np.cumsum(count[keep]))
+        if self._lines is not None:
+            out._lines = self._lines[0][keep], self._lines[1][keep]
+        return out
+
+
+def _n_repeat_words(p: Piece) -> np.ndarray:
+    starts, ends, first = p.words()
+    return _repeated(span_hashes(p.data, starts, ends), first)
+
+
+#: How each measure is taken from a piece.
+MEASURES: dict[str, Callable[[Piece], np.ndarray]] = {
+    "n_words": lambda p: np.diff(p.words()[2]),
+    "word_chars": lambda p: _sums(_CODE_POINT[p.data], p.places),
+    "n_symbols": lambda p: _sums(_SYMBOL[p.data], p.places),
+    "n_lines": lambda p: p.lines()[0],
+    "n_dup_lines": lambda p: p.lines()[1],
+    "n_repeat_words": _n_repeat_words,
+    "n_upper": lambda p: _sums(_UPPER[p.data], p.places),
+    "n_letters": lambda p: _sums(_LETTER[p.data], p.places),
+    "n_marks": lambda p: _sums(_MARK[p.data], p.places),
+}
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A name, the measures that the condition takes, in its order, and whether it is a base rule."""
+
+    name: str
+    needs: tuple[str, ...]
+    fails: Callable[..., np.ndarray] = field(compare=False)
+    base: bool = False
+
+
+RULES = (
+    Rule("too_short", ("n_words",), lambda words: words < 50, True),
+    Rule("repeated_words", ("n_repeat_words", "n_words"), lambda again, words: 100 * again > 50 * words, True),
+    Rule("symbol_noise", ("n_symbols", "n_words"), lambda symbols, words: 2 * symbols > words),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda lines, again: (lines >= 4) & (2 * again > lines)),
+    Rule("long_words", ("word_chars", "n_words"), lambda chars, words: chars > 40 * words),
+    Rule(
+        "shouting", ("n_letters", "n_upper", "n_marks", "n_words"),
+        lambda letters, upper, marks, words: (letters > 0) & (10 * upper > 8 * letters) & (2 * marks > words),
+    ),
+)
+
+
+def taken(piece: Piece, name: str, seen: Counter | None = None) -> np.ndarray:
+    if seen is not None:
+        seen[name] += piece.n
+    return MEASURES[name](piece).astype(np.int64)
+
+
+def cascade(piece: Piece, rules: tuple[Rule, ...], have: dict[str, np.ndarray], seen: Counter | None = None) -> np.ndarray:
+    """For each text the place of the first rule, in this order, that it fails, and -1 where there is none.
+
+    ``have`` holds the measures that were taken of all texts already; ``seen`` counts the texts that each other measure reads.
+    """
+    verdict = np.full(piece.n, -1, np.int64)
+    alive = np.arange(piece.n)
+    have = dict(have)
+    for k, rule in enumerate(rules):
+        if not len(alive):
+            break
+        for name in rule.needs:
+            if name not in have:
+                have[name] = taken(piece, name, seen)
+        failed = rule.fails(*(have[name] for name in rule.needs))
+        if failed.any():
+            verdict[alive[failed]] = k
+            alive, piece = alive[~failed], piece.left(~failed)
+            have = {name: v[~failed] for name, v in have.items()}
+    return verdict
+
+
+def pieces_of(column: pa.Array) -> Iterator[tuple[int, int, Piece]]:
+    """First and past-last row of each piece of a column of texts, and the piece."""
+    data, offsets = text_bytes(column)
     for at, to in pieces(offsets):
-        own, places = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        starts, ends = word_bounds(own, places)
-        first = np.searchsorted(starts, places)
-        lines, again = _lines(own, places, starts)
-        row = {
-            "n_words": np.diff(first),
-            "word_chars": _sums(_CODE_POINT[own], places),
-            "n_symbols": _sums(_SYMBOL[own], places),
-            "n_dup_lines": again,
-            "n_repeat_words": _repeated(span_hashes(own, starts, ends), first),
-            "n_lines": lines,
-            "n_upper": _sums(_UPPER[own], places),
-            "n_letters": _sums(_LETTER[own], places),
-            "n_marks": _sums(_MARK[own], places),
-        }
-        for k, v in row.items():
-            found[k].append(v.astype(np.int64))
-    return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in found.items()}
-
-
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = measures_of(batch.column("text"))
-        rest = [name for name in batch.schema.names if name != "text"]
-        yield pa.RecordBatch.from_pydict({**{n: batch.column(n) for n in rest}, **counts})
-
-
-def measure(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id (and the text on demand) with the measures of each document."""
-    if keep_text:
-        docs = docs.select("doc_id", F.col("text").alias("_text"), "text")
-    else:
-        docs = docs.select("doc_id", "text")
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    columns = [f"`{n}` {t}" for n, t in kind.items() if n != "text"] + [f"{m} long" for m in MEASURES]
-    return docs.mapInArrow(_measure_batches, ", ".join(columns))
-
-
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """The rules with their estimated rejection rate and cost, by rejections per cost.
-
-    The sample is the first ``sample_rows`` documents in the order of a hash of the id.  It only sets
-    the order of the rules, never what they decide.
+        yield at, to, Piece(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+
+
+def sample_texts(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> pa.Array:
+    """Texts of the first ``sample_rows`` ids in the order of a hash, those of up to SAMPLE_TEXT_BYTES.
+
+    The sample only sets the order of the rules, never what they decide.
+    """
+    some = docs.select("doc_id", "text").filter(f"doc_id IS NOT NULL AND coalesce(octet_length(text), 0) <= {SAMPLE_TEXT_BYTES}")
+    ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    return pa.array(some.join(F.broadcast(ids), "doc_id").limit(2 * sample_rows).toPandas()["text"].tolist(), pa.string())
+
+
+def plan_cascade(texts: pa.Array, rules: tuple[Rule, ...] = RULES, given: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
+    """The rules with their rejection rate and cost on the sample, by rejections per cost.
+
+    The cost is that of the condition and of its measures but for those ``given``.
     """
-    ids = [r[0] for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
-    texts = docs.filter(F.col("doc_id").isin([i for i in ids if i is not None])).select("text").limit(2 * sample_rows).toPandas()["text"]
-    counts = measures_of(pa.array(texts.tolist(), pa.string()))
     n = len(texts)
     timed = []
     for rule in rules:
-        began = time.perf_counter()
-        for _ in range(20):
-            rejected = _evaluate(rule, counts, n)
-        cost = (time.perf_counter() - began) / 20
-        timed.append((rule, float(rejected.mean()) if n else 0.0, cost))
+        rejected, cost = 0, 0.0
+        for _, _, piece in pieces_of(texts):
+            have = {name: taken(piece, name) for name in given}
+            began = time.perf_counter()
+            rejected += int((cascade(piece, (rule,), have) == 0).sum())
+            cost += time.perf_counter() - began
+        timed.append((rule, rejected / n if n else 0.0, cost))
     return sorted(timed, key=lambda x: -(x[1] / max(x[2], 1e-9))) if n else timed
 
 
-def _evaluate(rule: Rule, counts: dict[str, np.ndarray], n: int) -> np.ndarray:
-    """A rule's condition over numpy columns; the SQL is plain enough to be read as Python."""
-    value = np.ones(n, bool)
-    for part in rule.fails.split(" AND "):
-        value = value & eval(part, {"__builtins__": {}}, counts)  # noqa: S307  rules are constants of this module
-    return value
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, the base measures, base_failed, kept, and rejected_by of each document."""
+    ordered = tuple(rule for rule, _, _ in plan_cascade(sample_texts(docs), rules, BASE))
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array([*(r.name for r in ordered), None], object)
+        for batch in batches:
+            for at, to, piece in pieces_of(batch.column("text")):
+                have = {name: taken(piece, name) for name in BASE}
+                base = np.zeros(piece.n, bool)
+                for rule in ordered:
+                    if rule.base:
+                        base |= rule.fails(*(have[name] for name in rule.needs))
+                verdict = cascade(piece, ordered, have)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, to - at), *(pa.array(have[m]) for m in BASE), pa.array(base), pa.array(verdict < 0), pa.array(names[verdict].tolist(), pa.string())],
+                    ["doc_id", *BASE, "base_failed", "kept", "rejected_by"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, " + ", ".join(f"{m} long" for m in BASE) + ", base_failed boolean, kept boolean, rejected_by string"
+    return docs.select("doc_id", "text").mapInArrow(judge, schema)
 
-def first_failure(ordered: list[Rule]) -> Column:
-    """The name of the first rule, in this order, that a document fails; null if none."""
-    chain = F.when(F.expr(ordered[0].fails), F.lit(ordered[0].name))
-    for rule in ordered[1:]:
-        chain = chain.when(F.expr(rule.fails), F.lit(rule.name))
-    return chain
 
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that pass every rule, with all their columns; no shuffle."""
+    ordered = tuple(rule for rule, _, _ in plan_cascade(sample_texts(docs), rules))
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the measures, base_failed, kept, and rejected_by of each document."""
-    ordered = [rule for rule, _, _ in plan_cascade(docs, rules)]
-    base = F.expr(" OR ".join(f"({r.fails})" for r in rules if r.base))
-    return (
-        measure(docs)
-        .withColumn("rejected_by", first_failure(ordered))
-        .withColumn("base_failed", base)
-        .withColumn("kept", F.col("rejected_by").isNull())
-    )
-
-
-def _kept_batches(rules: tuple[Rule, ...]):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alive = np.arange(batch.num_rows)
-            counts = measures_of(batch.column("text"))
-            for rule in rules:
-                failed = _evaluate(rule, counts, len(alive))
-                alive, counts = alive[~failed], {k: v[~failed] for k, v in counts.items()}
-            yield batch.take(pa.array(alive))
-
-    return keep
-
+            alive = [cascade(piece, ordered, {}) < 0 for _, _, piece in pieces_of(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate(alive))) if alive else batch
 
-def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass every rule, with all their columns; no shuffle."""
-    ordered = tuple(rule for rule, _, _ in plan_cascade(docs, rules))
-    return docs.mapInArrow(_kept_batches(ordered), docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+    return judged(documents(spark, sf_dir)).select("doc_id", *BASE, "base_failed", "kept")
 
 
 OP9_SQL = r"""
