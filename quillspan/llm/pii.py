@@ -2,14 +2,17 @@
 
 The network reads characters as classes through a forward and a backward LSTM; a linear layer scores
 the tags (outside; begin and inside of each kind) and a CRF the transitions.  It is trained in numpy, from the
-labelled spans of a bounded sample of documents (the pattern matches are the labels), with
-digits and letters redrawn in each epoch so that it learns forms and not values.
+labelled spans of a bounded sample of documents.  Labels are the forms that the patterns hold (an address, four numbers, a
+long number, a number after a plus sign), in their own context, and corruptions of them that no pattern holds: spelled-out and
+spaced addresses (``name (at) host dot com``), defanged ip addresses, cards grouped by other marks, phone
+numbers without a plus, values next to other numbers.  Digits and letters are redrawn each time, so that forms are learned and not
+values; dates, times, versions and plain numbers put into the same contexts teach what to leave.
 
-Every kind holds a digit or an ``@``; so the network reads windows around those characters and nothing
+Every form holds a digit, an ``@`` or a spelled-out sign; so the network reads windows around those and nothing
 else can matter.  Windows overlap by half; where they do, their tag scores are averaged
 (the middle of a window counts more than its edge), and one Viterbi pass over the united region decides globally.
 Decoded spans that meet no pattern match and are better than the
-all-outside path by a margin are added.
+all-outside path by a margin are checked exactly (a checksum is not learned, nor is a range of numbers) and added.
 
 Defined cases: null and empty texts have no spans (base_sha256 is that of the empty string); a failing match is
 dropped without a retry; whole texts are read, whatever their length; an added
@@ -27,11 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import documents
-from quillspan.llm.textcore import text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -41,20 +44,28 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
-
-WINDOW, STRIDE, MARGIN = 64, 32, 24
-HIDDEN = 16
-#: At most so many documents, the first in a hash order of the id, give labelled spans.
-SAMPLE_DOCUMENTS = 3000
-TRAIN_WINDOWS, STEPS, BATCH = 512, 300, 32
+#: What a window is read around.
+SPELLED = r"[\[({][\x20]?(?:at|dot|AT|DOT)[\x20]?[\])}]|\x20(?:dot|DOT)\x20"
+TRIGGER = re.compile(r"[0-9@]|" + SPELLED)
+#: Signs written in other ways, for the exact check of a decoded span.
+AT_SIGN = re.compile(r"\x20*[\[({]\x20*at\x20*[\])}]\x20*|\x20+at\x20+|\x20*@\x20*", re.IGNORECASE)
+DOT_SIGN = re.compile(r"\x20*[\[({]\x20*(?:dot|\.)\x20*[\])}]\x20*|\x20+dot\x20+|\x20*\.\x20*", re.IGNORECASE)
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DAY = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}")
+
+WINDOW, STRIDE, MARGIN = 64, 32, 40
+HIDDEN = 20
+#: At most so many documents, the first in a hash order of the id, of at most so many bytes each, give labelled spans.
+SAMPLE_DOCUMENTS, SAMPLE_TEXT_BYTES = 3000, 1 << 17
+#: Windows that are drawn from the sample and its corruptions for training, steps of the optimiser and windows of a step.
+TRAIN_WINDOWS, STEPS, BATCH = 3000, 420, 40
 #: Score, per character, by which a span must beat the path that stays outside.
-MARGIN_SCORE = 0.5
+MARGIN_SCORE = 0.1
 
 CLASS_OF = np.full(128, 1, np.int64)
-for _i, _group in enumerate(("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "012", "3456789", " ", "\n\t\r", "@", ".", "+", "-", "(", ")", "_", "%", ":", "/", "=", "\"'", ",;", "#*$&|<>")):
+for _i, _group in enumerate(("a", "t", "d", "o", "bcefghijklmnpqrsuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "012", "3456789", " ", "\n\t\r", "@", ".", "+", "-", "(", ")", "[{", "]}", "_", "%", ":", "/", "=", "\"'", ",;", "#*$&|<>")):
     CLASS_OF[[ord(c) for c in _group]] = 2 + _i
-N_CLASSES = 2 + 21 + 1
+N_CLASSES = 2 + 26 + 1
 PAD, WIDE = 0, N_CLASSES - 1
 
 
@@ -137,89 +148,94 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def _lstm(p: dict[str, np.ndarray], d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States of one direction over (rows, steps) of classes."""
+def _lstm(p: dict[str, np.ndarray], x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """States (steps, rows, both directions) over windows (rows, steps) of classes; the two directions run side by side."""
     rows, steps = x.shape
-    h = np.zeros((rows, HIDDEN), p["out"].dtype)
+    table = np.stack([p["xf"] + p["cf"], p["xb"] + p["cb"]])
+    weights = np.stack([p["hf"], p["hb"]])
+    ahead = x.T
+    inputs = np.stack([table[0][ahead], table[1][ahead[::-1]]], 1)
+    h = np.zeros((2, rows, HIDDEN), inputs.dtype)
     c = np.zeros_like(h)
-    out = np.empty((steps, rows, HIDDEN), h.dtype)
+    out = np.empty((steps, 2, rows, HIDDEN), h.dtype)
     tape: list = [None] * steps
-    table, weights = p[f"x{d}"] + p[f"c{d}"], p[f"h{d}"]
-    for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-        gates = table[x[:, t]] + h @ weights
-        s = _sigmoid(gates[:, : 3 * HIDDEN])
-        i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
-        g = np.tanh(gates[:, 3 * HIDDEN :])
+    for t in range(steps):
+        gates = inputs[t] + h @ weights
+        s = _sigmoid(gates[..., : 3 * HIDDEN])
+        i, f, o = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :]
+        g = np.tanh(gates[..., 3 * HIDDEN :])
         new = f * c + i * g
         squashed = np.tanh(new)
         if keep:
             tape[t] = (h, c, i, f, o, g, squashed)
         c, h = new, o * squashed
         out[t] = h
-    return out, tape
+    return np.concatenate([out[:, 0], out[::-1, 1]], 2), tape
 
 
 def emissions(model: Model, x: np.ndarray) -> np.ndarray:
     """Tag scores (rows, steps, tags) of windows of classes."""
     p = model.parts
-    both = np.concatenate([_lstm(p, "f", x, False)[0], _lstm(p, "b", x, False)[0]], 2)
-    return (both @ p["out"] + p["bias"]).transpose(1, 0, 2)
-
-
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis, keepdims=True)
-    return np.log(np.exp(a - top).sum(axis)) + np.squeeze(top, axis)
+    return (_lstm(p, x, False)[0] @ p["out"] + p["bias"]).transpose(1, 0, 2)
 
 
 def _crf_gradient(e: np.ndarray, trans: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the negative log-likelihood by emissions (steps, rows, tags) and transitions; padding stays outside it."""
+    """Gradient of the negative log-likelihood by emissions (steps, rows, tags) and transitions; padding stays outside it.
+
+    Forward and backward weights are scaled to sum to one at every step, which keeps them in range.
+    """
     steps, rows, tags = e.shape
-    ahead, behind = np.empty_like(e), np.zeros_like(e)
-    ahead[0] = e[0]
+    local = np.exp(e - e.max(2, keepdims=True))
+    move = np.exp(trans)
+    ahead, behind = np.empty_like(local), np.ones_like(local)
+    ahead[0] = local[0] / local[0].sum(1, keepdims=True)
     for t in range(1, steps):
-        step = _logsum(ahead[t - 1][:, :, None] + trans, 1) + e[t]
-        ahead[t] = np.where(real[t][:, None], step, ahead[t - 1])
+        step = (ahead[t - 1] @ move) * local[t]
+        ahead[t] = np.where(real[t][:, None], step / step.sum(1, keepdims=True), ahead[t - 1])
     for t in range(steps - 2, -1, -1):
-        step = _logsum(trans + (e[t + 1] + behind[t + 1])[:, None, :], 2)
-        behind[t] = np.where(real[t + 1][:, None], step, behind[t + 1])
-    total = _logsum(ahead[-1], 1)
-    share = np.exp(ahead + behind - total[None, :, None]) * real[:, :, None]
-    grad = share.copy()
-    at = np.arange(rows)
-    move = np.zeros((tags, tags))
-    for t in range(steps):
-        grad[t, at, y[t]] -= real[t]
-        if t:
-            pair = np.exp(ahead[t - 1][:, :, None] + trans + (e[t] + behind[t])[:, None, :] - total[:, None, None])
-            move += (pair * real[t][:, None, None]).sum(0)
-            np.add.at(move, (y[t - 1][real[t]], y[t][real[t]]), -1.0)
-    return grad, move
+        step = (behind[t + 1] * local[t + 1]) @ move.T
+        behind[t] = np.where(real[t + 1][:, None], step / step.sum(1, keepdims=True), behind[t + 1])
+    share = ahead * behind
+    share *= real[:, :, None] / share.sum(2, keepdims=True)
+    grad = share
+    np.subtract.at(grad, (*np.nonzero(real), y[real]), 1.0)
+    left, right = ahead[:-1], local[1:] * behind[1:]
+    total = ((left @ move) * right).sum(2)
+    weight = np.where(real[1:], 1.0 / np.maximum(total, 1e-300), 0.0)
+    pair = np.einsum("tra,trb->ab", left * weight[:, :, None], right, optimize=True) * move
+    np.subtract.at(pair, (y[:-1][real[1:]], y[1:][real[1:]]), 1.0)
+    return grad, pair
 
 
 def _gradient(model: Model, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     p = model.parts
     rows, steps = x.shape
-    tapes, states = {}, []
-    for d in ("f", "b"):
-        out, tapes[d] = _lstm(p, d, x, True)
-        states.append(out)
-    both = np.concatenate(states, 2)
+    both, tape = _lstm(p, x, True)
     grad_e, move = _crf_gradient(both @ p["out"] + p["bias"], p["trans"], y.T, (x != PAD).T)
     flat = grad_e.reshape(-1, TAGS)
     g = {"out": both.reshape(-1, 2 * HIDDEN).T @ flat, "bias": flat.sum(0), "trans": move}
     into = grad_e @ p["out"].T
+    into = np.stack([into[:, :, :HIDDEN], into[::-1, :, HIDDEN:]], 1)
+    back = np.stack([p["hf"].T, p["hb"].T])
+    every = np.empty((steps, 2, rows, 4 * HIDDEN))
+    weights = np.zeros((2, HIDDEN, 4 * HIDDEN))
+    dh, dc = np.zeros((2, rows, HIDDEN)), np.zeros((2, rows, HIDDEN))
+    for t in range(steps - 1, -1, -1):
+        h, c, i, f, o, cand, squashed = tape[t]
+        dh = dh + into[t]
+        dc = dc + dh * o * (1 - squashed**2)
+        gates = every[t]
+        gates[..., :HIDDEN] = dc * cand * i * (1 - i)
+        gates[..., HIDDEN : 2 * HIDDEN] = dc * c * f * (1 - f)
+        gates[..., 2 * HIDDEN : 3 * HIDDEN] = dh * squashed * o * (1 - o)
+        gates[..., 3 * HIDDEN :] = dc * i * (1 - cand**2)
+        weights += h.transpose(0, 2, 1) @ gates
+        dh, dc = gates @ back, dc * f
+    of_class = (np.arange(N_CLASSES)[:, None] == x.T.reshape(1, -1)).astype(float)
     for k, d in enumerate(("f", "b")):
-        table, weights = np.zeros_like(p[f"x{d}"]), np.zeros_like(p[f"h{d}"])
-        dh, dc = np.zeros((rows, HIDDEN)), np.zeros((rows, HIDDEN))
-        for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
-            h, c, i, f, o, cand, squashed = tapes[d][t]
-            dh = dh + into[t][:, k * HIDDEN : (k + 1) * HIDDEN]
-            dc = dc + dh * o * (1 - squashed**2)
-            gates = np.concatenate([dc * cand * i * (1 - i), dc * c * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - cand**2)], 1)
-            np.add.at(table, x[:, t], gates)
-            weights += h.T @ gates
-            dh, dc = gates @ p[f"h{d}"].T, dc * f
-        g[f"x{d}"], g[f"h{d}"], g[f"c{d}"] = table, weights, table.sum(0)
+        own = every[:, k] if d == "f" else every[::-1, k]
+        table = of_class @ own.reshape(-1, 4 * HIDDEN)
+        g[f"x{d}"], g[f"h{d}"], g[f"c{d}"] = table, weights[k], table.sum(0)
     return {k: v / rows for k, v in g.items()}
 
 
@@ -235,24 +251,95 @@ def tags_of(length: int, spans: list[tuple[int, int, int]], start: int) -> np.nd
     return y
 
 
-def train(texts: list[str | None], seed: int = 5) -> Model | None:
-    """A model from the texts' pattern matches; None if there are no matches to learn from."""
-    x, y = [], []
+def form_spans(text: str) -> list[tuple[int, int, int]]:
+    """Spans of the patterns' forms, whether or not their numbers pass."""
+    found = [s for s in base_spans(text) if s[0] == 0]
+    found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p) <= 3 for p in m.groups())]
+    found += [(2, m.start(), m.end()) for m in CARD.finditer(text) if 13 <= sum("0" <= c <= "9" for c in m[0]) <= 19]
+    found += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
+    return sorted(found)
+
+
+def redrawn(text: str, rng: np.random.Generator) -> str:
+    """The text with other digits and small letters."""
+    return "".join(chr(48 + rng.integers(10)) if "0" <= c <= "9" else chr(97 + rng.integers(26)) if "a" <= c <= "z" else c for c in text)
+
+
+def _one(rng: np.random.Generator, choices: tuple[str, ...]) -> str:
+    return choices[rng.integers(len(choices))]
+
+
+def corrupted(kind: int, value: str, rng: np.random.Generator) -> str:
+    """The value of a span in a form that the pattern does not hold, with other digits and letters."""
+    value = redrawn(value, rng)
+    digits = "".join(c for c in value if "0" <= c <= "9")
+    if kind == 0:
+        at = _one(rng, (" (at) ", " [at] ", "(at)", "[at]", " at ", " @ ", " {at} "))
+        dot = _one(rng, (" dot ", " (dot) ", "[dot]", "(dot)")) if at == " at " or rng.random() < 0.7 else "."
+        local, _, domain = value.partition("@")
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return _one(rng, ("[.]", "(.)", " . ", " dot ", "[dot]", ". ")).join(value.split("."))
+    if kind == 2:
+        mark = _one(rng, (".", "/", "_", "  ", " - ", "–"))
+        return mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    digits = digits[-10:]
+    marks = ("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "({}){}-{}", "{}/{}-{}", "({}) {} {}", "1-{}-{}-{}", "001 {} {} {}")
+    return _one(rng, marks).format(digits[:-7], digits[-7:-4], digits[-4:])
+
+
+def decoy(rng: np.random.Generator) -> str:
+    """Numbers and words that are no personal data."""
+    plain = ("2024-05-17", "17.05.2024", "2019-11-02 10:25", "12:30:45", "1.2.3", "10.4.1-2", "99", "2500", "84512", "905133", "7781204", "1,250,000", "3.14159",
+             "50%", "12-14", "1998/99", "section 4.2.1", "0x3f9a", "at 10 dot 5", "the dot and", "(at)", "[dot]", "meet @ noon", "3 . 4", "100 - 200")
+    return redrawn(_one(rng, plain), rng) if rng.random() < 0.5 else _one(rng, plain)
+
+
+def examples(texts: list[str | None], rng: np.random.Generator, most: int = TRAIN_WINDOWS) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Labelled pieces of text: as they stand, with a span corrupted, or with a decoy in its place."""
+    plain: list[tuple[str, list[tuple[int, int, int]]]] = []
+    contexts: dict[int, list[tuple[str, str, str]]] = {}
     for text in texts:
         if not text or not TRIGGER.search(text):
             continue
-        spans = base_spans(text)
-        code = classes(text)
+        spans = form_spans(text)
+        for kind, a, b in spans:
+            contexts.setdefault(kind, []).append((text[max(0, a - WINDOW) : a], text[a:b], text[b : b + WINDOW]))
         for a, b in regions(text):
             for s in window_starts(b - a):
-                n = min(WINDOW, b - a - s)
-                x.append(np.pad(code[a + s : a + s + n], (0, WINDOW - n)))
-                y.append(np.pad(tags_of(n, spans, a + s), (0, WINDOW - n)))
-    if not x or not any(t.any() for t in y):
-        return None
+                lo, hi = a + s, min(a + s + WINDOW, b)
+                plain.append((text[lo:hi], [(k, max(x, lo) - lo, min(y, hi) - lo) for k, x, y in spans if x < hi and lo < y]))
+    if not contexts:
+        return []
+    pick = rng.permutation(len(plain))[: most // 3]
+    out = [plain[i] for i in pick]
+    kinds = sorted(contexts)
+    while len(out) < most:
+        kind = kinds[rng.integers(len(kinds))]
+        before, value, after = contexts[kind][rng.integers(len(contexts[kind]))]
+        draw = rng.random()
+        value = decoy(rng) if draw < 0.25 else corrupted(kind, value, rng) if draw < 0.85 else redrawn(value, rng)
+        spans = [(kind, 0, len(value))] if draw >= 0.25 else []
+        if rng.random() < 0.15:  # another number right before or behind
+            more = redrawn("0" * int(rng.integers(3, 9)), rng)
+            before, after = (before + more + " ", after) if rng.random() < 0.5 else (before, " " + more + after)
+        room = max(0, WINDOW - len(value))
+        left = before[len(before) - min(len(before), int(rng.integers(0, room + 1))) :]
+        piece = (left + value + after)[:WINDOW]
+        labels = [(k, a + len(left), b + len(left)) for k, a, b in spans]
+        labels += form_spans(left) + [(k, a + len(left) + len(value), b + len(left) + len(value)) for k, a, b in form_spans(after)]
+        out.append((piece, [(k, a, min(b, WINDOW)) for k, a, b in labels if a < len(piece)]))
+    return out
+
+
+def train(texts: list[str | None], seed: int = 5) -> Model | None:
+    """A model from the forms in the texts; None if there are none to learn from."""
     rng = np.random.default_rng(seed)
-    pick = rng.permutation(len(x))[:TRAIN_WINDOWS]
-    x_all, y_all = np.array(x)[pick], np.array(y)[pick]
+    pieces = examples(texts, rng)
+    if not pieces:
+        return None
+    x_all = np.array([np.pad(classes(text), (0, WINDOW - len(text))) for text, _ in pieces])
+    y_all = np.array([np.pad(tags_of(len(text), spans, 0), (0, WINDOW - len(text))) for text, spans in pieces])
     model = Model.fresh()
     move = np.full((TAGS, TAGS), 0.1)
     real = (x_all[:, 1:] != PAD)
@@ -265,12 +352,8 @@ def train(texts: list[str | None], seed: int = 5) -> Model | None:
         if len(order) < BATCH:
             order = np.concatenate([order, rng.permutation(len(x_all))])
         rows, order = order[:BATCH], order[BATCH:]
-        xb = x_all[rows].copy()
-        for kinds in ((2, 3), (5, 6)):  # letters among letters and digits among digits are redrawn
-            own = np.isin(xb, kinds) & (rng.random(xb.shape) < 0.5)
-            xb[own] = rng.choice(kinds, own.sum(), p=(0.3, 0.7))
-        rate = 0.03 * (1 - 0.9 * step / STEPS)
-        for k, g in _gradient(model, xb, y_all[rows]).items():
+        rate = 0.03 * (1 - 0.95 * step / STEPS)
+        for k, g in _gradient(model, x_all[rows], y_all[rows]).items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             model.parts[k] = model.parts[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
@@ -342,23 +425,54 @@ def decoded(model: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     return found
 
 
+def fitted(text: str, span: tuple[int, int, int]) -> tuple[int, int, int]:
+    """The span without marks at its ends, and with the whole of the words or numbers that it begins and ends in."""
+    kind, a, b = span
+    own = "0123456789" if kind else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-."
+    while a < b and not (text[a] in own or (kind == 3 and text[a] in "(+")):
+        a += 1
+    while b > a and text[b - 1] not in own:
+        b -= 1
+    if a == b:
+        return kind, a, b
+    while a and text[a - 1] in own and text[a] in own:
+        a -= 1
+    while b < len(text) and text[b] in own:
+        b += 1
+    while not kind and b > a and text[b - 1] in "._%+-":
+        b -= 1
+    if kind == 3 and a and text[a - 1] in "(+" and text[a] != "(":
+        a -= 1
+    return kind, a, b
+
+
 def plausible(text: str, span: tuple[int, int, int]) -> bool:
-    """Whether a decoded span has its kind's characters: an @ sign, or enough digits and nothing but number marks."""
+    """The exact check of a decoded span: an address once its signs are written plainly, or numbers that can be of the kind."""
     kind, a, b = span
     own = text[a:b]
-    digits = sum("0" <= c <= "9" for c in own)
     if kind == 0:
-        return "@" in own[1:-1] and " " not in own
-    return digits >= (4, 12, 7)[kind - 1] and digits + sum(c in " .()+-" for c in own) == len(own)
+        return bool(EMAIL.fullmatch(DOT_SIGN.sub(".", AT_SIGN.sub("@", own))))
+    if kind == 1:
+        parts = DOT_SIGN.sub(".", own).split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    digits = "".join(c for c in own if "0" <= c <= "9")
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn(digits) and all(c in " -–./_" for c in own if not "0" <= c <= "9")
+    marks = [c for c in own if not "0" <= c <= "9"]
+    return 9 <= len(digits) <= 15 and len(marks) >= 2 and all(c in " ().+-/" for c in marks) and not DAY.search(own)
 
 
 def all_spans(model: Model | None, texts: list[str]) -> list[tuple[list, list]]:
-    """Base and added spans of each text."""
+    """Base and added spans of each text; added spans meet neither base spans nor each other."""
     base = [base_spans(t) for t in texts]
     more: list[list] = [[] for _ in texts]
     if model is not None:
         for i, found in enumerate(decoded(model, texts)):
-            more[i] = [s for s in found if plausible(texts[i], s) and not any(a < s[2] and s[1] < b for _, a, b in base[i])]
+            free = [(a, b) for _, a, b in base[i]]
+            for span in (fitted(texts[i], s) for s in found):
+                if not any(a < span[2] and span[1] < b for a, b in free) and plausible(texts[i], span):
+                    more[i].append(span)
+                    free.append(span[1:])
     return list(zip(base, more))
 
 
@@ -366,22 +480,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-_HAS_TRIGGER = np.zeros(256, bool)
-_HAS_TRIGGER[[*range(ord("0"), ord("9") + 1), ord("@")]] = True
-
-
 def texts_with_trigger(column: pa.Array) -> np.ndarray:
-    """Rows whose text has a digit or an @ sign."""
-    data, offsets = text_bytes(column)
-    hits = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_HAS_TRIGGER[data], out=hits[1:])
-    return np.flatnonzero(hits[offsets[1:]] > hits[offsets[:-1]])
+    """Rows whose text has anything that a window is read around."""
+    found = pc.match_substring_regex(pc.fill_null(column, ""), TRIGGER.pattern.replace(r"\x20", " "))
+    return np.flatnonzero(found.to_numpy(zero_copy_only=False))
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Model | None:
     """A model from at most ``most`` documents of docs."""
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * most).toPandas().sort_values(["doc_id", "text"])
+    some = docs.select("doc_id", "text").filter(f"doc_id IS NOT NULL AND octet_length(text) <= {SAMPLE_TEXT_BYTES}")
+    ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = some.join(F.broadcast(ids), "doc_id").limit(2 * most).toPandas().sort_values(["doc_id", "text"])
     return train(rows["text"].tolist())
 
 
