@@ -14,8 +14,8 @@ Only DataFrame functions are used.
 Defined cases: a null text counts as empty; empty texts (or texts of white space only)
 equal each other; of equal texts the row with the most code points in the original stays,
 then the smallest doc_id, null ids last; rows with the same id and text are separate rows
-of one group, of which the one that comes first in ``row_id`` is kept; columns with other
-names are carried through ``deduplicate`` untouched, and the operator's own columns win over
+of one group, of which the one that comes first in ``row_id`` is kept (``deduplicate`` keeps any one of
+them); other columns, whatever their names, are carried through ``deduplicate`` untouched, and the operator's own columns win over
 columns of the same name in ``exact_groups``.
 """
 
@@ -23,10 +23,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import documents, small, stored
+from quillspan.llm.common import documents, dropped, fresh_names, small, stored
 
 #: The characters that are deleted before texts are compared.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -110,11 +110,12 @@ def deduplicate(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
     The rows to go are matched by id, digest and length.  Only where a row that goes looks
-    like one that stays (the same row twice) are rows numbered to keep a single one.
+    like one that stays (the same row twice) is one row of each such kind picked, by an aggregation
+    that keeps one row a task before anything is exchanged.
     """
-    of = ("_id", "_sha", "_points")
+    of = fresh_names(docs, "id", "sha", "points")
     groups = stored(exact_groups(docs, fan_in).filter("group_size > 1"), "groups")
-    keys = groups.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_code_points").alias("_points"), "kept")
+    keys = groups.select(F.col("doc_id").alias(of[0]), F.col("text_sha256").alias(of[1]), F.col("n_code_points").alias(of[2]), "kept")
     stay = keys.filter("kept").drop("kept").distinct()
     go = keys.filter(~F.col("kept")).drop("kept").distinct()
 
@@ -123,17 +124,17 @@ def deduplicate(docs: DataFrame, fan_in: int = 16) -> DataFrame:
 
     twice = stored(go.join(stay, same(go, stay), "left_semi"), "twice")
     gone = stored(go.join(stay, same(go, stay), "left_anti"), "gone")
+    dropped(groups)
     marked = docs.select(
         "*",
-        F.col("doc_id").alias("_id"),
-        F.sha2(normalised(F.col("text")), 256).alias("_sha"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).alias("_points"),
+        F.col("doc_id").alias(of[0]),
+        F.sha2(normalised(F.col("text")), 256).alias(of[1]),
+        F.length(F.coalesce(F.col("text"), F.lit(""))).alias(of[2]),
     )
     left = marked.join(small(gone), same(marked, gone), "left_anti")
     if not twice.isEmpty():
-        again = left.join(twice, same(left, twice), "left_semi")
-        first = again.withColumn("_n", F.row_number().over(Window.partitionBy(*of).orderBy(F.monotonically_increasing_id()))).filter("_n = 1").drop("_n")
-        left = left.join(twice, same(left, twice), "left_anti").unionByName(first)
+        again = left.join(small(twice), same(left, twice), "left_semi").dropDuplicates(of)
+        left = left.join(small(twice), same(left, twice), "left_anti").unionByName(again)
     return left.drop(*of)
 
 
