@@ -492,8 +492,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     profiled = profile(docs)
     rows = profiled.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sig_a", "sig_b")
     classes = stored(rows.filter("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    links = _links(docs, profiled, classes, kind)
-    found = small(stored(components(links), "components").withColumnRenamed("node", "rep"))
+    found = small(_connected(docs, profiled, classes, kind))
     of_class = classes.join(found, "rep", "left").select("sig_a", "sig_b", "n_shingles", F.coalesce("component", "rep").alias("of_class"))
     key = [F.col(f"r.{c}") == F.col(f"c.{c}") for c in ("sig_a", "sig_b", "n_shingles")]
     return rows.alias("r").join(of_class.alias("c"), key, "left").select(
@@ -501,8 +500,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """a, b: links that connect the representatives of every component; stored."""
+def _connected(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """rep, component of every representative that has a link; stored."""
     known, rank = frequent_shingles(profiled)
     members, pairs = stars(docs, classes, known, rank)
 
@@ -551,9 +550,10 @@ def _links(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str)
     rows = stored(found.unionByName(pairs), "rows")
     dropped(members, found)
     links = linked(rows)
-    if not some_wide:
-        return links
     of = stored(components(links), "components").withColumnRenamed("node", "rep")
+    dropped(links)
+    if not some_wide:
+        return of
     wide = stored(wide.join(small(of), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "wide")
     main = (
         wide.groupBy("centre", "component").agg(F.count("*").alias("size"))
@@ -568,7 +568,16 @@ def _links(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: str)
     asks = asks.join(parts, ["centre", "block"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int"))
     answers = wide.join(parts, ["centre", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     more = stored(searched(asks, "component", True, False).unionByName(searched(answers, "component", False, True)), "more")
-    return links.unionByName(linked(possible(more)))
+    links = linked(possible(more))
+    if links.isEmpty():
+        return of
+    # the components so far are the nodes of what is left to do
+    nodes = of.unionByName(links.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(of, "rep", "left_anti").withColumn("component", F.col("rep")))
+    nodes = small(stored(nodes, "nodes"))
+    ends = [nodes.select(F.col("rep").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+    above = components(links.join(ends[0], "a").join(ends[1], "b").select("of_a", "of_b"), "of_a", "of_b")
+    above = small(stored(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "above"))
+    return stored(nodes.join(above, "component", "left").select("rep", F.coalesce("top", "component").alias("component")), "components")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
