@@ -7,12 +7,13 @@ of the positions, where a periodic difference cover would take 9.
 
 1. *Sample.*  Each task names the samples of its documents (a hash of the 48 bytes) and groups the
    200-byte windows that reach the same sample into a stretch; a stretch is named as a whole, too.
-2. *Names.*  Stretches whose sample name occurs once hold no repeat.  Where all stretches of a
-   name are alike, every window in them repeats; nothing has to be sorted.
-3. *Buckets.*  The rest go to suffix buckets, by the sample's name: suffixes of a bucket are sorted one bucket
+2. *Names.*  Stretches whose sample name occurs once hold no repeat.  A stretch that occurs twice as a whole repeats
+   in every window, and nothing has to be sorted for it; copies are counted in the tasks before they are exchanged.
+3. *Buckets.*  What is left goes to suffix buckets, by the sample's name: suffixes of a bucket are sorted one bucket
    at a time, by the distance to the sample and then by the name of the whole window, so that the long tie
-   behind the sample is settled by names made before.  A task holds a bounded run of
-   buckets; a bucket with very many stretches is split by window names first.
+   behind the sample is settled by names made before.  Windows that meet in one batch of documents are marked there and
+   sent on once, so that a passage in very many documents does not fill a bucket; a bucket with very many
+   stretches is split by window names.  A task holds a bounded run of buckets.
 4. *Spans.*  The repeated windows of a document are united and their bytes taken out.
 
 Matches never cross documents, and strings are judged on the input.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ LENGTH = 200
 GRAM = 48
 #: Stretches of one name up to which they are sorted as one bucket.
 BUCKET_STRETCHES = 2048
+#: Added to the place of a window that is sent to mark others only; places lie between -LENGTH and LENGTH.
+FOREIGN = 1 << 12
 #: Windows that a bucket task holds at a time.
 HELD_WINDOWS = 1 << 21
 
@@ -108,70 +112,115 @@ def _stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
+def _repeated(name: np.ndarray, place: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows occur twice (same sample name, distance to the sample, and name of the whole window), and the first of each kind."""
+    key = mix(mix(name.view(np.uint64) ^ mix((place + 4096).astype(np.uint64))) + window)
+    order = np.argsort(key, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = (key[a] == key[b]) & (name[a] == name[b]) & (place[a] == place[b]) & (window[a] == window[b])
+    twice, first = np.zeros(len(key), bool), np.ones(len(key), bool)
+    twice[a[same]] = twice[b[same]] = True
+    first[b[same]] = False
+    return twice, first
+
+
+WINDOWS = ("name", "part", "key_a", "key_b", "at", "marks", "places", "windows")
+
+
+def _marked(row: np.ndarray, place: np.ndarray, key_a: np.ndarray, key_b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys, start and end of the runs of neighbouring repeated windows; at is the sample's place in the text of each row."""
+    new = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    own = row[first]
+    return key_a[own], key_b[own], at[own] + place[first], at[own] + place[last] + LENGTH
+
+
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window names of the asked stretches, packed; those of a name with many stretches dealt out by window name."""
+    """Window names of the asked stretches, packed by stretch and part, and the runs of windows that this batch holds twice.
+
+    A run comes as a row whose ``marks`` holds its start and end; it passes the exchange unchanged.
+    """
     for batch in batches:
-        asked = batch.column("asked").to_pylist()
-        name, whole, part, places, names = [], [], [], [], []
-        for text, wanted in zip(batch.column("text").to_pylist(), asked):
+        stretch, place, window = [], [], []
+        own: list[tuple] = []
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
             data = np.frombuffer(text.encode(), np.uint8)
             for s in wanted:
                 lo, hi = s["lo"], s["hi"]
                 found = grams(running(data[lo : hi + LENGTH]), slice(None), LENGTH)
-                place = (np.arange(lo, hi + 1) - lo - s["back"]).astype(np.int16)
-                parts = s["parts"]
-                which = (found % np.uint64(parts)).astype(np.int64) if parts > 1 else np.zeros(len(found), np.int64)
-                for p in np.unique(which).tolist():
-                    own = which == p
-                    name.append(s["name"])
-                    whole.append(s["whole"])
-                    part.append(p)
-                    places.append(place[own].tobytes())
-                    names.append(found[own].tobytes())
+                stretch.append(np.full(len(found), len(own), np.int64))
+                place.append(np.arange(len(found), dtype=np.int64) - s["back"])
+                window.append(found)
+                own.append((s["name"], s["parts"], s["key_a"], s["key_b"], lo + s["back"], s["alone"]))
+        if not own:
+            continue
+        row, place, window = np.concatenate(stretch), np.concatenate(place), np.concatenate(window)
+        name, parts, key_a, key_b, at, alone = (np.array(c) for c in zip(*own))
+        twice, first = _repeated(name[row], place, window)
+        mark = twice & alone[row]
+        if mark.any():
+            ka, kb, start, end = _marked(row[mark], place[mark], key_a, key_b, at)
+            n = len(ka)
+            marks = np.stack([start, end], 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ka), pa.array(np.zeros(n, np.int64)), pa.array(ka), pa.array(kb.astype(np.int32)), pa.array(np.zeros(n, np.int64)),
+                 pa.array([m.tobytes() for m in marks], pa.binary()), pa.array([b""] * n, pa.binary()), pa.array([b""] * n, pa.binary())],
+                list(WINDOWS),
+            )
+        # one of each kind goes on; to be marked later it must come with its stretch, unless it is marked already
+        sent = np.flatnonzero(first)
+        part = (window[sent] % parts[row[sent]].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((place[sent], part, row[sent]))
+        sent, part = sent[order], part[order]
+        new = np.append(True, (row[sent][1:] != row[sent][:-1]) | (part[1:] != part[:-1]))
+        cut = np.append(np.flatnonzero(new), len(sent))
+        # a window that is marked here is sent without a claim: its place is shifted out of the way by FOREIGN
+        places = np.where(mark[sent] | ~alone[row[sent]], place[sent] + FOREIGN, place[sent]).astype(np.int16)
+        names = window[sent]
+        of = row[sent][cut[:-1]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(name, pa.int64()), pa.array(whole, pa.int64()), pa.array(part, pa.int64()), pa.array(places, pa.binary()), pa.array(names, pa.binary())],
-            ["name", "whole", "part", "places", "names"],
-        )
+            [pa.array(name[of]), pa.array(part[cut[:-1]]), pa.array(key_a[of]), pa.array(key_b[of].astype(np.int32)), pa.array(at[of].astype(np.int64)), pa.nulls(len(of), pa.binary()),
+             pa.array([places[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()), pa.array([names[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())],
+            list(WINDOWS),
+        )
 
 
-def _runs(name: np.ndarray, whole: np.ndarray, places: list[bytes], names: list[bytes]) -> pa.RecordBatch | None:
-    """Sort the windows of the held buckets and give the runs of repeated ones of each stretch."""
+def _runs(table: pa.Table) -> pa.RecordBatch | None:
+    """Sort the windows of the held buckets and give the runs of repeated ones of each text."""
+    names = table["windows"].to_pylist()
     count = np.array([len(x) // 8 for x in names], np.int64)
     row = np.repeat(np.arange(len(count)), count)
-    place = np.frombuffer(b"".join(places), np.int16).astype(np.int64)
-    window = np.frombuffer(b"".join(names), np.uint64)
-    # bucket and distance to the sample first, then the window's name
-    key = mix(mix(name.view(np.uint64)[row] ^ mix((place + 4096).astype(np.uint64))) + window)
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    row, place = row[twice], place[twice]
-    if not len(row):
+    place = np.frombuffer(b"".join(table["places"].to_pylist()), np.int16).astype(np.int64)
+    claimed = place < FOREIGN // 2
+    place = np.where(claimed, place, place - FOREIGN)
+    twice, _ = _repeated(table["name"].to_numpy()[row], place, np.frombuffer(b"".join(names), np.uint64))
+    twice &= claimed
+    if not twice.any():
         return None
-    new = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row)) - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(name[row[first]]), pa.array(whole[row[first]]), pa.array(place[first].astype(np.int32)), pa.array(place[last].astype(np.int32))],
-        ["name", "whole", "from", "to"],
-    )
+    row, place = row[twice], place[twice]
+    found = _marked(row, place, *(table[c].to_numpy() for c in ("key_a", "key_b", "at")))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["key_a", "key_b", "start", "end"])
 
 
 def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One run of whole buckets at a time; rows come sorted by name and part."""
+    """One run of whole buckets at a time; rows come sorted by name and part, ready runs among them."""
     held: list[pa.Table] = []
     windows = 0
-
-    def sorted_out(table: pa.Table) -> pa.RecordBatch | None:
-        return _runs(table["name"].to_numpy(), table["whole"].to_numpy(), table["places"].to_pylist(), table["names"].to_pylist())
-
     for batch in batches:
-        if not batch.num_rows:
+        table = pa.Table.from_batches([batch])
+        ready = np.array([i for i, x in enumerate(batch.column("marks").to_pylist()) if x is not None], np.int64)
+        if len(ready):
+            some = table.take(pa.array(ready))
+            spans = np.frombuffer(b"".join(some["marks"].to_pylist()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [some["key_a"].combine_chunks(), some["key_b"].combine_chunks(), pa.array(spans[:, 0].copy(), pa.int32()), pa.array(spans[:, 1].copy(), pa.int32())], ["key_a", "key_b", "start", "end"]
+            )
+            table = table.filter(pa.compute.is_null(table["marks"]))
+        if not table.num_rows:
             continue
-        held.append(pa.Table.from_batches([batch]))
-        windows += batch.column("names").nbytes // 8
+        held.append(table)
+        windows += table["windows"].nbytes // 8
         if windows < HELD_WINDOWS:
             continue
         table = pa.concat_tables(held)
@@ -180,11 +229,11 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if not len(cut):
             continue
         at = int(cut[-1]) + 1
-        if (out := sorted_out(table.slice(0, at))) is not None:
+        if (out := _runs(table.slice(0, at))) is not None:
             yield out
         held = [table.slice(at)]
-        windows = held[0]["names"].nbytes // 8
-    if held and (out := sorted_out(pa.concat_tables(held))) is not None:
+        windows = held[0]["windows"].nbytes // 8
+    if held and (out := _runs(pa.concat_tables(held))) is not None:
         yield out
 
 
@@ -203,35 +252,27 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
     often = parts.groupBy("name").count().filter("count > 1").select("name")
     again = stored(parts.join(often, "name", "left_semi"), "repeated")
     dropped(parts)
-    kinds = stored(again.groupBy("name").agg((F.min("whole") == F.max("whole")).alias("alike")), "kinds")
-    again = again.join(kinds, "name")
-    mixed = again.filter("NOT alike")
+    # copies of a stretch are counted in the tasks first, so a stretch in very many texts is a row a task
     distinct = stored(
-        mixed.groupBy("name", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b", "lo", "hi", "back")).alias("at")), "distinct"
-    )
-    crowd = distinct.groupBy("name").agg(F.ceil(F.count("*") / BUCKET_STRETCHES).cast("int").alias("parts")).filter("parts > 1")
-    asked = stored(
-        distinct.join(crowd, "name", "left")
-        .groupBy("at.key_a", "at.key_b")
-        .agg(F.collect_list(F.struct("at.lo", "at.hi", "at.back", "name", "whole", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("asked")),
-        "asked",
+        again.groupBy("name", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b", "lo", "hi", "back")).alias("at")), "distinct"
     )
-    found = (
-        rows.join(asked, ["key_a", "key_b"]).select("text", "asked").mapInArrow(_window_batches, "name long, whole long, part long, places binary, names binary")
-        .repartition("name", "part").sortWithinPartitions("name", "part", "whole")
-        .mapInArrow(_bucket_batches, "name long, whole long, `from` int, `to` int")
+    crowd = distinct.groupBy("name").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("name", F.ceil(F.col("kinds") / BUCKET_STRETCHES).cast("int").alias("parts"))
+    wanted = F.struct("at.key_a", "at.key_b", "at.lo", "at.hi", "at.back", "name", "parts", (F.col("copies") == 1).alias("alone"))
+    asked = stored(distinct.join(crowd, "name").groupBy("at.key_a", "at.key_b").agg(F.collect_list(wanted).alias("asked")), "asked")
+    some = (
+        rows.join(asked, ["key_a", "key_b"]).select("text", "asked")
+        .mapInArrow(_window_batches, "name long, part long, key_a long, key_b int, at long, marks binary, places binary, windows binary")
+        .repartition("name", "part").sortWithinPartitions("name", "part", "key_a", "key_b")
+        .mapInArrow(_bucket_batches, "key_a long, key_b int, start int, end int")
     )
-    found = stored(found, "runs")
+    some = stored(some, "runs")
     dropped(asked)
-    some = mixed.join(found, ["name", "whole"]).select(
-        "key_a", "key_b", (F.col("lo") + F.col("back") + F.col("from")).alias("start"), (F.col("lo") + F.col("back") + F.col("to") + LENGTH).alias("end")
-    )
-    full = again.filter("alike").select("key_a", "key_b", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
-    many = mixed.join(distinct.filter("copies > 1").select("name", "whole"), ["name", "whole"], "left_semi").select(
+    full = again.join(distinct.filter("copies > 1").select("name", "whole"), ["name", "whole"], "left_semi").select(
         "key_a", "key_b", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end")
     )
-    every = full.unionByName(many).unionByName(some)
-    return stored(every.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("start", "end")).alias("intervals")), "intervals")
+    intervals = stored(full.unionByName(some).groupBy("key_a", "key_b").agg(F.collect_set(F.struct("start", "end")).alias("intervals")), "intervals")
+    dropped(again, distinct, some)
+    return intervals
 
 
 def _cut_batches(with_text: bool):

@@ -231,6 +231,29 @@ def test_repeats_match_brute_force(docs, empty, clashing, monkeypatch):
     assert repeats.without_repeats(clashing).count() == 9
 
 
+@pytest.mark.parametrize("batch", [3, 2000])
+def test_repeats_of_shared_passages_in_other_surroundings(spark, monkeypatch, batch):
+    """A passage in many texts, whole and in parts, met in one batch or in many, in crowded buckets."""
+    monkeypatch.setattr(repeats, "BUCKET_STRETCHES", 4)
+    monkeypatch.setattr(repeats, "HELD_WINDOWS", 500)
+    rng = np.random.default_rng(batch)
+    letters = list("abcdefgh ")
+    passage = "".join(rng.choice(letters, 700))
+    rows = []
+    for i in range(60):
+        before, after = ("".join(rng.choice(letters, rng.integers(0, 300))) for _ in range(2))
+        a, b = sorted(rng.integers(0, 700, 2).tolist())
+        rows.append((i, before + passage[a:b] + after + ("é" * int(rng.integers(0, 150)) if i % 7 == 0 else "")))
+    rows += [(70, rows[3][1]), (71, rows[3][1] + "tail"), (72, "xy" * 300)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(table(spark, rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == brute_repeats(rows) and sum(r[2] for r in got) > 5000
+
+
 def test_bpe_matches_the_library_and_round_trips(docs, empty, clashing):
     import tiktoken
 
