@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: Spellings of a missing field.
 MISSING = ("", "#N/A", "NA", "N/A", "nan", "None")
 MARKER = "[missing]"
-#: Fixed values of the optics: path length in cm and extinction coefficients (HbO, HbR) per wavelength.
-COEFFICIENTS = {690: (0.35, 2.1), 830: (1.0, 0.78)}
+#: Fixed values of the optics: extinction coefficients (HbO, HbR) in 1/cm per mol/l at each wavelength in nm.
+COEFFICIENTS = {690: (276.0, 2051.96), 695: (300.16, 1841.05), 830: (974.0, 693.04)}
 
 
 def normalize_missing(c: Column) -> Column:

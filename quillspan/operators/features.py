@@ -94,10 +94,14 @@ def autocorr_lag1(df: DataFrame, keys: Sequence[str], y: str, order: str) -> Dat
 
 
 def connectivity(df: DataFrame, key: str, sample: str, channel: str, value: str) -> DataFrame:
-    """Mean and deviation of the correlations of all channel pairs.  Quadratic in channels, linear in samples."""
-    a = df.select(key, sample, F.col(channel).alias("a"), F.col(value).alias("x"))
-    b = df.select(key, sample, F.col(channel).alias("b"), F.col(value).alias("y"))
-    r = a.join(b, [key, sample]).filter("a < b").groupBy(key, "a", "b").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    """Mean and deviation of the correlations of all channel pairs.
+
+    Quadratic in channels, linear in samples: the channels of a sample are put side by side, and their
+    pairs are summed in the tasks before they are exchanged.
+    """
+    side = df.groupBy(key, sample).agg(F.array_sort(F.collect_list(F.struct(F.col(channel).alias("c"), F.col(value).alias("v")))).alias("_v"))
+    pair = F.transform("_v", lambda x, i: F.transform(F.slice("_v", i + 2, F.size("_v")), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b"), x["v"].alias("x"), y["v"].alias("y"))))
+    r = side.select(key, F.explode(F.flatten(pair)).alias("p")).select(key, "p.*").groupBy(key, "a", "b").agg(pearson(F.col("x"), F.col("y")).alias("r"))
     return r.groupBy(key).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.count("r").alias("n_pairs"))
 
 

@@ -90,7 +90,8 @@ def _type(df: DataFrame, column: str) -> str:
 
 def next_match(marks: DataFrame, key: str, time: str, opens: Column, closes: Column) -> DataFrame:
     """Opening marks with the first later closing mark; those without one are dropped."""
-    after = Window.partitionBy(key).orderBy(time).rowsBetween(1, Window.unboundedFollowing)
+    # from the last mark to the first, so the frame only grows and each row costs one step
+    after = Window.partitionBy(key).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, -1)
     return marks.withColumn("closed_at", F.min(F.when(closes, F.col(time))).over(after)).filter(opens & F.col("closed_at").isNotNull())
 
 

@@ -1,48 +1,68 @@
 """Resampling on prediction tables: bootstrap, paired increments, permutations, false discovery.
 
-No random generator is used.  Draw j of replicate b picks the row whose number is the SHA-1 of
-(seed, b, j) modulo the group's size, so results do not depend on partitions.
-Draws are aggregated to weights per (replicate, subject) or per (replicate, score) before anything is ranked.
+No random generator is used.  The weight of a subject in replicate b is a Poisson(1) count made from the SHA-1 of
+(seed, group, subject) and b, the form of the bootstrap that needs neither the group's size nor numbered rows; so every row finds its
+weights alone, results do not depend on partitions, and feature sets of one group share their draws.
+Weights are summed per (replicate, label, score), pre-aggregated in the tasks, before anything is ranked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.clean import stable_number
-from quillspan.operators.metrics import auroc, average_precision
-
-
-def draw_weights(rows: DataFrame, keys: Sequence[str], subject: str, replicates: int, seed: int = 0) -> DataFrame:
-    """keys, replicate, subject, weight: how often each replicate draws each subject, with replacement.
-
-    The seed text holds the group keys, so feature sets of one group share their draws.
-    """
-    numbered = rows.select(*keys, subject).distinct()
-    order = Window.partitionBy(*keys).orderBy(subject)
-    numbered = numbered.withColumn("_at", F.row_number().over(order) - 1)
-    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("_n"))
-    drawn = (
-        sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-        .withColumn("_at", stable_number(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("_j")) % F.col("_n"))
-        .groupBy(*keys, "replicate", "_at")
-        .agg(F.count("*").alias("weight"))
-    )
-    return drawn.join(numbered, [*keys, "_at"]).drop("_at")
+from quillspan.operators.metrics import all_metrics, auroc, average_precision
+
+
+#: The cumulative Poisson(1) probabilities of 0, 1, 2 ... (a weight of 9 or more has probability 1e-6).
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020)
+#: A prime below 2**31, so that a square fits a long.
+PRIME = 2147483647
+
+
+def mixed(number: Column, replicate: Column) -> Column:
+    """A number below PRIME for a subject with this number in a replicate; squaring twice modulo the prime mixes the two."""
+    x = (number + replicate * 1640531527) % PRIME
+    x = (x * x + 12345 + number) % PRIME
+    return (x * x + replicate) % PRIME
+
+
+def poisson_count(x: Column) -> Column:
+    """How many of the cumulative probabilities a number below PRIME reaches."""
+    return reduce(lambda n, p: n + (x >= int(p * PRIME)).cast("long"), POISSON, F.lit(0).cast("long"))
+
+
+def draw_weights(rows: DataFrame, keys: Sequence[str], by: Sequence[str], subject: str, replicates: int, seed: int = 0) -> DataFrame:
+    """keys, by, replicate, weight: the rows of every replicate, as sums of weights over equal rows of the other columns ``by``."""
+    number = stable_number(seed, *[F.col(k) for k in keys], F.col(subject)) % PRIME
+    # a row becomes as many rows as there are replicates, so even a table of one file is dealt out first
+    dealt = rows.select(*keys, *by, number.alias("_number")).repartition("_number")
+    counted = dealt.select(*keys, *by, "_number", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias("replicate"))
+    weighted = counted.withColumn("_x", mixed(F.col("_number"), F.col("replicate"))).withColumn("weight", poisson_count(F.col("_x")))
+    return weighted.groupBy(*keys, *by, "replicate").agg(F.sum("weight").alias("weight")).filter("weight > 0")
 
 
 def bootstrap_metrics(rows: DataFrame, keys: Sequence[str], by: Sequence[str], subject: str, replicates: int, seed: int = 0) -> DataFrame:
     """AUROC and average precision of each replicate for each group of (keys, by); draws are shared over ``by``."""
-    weights = draw_weights(rows, keys, subject, replicates, seed)
-    weighted = rows.join(weights, [*keys, subject])
+    weighted = draw_weights(rows, keys, [*by, "label", "probability"], subject, replicates, seed)
     groups = [*keys, *by, "replicate"]
     return auroc(weighted, groups, weight=F.col("weight")).join(average_precision(weighted, groups, weight=F.col("weight")), groups)
 
 
+def bootstrap_all(rows: DataFrame, keys: Sequence[str], by: Sequence[str], subject: str, replicates: int, thresholds: Mapping[str, Column], seed: int = 0) -> DataFrame:
+    """Every metric of each replicate, once for each kind of threshold (a column of ``rows`` or a constant)."""
+    named = [c.alias(f"_threshold_{name}") for name, c in thresholds.items()]
+    rows = rows.select(*keys, *by, subject, "label", "probability", *named)
+    weighted = draw_weights(rows, keys, [*by, "label", "probability", *(f"_threshold_{name}" for name in thresholds)], subject, replicates, seed)
+    groups = [*keys, *by, "replicate"]
+    found = [all_metrics(weighted, groups, F.col(f"_threshold_{name}"), weight=F.col("weight")).withColumn("threshold_type", F.lit(name)) for name in thresholds]
+    return reduce(DataFrame.unionByName, found)
+
+
 def interval(draws: DataFrame, keys: Sequence[str], metrics: Sequence[str], level: float = 0.95) -> DataFrame:
     """Percentile interval and mean of each metric over the replicates."""
     tail = (1 - level) / 2
@@ -59,10 +79,15 @@ def pair_predictions(rows: DataFrame, keys: Sequence[str], pairs: DataFrame, sub
 
 
 def paired_draws(draws: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Differences b minus a of each replicate."""
-    left = draws.filter(F.col("feature_set") == a).select(*keys, "replicate", F.col("auroc").alias("_a"), F.col("auprc").alias("_pa"))
-    right = draws.filter(F.col("feature_set") == b).select(*keys, "replicate", F.col("auroc").alias("_b"), F.col("auprc").alias("_pb"))
-    return left.join(right, [*keys, "replicate"]).select(*keys, "replicate", (F.col("_b") - F.col("_a")).alias("auroc_diff"), (F.col("_pb") - F.col("_pa")).alias("auprc_diff"))
+    """Differences b minus a of each replicate that has both."""
+    def side(name: str, metric: str) -> Column:
+        return F.max(F.when(F.col("feature_set") == name, F.col(metric)))
+
+    found = draws.groupBy(*keys, "replicate").agg(
+        F.count_if(F.col("feature_set") == a).alias("_a"), F.count_if(F.col("feature_set") == b).alias("_b"),
+        (side(b, "auroc") - side(a, "auroc")).alias("auroc_diff"), (side(b, "auprc") - side(a, "auprc")).alias("auprc_diff"),
+    )
+    return found.filter("_a > 0 AND _b > 0").drop("_a", "_b")
 
 
 def paired_p(draws: DataFrame, keys: Sequence[str], diff: str = "auroc_diff") -> DataFrame:

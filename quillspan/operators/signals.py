@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.clean import COEFFICIENTS
+from quillspan.functions.clean import COEFFICIENTS, pathlength_factor
 
 
 def optical_density(samples: DataFrame, keys: Sequence[str], order: str, value: str, first: int) -> DataFrame:
@@ -18,12 +18,22 @@ def optical_density(samples: DataFrame, keys: Sequence[str], order: str, value:
     return t.join(base, list(keys)).withColumn("density", -F.log(v / F.when(F.col("_b") > 0, F.col("_b")).otherwise(F.col("_m")))).drop("_k", "_b", "_m")
 
 
-def beer_lambert(densities: DataFrame, keys: Sequence[str], path: Column) -> DataFrame:
-    """hbo and hbr from the densities at the two wavelengths (column wavelength), by the inverse of the coefficient matrix over the path length."""
-    (w1, (a, b)), (w2, (c, e)) = sorted(COEFFICIENTS.items())
-    wide = densities.groupBy(*keys).agg(F.max(F.when(F.col("wavelength") == w1, F.col("density"))).alias("_1"), F.max(F.when(F.col("wavelength") == w2, F.col("density"))).alias("_2"))
+def beer_lambert(densities: DataFrame, keys: Sequence[str], wavelengths: tuple[int, int], distance_mm: Column, age: Column) -> DataFrame:
+    """hbo and hbr in micromol/l from the densities at two wavelengths (column wavelength).
+
+    Each density is divided by its own path, the distance in cm times the path length factor of the wavelength and age,
+    and the inverse of the coefficient matrix is applied.
+    """
+    w1, w2 = wavelengths
+    (a, b), (c, e) = COEFFICIENTS[w1], COEFFICIENTS[w2]
+
+    def normalised(w: int) -> Column:
+        path = F.greatest(distance_mm / 10 * pathlength_factor(F.lit(float(w)), age), F.lit(1e-9))
+        return F.max(F.when(F.col("wavelength") == w, F.col("density") / path))
+
+    wide = densities.groupBy(*keys).agg(normalised(w1).alias("_1"), normalised(w2).alias("_2"))
     det = a * e - b * c
-    return wide.withColumns({"hbo": (F.col("_1") * e - F.col("_2") * b) / det / path, "hbr": (F.col("_2") * a - F.col("_1") * c) / det / path}).drop("_1", "_2")
+    return wide.withColumns({"hbo": (F.col("_1") * e - F.col("_2") * b) / det * 1e6, "hbr": (F.col("_2") * a - F.col("_1") * c) / det * 1e6}).drop("_1", "_2")
 
 
 def explode_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

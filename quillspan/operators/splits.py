@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +23,26 @@ def hash_order(seed: str | int, key: str) -> Column:
     return F.sha1(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
+def hash_ranks(df: DataFrame, groups: Sequence[str], digest: Column, key: str) -> DataFrame:
+    """df with _k, the rank of each row in its group by digest and key, and _n, the group's size.
+
+    Ranks are counted within the 65,536 ranges of the digest's first four digits and shifted by the sizes of the ranges before, so
+    a group that holds most rows is spread over many tasks; what is exchanged for the shift is one row a range.
+    """
+    t = df.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 4))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = t.groupBy(*groups, "_range").agg(F.count("*").alias("_size"))
+    sizes = sizes.select(
+        *[F.col(c).alias(f"_of_{c}") for c in (*groups, "_range")], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(*groups)).alias("_n")
+    )
+    ranked = t.withColumn("_k", F.row_number().over(Window.partitionBy(*groups, "_range").orderBy("_digest", key)))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*groups, "_range")])
+    return ranked.join(sizes, same).select(*df.columns, (F.col("_before") + F.col("_k")).alias("_k"), "_n")
+
+
 def holdout_split(df: DataFrame, key: str, stratum: str, fraction: float, folds: int, seed: int = 0) -> DataFrame:
     """split_group (locked or cv) and cv_fold (0 to folds - 1, NULL if locked), stratified by hash order."""
-    w = Window.partitionBy(stratum)
-    t = df.withColumns({"_k": F.row_number().over(w.orderBy(hash_order(seed, key), key)), "_n": F.count("*").over(w)})
+    t = hash_ranks(df, [stratum], hash_order(seed, key), key)
     n_locked = F.bround(F.col("_n") * fraction)
     locked = F.col("_k") <= n_locked
     fold = F.when(~locked, ((F.col("_k") - n_locked - 1) % folds).cast("int"))
@@ -34,8 +51,7 @@ def holdout_split(df: DataFrame, key: str, stratum: str, fraction: float, folds:
 
 def hash_split(df: DataFrame, key: str, label: str, fraction: float) -> DataFrame:
     """part (train or test): per class the first max(1, half-even round(n * fraction)) ids by SHA-1 are test."""
-    w = Window.partitionBy(label)
-    t = df.withColumns({"_k": F.row_number().over(w.orderBy(F.sha1(F.col(key).cast("string")), key)), "_n": F.count("*").over(w)})
+    t = hash_ranks(df, [label], F.sha1(F.col(key).cast("string")), key)
     return t.withColumn("part", F.when(F.col("_k") <= F.greatest(F.lit(1), F.bround(F.col("_n") * fraction)), "test").otherwise("train")).drop("_k", "_n")
 
 
@@ -67,20 +83,20 @@ def group_folds(df: DataFrame, group: str, label: str, locked: str, folds: int,
 
 def outer_folds(df: DataFrame, key: str, fold: str) -> DataFrame:
     """fold, part (train or val) of every id."""
-    folds = df.select(F.col(fold).alias("fold")).filter("fold IS NOT NULL").distinct()
-    return df.filter(F.col(fold).isNotNull()).crossJoin(F.broadcast(folds)).select("fold", key, F.when(F.col(fold) == F.col("fold"), "val").otherwise("train").alias("part"))
+    rows = df.select(F.col(key), F.col(fold).alias("_own")).filter("_own IS NOT NULL")
+    folds = rows.select(F.col("_own").alias("_fold")).distinct()
+    return rows.crossJoin(F.broadcast(folds)).select(F.col("_fold").alias("fold"), key, F.when(F.col("_own") == F.col("_fold"), "val").otherwise("train").alias("part"))
 
 
 def inner_splits(df: DataFrame, key: str, label: str, fold: str, k: int, stop: float, seed: int = 0) -> DataFrame:
     """For each outer fold, k inner folds of its training ids: part val, stopping or fit, disjoint and covering, stratified by label."""
     train = outer_folds(df, key, fold).filter("part = 'train'").join(df.select(key, label), key)
-    w = Window.partitionBy("fold", label)
     seeded = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("fold"), F.col(key)))
-    t = train.withColumn("_v", (F.row_number().over(w.orderBy(seeded, key)) - 1) % k).withColumn("inner_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    t = hash_ranks(train, ["fold", label], seeded, key).withColumn("_v", (F.col("_k") - 1) % k).drop("_k", "_n")
+    t = t.withColumn("inner_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_is_val", F.col("_v") == F.col("inner_fold"))
     again = F.sha1(F.concat_ws("|", F.lit(f"{seed}-stop"), F.col("fold"), F.col("inner_fold"), F.col(key)))
-    rest = Window.partitionBy("fold", "inner_fold", label, F.col("_v") == F.col("inner_fold"))
-    t = t.withColumns({"_k": F.row_number().over(rest.orderBy(again, key)), "_n": F.count("*").over(rest)})
-    part = F.when(F.col("_v") == F.col("inner_fold"), "val").when(F.col("_k") <= F.bround(F.col("_n") * stop), "stopping").otherwise("fit")
+    t = hash_ranks(t, ["fold", "inner_fold", label, "_is_val"], again, key)
+    part = F.when(F.col("_is_val"), "val").when(F.col("_k") <= F.bround(F.col("_n") * stop), "stopping").otherwise("fit")
     return t.select("fold", "inner_fold", key, part.alias("part"))
 
 

@@ -68,11 +68,11 @@ def j06(spark, d):
     return joins.attach_subjects(role(spark, d, "takes"), subjects(spark, d).filter("subject % 3 > 0").select("subject", "a_id"), "subject").select("path", "a_id", "in_manifest")
 
 
-@book.query("j07_name_map_join", f"{S}, d AS (SELECT DISTINCT left(a_id, 3) AS name FROM subjects UNION SELECT 'nobody'), n AS (SELECT DISTINCT left(a_id, 3) AS name, subject FROM subjects WHERE subject % 40 = 0), c AS (SELECT name, count(DISTINCT subject) AS n_subjects FROM d LEFT JOIN n USING (name) GROUP BY name) SELECT name, n_subjects, CASE n_subjects WHEN 0 THEN 'unmatched' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM c")
+@book.query("j07_name_map_join", f"{S}, d AS (SELECT DISTINCT left(a_id, 3) AS name FROM subjects UNION SELECT 'nobody'), n AS (SELECT DISTINCT left(a_id, 3) AS name, subject FROM subjects), c AS (SELECT name, count(DISTINCT subject) AS n_subjects FROM d LEFT JOIN n USING (name) GROUP BY name) SELECT name, n_subjects, CASE n_subjects WHEN 0 THEN 'unmatched' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM c")
 def j07(spark, d):
     s = subjects(spark, d).withColumn("name", F.substring("a_id", 1, 3))
     dirs = s.select("name").unionByName(spark.range(1).select(F.lit("nobody").alias("name")))
-    return joins.name_map_join(dirs, s.filter("subject % 40 = 0"), "name", "subject")
+    return joins.name_map_join(dirs, s, "name", "subject")
 
 
 @book.query("j08_with_protocol", f"{S} SELECT subject, balance, CAST(subject % 5 AS INTEGER) AS outer_fold, 'standard' AS cv_protocol FROM subjects WHERE subject % 10 > 0 UNION ALL SELECT subject, balance, CAST(CAST(site AS INTEGER) % 4 AS INTEGER), 'group' FROM subjects")
@@ -143,10 +143,10 @@ def j14(spark, d):
     return regions(spark, d).select("sample", "region")
 
 
-@book.query("j15_frame_lookup", f"{Z}, f AS (SELECT *, greatest(0, least(199, CAST(floor(time_ms * 0.1::DOUBLE / 1000) AS BIGINT) % 300)) AS frame FROM gaze), t AS (SELECT r AS recording, k AS frame, (r * 31 + k * 7) % 100 / 100.0::DOUBLE AS tx FROM range(0, 400) a(r), range(0, 200) b(k)) SELECT f.sample, f.frame, t.tx FROM f LEFT JOIN t USING (recording, frame)")
+@book.query("j15_frame_lookup", f"{Z}, f AS (SELECT *, greatest(0, least(199, CAST(floor(time_ms * 0.1::DOUBLE / 1000) AS BIGINT) % 300)) AS frame FROM gaze), t AS (SELECT r AS recording, k AS frame, (r * 31 + k * 7) % 100 / 100.0::DOUBLE AS tx FROM (SELECT DISTINCT recording AS r FROM gaze), range(0, 200) b(k)) SELECT f.sample, f.frame, t.tx FROM f LEFT JOIN t USING (recording, frame)")
 def j15(spark, d):
     g = role(spark, d, "gaze").withColumn("time_ms", (F.floor(F.col("time_ms") * 0.1 / 1000) % 300) * 1000)
-    track = spark.range(400).select(F.col("id").alias("recording"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("frame"))
+    track = g.select("recording").distinct().select("recording", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("frame"))
     track = track.withColumn("tx", (F.col("recording") * 31 + F.col("frame") * 7) % 100 / 100)
     return joins.frame_lookup(g, track, "recording", "time_ms", F.lit(1.0), F.lit(200)).select("sample", "frame", "tx")
 

@@ -162,60 +162,95 @@ def e10(spark, sf_dir):
     return rounded(metrics.select_threshold_f1(predictions(spark, sf_dir), GROUP), "f1")
 
 
-B = 20
-DRAWS = f"""numbered AS (SELECT cv_protocol, seed, subject, row_number() OVER (PARTITION BY cv_protocol, seed ORDER BY subject) - 1 AS at_row,
-        count(*) OVER (PARTITION BY cv_protocol, seed) AS n FROM (SELECT DISTINCT cv_protocol, seed, subject FROM predictions)),
-    sizes AS (SELECT DISTINCT cv_protocol, seed, n FROM numbered),
-    weights AS (SELECT d.cv_protocol, d.seed, d.replicate, m.subject, d.weight FROM (
-        SELECT cv_protocol, seed, replicate, CAST(('0x' || substr(sha1('0|' || cv_protocol || '|' || seed || '|' || replicate || '|' || j), 1, 8)) AS BIGINT) % n AS at_row, count(*) AS weight
-        FROM sizes, range(1, {B + 1}) b(replicate), range(1, n + 1) r(j) GROUP BY ALL) d JOIN numbered m USING (cv_protocol, seed, at_row)),
-    weighted AS (SELECT p.*, w.replicate, w.weight FROM predictions p JOIN weights w USING (cv_protocol, seed, subject)),
-    draws AS (SELECT * FROM {auroc_sql(G + ', replicate', 'weighted', 'weight')} JOIN {auprc_sql(G + ', replicate', 'weighted', 'weight')} USING ({G}, replicate))"""
+#: Replicates of the bootstrap, as in the reference's configurations.
+B = 1000
+PRIME = resample.PRIME
+WEIGHT = " + ".join(f"CAST(x >= {int(p * PRIME)} AS BIGINT)" for p in resample.POISSON)
+
+
+def draws_sql(by):
+    """The rows of every replicate, equal rows summed; by names the columns that stay."""
+    return f"""n AS (SELECT *, CAST(('0x' || substr(sha1('0|' || cv_protocol || '|' || seed || '|' || subject), 1, 8)) AS BIGINT) % {PRIME} AS number FROM predictions),
+    x AS (SELECT {by}, replicate, (z * z + replicate) % {PRIME} AS x FROM (SELECT *, (y * y + 12345 + number) % {PRIME} AS z FROM (
+        SELECT *, (number + replicate * 1640531527) % {PRIME} AS y FROM n, range(1, {B + 1}) r(replicate)))),
+    weighted AS MATERIALIZED (SELECT {by}, replicate, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT *, {WEIGHT} AS weight FROM x) WHERE weight > 0 GROUP BY ALL)"""
+
+
+R = G + ", replicate"
+DRAWS = f"""{draws_sql(G + ', label, probability')},
+    draws AS MATERIALIZED (SELECT * FROM {auroc_sql(R, 'weighted', 'weight')} JOIN {auprc_sql(R, 'weighted', 'weight')} USING ({R}))"""
+#: The metrics that get an interval.
+WITH_INTERVAL = ("auroc", "auprc", "balanced_accuracy", "macro_f1", "sensitivity", "specificity", "ppv", "npv", "brier", "ece", "mce")
 
 
 def draws_of(spark, sf_dir):
     return resample.bootstrap_metrics(predictions(spark, sf_dir), ["cv_protocol", "seed"], ["feature_set"], "subject", B)
 
 
+def boot_sql(kind, threshold):
+    """Every metric of each replicate at one kind of threshold."""
+    conf = ", ".join(f"CAST(sum(CASE WHEN probability {op} {threshold} AND label = {y} THEN weight ELSE 0 END) AS BIGINT) AS {c}" for c, op, y in (("tp", ">=", 1), ("fp", ">=", 0), ("tn", "<", 0), ("fn", "<", 1)))
+    cal = f"""(SELECT {R}, sum(abs(m - s) * n) / sum(n) AS ece, max(abs(m - s)) AS mce FROM (
+        SELECT {R}, list_sum([CAST(probability >= i * 0.1::DOUBLE AS INT) FOR i IN range(1, 10)]) AS bin, sum(weight) AS n, sum(weight * probability) / sum(weight) AS m, sum(weight * label) / sum(weight) AS s
+        FROM weighted GROUP BY ALL) GROUP BY {R})"""
+    return f"""SELECT '{kind}' AS threshold_type, * FROM (SELECT {R}, sum(weight * power(probability - label, 2)) / sum(weight) AS brier FROM weighted GROUP BY ALL)
+        JOIN {auroc_sql(R, 'weighted', 'weight')} USING ({R}) JOIN {auprc_sql(R, 'weighted', 'weight')} USING ({R}) JOIN {cal} USING ({R})
+        JOIN (SELECT {R}, {', '.join(f'{v} AS {k}' for k, v in METRIC.items())} FROM (SELECT {R}, {conf} FROM weighted GROUP BY ALL)) USING ({R})"""
+
+
 @book.query(
     "e11_bootstrap_ci",
-    f"""{P}, {DRAWS} SELECT {G}, round(avg(auroc), 6) AS auroc_mean, round(quantile_cont(auroc, 0.025), 6) AS auroc_low, round(quantile_cont(auroc, 0.975), 6) AS auroc_high,
-        round(avg(auprc), 6) AS auprc_mean, round(quantile_cont(auprc, 0.025), 6) AS auprc_low, round(quantile_cont(auprc, 0.975), 6) AS auprc_high, count(*) AS n_replicates
-    FROM draws GROUP BY ALL""",
+    f"""{P}, {draws_sql(G + ', label, probability, fold_threshold')}, every AS ({boot_sql('fixed', '0.5')} UNION ALL BY NAME {boot_sql('fold', 'fold_threshold')})
+    SELECT threshold_type, {G}, {', '.join(f"round(quantile_cont({m}, 0.025), 6) AS {m}_low, round(quantile_cont({m}, 0.975), 6) AS {m}_high" for m in WITH_INTERVAL)}, count(*) AS n_replicates
+    FROM every GROUP BY ALL""",
 )
 def e11(spark, sf_dir):
-    found = resample.interval(draws_of(spark, sf_dir), GROUP, ["auroc", "auprc"])
-    return rounded(found, *[f"{m}_{s}" for m in ("auroc", "auprc") for s in ("mean", "low", "high")])
+    draws = resample.bootstrap_all(predictions(spark, sf_dir), ["cv_protocol", "seed"], ["feature_set"], "subject", B, {"fixed": F.lit(0.5), "fold": F.col("fold_threshold")})
+    found = resample.interval(draws, ("threshold_type", *GROUP), WITH_INTERVAL)
+    names = [f"{m}_{s}" for m in WITH_INTERVAL for s in ("low", "high")]
+    return rounded(found.select("threshold_type", *GROUP, *names, "n_replicates"), *names)
 
 
 PAIRED = f"""{P}, {DRAWS}, diffs AS (SELECT a.cv_protocol, a.seed, a.replicate, b.auroc - a.auroc AS auroc_diff, b.auprc - a.auprc AS auprc_diff
         FROM draws a JOIN draws b ON a.cv_protocol = b.cv_protocol AND a.seed = b.seed AND a.replicate = b.replicate AND a.feature_set = 'signal' AND b.feature_set = 'signal_qc')"""
+FOLDS_UP = f"""folds AS (SELECT cv_protocol, seed, outer_fold, max(auroc) FILTER (feature_set = 'signal_qc') - max(auroc) FILTER (feature_set = 'signal') AS d FROM {auroc_sql(F4)} GROUP BY ALL),
+    f AS (SELECT cv_protocol, seed, count(d) AS folds_compared, count(*) FILTER (d > 0) AS folds_up FROM folds GROUP BY ALL)"""
 
 
 @book.query(
     "e12_paired_increments",
-    f"""{PAIRED}, ci AS (SELECT cv_protocol, seed, quantile_cont(auroc_diff, 0.025) AS low, quantile_cont(auroc_diff, 0.975) AS high FROM diffs GROUP BY ALL),
-    pooled AS (SELECT cv_protocol, seed, max(auroc) FILTER (feature_set = 'signal_qc') - max(auroc) FILTER (feature_set = 'signal') AS auroc_diff FROM {auroc_sql(G)} GROUP BY ALL),
-    folds AS (SELECT cv_protocol, seed, outer_fold, max(auroc) FILTER (feature_set = 'signal_qc') - max(auroc) FILTER (feature_set = 'signal') AS d FROM {auroc_sql(F4)} GROUP BY ALL),
-    f AS (SELECT cv_protocol, seed, count(d) AS folds_compared, count(*) FILTER (d > 0) AS folds_up FROM folds GROUP BY ALL),
+    f"""{PAIRED}, ci AS (SELECT cv_protocol, seed, quantile_cont(auroc_diff, 0.025) AS low, quantile_cont(auroc_diff, 0.975) AS high, quantile_cont(auprc_diff, 0.025) AS pr_low, quantile_cont(auprc_diff, 0.975) AS pr_high FROM diffs GROUP BY ALL),
+    pooled AS (SELECT cv_protocol, seed, max(auroc) FILTER (feature_set = 'signal_qc') - max(auroc) FILTER (feature_set = 'signal') AS auroc_diff,
+        max(auprc) FILTER (feature_set = 'signal_qc') - max(auprc) FILTER (feature_set = 'signal') AS auprc_diff FROM {auroc_sql(G)} JOIN {auprc_sql(G)} USING ({G}) GROUP BY ALL),
+    {FOLDS_UP},
     s AS (SELECT seed, min(sign(auroc_diff)) = max(sign(auroc_diff)) AS same_direction FROM pooled GROUP BY seed)
-    SELECT cv_protocol, seed, round(auroc_diff, 6) AS auroc_diff, round(low, 6) AS auroc_diff_low, round(high, 6) AS auroc_diff_high, folds_compared, folds_up, same_direction
+    SELECT cv_protocol, seed, round(auroc_diff, 6) AS auroc_diff, round(low, 6) AS auroc_diff_low, round(high, 6) AS auroc_diff_high,
+        round(auprc_diff, 6) AS auprc_diff, round(pr_low, 6) AS auprc_diff_low, round(pr_high, 6) AS auprc_diff_high, folds_compared, folds_up, same_direction
     FROM pooled JOIN ci USING (cv_protocol, seed) JOIN f USING (cv_protocol, seed) JOIN s USING (seed)""",
 )
 def e12(spark, sf_dir):
     rows = predictions(spark, sf_dir)
     keys = ["cv_protocol", "seed"]
+    both = metrics.auroc(rows, GROUP).join(metrics.average_precision(rows, GROUP), list(GROUP))
+    pooled = difference(both, keys, "auroc").join(difference(both, keys, "auprc"), keys)
+    diffs = ["auroc_diff", "auprc_diff"]
+    ci = resample.interval(resample.paired_draws(draws_of(spark, sf_dir), keys, "signal", "signal_qc"), keys, diffs)
+    same = pooled.groupBy("seed").agg((F.min(F.signum("auroc_diff")) == F.max(F.signum("auroc_diff"))).alias("same_direction"))
+    limits = [f"{d}_{s}" for d in diffs for s in ("low", "high")]
+    out = pooled.join(ci.select(*keys, *limits), keys).join(folds_up(rows), keys).join(same, "seed")
+    return rounded(out, *diffs, *limits)
 
-    def difference(found, by):
-        wide = found.groupBy(*by).agg(F.max(F.when(F.col("feature_set") == "signal_qc", F.col("auroc"))).alias("b"), F.max(F.when(F.col("feature_set") == "signal", F.col("auroc"))).alias("a"))
-        return wide.withColumn("auroc_diff", F.col("b") - F.col("a")).drop("a", "b")
 
-    pooled = difference(metrics.auroc(rows, GROUP), keys)
-    folds = difference(metrics.auroc(rows, FOLD), [*keys, "outer_fold"]).groupBy(*keys).agg(F.count("auroc_diff").alias("folds_compared"), F.count_if(F.col("auroc_diff") > 0).alias("folds_up"))
-    ci = resample.interval(resample.paired_draws(draws_of(spark, sf_dir), keys, "signal", "signal_qc"), keys, ["auroc_diff"])
-    same = pooled.groupBy("seed").agg((F.min(F.signum("auroc_diff")) == F.max(F.signum("auroc_diff"))).alias("same_direction"))
-    out = pooled.join(ci.select(*keys, "auroc_diff_low", "auroc_diff_high"), keys).join(folds, keys).join(same, "seed")
-    return rounded(out, "auroc_diff", "auroc_diff_low", "auroc_diff_high")
+def difference(found, by, metric):
+    """signal_qc minus signal of a metric."""
+    value = lambda name: F.max(F.when(F.col("feature_set") == name, F.col(metric)))
+    return found.groupBy(*by).agg((value("signal_qc") - value("signal")).alias(f"{metric}_diff"))
+
+
+def folds_up(rows):
+    """For each protocol and seed the folds with both feature sets, and those in which signal_qc is ahead."""
+    folds = difference(metrics.auroc(rows, FOLD), ["cv_protocol", "seed", "outer_fold"], "auroc")
+    return folds.groupBy("cv_protocol", "seed").agg(F.count("auroc_diff").alias("folds_compared"), F.count_if(F.col("auroc_diff") > 0).alias("folds_up"))
 
 
 @book.query(
@@ -287,8 +322,10 @@ def e22(spark, sf_dir):
     return rounded(metrics.auroc(constant, GROUP).withColumnRenamed("auroc", "pooled_auroc").join(shape, list(GROUP)), "pooled_auroc", "least_prevalence", "most_prevalence")
 
 
+#: Permutations of a null distribution, as in the reference.
+PERMUTATIONS = 100
 NULLS = f"""one AS (SELECT outer_fold, subject, label, probability FROM predictions WHERE cv_protocol = 'standard' AND feature_set = 'signal' AND seed = 0),
-    c AS (SELECT * FROM one, range(1, 11) r(replicate)),
+    c AS (SELECT * FROM one, range(1, 101) r(replicate)),
     a AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, replicate ORDER BY subject) AS k FROM c),
     b AS (SELECT outer_fold, replicate, label, row_number() OVER (PARTITION BY outer_fold, replicate ORDER BY ('0x' || substr(sha1('0|' || replicate || '|' || subject), 1, 8))::BIGINT, subject) AS k FROM c),
     permuted AS (SELECT a.outer_fold, a.replicate, a.subject, a.probability, b.label FROM a JOIN b USING (outer_fold, replicate, k))"""
@@ -300,7 +337,7 @@ def one_model(spark, sf_dir):
 
 @book.query("e23_permute_labels", f"{P}, {NULLS} SELECT * FROM permuted")
 def e23(spark, sf_dir):
-    return resample.permute_labels(one_model(spark, sf_dir), ["outer_fold"], "subject", 10).select("outer_fold", "replicate", "subject", "probability", "label")
+    return resample.permute_labels(one_model(spark, sf_dir), ["outer_fold"], "subject", PERMUTATIONS).select("outer_fold", "replicate", "subject", "probability", "label")
 
 
 @book.query(
@@ -311,7 +348,7 @@ def e23(spark, sf_dir):
 )
 def e24(spark, sf_dir):
     rows = one_model(spark, sf_dir)
-    null = metrics.auroc(resample.permute_labels(rows, ["outer_fold"], "subject", 10), ["replicate"])
+    null = metrics.auroc(resample.permute_labels(rows, ["outer_fold"], "subject", PERMUTATIONS), ["replicate"])
     return rounded(resample.permutation_null(null, metrics.auroc(rows, []), []), "observed", "null_mean", "null_std", "null_max", "exceedance")
 
 

@@ -198,8 +198,8 @@ O = "PARTITION BY subject, block ORDER BY onset_sec, trial"
     s AS (SELECT *, CASE WHEN response = '' THEN NULL WHEN condition = 'match' THEN CAST(response = '1' AS DOUBLE) ELSE CAST(response = '2' AS DOUBLE) END AS correct FROM w WHERE condition <> 'block_initial'),
     q AS (SELECT *, lag(correct) OVER ({O}) AS before FROM s)
     SELECT subject, count(*) AS n_used, round(avg(correct), 6) AS accuracy, round(avg(correct) FILTER (condition = 'match'), 6) AS accuracy_match, round(avg(correct) FILTER (condition = 'non_match'), 6) AS accuracy_non_match,
-        round(avg(CAST(response = '' AS DOUBLE)), 6) AS omission_rate, round(avg(rt_sec) FILTER (condition = 'match') - avg(rt_sec) FILTER (condition = 'non_match'), 6) AS rt_match_difference,
-        round(avg(rt_sec) FILTER (before = 0) - avg(rt_sec) FILTER (before = 1), 6) AS post_error_slowing, round(avg(CAST(correct = logged_correct AS DOUBLE)), 6) AS qc_agreement FROM q GROUP BY subject""",
+        round(avg(CAST(response = '' AS DOUBLE)), 6) AS omission_rate, round(round(avg(rt_sec) FILTER (condition = 'match') - avg(rt_sec) FILTER (condition = 'non_match'), 9), 6) AS rt_match_difference,
+        round(round(avg(rt_sec) FILTER (before = 0) - avg(rt_sec) FILTER (before = 1), 9), 6) AS post_error_slowing, round(avg(CAST(correct = logged_correct AS DOUBLE)), 6) AS qc_agreement FROM q GROUP BY subject""",
 )
 def a20(spark, d):
     t = W.nback_condition(trials(spark, d), ["subject", "block"], ["onset_sec", "trial"]).filter("condition <> 'block_initial'")
@@ -209,8 +209,8 @@ def a20(spark, d):
     rt = lambda c: F.avg(F.when(c, F.col("rt_sec")))
     return all_rounded(t.groupBy("subject").agg(
         F.count("*").alias("n_used"), F.avg("correct").alias("accuracy"), F.avg(F.when(match, F.col("correct"))).alias("accuracy_match"), F.avg(F.when(~match, F.col("correct"))).alias("accuracy_non_match"),
-        F.avg((F.col("response") == "").cast("double")).alias("omission_rate"), (rt(match) - rt(~match)).alias("rt_match_difference"),
-        (rt(F.col("previous_correct") == 0) - rt(F.col("previous_correct") == 1)).alias("post_error_slowing"), F.avg((F.col("correct") == F.col("logged_correct")).cast("double")).alias("qc_agreement"),
+        F.avg((F.col("response") == "").cast("double")).alias("omission_rate"), F.round(rt(match) - rt(~match), 9).alias("rt_match_difference"),
+        F.round(rt(F.col("previous_correct") == 0) - rt(F.col("previous_correct") == 1), 9).alias("post_error_slowing"), F.avg((F.col("correct") == F.col("logged_correct")).cast("double")).alias("qc_agreement"),
     ))
 
 
@@ -241,9 +241,9 @@ def a24(spark, d):
     return rounded(X.autocorr_lag1(signal(spark, d), ["recording"], "value", "sample"), "autocorr", digits=5)
 
 
-@book.query("a25_connectivity", f"WITH {SIGNAL}, s AS (SELECT condition, recording, sample, value FROM signal WHERE sample < 8), r AS (SELECT a.condition, a.sample AS p, b.sample AS q, corr(a.value, b.value) AS r FROM s a JOIN s b ON a.condition = b.condition AND a.recording = b.recording AND a.sample < b.sample GROUP BY ALL) SELECT condition, round(avg(r), 5) AS mean, round(stddev_pop(r), 5) AS std, count(r) AS n_pairs FROM r GROUP BY condition")
+@book.query("a25_connectivity", f"WITH {SIGNAL}, s AS (SELECT condition, recording, sample, value FROM signal), r AS (SELECT a.condition, a.sample AS p, b.sample AS q, corr(a.value, b.value) AS r FROM s a JOIN s b ON a.condition = b.condition AND a.recording = b.recording AND a.sample < b.sample GROUP BY ALL) SELECT condition, round(avg(r), 5) AS mean, round(stddev_pop(r), 5) AS std, count(r) AS n_pairs FROM r GROUP BY condition")
 def a25(spark, d):
-    return all_rounded(X.connectivity(signal(spark, d).filter("sample < 8"), "condition", "recording", "sample", "value"), 5)
+    return all_rounded(X.connectivity(signal(spark, d), "condition", "recording", "sample", "value"), 5)
 
 
 @book.query("a26_hjorth", f"WITH {SIGNAL}, a AS (SELECT *, value - lag(value) OVER w AS d FROM signal WINDOW w AS (PARTITION BY recording ORDER BY sample)), b AS (SELECT *, d - lag(d) OVER (PARTITION BY recording ORDER BY sample) AS dd FROM a), v AS (SELECT recording, var_pop(value) AS v0, var_pop(d) AS v1, var_pop(dd) AS v2 FROM b GROUP BY recording) SELECT recording, round(v0, 6) AS activity, round(sqrt(v1 / v0), 6) AS mobility, round(sqrt(v2 / v1) / sqrt(v1 / v0), 6) AS complexity FROM v")
@@ -453,13 +453,23 @@ def p24(spark, d):
     return optical_density(signal(spark, d).withColumn("value", F.col("value") + 5), ["recording"], "sample", "value", 10).select("recording", "sample", F.round("density", 6).alias("density"))
 
 
-@book.query("p26_beer_lambert", f"WITH {SIGNAL}, p AS (SELECT a.recording, a.sample, a.value AS d1, b.value AS d2 FROM signal a JOIN signal b ON a.recording = b.recording AND b.sample = a.sample + 32) SELECT recording, sample, round((d1 * 0.78 - d2 * 2.1) / (0.35 * 0.78 - 1.0 * 2.1) / 0.018, 5) AS hbo, round((d2 * 0.35 - d1 * 1.0) / (0.35 * 0.78 - 1.0 * 2.1) / 0.018, 5) AS hbr FROM p")
+def _path_sql(w):
+    return f"greatest(3.0::DOUBLE * (223.3 + 0.05624 * power(age, 0.8493) - 5.723e-7 * power({w}, 3) + 0.001245 * power({w}, 2) - 0.9025 * {w}), 1e-9)"
+
+
+@book.query(
+    "p26_beer_lambert",
+    f"""WITH {SIGNAL}, p AS (SELECT a.recording, a.sample, CAST(5 + a.recording % 16 AS DOUBLE) AS age, a.value AS d1, b.value AS d2 FROM signal a JOIN signal b ON a.recording = b.recording AND b.sample = a.sample + 32),
+    n AS (SELECT recording, sample, d1 / {_path_sql(690.0)} AS n1, d2 / {_path_sql(830.0)} AS n2 FROM p)
+    SELECT recording, sample, round((n1 * 693.04 - n2 * 2051.96) / (276.0 * 693.04 - 2051.96 * 974.0) * 1e6, 5) AS hbo, round((n2 * 276.0 - n1 * 974.0) / (276.0 * 693.04 - 2051.96 * 974.0) * 1e6, 5) AS hbr FROM n""",
+)
 def p26(spark, d):
     from quillspan.operators.signals import beer_lambert
 
     s = signal(spark, d)
     long = s.select("recording", (F.col("sample") % 32).alias("sample"), F.when(F.col("sample") < 32, 690).otherwise(830).alias("wavelength"), F.col("value").alias("density"))
-    return all_rounded(beer_lambert(long, ["recording", "sample"], F.lit(0.018)), 5)
+    age = (5 + F.col("recording") % 16).cast("double")
+    return all_rounded(beer_lambert(long, ["recording", "sample"], (690, 830), F.lit(30.0), age), 5)
 
 
 HALVES = f"{T}, h AS (SELECT subject, stimulus AS feature, trial % 2 AS half, avg(rt_sec) AS v FROM trials WHERE rt_sec IS NOT NULL GROUP BY ALL), w AS (SELECT subject, feature, max(v) FILTER (half = 0) AS a, max(v) FILTER (half = 1) AS b FROM h GROUP BY ALL), c AS (SELECT feature, count(*) AS n, corr(a, b) AS r_half FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.clean import clean_category, clean_range
 from quillspan.operators import decide, metrics, models, resample
 from quillspan.plans.base import Book
-from quillspan.plans.evaluation import B, DRAWS, F4, G, GROUP, P, PAIRED, auroc_sql, draws_of, predictions
+from quillspan.plans.evaluation import B, DRAWS, F4, FOLDS_UP, G, GROUP, P, PAIRED, auroc_sql, draws_of, folds_up, predictions
 from quillspan.sources.tables import role, table
 
 book = Book()
@@ -24,9 +24,9 @@ def increments(spark, d):
     return ci.join(resample.paired_p(draws, ["cv_protocol", "seed"]), ["cv_protocol", "seed"])
 
 
-@book.query("e15_required_increments", f"{CI} SELECT cv_protocol, seed, CAST(lo > 0 AS INTEGER) AS significant_positive, CAST(hi < 0 AS INTEGER) AS significant_negative FROM ci WHERE seed < 2")
+@book.query("e15_required_increments", f"{CI} SELECT cv_protocol, seed, CAST(lo > 0 AS INTEGER) AS significant_positive, CAST(hi < 0 AS INTEGER) AS significant_negative FROM ci")
 def e15(spark, d):
-    declared = spark.createDataFrame([(0,), (1,)], "seed int")
+    declared = spark.createDataFrame([(0,), (1,), (2,)], "seed int")
     return decide.required_increments(increments(spark, d), declared, ["seed"]).select("cv_protocol", "seed", "significant_positive", "significant_negative")
 
 
@@ -44,9 +44,9 @@ def e16(spark, d):
     return credited(spark, d).select("cv_protocol", "seed", "significant_positive", "above_chance", "credited")
 
 
-@book.query("e17_build_decision", f"{CREDIT}, rk AS (SELECT *, row_number() OVER (PARTITION BY cv_protocol ORDER BY p, seed) AS k, count(*) OVER (PARTITION BY cv_protocol) AS m FROM cr), bh AS (SELECT *, coalesce(k <= max(CASE WHEN p <= k / m * 0.05 THEN k END) OVER (PARTITION BY cv_protocol), false) AS rejected FROM rk), g AS (SELECT seed, count(DISTINCT CASE WHEN sp = 1 AND ac = 1 AND rejected THEN cv_protocol END) AS n_protocols FROM bh GROUP BY seed) SELECT seed, n_protocols, CASE WHEN n_protocols = 2 THEN 'confirmed' WHEN n_protocols > 0 THEN 'exploratory' ELSE 'none' END AS decision FROM g")
+@book.query("e17_build_decision", f"{CREDIT}, {FOLDS_UP}, rk AS (SELECT *, row_number() OVER (PARTITION BY cv_protocol ORDER BY p, seed) AS k, count(*) OVER (PARTITION BY cv_protocol) AS m FROM cr JOIN f USING (cv_protocol, seed)), bh AS (SELECT *, coalesce(k <= max(CASE WHEN p <= k / m * 0.05 THEN k END) OVER (PARTITION BY cv_protocol), false) AS rejected FROM rk), g AS (SELECT seed, count(DISTINCT CASE WHEN sp = 1 AND ac = 1 AND folds_up >= 4 AND rejected THEN cv_protocol END) AS n_protocols FROM bh GROUP BY seed) SELECT seed, n_protocols, CASE WHEN n_protocols = 2 THEN 'confirmed' WHEN n_protocols > 0 THEN 'exploratory' ELSE 'none' END AS decision FROM g")
 def e17(spark, d):
-    return decide.build_decision(credited(spark, d).withColumn("folds_up", F.lit(4)), ["seed"], ["standard", "group"])
+    return decide.build_decision(credited(spark, d).join(folds_up(predictions(spark, d)), ["cv_protocol", "seed"]), ["seed"], ["standard", "group"])
 
 
 def dataset(spark, d):

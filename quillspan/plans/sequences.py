@@ -175,9 +175,10 @@ def w18(spark, sf_dir):
     return W.reject_windows(long, ["recording"], "channel", "v", 40, 3, ignored=(1,))
 
 
-@book.query("w19_baseline_correct", f"{T} SELECT trial, round(rt_sec - avg(CASE WHEN target = 0 THEN rt_sec END) OVER (PARTITION BY subject, block), 6) AS corrected FROM trials")
+@book.query("w19_baseline_correct", f"{T} SELECT trial, round(rt_sec - avg(CASE WHEN target = 0 THEN rt_sec END) OVER (PARTITION BY subject, block), 9) AS corrected FROM trials")
 def w19(spark, sf_dir):
-    return rounded(W.baseline_correct(trials(spark, sf_dir), BLOCK, "rt_sec", F.col("target") == 0).select("trial", "corrected"), "corrected")
+    # means of few values with few digits end in a 5 at the seventh place, so nine places are kept
+    return W.baseline_correct(trials(spark, sf_dir), BLOCK, "rt_sec", F.col("target") == 0).select("trial", F.round("corrected", 9).alias("corrected"))
 
 
 @book.query(

@@ -1,5 +1,8 @@
 """Hand-worked cases of the cohort, event and evaluation operators."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,10 +46,16 @@ def test_benjamini_hochberg(spark, p, expected):
     assert [r[0] for r in rows(resample.benjamini_hochberg(t, ["g"]).orderBy("p"), "rejected")] == expected
 
 
-def test_bootstrap_draws_one_weight_per_row_drawn(spark):
-    t = spark.range(20).select(F.lit("g").alias("g"), F.col("id").alias("subject"))
-    w = resample.draw_weights(t, ["g"], "subject", 5)
-    assert {r[0] for r in w.groupBy("replicate").agg(F.sum("weight")).select("sum(weight)").collect()} == {20}
+def test_bootstrap_weights_are_poisson_counts(spark):
+    t = spark.range(300).select(F.lit("g").alias("g"), F.col("id").alias("subject"))
+    w = resample.draw_weights(t, ["g"], ["subject"], "subject", 400)
+    rows = w.toPandas().pivot(index="subject", columns="replicate", values="weight").reindex(range(300)).fillna(0).to_numpy()
+    assert rows.shape == (300, 400)
+    assert rows.mean() == pytest.approx(1, abs=0.01) and rows.var() == pytest.approx(1, abs=0.02)
+    assert (rows == 0).mean() == pytest.approx(math.exp(-1), abs=0.005) and (rows == 3).mean() == pytest.approx(math.exp(-1) / 6, abs=0.003)
+    # neither subjects nor replicates go together
+    assert abs(np.corrcoef(rows) - np.eye(300)).max() < 0.3 and abs(np.corrcoef(rows.T) - np.eye(400)).max() < 0.35
+    assert abs((np.corrcoef(rows).sum() - 300) / (300 * 299)) < 0.002
 
 
 def test_signal_detection_of_the_oddball_case(spark):
@@ -100,9 +109,40 @@ def test_block_windows(spark):
 def test_beer_lambert_recovers_concentrations(spark):
     from quillspan.operators.signals import beer_lambert
 
-    t = spark.createDataFrame([(1, w, (a * 2 + b * -1) * 18.0) for w, (a, b) in clean.COEFFICIENTS.items()], "r int, wavelength int, density double")
-    r = beer_lambert(t, ["r"], F.lit(18.0)).first()
-    assert (r.hbo, r.hbr) == (pytest.approx(2), pytest.approx(-1))
+    # 2 and -1 micromol/l at age 13, 30 mm apart; each wavelength has its own path
+    factor = {690: 5.810526, 695: 5.802882, 830: 5.168526}
+    for pair in ((690, 830), (695, 830)):
+        t = spark.createDataFrame([(1, w, (clean.COEFFICIENTS[w][0] * 2e-6 + clean.COEFFICIENTS[w][1] * -1e-6) * 3.0 * factor[w]) for w in pair], "r int, wavelength int, density double")
+        r = beer_lambert(t, ["r"], pair, F.lit(30.0), F.lit(13.0)).first()
+        assert (r.hbo, r.hbr) == (pytest.approx(2, rel=1e-3), pytest.approx(-1, rel=1e-3))
+
+
+def test_hash_ranks_equal_a_plain_window(spark):
+    from pyspark.sql import Window
+
+    t = spark.range(500).select("id", F.when(F.col("id") % 5 < 4, F.lit("a")).when(F.col("id") % 2 == 0, F.lit("b")).alias("g"))
+    digest = splits.hash_order(3, "id")
+    got = {(r.id, r.g): (r["_k"], r["_n"]) for r in splits.hash_ranks(t, ["g"], digest, "id").collect()}
+    w = Window.partitionBy("g")
+    assert got == {(r.id, r.g): (r.k, r.n) for r in t.select("*", F.row_number().over(w.orderBy(digest, "id")).alias("k"), F.count("*").over(w).alias("n")).collect()}
+
+
+def test_ranking_metrics_with_scores_outside_the_unit_range(spark):
+    rng = np.random.default_rng(1)
+    score, label = np.round(rng.normal(0, 30, 400), 1), rng.integers(0, 2, 400)
+    t = spark.createDataFrame([(float(s), int(y)) for s, y in zip(score, label)], "probability double, label int").withColumn("k", F.lit(1))
+    pos, neg = score[label == 1], score[label == 0]
+    want = ((pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean())
+    assert metrics.auroc(t, ["k"]).first().auroc == pytest.approx(want)
+    assert metrics.auroc(t.drop("k"), []).first().auroc == pytest.approx(want)
+    step = sum((label[score == s]).sum() * label[score >= s].sum() / (score >= s).sum() for s in np.unique(score)) / label.sum()
+    assert metrics.average_precision(t, ["k"]).first().auprc == pytest.approx(step)
+
+
+def test_outer_folds_take_any_name_of_the_fold_column(spark):
+    t = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "id int, fold int")
+    found = {(r.fold, r.id): r.part for r in splits.outer_folds(t, "id", "fold").collect()}
+    assert found == {(0, 1): "val", (0, 2): "train", (1, 1): "train", (1, 2): "val"}
 
 
 def test_pathlength_factor(spark):
