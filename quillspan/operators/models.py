@@ -64,6 +64,13 @@ def prior(train: DataFrame, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     return rows.select(*keep).crossJoin(F.broadcast(share))
 
 
+def stratified_random(train: DataFrame, rows: DataFrame, keep: Sequence[str], key: str, seed: int = 0) -> DataFrame:
+    """A score of 1 for as large a share of the rows, picked by hash, as is positive in training, and 0 for the others."""
+    share = train.agg(F.avg("label").alias("_share"))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
+    return rows.crossJoin(F.broadcast(share)).select(*keep, (drawn < F.col("_share")).cast("double").alias("probability"))
+
+
 GRID = tuple(i / 20 for i in range(1, 20))
 
 
@@ -93,6 +100,51 @@ def nested_cv(df: DataFrame, key: str, fold: str, numeric: Sequence[str], catego
     return reduce(DataFrame.unionByName, out)
 
 
+def visual_pca(df: DataFrame, key: str, fold: str, embedding: Sequence[str], dimensions: Sequence[int], inner: int = 2) -> DataFrame:
+    """Out-of-fold scores with principal components of the embedding columns; their number is chosen by inner folds from the grid.
+
+    No dimension may exceed the smallest inner training set less one, nor the number of columns; ``dimension`` is the one chosen.
+    """
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)
+    keep, out = [key, fold, "label"], []
+    for f in folds:
+        train, test = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
+        part = F.pmod(F.xxhash64(F.col(key), F.lit(f)), F.lit(inner))
+        sizes = train.agg(*[F.count_if(part != i).alias(f"n_{i}") for i in range(inner)]).first()
+        most = max(1, min(*sizes, len(embedding) + 1) - 1)
+        best = None
+        for k in sorted({min(d, most) for d in dimensions}):
+            parts = [score(fit(train.filter(part != i), [], [], "logistic", embedding, k), train.filter(part == i), keep) for i in range(inner)]
+            value = auroc(reduce(DataFrame.unionByName, parts), []).first()[0] or 0.0
+            if best is None or value > best[0]:
+                best = value, k
+        out.append(score(fit(train, [], [], "logistic", embedding, best[1]), test, keep).withColumn("dimension", F.lit(best[1])))
+    return reduce(DataFrame.unionByName, out)
+
+
+def crossfit(train: DataFrame, test: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], families: Sequence[str] = ("logistic", "forest", "boosting"), inner: int = 2, stop: float = 0.2) -> DataFrame:
+    """Scores by cross-fitting: each inner fold picks a family on a stopping subset of its own training rows, then scores its held-out rows.
+
+    Rows of ``train`` come back with their inner score (part inner), rows of ``test`` with the mean of the inner models (part outer).
+    """
+    keep = [key, "label"]
+    fold = F.pmod(F.xxhash64(F.col(key)), F.lit(inner))
+    stopping = F.pmod(F.xxhash64(F.col(key), F.lit("stop")), F.lit(1000)) < F.lit(1000 * stop)
+    held, outer = [], []
+    for i in range(inner):
+        own = train.filter(fold != i)
+        best = None
+        for family in families:
+            model = fit(own.filter(~stopping), numeric, categorical, family)
+            value = auroc(score(model, own.filter(stopping), keep), []).first()[0] or 0.0
+            if best is None or value > best[0]:
+                best = value, family, model
+        held.append(score(best[2], train.filter(fold == i), keep).withColumns({"part": F.lit("inner"), "family": F.lit(best[1])}))
+        outer.append(score(best[2], test, keep).withColumn("family", F.lit(best[1])))
+    mean = reduce(DataFrame.unionByName, outer).groupBy(*keep).agg(F.avg("probability").alias("probability"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("family"))
+    return reduce(DataFrame.unionByName, held).unionByName(mean.withColumn("part", F.lit("outer")), allowMissingColumns=True)
+
+
 def stack(train: DataFrame, test: DataFrame, components: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Logistic regression on the log-odds of component scores."""
     odds = [f"{c}__logit" for c in components]

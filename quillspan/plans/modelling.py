@@ -70,7 +70,8 @@ def k02(spark, d):
 
     rows = dataset(spark, d)
     fitted = Pipeline(stages=models.preprocess(NUMBERS, ["sex"])).fit(rows.filter("fold > 0"))
-    return fitted.transform(rows.filter("fold = 0")).select("subject", F.size(vector_to_array("features")).alias("n_features"))
+    vector = F.transform(vector_to_array("features"), lambda v: F.round(v, 6))
+    return fitted.transform(rows.filter("fold = 0")).select("subject", F.size(vector).alias("n_features"), F.array_join(F.transform(vector, lambda v: v.cast("string")), " ").alias("features"))
 
 
 @book.query("k03_models")
@@ -80,6 +81,7 @@ def k03(spark, d):
     keep = ["subject", "label"]
     found = [models.score(models.fit(train, NUMBERS, ["sex"], m), test, keep).withColumn("model", F.lit(m)) for m in ("logistic", "forest", "boosting")]
     found.append(models.prior(train, test, keep).withColumn("model", F.lit("prior")))
+    found.append(models.stratified_random(train, test, keep, "subject").withColumn("model", F.lit("random")))
     return checked(reduce(DataFrame.unionByName, found))
 
 
@@ -92,19 +94,14 @@ def k04(spark, d):
 def k05(spark, d):
     e = table(spark, d, "embeddings")
     names = [f"emb_{i}" for i in range(64)]
-    rows = e.select(F.col("vec_id").alias("subject"), (F.col("label") < 5).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    model = models.fit(rows.filter("subject % 2 = 0"), [], [], "logistic", names, 4)
-    return checked(models.score(model, rows.filter("subject % 2 = 1"), ["subject", "label"]))
+    rows = e.select(F.col("vec_id").alias("subject"), (F.col("label") < 5).cast("int").alias("label"), (F.col("vec_id") % 2).cast("int").alias("fold"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return checked(models.visual_pca(rows, "subject", "fold", names, (4, 16)))
 
 
 @book.query("k06_crossfit")
 def k06(spark, d):
     rows = dataset(spark, d)
-    keep = ["subject", "label"]
-    test = rows.filter("fold = 0")
-    train = rows.filter("fold > 0").withColumn("inner", (F.xxhash64("subject") % 2 == 0).cast("int"))
-    parts = [models.score(models.fit(train.filter(F.col("inner") != i), NUMBERS, ["sex"], "logistic"), test, keep) for i in (0, 1)]
-    return checked(reduce(DataFrame.unionByName, parts).groupBy(*keep).agg(F.avg("probability").alias("probability")))
+    return checked(models.crossfit(rows.filter("fold > 0"), rows.filter("fold = 0"), "subject", NUMBERS, ["sex"]))
 
 
 @book.query("k07_stack")
@@ -136,3 +133,13 @@ def k10(spark, d):
 def k11(spark, d):
     rows = dataset(spark, d).withColumn("is_locked_test", (F.col("subject") % 5 == 0).cast("int"))
     return checked(models.holdout_eval(rows, "subject", "is_locked_test", NUMBERS, ["sex"], "logistic"))
+
+
+@book.query("k11_holdout_interval")
+def k11_interval(spark, d):
+    """AUROC and average precision of the locked set, scored once, with bootstrap intervals."""
+    scores = k11(spark, d).withColumns({"k": F.lit("holdout"), "feature_set": F.lit("all")})
+    point = metrics.auroc(scores, ["k"]).join(metrics.average_precision(scores, ["k"]), "k")
+    draws = resample.bootstrap_metrics(scores, ["k"], ["feature_set"], "subject", B)
+    found = point.join(resample.interval(draws, ["k"], ["auroc", "auprc"]), "k").drop("k")
+    return found.select(*[F.round(c, 4).alias(c) if c != "n_replicates" else F.col(c) for c in found.columns])
