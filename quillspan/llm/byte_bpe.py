@@ -18,7 +18,6 @@ doc_id is carried through; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -26,10 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm.common import documents
+from quillspan.llm.common import documents, without_gc
 
-#: Entries of a task's cache of encoded pieces; it is emptied when full.
-CACHE_ENTRIES = 500_000
+#: Entries of a task's cache of encoded pieces, and of known pairs of tokens; each is emptied when full.
+CACHE_ENTRIES, PAIR_ENTRIES = 500_000, 4_000_000
+#: Longer pieces are not kept, so that the cache is bounded in bytes as well.
+KEPT_LENGTH = 64
 
 
 class PrefixTable:
@@ -72,6 +73,8 @@ class PrefixTable:
         """Whether the bytes of a and b, put together, are encoded as a and b."""
         known = self.apart.get((a, b))
         if known is None:
+            if len(self.apart) >= PAIR_ENTRIES:
+                self.apart.clear()
             known = self.apart[a, b] = self._check_apart(a, b)
         return known
 
@@ -184,7 +187,9 @@ class _Pieces(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         ids = self.table.encode(piece.encode())
-        value = self[piece] = (ids, " ".join(map(str, ids)))
+        value = (ids, " ".join(map(str, ids)))
+        if len(piece) <= KEPT_LENGTH:
+            self[piece] = value
         return value
 
 
@@ -195,7 +200,10 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fal
         table = prefix_table(vocabulary)
         split = regex.compile(pattern).findall
         known = _Pieces(table)
-        gc.disable()  # the caches hold no cycles, and walking them costs more than the encoding
+        with without_gc():
+            yield from encode_with(table, split, known, batches)
+
+    def encode_with(table, split, known, batches):
         for batch in batches:
             count, ids_sha, bytes_sha, kept = [], [], [], []
             for text in batch.column("text").to_pylist():

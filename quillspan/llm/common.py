@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import add
 
@@ -83,6 +84,18 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """No collection of cycles meanwhile: large caches of a task hold none, and walking them costs more than filling them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

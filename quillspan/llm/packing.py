@@ -8,7 +8,7 @@ open, the fullest closes.  A full bin closes at once.
 
 What is still open when a task ends is not final: those pieces go, largest first, to the next
 round, which has fewer tasks, until one task is left whose input is bounded by the bins that
-a round may leave open.  So the sequences wasted do not grow with the number of tasks.
+a round may leave open (FAN_IN * OPEN_BINS sequences, thus at most that many times SEQUENCE pieces of one token each).  So the sequences wasted do not grow with the number of tasks.
 
 Defined cases: a null or empty text is a document of one token, the separator; a document of exactly the
 sequence length is one piece; ties between bins go to the one opened last; repeated rows
@@ -18,7 +18,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from array import array
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import documents, stored
+from quillspan.llm.common import documents, stored, without_gc
 
 SEQUENCE = 2048
 SEPARATOR = 0
@@ -40,6 +39,8 @@ PIECES_PER_TASK = 200_000
 FAN_IN = 16
 #: Entries of a task's cache of encoded words; it is emptied when full.
 CACHE_ENTRIES = 600_000
+#: Longer words are not kept, so that the cache is bounded in bytes as well.
+KEPT_LENGTH = 64
 
 def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte."""
@@ -65,7 +66,9 @@ class _Known(dict):
     def __missing__(self, key: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= KEPT_LENGTH:
+            self[key] = value
         return value
 
 
@@ -116,8 +119,10 @@ def pieces_of(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE) -> Dat
     """doc_id, piece, start, length, ids_crc32 of every piece, and row_key of its document's row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(vocabulary)
-        gc.disable()  # the caches hold no cycles, and walking them costs more than the encoding
+        with without_gc():
+            yield from cut_with(encoder(vocabulary), batches)
+
+    def cut_with(tokens: WordEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.uint32(SEPARATOR).tobytes()
         for batch in batches:
             rows: list[tuple] = []

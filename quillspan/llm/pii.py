@@ -490,7 +490,7 @@ def fit(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Model | None:
     """A model from at most ``most`` documents of docs."""
     some = docs.select("doc_id", "text").filter(f"doc_id IS NOT NULL AND octet_length(text) <= {SAMPLE_TEXT_BYTES}")
     ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = some.join(F.broadcast(ids), "doc_id").limit(2 * most).toPandas().sort_values(["doc_id", "text"])
+    rows = some.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return train(rows["text"].tolist())
 
 

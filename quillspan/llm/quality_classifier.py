@@ -10,7 +10,8 @@ in the tasks, with the weights (a fixed 2**18 floats) sent along.
 Only rows whose crc32(doc_id as text) modulo 3 is not 1 are learned from; the score of a text depends
 on nothing but its text.
 
-Defined cases: null and empty texts score by the intercept alone; several labels of one document each count as a row; without
+Defined cases: null and empty texts score by the intercept alone; different labels of one document each count as a row, and of several texts of one id the
+smallest is learned from; texts longer than LABELLED_BYTES are scored whole and not learned from; without
 labelled rows, or with one class, all scores are those of an untrained
 model (0.5) or of the class seen; repeated rows are scored one by one; a null doc_id is carried through,
 and never held out; an empty table gives an empty result; other columns are ignored.
@@ -29,8 +30,8 @@ from quillspan.llm.common import documents
 from quillspan.llm.textcore import LOWER, mix, pieces, span_hashes, text_bytes, word_bounds
 
 BITS = 18
-#: At most so many labelled rows are learned from, those first in a hash order of the id.
-LABELLED_ROWS = 3000
+#: At most so many labelled rows are learned from, those first in a hash order of the id, with texts of at most so many bytes.
+LABELLED_ROWS, LABELLED_BYTES = 3000, 1 << 17
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 SEED = 7
@@ -133,7 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> np.nda
     """Weights from at most ``most`` labelled rows that are not held out."""
     allowed = labels.filter(~held_out() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = allowed.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "quality"])
+    some = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LABELLED_BYTES)
+    # one row an id and label, however often the id is repeated
+    rows = some.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "quality"])
     return train(rows["text"].tolist(), rows["quality"].tolist())
 
 

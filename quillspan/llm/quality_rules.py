@@ -228,7 +228,8 @@ def sample_texts(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> pa.Array:
     """
     some = docs.select("doc_id", "text").filter(f"doc_id IS NOT NULL AND coalesce(octet_length(text), 0) <= {SAMPLE_TEXT_BYTES}")
     ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return pa.array(some.join(F.broadcast(ids), "doc_id").limit(2 * sample_rows).toPandas()["text"].tolist(), pa.string())
+    rows = some.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toPandas()
+    return pa.array(rows["text"].tolist(), pa.string())
 
 
 def plan_cascade(texts: pa.Array, rules: tuple[Rule, ...] = RULES, given: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:

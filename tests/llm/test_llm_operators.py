@@ -622,6 +622,43 @@ def test_chat_repair_over_pieces(spark, monkeypatch):
     assert chat_format.repaired(df.limit(0)).count() == 0
 
 
+def test_chat_takes_other_columns_long_texts_and_repeated_rows(spark):
+    turns = [(1, 0, "user", "x" * 300_000), (1, 1, "assistant", "é " * 50_000), (1, 1, "assistant", "é " * 50_000), (2, 0, "tool", ""), (None, 0, None, None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    names = ("position", "actions", "piece", "state", "cost", "conversation", "place", "kept", "part", "n", "key")
+    plain = sorted(map(str, chat_format.repaired(df).collect()))
+    assert sorted(map(str, chat_format.repaired(df.withColumns({c: F.lit(1) for c in names})).collect())) == plain
+    assert sum(len(r.text or "") for r in chat_format.repaired(df).filter("conv_id = 1").collect()) >= 500_000
+
+
+def test_classifier_takes_other_columns_long_texts_and_repeated_rows(spark, clashing):
+    rows = [(i, ("clean prose of plain words " if i % 2 else "JUNK!!! ### $$$ BUY!!! ") * (3 + i % 5)) for i in range(60)]
+    df = table(spark, [*rows, *rows, (500, "clean prose of plain words " * 20_000), (501, "JUNK!!! ### $$$ BUY!!! " * 20_000)])
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] * 2 + [(500, 0), (501, 1)], "doc_id long, quality int")
+    weights = quality_classifier.fit(df.withColumns({c: F.lit(1) for c in ("quality", "score", "held_out", "toxic")}), labels)
+    assert (weights == quality_classifier.fit(table(spark, rows), labels.filter("doc_id < 60"))).all()  # copies and over-long texts teach nothing
+    got: dict = {}
+    for r in quality_classifier.scored(df, weights).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert all(len(got[i]) == 2 and got[i][0] == got[i][1] for i, _ in rows)
+    assert got[500][0] > 0.5 > got[501][0]
+    assert quality_classifier.scored(clashing, weights).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_pipeline_on_empty_tables_and_clashing_columns(spark, clashing, empty, tmp_path):
+    import corpus_pipeline
+
+    good = clashing.withColumn("text", F.concat_ws(" ", F.lit(PROSE), F.expr("concat_ws(' ', transform(sequence(1, 300), i -> concat('k', doc_id, 'x', i)))")))
+    for name, docs, n in (("empty", empty, 0), ("clashing", good, 9)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        left = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        columns = left.columns
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            left = corpus_pipeline.stored(run(spark, left, str(tmp_path / name)), stage)
+            assert left.columns == columns and left.count() == n, stage
+        assert (corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path / name)).count() > 0) == (n > 0)
+
+
 def test_pipeline_on_a_small_table(spark, tmp_path):
     import corpus_pipeline
 
