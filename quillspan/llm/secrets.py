@@ -191,7 +191,7 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> list[str]:
     """The most frequent words of plain letters of all texts, the most frequent first."""
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).filter(F.length("word").between(3, LONGEST_WORD))
     counted = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
-    return [r[0] for r in counted.select("word").collect()]
+    return counted.select("word").toPandas()["word"].tolist()  # merged in a task: the driver is sent the chosen words alone
 
 
 def ranked(words: list[str]) -> dict[str, int]:
