@@ -1 +1 @@
-"""Part of the cohort analytics library."""
+"""Structured Streaming jobs over event streams."""

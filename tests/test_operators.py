@@ -260,3 +260,65 @@ def test_sequence_examples_of_sparse_subjects(spark, monkeypatch):
     t = spark.createDataFrame([(15 + 7 * s, float(o), o, f"s{o}") for s in range(12) for o in range(2)], "subject long, onset_sec double, trial int, stimulus string")
     monkeypatch.setattr(plans, "trials", lambda spark, d: t)
     assert rows(plans.a14(spark, ""), "subject", "codes") == [(15 + 7 * s, "s0 s1") for s in range(10)]
+
+
+def test_streamed_trials_equal_the_batch(spark, tmp_path):
+    """Repeated and late trials over three files, against the same rows at once; windows past the watermark are final."""
+    import datetime as dt
+
+    from quillspan.streaming.trials import windowed_trials
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i % 3, day + dt.timedelta(hours=7 * i), i, float(i % 5), "" if i % 4 == 0 else "1") for i in range(60)]
+    schema = "subject int, at timestamp, trial long, rt double, response string"
+    parts = [rows[:25] + rows[:3], rows[27:45] + rows[20:27], rows[45:] + [(9, day + dt.timedelta(days=60), 999, 1.0, "1")]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = (
+            windowed_trials(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "subject", "at", "trial", "rt", "response")
+            .writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    want = sorted(map(tuple, windowed_trials(spark.createDataFrame(rows, schema), "subject", "at", "trial", "rt", "response").collect()))
+    assert got == want
+
+
+def test_block_summaries_by_hand(spark):
+    from quillspan.operators import blocks
+
+    t = spark.createDataFrame([("s", 0, "left", 1.0), ("s", 0, "right", 3.0), ("s", 1, "left", 2.0), ("s", 1, "right", 8.0)], "u string, block int, region string, response double")
+    t = t.withColumns({c: F.col("response") for c in ("peak", "time_to_peak", "area", "recovery")})
+    r = blocks.block_summary(t, ["u"], "block", "region").first()
+    assert (r.response_mean, r.n_blocks, r.response_left, r.response_right, r.lateralisation) == (3.5, 2, 1.5, 5.5, 4.0)
+    assert (r.consistency_std, r.first_minus_last) == (1.5, -3.0)
+
+
+def test_spectral_regions_of_two_sines(spark):
+    from quillspan.operators import blocks, signals
+
+    at = np.arange(256) / 64.0
+    rows = [("s", c, i, float(v)) for c, (f, size) in enumerate(((10.0, 1.0), (10.0, 2.0), (20.0, 1.0))) for i, v in enumerate(size * np.sin(2 * np.pi * f * at))]
+    density = signals.welch(spark.createDataFrame(rows, "u string, channel int, i int, v double"), ["u", "channel"], "i", "v", 64.0, 64)
+    bands = blocks.band_table(density, ["u", "channel"]).withColumn("region", F.when(F.col("channel") == 0, "left").when(F.col("channel") == 1, "right"))
+    shares = {(r.channel, r.band): r.relative for r in bands.collect()}
+    assert shares[0, "alpha"] > 0.99 and shares[2, "beta"] > 0.99
+    r = blocks.spectral_regions(bands, ["u"], "region").first()
+    assert r.asymmetry_alpha == pytest.approx(math.log(4), abs=1e-3)  # twice the amplitude, four times the power
+    assert r.right_alpha_log - r.left_alpha_log == pytest.approx(math.log10(4), abs=1e-6)
+    assert r.theta_alpha_ratio < 1e-3 < r.beta_alpha_ratio
+
+
+def test_model_jobs_on_a_small_table(spark):
+    from quillspan.operators import models
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, int(y), float(y * 2 + rng.normal()), float(rng.normal()), *rng.normal(0, 1, 4).tolist()) for i, y in enumerate(rng.integers(0, 2, 120))]
+    t = spark.createDataFrame([(i, f, y, a, b, y + e[0], *e[1:]) for i, f, y, a, b, *e in rows], "subject long, fold int, label int, a double, b double, e0 double, e1 double, e2 double, e3 double")
+    found = models.crossfit(t.filter("fold > 0"), t.filter("fold = 0"), "subject", ["a", "b"], [], ("logistic", "forest")).cache()
+    assert found.filter("part = 'outer'").count() == 40 and found.filter("part = 'inner'").count() == 80 and found.select("subject").distinct().count() == 120
+    assert metrics.auroc(found.filter("part = 'inner'").withColumn("k", F.lit(1)), ["k"]).first().auroc > 0.8
+    pca = models.visual_pca(t, "subject", "fold", ["e0", "e1", "e2", "e3"], (2, 400)).cache()
+    assert pca.count() == 120 and all(1 <= r.dimension <= 4 for r in pca.select("dimension").distinct().collect())
+    drawn = models.stratified_random(t, t, ["subject"], "subject")
+    assert drawn.agg(F.avg("probability")).first()[0] == pytest.approx(t.agg(F.avg("label")).first()[0], abs=0.15)
