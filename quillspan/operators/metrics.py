@@ -64,6 +64,16 @@ def average_precision(df: DataFrame, keys: Sequence[str], score: str = "probabil
     )
 
 
+def ranking(df: DataFrame, keys: Sequence[str], score: str = "probability", label: str = "label", weight: Column | None = None) -> DataFrame:
+    """AUROC and average precision from one pass over the scores."""
+    ranked = cumulative(score_counts(df, keys, score, label, weight), keys, score, True, tp=F.col("pos"), fp=F.col("neg"))
+    every = F.sum("pos") * F.sum("neg")
+    return ranked.groupBy(*keys).agg(
+        F.try_divide(every - F.sum(F.col("pos") * F.col("fp")) + 0.5 * F.sum(F.col("pos") * F.col("neg")), every).alias("auroc"),
+        F.try_divide(F.sum(F.try_divide(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("pos")).alias("auprc"),
+    )
+
+
 def confusion(df: DataFrame, keys: Sequence[str], threshold: Column, score: str = "probability", label: str = "label", weight: Column | None = None) -> DataFrame:
     """tp, fp, tn, fn of score >= threshold; the threshold may differ by row."""
     w = F.lit(1).cast("long") if weight is None else weight
@@ -116,7 +126,7 @@ def all_metrics(df: DataFrame, keys: Sequence[str], threshold: Column, score: st
     w = F.lit(1).cast("long") if weight is None else weight
     out = df.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).cast("long").alias("n_positive"))
     for part in (
-        brier(df, keys, score, label, weight), auroc(df, keys, score, label, weight), average_precision(df, keys, score, label, weight),
+        brier(df, keys, score, label, weight), ranking(df, keys, score, label, weight),
         threshold_metrics(confusion(df, keys, threshold, score, label, weight)), calibration(df, keys, score=score, label=label, weight=weight),
     ):
         out = out.join(part, list(keys))

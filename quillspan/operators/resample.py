@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.clean import stable_number
-from quillspan.operators.metrics import all_metrics, auroc, average_precision
+from quillspan.operators.metrics import brier, calibration, confusion, ranking, threshold_metrics
 
 
 #: The cumulative Poisson(1) probabilities of 0, 1, 2 ... (a weight of 9 or more has probability 1e-6).
@@ -50,7 +50,7 @@ def bootstrap_metrics(rows: DataFrame, keys: Sequence[str], by: Sequence[str], s
     """AUROC and average precision of each replicate for each group of (keys, by); draws are shared over ``by``."""
     weighted = draw_weights(rows, keys, [*by, "label", "probability"], subject, replicates, seed)
     groups = [*keys, *by, "replicate"]
-    return auroc(weighted, groups, weight=F.col("weight")).join(average_precision(weighted, groups, weight=F.col("weight")), groups)
+    return ranking(weighted, groups, weight=F.col("weight"))
 
 
 def bootstrap_all(rows: DataFrame, keys: Sequence[str], by: Sequence[str], subject: str, replicates: int, thresholds: Mapping[str, Column], seed: int = 0) -> DataFrame:
@@ -59,8 +59,12 @@ def bootstrap_all(rows: DataFrame, keys: Sequence[str], by: Sequence[str], subje
     rows = rows.select(*keys, *by, subject, "label", "probability", *named)
     weighted = draw_weights(rows, keys, [*by, "label", "probability", *(f"_threshold_{name}" for name in thresholds)], subject, replicates, seed)
     groups = [*keys, *by, "replicate"]
-    found = [all_metrics(weighted, groups, F.col(f"_threshold_{name}"), weight=F.col("weight")).withColumn("threshold_type", F.lit(name)) for name in thresholds]
-    return reduce(DataFrame.unionByName, found)
+    w = F.col("weight")
+    every = ranking(weighted, groups, weight=w).join(brier(weighted, groups, weight=w), groups).join(calibration(weighted, groups, weight=w), groups)
+    kinds = F.array(*[F.struct(F.lit(name).alias("threshold_type"), F.col(f"_threshold_{name}").cast("double").alias("_threshold")) for name in thresholds])
+    called = weighted.select(*groups, "label", "probability", "weight", F.explode(kinds).alias("_kind")).select("*", "_kind.*")
+    counts = threshold_metrics(confusion(called, [*groups, "threshold_type"], F.col("_threshold"), weight=w))
+    return counts.join(every, groups)
 
 
 def interval(draws: DataFrame, keys: Sequence[str], metrics: Sequence[str], level: float = 0.95) -> DataFrame:
