@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import documents, dropped, stored
+from quillspan.llm.common import documents, dropped, small, stored
 from quillspan.llm.textcore import _BASE, _INVERSE, _LETTER, mix, pieces, powers, text_bytes
 
 LENGTH = 200
@@ -249,16 +249,18 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
         rows.select("text", "key_a", "key_b").mapInArrow(_stretch_batches, "key_a long, key_b int, lo int, hi int, back int, name long, whole long"),
         "stretches",
     )
-    often = parts.groupBy("name").count().filter("count > 1").select("name")
-    again = stored(parts.join(often, "name", "left_semi"), "repeated")
-    dropped(parts)
+    # names are counted apart, so that the join reads plain exchanges, whose hot partitions can be split
+    often = stored(parts.groupBy("name").count().filter("count > 1").select("name"), "often")
+    again = stored(parts.join(small(often), "name", "left_semi"), "repeated")
+    dropped(parts, often)
     # copies of a stretch are counted in the tasks first, so a stretch in very many texts is a row a task
     distinct = stored(
         again.groupBy("name", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b", "lo", "hi", "back")).alias("at")), "distinct"
     )
     crowd = distinct.groupBy("name").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("name", F.ceil(F.col("kinds") / BUCKET_STRETCHES).cast("int").alias("parts"))
+    crowd = stored(crowd, "crowd")
     wanted = F.struct("at.key_a", "at.key_b", "at.lo", "at.hi", "at.back", "name", "parts", (F.col("copies") == 1).alias("alone"))
-    asked = stored(distinct.join(crowd, "name").groupBy("at.key_a", "at.key_b").agg(F.collect_list(wanted).alias("asked")), "asked")
+    asked = stored(distinct.join(small(crowd), "name").groupBy("at.key_a", "at.key_b").agg(F.collect_list(wanted).alias("asked")), "asked")
     some = (
         rows.join(asked, ["key_a", "key_b"]).select("text", "asked")
         .mapInArrow(_window_batches, "name long, part long, key_a long, key_b int, at long, marks binary, places binary, windows binary")
@@ -266,7 +268,7 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
         .mapInArrow(_bucket_batches, "key_a long, key_b int, start int, end int")
     )
     some = stored(some, "runs")
-    dropped(asked)
+    dropped(asked, crowd)
     full = again.join(distinct.filter("copies > 1").select("name", "whole"), ["name", "whole"], "left_semi").select(
         "key_a", "key_b", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end")
     )
