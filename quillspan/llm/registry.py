@@ -6,6 +6,7 @@ from quillspan.llm.byte_bpe import op6_byte_bpe
 from quillspan.llm.chat_format import op1_chat_format
 from quillspan.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from quillspan.llm.fill_middle import OP13_SQL, op13_fill_in_middle
+from quillspan.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from quillspan.llm.jaccard_join import op7_jaccard_join
 from quillspan.llm.packing import op4_best_fit_packing
 from quillspan.llm.pii import op5_pii
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL = {
     "op9_quality_rules": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
