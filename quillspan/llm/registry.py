@@ -8,6 +8,7 @@ from quillspan.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from quillspan.llm.fill_middle import OP13_SQL, op13_fill_in_middle
 from quillspan.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from quillspan.llm.jaccard_join import op7_jaccard_join
+from quillspan.llm.minhash_forest import op11_minhash_forest
 from quillspan.llm.packing import op4_best_fit_packing
 from quillspan.llm.pii import op5_pii
 from quillspan.llm.quality_classifier import op2_quality_classifier
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_minhash_forest": op11_minhash_forest,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
