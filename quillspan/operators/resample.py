@@ -1,71 +1,13 @@
-"""Resampling on prediction tables: bootstrap, paired increments, permutations, false discovery.
-
-No random generator is used.  The weight of a subject in replicate b is a Poisson(1) count made from the SHA-1 of
-(seed, group, subject) and b, the form of the bootstrap that needs neither the group's size nor numbered rows; so every row finds its
-weights alone, results do not depend on partitions, and feature sets of one group share their draws.
-Weights are summed per (replicate, label, score), pre-aggregated in the tasks, before anything is ranked.
-"""
+"""Resampling on prediction tables: intervals and increments of bootstrap draws, permutations, false discovery."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.clean import stable_number
-from quillspan.operators.metrics import brier, calibration, confusion, ranking, threshold_metrics
-
-
-#: The cumulative Poisson(1) probabilities of 0, 1, 2 ... (a weight of 9 or more has probability 1e-6).
-POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020)
-#: A prime below 2**31, so that a square fits a long.
-PRIME = 2147483647
-
-
-def mixed(number: Column, replicate: Column) -> Column:
-    """A number below PRIME for a subject with this number in a replicate; squaring twice modulo the prime mixes the two."""
-    x = (number + replicate * 1640531527) % PRIME
-    x = (x * x + 12345 + number) % PRIME
-    return (x * x + replicate) % PRIME
-
-
-def poisson_count(x: Column) -> Column:
-    """How many of the cumulative probabilities a number below PRIME reaches."""
-    return reduce(lambda n, p: n + (x >= int(p * PRIME)).cast("long"), POISSON, F.lit(0).cast("long"))
-
-
-def draw_weights(rows: DataFrame, keys: Sequence[str], by: Sequence[str], subject: str, replicates: int, seed: int = 0) -> DataFrame:
-    """keys, by, replicate, weight: the rows of every replicate, as sums of weights over equal rows of the other columns ``by``."""
-    number = stable_number(seed, *[F.col(k) for k in keys], F.col(subject)) % PRIME
-    # a row becomes as many rows as there are replicates, so even a table of one file is dealt out first
-    dealt = rows.select(*keys, *by, number.alias("_number")).repartition("_number")
-    counted = dealt.select(*keys, *by, "_number", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias("replicate"))
-    weighted = counted.withColumn("_x", mixed(F.col("_number"), F.col("replicate"))).withColumn("weight", poisson_count(F.col("_x")))
-    return weighted.groupBy(*keys, *by, "replicate").agg(F.sum("weight").alias("weight")).filter("weight > 0")
-
-
-def bootstrap_metrics(rows: DataFrame, keys: Sequence[str], by: Sequence[str], subject: str, replicates: int, seed: int = 0) -> DataFrame:
-    """AUROC and average precision of each replicate for each group of (keys, by); draws are shared over ``by``."""
-    weighted = draw_weights(rows, keys, [*by, "label", "probability"], subject, replicates, seed)
-    groups = [*keys, *by, "replicate"]
-    return ranking(weighted, groups, weight=F.col("weight"))
-
-
-def bootstrap_all(rows: DataFrame, keys: Sequence[str], by: Sequence[str], subject: str, replicates: int, thresholds: Mapping[str, Column], seed: int = 0) -> DataFrame:
-    """Every metric of each replicate, once for each kind of threshold (a column of ``rows`` or a constant)."""
-    named = [c.alias(f"_threshold_{name}") for name, c in thresholds.items()]
-    rows = rows.select(*keys, *by, subject, "label", "probability", *named)
-    weighted = draw_weights(rows, keys, [*by, "label", "probability", *(f"_threshold_{name}" for name in thresholds)], subject, replicates, seed)
-    groups = [*keys, *by, "replicate"]
-    w = F.col("weight")
-    every = ranking(weighted, groups, weight=w).join(brier(weighted, groups, weight=w), groups).join(calibration(weighted, groups, weight=w), groups)
-    kinds = F.array(*[F.struct(F.lit(name).alias("threshold_type"), F.col(f"_threshold_{name}").cast("double").alias("_threshold")) for name in thresholds])
-    called = weighted.select(*groups, "label", "probability", "weight", F.explode(kinds).alias("_kind")).select("*", "_kind.*")
-    counts = threshold_metrics(confusion(called, [*groups, "threshold_type"], F.col("_threshold"), weight=w))
-    return counts.join(every, groups)
-
 
 def interval(draws: DataFrame, keys: Sequence[str], metrics: Sequence[str], level: float = 0.95) -> DataFrame:
     """Percentile interval and mean of each metric over the replicates."""

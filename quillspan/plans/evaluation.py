@@ -33,7 +33,7 @@ def e01_auroc(spark, sf_dir):
     return metrics.auroc(predictions(spark, sf_dir), FOLD).withColumn("auroc", F.round("auroc", 6))
 
 
-from quillspan.operators import resample  # noqa: E402
+from quillspan.operators import bootstrap, resample  # noqa: E402
 
 P = f"WITH {PREDICTIONS_SQL}"
 GROUP = ("cv_protocol", "feature_set", "seed")
@@ -164,27 +164,35 @@ def e10(spark, sf_dir):
 
 #: Replicates of the bootstrap, as in the reference's configurations.
 B = 1000
-PRIME = resample.PRIME
-WEIGHT = " + ".join(f"CAST(x >= {int(p * PRIME)} AS BIGINT)" for p in resample.POISSON)
+PRIME = bootstrap.PRIME
+#: A draw's number from the group's number g, the node, the replicate b and its place i among the node's draws.
+DRAW = f"""(SELECT *, (z * z + i) % {PRIME} AS x FROM (SELECT *, (y * y + b) % {PRIME} AS z FROM (SELECT *, (v * v + 12345 + a) % {PRIME} AS y FROM (
+        SELECT *, (a + b * 1640531527) % {PRIME} AS v FROM (SELECT *, (g + 16807 * node + i) % {PRIME} AS a FROM {{}})))))"""
 
 
 def draws_sql(by):
-    """The rows of every replicate, equal rows summed; by names the columns that stay."""
-    return f"""n AS (SELECT *, CAST(('0x' || substr(sha1('0|' || cv_protocol || '|' || seed || '|' || subject), 1, 8)) AS BIGINT) % {PRIME} AS number FROM predictions),
-    x AS (SELECT {by}, replicate, (z * z + replicate) % {PRIME} AS x FROM (SELECT *, (y * y + 12345 + number) % {PRIME} AS z FROM (
-        SELECT *, (number + replicate * 1640531527) % {PRIME} AS y FROM n, range(1, {B + 1}) r(replicate)))),
-    weighted AS MATERIALIZED (SELECT {by}, replicate, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT *, {WEIGHT} AS weight FROM x) WHERE weight > 0 GROUP BY ALL)"""
+    """The rows of every replicate, equal rows summed; by names the columns that stay.  A group's draws go down one level of the tree, as they do for up to 16,384 subjects."""
+    number = lambda *parts: f"CAST(('0x' || substr(sha1({' || '.join(parts)}), 1, 8)) AS BIGINT)"
+    return f"""subjects AS (SELECT *, row_number() OVER (PARTITION BY cv_protocol, seed ORDER BY h, subject) - 1 AS place, h >> 28 AS child FROM (
+        SELECT DISTINCT cv_protocol, seed, subject, {number("'0|'", "cv_protocol", "'|'", "seed", "'|'", "subject")} AS h FROM predictions)),
+    nodes AS (SELECT cv_protocol, seed, child, count(*) AS m, min(place) AS first FROM subjects GROUP BY ALL),
+    groups AS (SELECT cv_protocol, seed, sum(m) AS n, {number("'0|'", "cv_protocol", "'|'", "seed")} % {PRIME} AS g, 0 AS node FROM nodes GROUP BY ALL),
+    top AS (SELECT cv_protocol, seed, b, g, CAST(x * n // {PRIME} AS BIGINT) AS r FROM {DRAW.format(f"(SELECT * FROM groups, range(1, {B + 1}) q(b), LATERAL (SELECT unnest(range(CAST(n AS BIGINT))) AS i))")}),
+    dealt AS (SELECT cv_protocol, seed, child, 1 + child AS node, m, first, b, g, count(*) AS c FROM top JOIN nodes USING (cv_protocol, seed) WHERE r >= first AND r < first + m GROUP BY ALL),
+    drawn AS (SELECT cv_protocol, seed, b, first + x * m // {PRIME} AS place, count(*) AS weight FROM {DRAW.format("(SELECT *, unnest(range(c)) AS i FROM dealt)")} GROUP BY ALL),
+    weights AS (SELECT cv_protocol, seed, subject, b AS replicate, weight FROM drawn JOIN subjects USING (cv_protocol, seed, place)),
+    weighted AS MATERIALIZED (SELECT {by}, replicate, CAST(sum(weight) AS BIGINT) AS weight FROM predictions JOIN weights USING (cv_protocol, seed, subject) GROUP BY ALL)"""
 
 
 R = G + ", replicate"
 DRAWS = f"""{draws_sql(G + ', label, probability')},
     draws AS MATERIALIZED (SELECT * FROM {auroc_sql(R, 'weighted', 'weight')} JOIN {auprc_sql(R, 'weighted', 'weight')} USING ({R}))"""
 #: The metrics that get an interval.
-WITH_INTERVAL = ("auroc", "auprc", "balanced_accuracy", "macro_f1", "sensitivity", "specificity", "ppv", "npv", "brier", "ece", "mce")
+WITH_INTERVAL = ("auroc", "auprc", "balanced_accuracy", "macro_f1", "sensitivity", "specificity", "ppv", "npv", "brier", "ece", "mce", "accuracy", "positive_rate")
 
 
 def draws_of(spark, sf_dir):
-    return resample.bootstrap_metrics(predictions(spark, sf_dir), ["cv_protocol", "seed"], ["feature_set"], "subject", B)
+    return bootstrap.bootstrap_metrics(predictions(spark, sf_dir), ["cv_protocol", "seed"], ["feature_set"], "subject", B)
 
 
 def boot_sql(kind, threshold):
@@ -205,7 +213,7 @@ def boot_sql(kind, threshold):
     FROM every GROUP BY ALL""",
 )
 def e11(spark, sf_dir):
-    draws = resample.bootstrap_all(predictions(spark, sf_dir), ["cv_protocol", "seed"], ["feature_set"], "subject", B, {"fixed": F.lit(0.5), "fold": F.col("fold_threshold")})
+    draws = bootstrap.bootstrap_all(predictions(spark, sf_dir), ["cv_protocol", "seed"], ["feature_set"], "subject", B, {"fixed": F.lit(0.5), "fold": F.col("fold_threshold")})
     found = resample.interval(draws, ("threshold_type", *GROUP), WITH_INTERVAL)
     names = [f"{m}_{s}" for m in WITH_INTERVAL for s in ("low", "high")]
     return rounded(found.select("threshold_type", *GROUP, *names, "n_replicates"), *names)

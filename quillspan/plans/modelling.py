@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.clean import clean_category, clean_range
-from quillspan.operators import decide, metrics, models, resample
+from quillspan.operators import bootstrap, decide, metrics, models, resample
 from quillspan.plans.base import Book
 from quillspan.plans.evaluation import B, DRAWS, F4, FOLDS_UP, G, GROUP, P, PAIRED, auroc_sql, draws_of, folds_up, predictions
 from quillspan.sources.tables import role, table
@@ -140,6 +140,6 @@ def k11_interval(spark, d):
     """AUROC and average precision of the locked set, scored once, with bootstrap intervals."""
     scores = k11(spark, d).withColumns({"k": F.lit("holdout"), "feature_set": F.lit("all")})
     point = metrics.auroc(scores, ["k"]).join(metrics.average_precision(scores, ["k"]), "k")
-    draws = resample.bootstrap_metrics(scores, ["k"], ["feature_set"], "subject", B)
+    draws = bootstrap.bootstrap_metrics(scores, ["k"], ["feature_set"], "subject", B)
     found = point.join(resample.interval(draws, ["k"], ["auroc", "auprc"]), "k").drop("k")
     return found.select(*[F.round(c, 4).alias(c) if c != "n_replicates" else F.col(c) for c in found.columns])

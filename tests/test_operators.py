@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import clean
-from quillspan.operators import audit, features, gaze, joins, metrics, resample, splits, windows
+from quillspan.operators import audit, bootstrap, features, gaze, joins, metrics, resample, splits, windows
 
 
 def rows(df, *columns):
@@ -46,16 +46,49 @@ def test_benjamini_hochberg(spark, p, expected):
     assert [r[0] for r in rows(resample.benjamini_hochberg(t, ["g"]).orderBy("p"), "rejected")] == expected
 
 
-def test_bootstrap_weights_are_poisson_counts(spark):
-    t = spark.range(300).select(F.lit("g").alias("g"), F.col("id").alias("subject"))
-    w = resample.draw_weights(t, ["g"], ["subject"], "subject", 400)
-    rows = w.toPandas().pivot(index="subject", columns="replicate", values="weight").reindex(range(300)).fillna(0).to_numpy()
-    assert rows.shape == (300, 400)
-    assert rows.mean() == pytest.approx(1, abs=0.01) and rows.var() == pytest.approx(1, abs=0.02)
-    assert (rows == 0).mean() == pytest.approx(math.exp(-1), abs=0.005) and (rows == 3).mean() == pytest.approx(math.exp(-1) / 6, abs=0.003)
+@pytest.mark.parametrize("leaf", [1024, 5])
+def test_bootstrap_draws_are_multinomial(spark, monkeypatch, leaf):
+    monkeypatch.setattr(bootstrap, "LEAF", leaf)
+    t = spark.range(400).select(F.when(F.col("id") < 300, "g").otherwise("h").alias("g"), F.col("id").alias("subject"))
+    w = bootstrap.subject_weights(t.unionByName(t), ["g"], "subject", 410)
+    found = {(r.g, r.subject): np.frombuffer(r.weights, np.uint8) for r in w.collect()}
+    assert len(found) == 400
+    rows, other = (np.array([found[k] for k in sorted(found) if k[0] == g]).astype(float) for g in "gh")
+    assert rows.shape == (300, 410) and (rows.sum(0) == 300).all() and (other.sum(0) == 100).all()
+    assert rows.var() == pytest.approx(1 - 1 / 300, abs=0.02)
+    assert (rows == 0).mean() == pytest.approx((1 - 1 / 300) ** 300, abs=0.005) and abs(rows.mean(1) - 1).max() < 0.25
     # neither subjects nor replicates go together
-    assert abs(np.corrcoef(rows) - np.eye(300)).max() < 0.3 and abs(np.corrcoef(rows.T) - np.eye(400)).max() < 0.35
-    assert abs((np.corrcoef(rows).sum() - 300) / (300 * 299)) < 0.002
+    assert abs(np.corrcoef(rows) - np.eye(300)).max() < 0.3 and abs(np.corrcoef(rows.T) - np.eye(410)).max() < 0.35
+
+
+@pytest.mark.parametrize(("large", "step"), [(1 << 16, 512), (10, 7)])
+def test_bootstrap_metrics_of_all_replicates(spark, monkeypatch, large, step):
+    """Against metrics taken replicate by replicate; in ranges of the score, with many ties and one score that most rows have."""
+    for name, value in (("LARGE", large), ("RANGES", 6), ("ROWS", step)):
+        monkeypatch.setattr(bootstrap, name, value)
+    rng = np.random.default_rng(4)
+    n = 240
+    score, label = np.where(rng.random(n) < 0.5, 0.03, rng.integers(0, 40, n) / 40), rng.integers(0, 2, n)
+    data = [("g", f, i, int(label[i]), float(score[i] if f == "a" else rng.random())) for i in range(n) for f in "ab"] + [("g", "a", 0, 1, None)]
+    t = spark.createDataFrame(data, "g string, feature_set string, subject int, label int, probability double").repartition(3)
+    w = {r.subject: np.frombuffer(r.weights, np.uint8).astype(float) for r in bootstrap.subject_weights(t, ["g"], "subject", 30).collect()}
+    w = np.array([w[i] for i in range(n)])
+    draws = bootstrap.bootstrap_all(t, ["g"], ["feature_set"], "subject", 30, {"fixed": F.lit(0.3), "own": F.col("probability")}).filter("feature_set = 'a'").toPandas()
+    assert len(draws) == 60
+    for _, r in draws.iterrows():
+        v = w[:, r.replicate - 1]
+        pos, neg = v * (label == 1), v * (label == 0)
+        wins = (pos[:, None] * neg[None, :] * ((score[:, None] > score[None, :]) + 0.5 * (score[:, None] == score[None, :]))).sum()
+        assert r.auroc == pytest.approx(wins / (pos.sum() * neg.sum()))
+        tp, fp = (np.array([x[score >= s].sum() for s in score]) for x in (pos, neg))
+        assert r.auprc == pytest.approx((pos * tp / np.maximum(tp + fp, 1)).sum() / pos.sum())
+        assert r.brier == pytest.approx((v * (score - label) ** 2).sum() / n)
+        called = score >= 0.3 if r.threshold_type == "fixed" else np.ones(n, bool)
+        assert (r.tp, r.fp, r.tn, r.fn) == ((pos * called).sum(), (neg * called).sum(), (neg * ~called).sum(), (pos * ~called).sum())
+        assert r.accuracy == pytest.approx((r.tp + r.tn) / n) and r.positive_rate == pytest.approx((r.tp + r.fp) / n)
+        bins = [score >= b * 0.1 for b in range(10)] + [np.zeros(n, bool)]
+        gaps = [abs((v * m * (score - label)).sum()) for m in (bins[b] & ~bins[b + 1] for b in range(10))]
+        assert r.ece == pytest.approx(sum(gaps) / n)
 
 
 def test_signal_detection_of_the_oddball_case(spark):
@@ -251,7 +284,9 @@ def test_visual_pca_reads_the_whole_vector(spark, monkeypatch):
     rows = [(i, 9 * (i // 2 % 2), [float(i * k % 7) / 100 for k in range(63)] + [50.0 * (i // 2 % 2)]) for i in range(40)]
     monkeypatch.setattr(modelling, "table", lambda spark, d, name: spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"))
     found = modelling.k05(spark, "").collect()
-    assert len(found) == 20 and all((r.probability > 0.5) == (r.label == 1) for r in found)
+    # both folds are scored, each at both dimensions
+    assert len(found) == 40 and {r.fold for r in found} == {0, 1}
+    assert all((r.probability > 0.5) == (r.label == 1) for r in found)
 
 
 def test_sequence_examples_of_sparse_subjects(spark, monkeypatch):
