@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.scans import carried, long_keys
+
 
 def combine_signal_qc(split: DataFrame, signal: DataFrame, qc: DataFrame, key: str, label: str = "label") -> DataFrame:
     return split.join(signal, key).join(qc, key).withColumn(label, F.col(label).try_cast("int"))
@@ -79,9 +81,8 @@ def asof_prior(events: DataFrame, markers: DataFrame, key: str, time: str, value
     both = events.withColumn("_m", F.lit(None).cast(f"struct<at:{_type(markers, time)},v:{_type(markers, value)}>")).withColumn("_e", F.lit(1)).unionByName(
         markers.select(key, time, F.struct(F.col(time).alias("at"), F.col(value).alias("v")).alias("_m")).withColumn("_e", F.lit(0)), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy(time, "_e").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_m", F.last("_m", True).over(w)).filter("_e = 1")
-    return found.withColumns({"marker_time": F.col("_m.at"), "marker_value": F.col("_m.v")}).drop("_m", "_e")
+    found = carried(both, [key], [time, "_e"], long_keys(both, [key], time), last={"_last": F.col("_m")}).filter("_e = 1")
+    return found.withColumns({"marker_time": F.col("_last.at"), "marker_value": F.col("_last.v")}).drop("_m", "_e", "_last")
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -90,9 +91,8 @@ def _type(df: DataFrame, column: str) -> str:
 
 def next_match(marks: DataFrame, key: str, time: str, opens: Column, closes: Column) -> DataFrame:
     """Opening marks with the first later closing mark; those without one are dropped."""
-    # from the last mark to the first, so the frame only grows and each row costs one step
-    after = Window.partitionBy(key).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, -1)
-    return marks.withColumn("closed_at", F.min(F.when(closes, F.col(time))).over(after)).filter(opens & F.col("closed_at").isNotNull())
+    t = carried(marks, [key], [time], long_keys(marks, [key], time), after={"closed_at": F.when(closes, F.col(time))})
+    return t.filter(opens & F.col("closed_at").isNotNull())
 
 
 def assign_region(points: DataFrame, rects: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -153,7 +153,8 @@ def annotate_takes(takes: DataFrame, timelines: DataFrame, keys: Sequence[str],
 def round_robin_limit(df: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
     """Rows taken in turn from each class until there are n."""
     w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("turn", F.row_number().over(w)).orderBy("turn", group).limit(n)
+    # no class gives more than n rows, so tasks keep the first n of each before the exchange
+    return df.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= n).orderBy("turn", group).limit(n)
 
 
 def union_aligned(frames: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Window and sequence operators on event and sample tables.
 
-Every window is partitioned by recording, subject or block; where order decides, the order ends in a unique column.
+Windows are partitioned by recording, subject or block; where a recording may be long, state is carried over its chunks (``scans``).  Where order decides, the order
+ends in a unique column.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.scans import carried, long_keys
+
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     """The first k rows of each group."""
@@ -58,16 +61,16 @@ def block_change(blocks: DataFrame, subject: str, block: str, value: str) -> Dat
 def run_segments(samples: DataFrame, key: str, time: str, label: str, skip: Sequence[str] = ()) -> DataFrame:
     """Runs of one label; blank and skipped labels do not break a run."""
     kept = samples.filter((F.coalesce(label, F.lit("")) != "") & ~F.col(label).isin(*skip) if skip else F.coalesce(label, F.lit("")) != "")
-    w = Window.partitionBy(key).orderBy(time)
-    marked = kept.withColumn("_new", F.coalesce((F.col(label) != F.lag(label).over(w)).cast("int"), F.lit(1)))
-    runs = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = long_keys(kept, [key], time)
+    marked = carried(kept, [key], [time], found, before={"_before": F.col(label)})
+    marked = marked.withColumn("_new", F.coalesce((F.col(label) != F.col("_before")).cast("int"), F.lit(1)))
+    runs = carried(marked, [key], [time], found, upto={"run": F.col("_new")})
     return runs.groupBy(key, "run", label).agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n_samples"))
 
 
 def gap_summary(samples: DataFrame, key: str, time: str, valid: Column, least_ms: float = 300) -> DataFrame:
     """Per recording: gaps (last minus first invalid time) of ``least_ms`` or more, their sum, and the longest of all."""
-    w = Window.partitionBy(key).orderBy(time)
-    islands = samples.withColumn("_ok", valid.cast("int")).withColumn("_island", F.sum("_ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = carried(samples.withColumn("_ok", valid.cast("int")), [key], [time], long_keys(samples, [key], time), upto={"_island": F.col("_ok")})
     gaps = islands.filter("_ok = 0").groupBy(key, "_island").agg((F.max(time) - F.min(time)).alias("_gap"))
     long = F.col("_gap") >= least_ms
     found = gaps.groupBy(key).agg(F.count_if(long).alias("n_gaps"), F.sum(F.when(long, F.col("_gap")).otherwise(0)).alias("gap_ms"), F.max("_gap").alias("longest_gap_ms"))
@@ -76,20 +79,19 @@ def gap_summary(samples: DataFrame, key: str, time: str, valid: Column, least_ms
 
 def present_blocks(samples: DataFrame, key: str, time: str, present: Column, least_ms: float) -> DataFrame:
     """Runs where the target is there for ``least_ms`` or more, numbered from 1."""
-    w = Window.partitionBy(key).orderBy(time)
-    marked = samples.withColumn("_ok", present.cast("int")).withColumn("_island", F.sum(1 - F.col("_ok")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = long_keys(samples, [key], time)
+    marked = carried(samples.withColumn("_ok", present.cast("int")), [key], [time], found, upto={"_island": 1 - F.col("_ok")})
     runs = marked.filter("_ok = 1").groupBy(key, "_island").agg(F.min(time).alias("start"), F.max(time).alias("end")).filter(F.col("end") - F.col("start") >= least_ms)
-    return runs.withColumn("block", F.row_number().over(Window.partitionBy(key).orderBy("start"))).drop("_island")
+    # the chunks of the samples serve their runs as well
+    return carried(runs, [key], ["start"], found, upto={"block": F.lit(1)}).withColumn("block", F.col("block").cast("int")).drop("_island")
 
 
 def fill_short_gaps(samples: DataFrame, key: str, time: str, value: str, longest: int) -> DataFrame:
     """Missing values inside a series filled on the line between their neighbours, if the run has at most ``longest`` samples."""
-    w = Window.partitionBy(key).orderBy(time)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    place = F.row_number().over(w)
-    t = samples.withColumn("_at", place)
+    found = long_keys(samples, [key], time)
+    t = carried(samples, [key], [time], found, upto={"_at": F.lit(1).cast("long")})
     here = F.when(F.col(value).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(value).alias("v")))
-    t = t.withColumns({"_b": F.last(here, True).over(back), "_a": F.first(here, True).over(ahead)})
+    t = carried(t, [key], [time], found, last={"_b": here}, coming={"_a": here})
     run = F.col("_a.at") - F.col("_b.at") - 1
     line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col("_at") - F.col("_b.at")) / (F.col("_a.at") - F.col("_b.at"))
     return t.withColumn("filled", F.coalesce(value, F.when(run <= longest, line))).drop("_at", "_a", "_b")
@@ -97,10 +99,9 @@ def fill_short_gaps(samples: DataFrame, key: str, time: str, value: str, longest
 
 def clock_align(samples: DataFrame, key: str, time: str, duration: str) -> DataFrame:
     """Times stretched so that the recording's span fits its stated duration; unchanged where either is missing."""
-    w = Window.partitionBy(key)
-    span = F.max(time).over(w) - F.min(time).over(w)
-    scale = F.coalesce(F.when(F.col(duration) > 0, F.try_divide(F.col(duration).cast("double"), span.cast("double"))), F.lit(1.0))
-    return samples.withColumn("clock_scale", scale).withColumn("aligned_time", F.col(time) * F.col("clock_scale"))
+    spans = samples.groupBy(key).agg((F.max(time) - F.min(time)).alias("_span"))
+    scale = F.coalesce(F.when(F.col(duration) > 0, F.try_divide(F.col(duration).cast("double"), F.col("_span").cast("double"))), F.lit(1.0))
+    return samples.join(spans, key, "left").withColumn("clock_scale", scale).withColumn("aligned_time", F.col(time) * F.col("clock_scale")).drop("_span")
 
 
 def scanpath(fixations: DataFrame, key: str, start: str = "start") -> DataFrame:
@@ -112,11 +113,10 @@ def scanpath(fixations: DataFrame, key: str, start: str = "start") -> DataFrame:
 
 def trials_from_steps(steps: DataFrame, key: str, time: str, outward: Column) -> DataFrame:
     """Outward steps as trials, each lasting until the next inward step or the end of the track."""
-    w = Window.partitionBy(key).orderBy(time)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
     t = steps.withColumn("_out", outward)
-    t = t.withColumns({"offset": F.min(F.when(~F.col("_out"), F.col(time))).over(after), "_end": F.max(time).over(Window.partitionBy(key))})
-    return t.filter("_out").withColumn("offset", F.coalesce("offset", "_end")).drop("_out", "_end")
+    t = carried(t, [key], [time], long_keys(steps, [key], time), after={"offset": F.when(~F.col("_out"), F.col(time))})
+    ends = steps.groupBy(key).agg(F.max(time).alias("_end"))
+    return t.filter("_out").join(ends, key, "left").withColumn("offset", F.coalesce("offset", "_end")).drop("_out", "_end")
 
 
 def block_windows(onsets: DataFrame, onset: str, blocks: int, length: float, baseline: float, recovery: float, end: Column | None = None) -> DataFrame:
