@@ -9,8 +9,9 @@ A value that is dear enough, and is not prose, is reported as ``guess``, whateve
 made of.  That holds for the value inside an ``assign`` span as well, which tells a real
 key from a placeholder such as ``changeme12345``; base spans always stay.
 
-Words are ranked by how often they are used: first a short list of words common in passwords, then the
-``DICTIONARY_WORDS`` most frequent words of the scanned table itself, counted over all its rows.
+Words are ranked by how often they are used: first a short list of words common in passwords, then at most
+``DICTIONARY_WORDS`` words of the scanned table itself, by the number of documents that hold them outside of credential contexts and of
+what the base patterns hold, ``LEAST_DOCUMENTS`` at least.  So a key never becomes a word by being copied: only what is written elsewhere counts.
 
 Defined cases: null and empty texts have no spans (base_sha256 is that of the empty string); a failing base match is dropped without a retry and still takes up its
 characters; a guess that overlaps an ``access`` or ``hex`` span is left out, unless it lies inside an ``assign`` span; spans are ordered by start, then kind as listed;
@@ -55,8 +56,8 @@ WORDS = (
     "monday friday sunday january march april june july august september october november december "
     "money freedom happy angel magic star flower house server system database company office the and for you"
 ).split()
-#: So many of the table's most frequent words are ranked behind these, of three to LONGEST_WORD letters each.
-DICTIONARY_WORDS, LONGEST_WORD = 20_000, 20
+#: So many of the table's most frequent words are ranked behind these, of three to LONGEST_WORD letters each, each in LEAST_DOCUMENTS documents or more.
+DICTIONARY_WORDS, LONGEST_WORD, LEAST_DOCUMENTS = 20_000, 20, 20
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 #: Rows of keys, and the alphabet, along which walks are cheap.
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789")
@@ -187,10 +188,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def frequent_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> list[str]:
-    """The most frequent words of plain letters of all texts, the most frequent first."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).filter(F.length("word").between(3, LONGEST_WORD))
-    counted = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
+def frequent_words(docs: DataFrame, most: int = DICTIONARY_WORDS, least: int = LEAST_DOCUMENTS) -> list[str]:
+    """The words of plain letters that most documents hold outside of credential contexts and base patterns, those in most documents first."""
+    rest = F.col("text")
+    for pattern in (f"(?i){CONTEXT.pattern}", f"(?i){ASSIGN.pattern}", ACCESS.pattern, HEX.pattern):
+        rest = F.regexp_replace(rest, F.lit(pattern), F.lit(" "))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(rest), r"[^a-z]+"))).alias("word")).filter(F.length("word").between(3, LONGEST_WORD))
+    counted = words.groupBy("word").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most)
     return counted.select("word").toPandas()["word"].tolist()  # merged in a task: the driver is sent the chosen words alone
 
 
@@ -222,6 +226,10 @@ def secret_spans(docs: DataFrame, rank: dict[str, int] = RANK) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
 
-def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+def scanned(docs: DataFrame) -> DataFrame:
+    """``secret_spans`` with the words of the documents themselves."""
     return secret_spans(docs, ranked(frequent_words(docs)))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(documents(spark, sf_dir))

@@ -432,14 +432,29 @@ def test_secrets_that_the_patterns_miss_are_found_by_guess_costs():
 
 
 def test_frequent_words_rank_the_dictionary(spark, empty):
-    rows = [(i, "zebra Zebra quokka zebra" if i % 2 else "quokka ab verylongwordthatisnotaword") for i in range(10)]
-    assert secrets.frequent_words(table(spark, rows))[:2] == ["zebra", "quokka"]
+    rows = [(i, "zebra Zebra quokka zebra" if i % 2 else "quokka ab verylongwordthatisnotaword") for i in range(50)] + [(99, "zebra"), (100, "lynx " * 50)]
+    assert secrets.frequent_words(table(spark, rows)) == ["quokka", "zebra"]
     assert secrets.frequent_words(empty) == []
     rank = secrets.ranked(["zebra", "password", "quokka"])
     assert rank["password"] == 1 and rank["zebra"] == len(secrets.WORDS) + 1 and rank["quokka"] == len(secrets.WORDS) + 2
     assert secrets.guess_cost("quokkazebra", rank)[0] < secrets.guess_cost("quokkazebra")[0]
 
 
+def test_secrets_by_the_table_of_any_size_and_with_copies(spark):
+    """The query's own path: the span is the same in a small table, in a larger one, and however often the value has leaked."""
+    text = "the vault password is qXvbTrPmWzLk as agreed"
+    prose = [f"plain words about number {i} and its neighbours" for i in range(400)]
+    leaked = [f"in note {i} {link}qXvbTrPmWzLk" for i, link in enumerate(["password is ", "token = ", 'api_key: "', "pwd: "] * 20)]
+    for others in (prose[:49], prose, prose[:40] + leaked, prose + leaked):
+        found = secrets.scanned(table(spark, [(0, text), *((i + 1, t) for i, t in enumerate(others))])).filter("doc_id = 0").first()
+        assert found.spans == "guess:22:34"
+    rng = np.random.default_rng(16)
+    keys = ["".join(rng.choice(list("bcdfghkmnpqrstvwxzBCDFGHKMNPQRSTVWXZ"), 12)) for _ in range(60)]
+    rows = [(100 * i + k, f"note {k}: the secret is {key} indeed") for i, key in enumerate(keys) for k in range(30)]
+    found = secrets.scanned(table(spark, rows + [(10_000 + i, t) for i, t in enumerate(prose)]))
+    assert found.filter("doc_id < 10000 AND n_guess = 1").count() >= 0.95 * len(rows) and found.filter("doc_id >= 10000 AND n_guess > 0").count() == 0
+
+
 def test_guess_costs_are_minimal():
     def exhaustive(value):
         # every cut into segments; prices of segments are listed apart from the search
