@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.scans import carried, long_keys
+from quillspan.sources.shared import written
+
 
 def valid_gaze(df: DataFrame, usable: Column, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Samples with x, y and pupil set to NULL where the sample is not usable or off the screen."""
@@ -16,67 +21,239 @@ def valid_gaze(df: DataFrame, usable: Column, low: float = 0.0, high: float = 1.
 DISPERSION, SHORTEST_MS, LONGEST_GAP_MS = 0.025, 80.0, 75.0
 
 
-def fixations(samples: DataFrame, keys: list[str], time: str, dispersion: float = DISPERSION, least_ms: float = SHORTEST_MS, most_gap_ms: float = LONGEST_GAP_MS) -> DataFrame:
-    """Fixations by dispersion: a group grows while both axes stay within the dispersion and no gap is too long.
+#: Samples of a piece of a recording, which one task reads from its first to its last; not less than scans.CHUNK.
+PIECE = 1 << 16
+#: What is known of the fixation that is open at a sample: when it began, its last sample, its bounds, sums and number of samples.
+OPEN = ("begin", "last", "low_x", "high_x", "low_y", "high_y", "sum_x", "sum_y", "n")
+_OPEN_TYPE = "struct<" + ", ".join(f"{c}: double" for c in OPEN) + ">"
 
-    The state at a sample depends on all before it, so this is a grouped map over one recording (or
-    trial) at a time.
-    """
-    import pandas as pd
 
-    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["x", "y"]).sort_values(time)
-        out, begin = [], 0
-        t, x, y = (pdf[c].to_numpy(float) for c in (time, "x", "y"))
-        low = high = None
-        for i in range(len(t) + 1):
-            if i < len(t):
-                point = (x[i], y[i])
-                new_low = point if low is None else (min(low[0], point[0]), min(low[1], point[1]))
-                new_high = point if high is None else (max(high[0], point[0]), max(high[1], point[1]))
-                near = all(b - a <= dispersion for a, b in zip(new_low, new_high))
-                if i == begin or (near and t[i] - t[i - 1] <= most_gap_ms):
-                    low, high = new_low, new_high
+def _grown(state: list[float] | None, t: float, x: float, y: float, dispersion: float, most_gap_ms: float) -> list[float] | None:
+    """The open fixation with one more sample, or None where the sample begins a new one."""
+    if state is None or t - state[1] > most_gap_ms:
+        return None
+    lx, hx, ly, hy = min(state[2], x), max(state[3], x), min(state[4], y), max(state[5], y)
+    if hx - lx > dispersion or hy - ly > dispersion:
+        return None
+    return [state[0], t, lx, hx, ly, hy, state[6] + x, state[7] + y, state[8] + 1]
+
+
+def _piece_batches(keys: list[str], dispersion: float, most_gap_ms: float):
+    """The fixations that end inside each piece, and the one that is open at its end (``is_open``).
+
+    Rows come sorted by piece and time; a piece may begin with the fixation that is open where it starts.
+    """
+    import pyarrow as pa
+
+    place = [*keys, "_piece", "_sub"]
+
+    def read(batches):
+        held, last, state = None, None, None
+
+        def out(found: list, head) -> pa.RecordBatch:
+            columns = [pa.array([f[0][i] for f in found], c.type) for i, c in enumerate(head)]
+            states = pa.array([None if f[1] is None else dict(zip(OPEN, f[1])) for f in found], pa.struct([(c, pa.float64()) for c in OPEN]))
+            return pa.RecordBatch.from_arrays([*columns, states, pa.array([f[2] for f in found], pa.bool_())], [*place, "state", "is_open"])
+
+        for batch in batches:
+            head, found = [batch.column(c) for c in place], []
+            held = head
+            marks, carried = list(zip(*(c.to_pylist() for c in head))), batch.column("carried").to_pylist()
+            for key, t, x, y, given in zip(marks, *(batch.column(c).to_pylist() for c in ("_t", "x", "y")), carried):
+                if key != last:
+                    if last is not None:
+                        found.append((last, state, True))
+                    last, state = key, None
+                if t is None:
+                    state = None if given is None else [given[c] for c in OPEN]
                     continue
-            if i - begin >= 2 and t[i - 1] - t[begin] >= least_ms:
-                out.append((t[begin], t[i - 1], x[begin:i].mean(), y[begin:i].mean(), i - begin))
-            if i < len(t):
-                begin, low, high = i, (x[i], y[i]), (x[i], y[i])
-        found = pd.DataFrame(out, columns=["start", "end", "x", "y", "n_samples"])
-        for k in reversed(keys):
-            found.insert(0, k, pdf[k].iloc[0] if len(pdf) else None)
-        return found
+                grown = _grown(state, t, x, y, dispersion, most_gap_ms)
+                if grown is None:
+                    if state is not None:
+                        found.append((key, state, False))
+                    grown = [t, t, x, x, y, y, x, y, 1.0]
+                state = grown
+            if found:
+                yield out(found, head)
+        if last is not None:
+            yield out([(last, state, True)], held)
 
-    schema = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in keys) + ", start double, end double, x double, y double, n_samples long"
-    return samples.select(*keys, time, "x", "y").groupBy(*keys).applyInPandas(detect, schema)
+    return read
 
 
-def held_levels(track: DataFrame, key: str, frame: str, value: str, least_step: float, frames: int = 5) -> DataFrame:
-    """The level at each frame: a new one is taken on only if it is a step away and stays for some frames.
+def fixations(samples: DataFrame, keys: list[str], time: str, dispersion: float = DISPERSION, least_ms: float = SHORTEST_MS, most_gap_ms: float = LONGEST_GAP_MS) -> DataFrame:
+    """Fixations by dispersion: a group grows while both axes stay within the dispersion and no gap is too long.
 
-    What counts as new depends on the level held, so this is a grouped map over one track at a time.
+    A recording is cut where the state must end, at the first long gap after every PIECE samples, and its pieces are dealt to tasks.  A stretch
+    of more than PIECE samples without such a gap is cut as well: its pieces are read once from a fresh start, then again with the
+    fixation that was open at the end of the piece before, until no piece ends in another one than the round before.  A fixation is far shorter than a
+    piece, so the second round as a rule changes nothing.
     """
-    import pandas as pd
+    kept = samples.filter("x IS NOT NULL AND y IS NOT NULL").select(*keys, F.col(time).cast("double").alias("_t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    found = long_keys(kept, keys, "_t")
+    kinds = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, _piece long, _sub long, state {_OPEN_TYPE}, is_open boolean"
+    place = [*keys, "_piece", "_sub"]
+
+    def read(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*place).sortWithinPartitions(*place, F.col("_t").asc_nulls_first()).mapInArrow(_piece_batches(keys, dispersion, most_gap_ms), schema)
+
+    def closed(states: DataFrame) -> DataFrame:
+        s = states.filter((F.col("state.n") >= 2) & (F.col("state.last") - F.col("state.begin") >= least_ms))
+        mean = lambda c: F.col(f"state.sum_{c}") / F.col("state.n")
+        return s.select(*keys, F.col("state.begin").alias("start"), F.col("state.last").alias("end"), mean("x").alias("x"), mean("y").alias("y"), F.col("state.n").cast("long").alias("n_samples"))
+
+    if found is None:
+        # every recording is one piece
+        whole = kept.withColumns({"_piece": F.lit(0).cast("long"), "_sub": F.lit(0).cast("long"), "carried": F.lit(None).cast(_OPEN_TYPE)})
+        return closed(read(whole))
+    t = carried(kept, keys, ["_t"], found, before={"_before": F.col("_t")}, upto={"_at": F.lit(1).cast("long")})
+    t = t.withColumn("_cut", F.when(F.col("_before").isNull() | (F.col("_t") - F.col("_before") > most_gap_ms), F.col("_at")))
+    t = carried(t, keys, ["_t"], found, last={"_from": F.col("_cut")})
+    t = t.withColumns({"_piece": F.floor(F.col("_from") / PIECE), "_sub": F.floor((F.col("_at") - F.col("_from")) / PIECE), "carried": F.lit(None).cast(_OPEN_TYPE)})
+    t = written(t.select(*place, "_t", "x", "y", "carried"), "pieces")
+    over = t.filter("_sub > 0").select(*keys, "_piece").distinct()
+    long = t.join(over, [*keys, "_piece"], "left_semi")
+    result = closed(read(t.join(over, [*keys, "_piece"], "left_anti")))
+    if over.isEmpty():
+        return result
+    states = written(read(long), "open")
+    ends = lambda df: df.filter("is_open").select(*place, "state")
+    while True:
+        given = ends(states).select(*keys, "_piece", (F.col("_sub") + 1).alias("_sub"), *[F.lit(None).cast("double").alias(c) for c in ("_t", "x", "y")], F.col("state").alias("carried"))
+        given = given.join(long.select(*place).distinct(), place, "left_semi")
+        again = written(read(long.unionByName(given)), "open")
+        changed = ends(again).join(ends(states).withColumnRenamed("state", "was"), place).filter(~F.col("state").eqNullSafe(F.col("was")))
+        states = again
+        if changed.isEmpty():
+            break
+    last = ends(states).groupBy(*keys, "_piece").agg(F.max_by("state", "_sub").alias("state"))
+    return result.unionByName(closed(states.filter("NOT is_open"))).unionByName(closed(last))
+
+
+def _level_batches(key: str, frame: str, least_step: float, level: str):
+    """For each chunk, from rows sorted by chunk and frame: what the level is after it, or at each of its frames.
+
+    Without ``entering`` levels this gives the chunk's function from the level that enters to the one that leaves, as rows: from
+    ``bound`` on (upwards, or downwards), the level that leaves.  A level that meets none of the bounds leaves as it entered.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def groups(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, chunks = batch.column(key).to_pylist(), batch.column("_chunk").to_numpy()
+            at = 0
+            for i in range(1, batch.num_rows + 1):
+                if i == batch.num_rows or keys[i] != keys[at] or chunks[i] != chunks[at]:
+                    if held and last != (keys[at], chunks[at]):
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    held.append(batch.slice(at, i - at))
+                    last, at = (keys[at], chunks[at]), i
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def leaving(v, i, known):
+        """The level at the end if it is v[i] at i; every place on the way is noted."""
+        way = []
+        while i not in known:
+            way.append(i)
+            step, nxt = 1024, None
+            for at in range(i + 1, len(v), step):
+                far = np.flatnonzero(np.abs(v[at : at + step] - v[i]) >= least_step)
+                if len(far):
+                    nxt = at + int(far[0])
+                    break
+            if nxt is None:
+                known[i] = v[i]
+            else:
+                i = nxt
+        for j in way:
+            known[j] = known[i]
+        return known[i]
+
+    def functions(batches):
+        for table in groups(batches):
+            v = table["v"].to_numpy()[table["_steady"].to_numpy()]
+            known, rows = {}, []
+            for sign in (1.0, -1.0):
+                best = np.maximum.accumulate(sign * v)
+                for i in np.flatnonzero(np.append(True, best[1:] > best[:-1])).tolist() if len(v) else []:
+                    rows.append((sign, i, float(v[i]), float(leaving(v, i, known))))
+            if rows:
+                sign, at, bound, out = (pa.array(c) for c in zip(*rows))
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([table[key].combine_chunks().take(pa.array([0] * n)), pa.array([table["_chunk"][0].as_py()] * n, pa.int64()), sign, at, bound, out], [key, "_chunk", "sign", "place", "bound", "leaves"])
+
+    def levels(batches):
+        for table in groups(batches):
+            v, steady, now = table["v"].to_numpy(), np.flatnonzero(table["_steady"].to_numpy()), table["entering"][0].as_py()
+            now = math.nan if now is None else now
+            out, at = np.empty(len(v)), 0
+            while True:
+                # the next steady frame that is a step away
+                ahead = steady[np.searchsorted(steady, at) :]
+                nxt = None
+                for j in range(0, len(ahead), 1024):
+                    far = np.flatnonzero(np.abs(v[ahead[j : j + 1024]] - now) >= least_step)
+                    if len(far):
+                        nxt = int(ahead[j + int(far[0])])
+                        break
+                out[at : len(v) if nxt is None else nxt] = now
+                if nxt is None:
+                    break
+                now, at = v[nxt], nxt
+            yield pa.RecordBatch.from_arrays([table[key].combine_chunks(), table[frame].combine_chunks(), pa.array(out)], [key, frame, "level"])
+
+    return levels if level == "levels" else functions
 
-    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(frame)
-        v = pdf[value].to_numpy(float)
-        level, out = (v[0] if len(v) else 0.0), []
-        for i in range(len(v)):
-            ahead = v[i : i + frames]
-            if abs(v[i] - level) >= least_step and len(ahead) == frames and (abs(ahead - v[i]) < least_step).all():
-                level = v[i]
-            out.append(level)
-        return pd.DataFrame({key: pdf[key], frame: pdf[frame], "level": out})
 
-    kinds = track.schema
-    return track.select(key, frame, value).groupBy(key).applyInPandas(hold, f"`{key}` {kinds[key].dataType.simpleString()}, `{frame}` {kinds[frame].dataType.simpleString()}, level double")
+def held_levels(track: DataFrame, key: str, frame: str, value: str, least_step: float, frames: int = 5) -> DataFrame:
+    """The level at each frame: a new one is taken on only if it is a step away and stays for some frames.
+
+    A frame is steady if it and those after it, ``frames`` in all, lie within a step of it, which no level decides.  A track is cut into chunks of frames;
+    a chunk's function from the level that enters to the one that leaves is a short list of bounds, and the lists of a
+    track, composed in order, give the level that enters each chunk.
+    """
+    rows = track.select(key, frame, F.col(value).cast("double").alias("v"))
+    found = long_keys(rows, [key], frame)
+    t = carried(rows, [key], [frame], found, upto={"_at": F.lit(1).cast("long")}).withColumn("_chunk", F.floor((F.col("_at") - 1) / PIECE))
+    # the first frames of a chunk are looked at from the chunk before as well
+    inside = (F.col("_at") - 1) % PIECE
+    seen = F.when((inside < frames - 1) & (F.col("_chunk") > 0), F.array(F.col("_chunk"), F.col("_chunk") - 1)).otherwise(F.array("_chunk"))
+    t = t.select(key, frame, "v", "_at", F.col("_chunk").alias("_own"), F.explode(seen).alias("_chunk"))
+    w = Window.partitionBy(key, "_chunk").orderBy("_at").rowsBetween(0, frames - 1)
+    steady = (F.count("v").over(w) == frames) & (F.max("v").over(w) - F.col("v") < least_step) & (F.col("v") - F.min("v").over(w) < least_step)
+    t = t.withColumn("_steady", steady).filter("_own = _chunk").drop("_own")
+    kind = track.schema
+    head = f"`{key}` {kind[key].dataType.simpleString()}"
+    place = [key, "_chunk"]
+    first = t.filter("_at = 1").select(key, F.col("v").alias("_first"))
+    if found is None:
+        entering = first.select(key, F.lit(0).cast("long").alias("_chunk"), F.col("_first").alias("entering"))
+    else:
+        bounds = t.filter("v IS NOT NULL").repartition(*place).sortWithinPartitions(*place, "_at").mapInArrow(_level_batches(key, frame, least_step, "functions"), f"{head}, _chunk long, sign double, place long, bound double, leaves double")
+        # a short list a chunk; only those of one track meet
+        lists = bounds.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("place", "sign", "bound", "leaves"))).alias("f"))
+        chunks = t.select(*place).distinct().join(lists, place, "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_chunk", "f"))).alias("chunks")).join(first, key)
+
+        def passed(now, chunk):
+            hit = F.filter(chunk["f"], lambda b: b["sign"] * (b["bound"] - now["level"]) >= least_step)
+            level = F.when(F.size(hit) > 0, F.element_at(hit, 1)["leaves"]).otherwise(now["level"])
+            return F.struct(level.alias("level"), F.array_append(now["seen"], F.struct(chunk["_chunk"].alias("_chunk"), now["level"].alias("entering"))).alias("seen"))
+
+        start = F.struct(F.col("_first").alias("level"), F.array().cast("array<struct<_chunk: bigint, entering: double>>").alias("seen"))
+        entering = chunks.select(key, F.explode(F.aggregate("chunks", start, passed)["seen"]).alias("e")).select(key, "e.*")
+    met = t.join(entering, place).repartition(*place).sortWithinPartitions(*place, "_at")
+    return met.mapInArrow(_level_batches(key, frame, least_step, "levels"), f"{head}, `{frame}` {kind[frame].dataType.simpleString()}, level double")
 
 
 def steps(levels: DataFrame, key: str, frame: str) -> DataFrame:
     """Frames where the level changes: direction, amplitude, and whether it moves away from the middle (0.5)."""
-    from pyspark.sql import Window
-
     before = F.lag("level").over(Window.partitionBy(key).orderBy(frame))
     t = levels.withColumn("_b", before).filter("_b IS NOT NULL AND level <> _b")
     return t.select(key, frame, F.signum(F.col("level") - F.col("_b")).alias("direction"), F.abs(F.col("level") - F.col("_b")).alias("amplitude"), (F.abs(F.col("level") - 0.5) > F.abs(F.col("_b") - 0.5)).alias("outward"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from quillspan.plans.cohort import HOUR, T, Z
 from quillspan.plans.evaluation import FOLD, G, P, F4, auroc_sql
 from quillspan.plans.features import SIGNAL, all_rounded, rounded, signal
 from quillspan.plans.inputs import SACCADES, scored
+from quillspan.sources.shared import scratch
 from quillspan.sources import readers as R
 from quillspan.sources.tables import predictions, role
 
@@ -160,16 +158,6 @@ def a55(spark, d):
     return all_rounded(spectra.join(shape, "condition").join(pairs, "condition"), 5)
 
 
-def scratch(spark, name):
-    """A new folder for a result that is read back: in spark.checkpoint.dir, or beside a local session that has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def fold_table(spark, d):
     return metrics.auroc(predictions(spark, d), FOLD).withColumn("auroc", F.round("auroc", 6))
 

@@ -92,12 +92,31 @@ def traces(spark, d):
     return s.select("recording", (F.col("sample") * 10.0).alias("time_ms"), (0.5 + F.floor(F.col("sample") / 16) * 0.1 + F.col("value") / 100).alias("x"), (0.5 + F.col("value") / 120).alias("y"))
 
 
-@book.query("w10_fixations")
+TRACES = f"{SIGNAL}, tr AS (SELECT recording, sample AS i, sample * 10.0::DOUBLE AS t, 0.5 + floor(sample / 16) * 0.1::DOUBLE + value / 100 AS x, 0.5 + value / 120 AS y FROM signal)"
+#: The open fixation at each sample, from the one before it; it is over where the next sample begins a new one.
+FIXATIONS = """st AS (
+        SELECT recording, i, t AS b, t, x AS lx, x AS hx, y AS ly, y AS hy, x AS sx, y AS sy, 1 AS n FROM tr WHERE i = 0
+        UNION ALL
+        SELECT recording, i, if(g, b, t), t, if(g, least(lx, x), x), if(g, greatest(hx, x), x), if(g, least(ly, y), y), if(g, greatest(hy, y), y), if(g, sx + x, x), if(g, sy + y, y), if(g, n + 1, 1)
+        FROM (SELECT st.recording, tr.i, b, tr.t, x, y, lx, hx, ly, hy, sx, sy, n, tr.t - st.t <= 75 AND greatest(hx, x) - least(lx, x) <= 0.025::DOUBLE AND greatest(hy, y) - least(ly, y) <= 0.025::DOUBLE AS g
+            FROM st JOIN tr ON tr.recording = st.recording AND tr.i = st.i + 1)),
+    fix AS (SELECT recording, b AS start, t AS end, sx / n AS x, sy / n AS y, n FROM (SELECT *, lead(n) OVER (PARTITION BY recording ORDER BY i) AS nxt FROM st) WHERE coalesce(nxt, 1) = 1 AND n >= 2 AND t - b >= 80)"""
+
+
+@book.query("w10_fixations", f'WITH RECURSIVE {TRACES}, {FIXATIONS} SELECT recording, round(start, 6) AS start, round("end", 6) AS "end", round(x, 6) AS x, round(y, 6) AS y, CAST(n AS BIGINT) AS n_samples FROM fix')
 def w10(spark, d):
     return all_rounded(E.fixations(traces(spark, d), ["recording"], "time_ms"))
 
 
-@book.query("w12_held_levels")
+@book.query(
+    "w12_held_levels",
+    f"""WITH RECURSIVE {SIGNAL}, v AS (SELECT recording, sample AS i, 0.5 + floor(sample / 16) * 0.1::DOUBLE AS v FROM signal),
+    s AS (SELECT *, count(v) OVER w = 5 AND max(v) OVER w - v < 0.05::DOUBLE AND v - min(v) OVER w < 0.05::DOUBLE AS steady FROM v WINDOW w AS (PARTITION BY recording ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+    h AS (SELECT recording, i, v AS level FROM s WHERE i = 0
+        UNION ALL SELECT s.recording, s.i, CASE WHEN steady AND abs(v - level) >= 0.05::DOUBLE THEN v ELSE level END FROM h JOIN s ON s.recording = h.recording AND s.i = h.i + 1),
+    p AS (SELECT *, lag(level) OVER (PARTITION BY recording ORDER BY i) AS b FROM h)
+    SELECT recording, i AS sample, round(sign(level - b), 6) AS direction, round(abs(level - b), 6) AS amplitude, abs(level - 0.5) > abs(b - 0.5) AS outward FROM p WHERE level <> b""",
+)
 def w12(spark, d):
     t = signal(spark, d).select("recording", "sample", (0.5 + F.floor(F.col("sample") / 16) * 0.1).alias("v"))
     return all_rounded(E.steps(E.held_levels(t, "recording", "sample", "v", 0.05), "recording", "sample"))
