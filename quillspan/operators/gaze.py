@@ -353,3 +353,71 @@ def direction_agreement(samples: DataFrame, keys: list[str], least: int) -> Data
     """Share of segments whose mean gaze lies on the target's side of the middle."""
     seg = samples.filter("x IS NOT NULL").groupBy(*keys, "expected").agg(F.avg(F.col("x") - 0.5).alias("_m"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
     return seg.groupBy(*keys[:-1]).agg(F.avg((F.signum("_m") == F.col("expected")).cast("double")).alias("agreement"), F.count("*").alias("n_segments"))
+
+
+#: The measures of a trial and window that are averaged by valence, and those that are compared between valences.
+MEASURES = ("eyes_share", "mouth_share", "face_other_share", "off_face_share", "n_fixations", "mean_fixation_ms", "scanpath", "bcea", "pupil_delta")
+CONTRASTED = ("eyes_share", "mouth_share", "off_face_share", "n_fixations", "mean_fixation_ms", "scanpath", "pupil_delta")
+
+
+def viewing_windows(
+    samples: DataFrame, segments: DataFrame, key: str, time: str, windows: dict[str, tuple[float, float]], rects: dict[str, tuple[float, float, float, float]], baseline_ms: float,
+) -> DataFrame:
+    """One row per trial and analysis window: valid share, region shares, fixations, path, area, and the pupil against the tail of the cross before.
+
+    ``segments`` carry the key, ``trial`` (NULL: a cross), ``valence``, ``start`` and ``end``; ``rects`` are x0, y0, x1, y1 of eyes, mouth and
+    face, the first that holds a point is its region.  Windows are offsets from a trial's start, cut off at its end, and half-open.
+    """
+    from quillspan.operators.features import bcea
+    from quillspan.operators.joins import window_join
+
+    place = [key, "trial", "window"]
+    cross = F.when(F.col("trial").isNull(), F.struct("start", "end"))
+    trials = carried(segments, [key], ["start"], long_keys(segments, [key], "start"), last={"_cross": cross}).filter("trial IS NOT NULL")
+    spans = F.array(*[F.struct(F.lit(n).alias("window"), (F.col("start") + a).alias("from"), F.least(F.col("start") + b, F.col("end")).alias("to")) for n, (a, b) in windows.items()])
+    spans = trials.select(key, "trial", "valence", F.explode(spans).alias("s")).select(key, "trial", "valence", "s.*")
+    width = max(b - a for a, b in windows.values())
+    seen = window_join(samples, spans, key, time, "from", "to", width, closed=False)
+    valid = F.col("x").isNotNull() & F.col("y").isNotNull()
+    region = F.when(~valid, F.lit(None))
+    for name, (x0, y0, x1, y1) in rects.items():
+        region = region.when(F.col("x").between(x0, x1) & F.col("y").between(y0, y1), "face_other" if name == "face" else name)
+    seen = seen.withColumn("_region", region.otherwise("off_face"))
+    shares = [F.avg((F.col("_region") == r).cast("double")).alias(f"{r}_share") for r in (*("face_other" if n == "face" else n for n in rects), "off_face")]
+    measured = seen.groupBy(*place).agg(F.count("*").alias("n_samples"), F.avg(valid.cast("double")).alias("valid_share"), *shares, F.median("pupil").alias("_pupil")).join(bcea(seen, place), place)
+    fixed = fixations(seen, place, time)
+    step = Window.partitionBy(*place).orderBy("start")
+    fixed = fixed.withColumn("_step", F.hypot(F.col("x") - F.lag("x").over(step), F.col("y") - F.lag("y").over(step)))
+    first = F.min(F.struct("start", "x", "y"))
+    fixed = fixed.groupBy(*place).agg(F.count("*").alias("n_fixations"), F.avg(F.col("end") - F.col("start")).alias("mean_fixation_ms"), F.coalesce(F.sum("_step"), F.lit(0.0)).alias("scanpath"), first.alias("_first"))
+    tails = trials.filter("_cross IS NOT NULL").select(key, "trial", F.greatest(F.col("_cross.start"), F.col("_cross.end") - baseline_ms).alias("from"), F.col("_cross.end").alias("to"))
+    before = window_join(samples, tails, key, time, "from", "to", baseline_ms, closed=False).groupBy(key, "trial").agg(F.median("pupil").alias("_base"))
+    out = spans.join(measured, place).join(fixed, place, "left").join(before, [key, "trial"], "left")
+    x0, y0, x1, y1 = rects["eyes"]
+    early = F.col("window") == next(iter(windows))
+    return out.select(
+        key, "trial", "valence", "window", "n_samples", "valid_share", *[c for c in measured.columns if c.endswith("_share") and c != "valid_share"], F.coalesce("n_fixations", F.lit(0)).cast("double").alias("n_fixations"),
+        "mean_fixation_ms", F.coalesce("scanpath", F.lit(0.0)).alias("scanpath"), "bcea", (F.col("_pupil") - F.col("_base")).alias("pupil_delta"),
+        F.when(early, F.col("_first.start") - F.col("from")).alias("first_fixation_ms"),
+        F.when(early, (F.col("_first.x").between(x0, x1) & F.col("_first.y").between(y0, y1)).cast("double")).alias("first_fixation_on_eyes"),
+    )
+
+
+def viewing_summary(trials: DataFrame, subject: str, valences: list[str], contrasts: list[tuple[str, str]]) -> DataFrame:
+    """subject, feature, value: means by window and valence, spreads, contrasts, first fixations and trends over the trials of the last window."""
+    names = [*MEASURES, "first_fixation_ms", "first_fixation_on_eyes"]
+    long = trials.select(subject, "trial", "valence", "window", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])).alias("measure", "value"))
+    once = F.col("measure").startswith("first_")
+    long = long.filter(~once | F.col("value").isNotNull())
+    head = F.when(once, F.concat_ws("_", "measure", "valence")).otherwise(F.concat_ws("_", "window", "valence", "measure"))
+    means = long.groupBy(subject, "window", "valence", "measure").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("spread"))
+    plain = means.select(subject, head.alias("feature"), "value")
+    spread = means.filter(F.col("measure").isin("eyes_share", "pupil_delta")).select(subject, F.concat(head, F.lit("_sd")).alias("feature"), F.col("spread").alias("value"))
+    of = lambda v: F.max(F.when(F.col("valence") == v, F.col("value")))
+    compared = means.filter(F.col("measure").isin(*CONTRASTED) | once).groupBy(subject, "window", "measure").agg(*[of(v).alias(v) for v in valences])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f"{a}_minus_{b}").alias("pair"), (F.col(a) - F.col(b)).alias("value")) for a, b in contrasts])).alias("p")
+    title = F.when(once, F.concat_ws("_", F.lit("contrast"), "p.pair", "measure")).otherwise(F.concat_ws("_", F.lit("contrast"), "window", "p.pair", "measure"))
+    compared = compared.select(subject, "window", "measure", pairs).select(subject, title.alias("feature"), "p.value")
+    last = long.filter((F.col("window") == "late") & F.col("measure").isin("eyes_share", "n_fixations", "pupil_delta"))
+    trend = last.groupBy(subject, "measure").agg(F.when(F.count("value") >= 3, F.regr_slope("value", "trial")).alias("value")).select(subject, F.concat(F.lit("trend_"), "measure").alias("feature"), "value")
+    return plain.unionByName(spread).unionByName(compared).unionByName(trend)

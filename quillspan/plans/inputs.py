@@ -181,6 +181,68 @@ def a39(spark, d):
     return rounded(j.groupBy("recording", "start").agg(F.count("*").alias("n"), F.avg("valid").alias("valid_share"), (F.avg("pupil") - F.max("base")).alias("pupil_change")), "valid_share", "pupil_change")
 
 
+#: Rectangles of the regions of a face, windows of a trial in ms, and how much of the cross before it is its baseline.
+RECTS = {"eyes": (0.49, 0.49, 0.61, 0.502), "mouth": (0.5, 0.496, 0.75, 0.6), "face": (0.4, 0.4, 0.8, 0.6)}
+WINDOWS, BASELINE_MS = {"early": (0, 120), "late": (120, 240)}, 50
+VALENCES, CONTRASTS = ["sad", "happy", "neutral"], [("sad", "neutral"), ("happy", "neutral"), ("sad", "happy")]
+
+
+def viewed(spark, d):
+    """Two crosses and two faces in each recording of 640 ms; four recordings make a subject."""
+    x = traces(spark, d).join(signal(spark, d).select("recording", (F.col("sample") * 10.0).alias("time_ms"), F.col("value").alias("pupil")), ["recording", "time_ms"])
+    off = (F.col("recording") + (F.col("time_ms") / 10).cast("long")) % 11 == 0
+    samples = x.select("recording", "time_ms", F.when(~off, F.col("x")).alias("x"), F.when(~off, F.col("y")).alias("y"), "pupil")
+    parts = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("trial"), F.lit(float(a)).alias("start"), F.lit(float(b)).alias("end")) for k, a, b in ((None, 0, 80), (1, 80, 320), (None, 320, 400), (2, 400, 640))])).alias("p")
+    valence = F.element_at(F.array(*map(F.lit, VALENCES)), ((F.col("recording") + F.coalesce("p.trial", F.lit(0))) % 3 + 1).cast("int"))
+    segments = table(spark, d, "embeddings").select(F.col("vec_id").alias("recording"), parts).select("recording", "p.trial", valence.alias("valence"), "p.start", "p.end")
+    return E.viewing_windows(samples, segments, "recording", "time_ms", WINDOWS, RECTS, BASELINE_MS)
+
+
+def _rect(name):
+    x0, y0, x1, y1 = RECTS[name]
+    return f"x BETWEEN {x0}::DOUBLE AND {x1}::DOUBLE AND y BETWEEN {y0}::DOUBLE AND {y1}::DOUBLE"
+
+
+VIEWED = f"""{TRACES.replace("tr AS (", "whole AS (")}, sm AS (SELECT w.recording, i, t, CASE WHEN (w.recording + i) % 11 <> 0 THEN x END AS x, CASE WHEN (w.recording + i) % 11 <> 0 THEN y END AS y, value AS pupil FROM whole w JOIN signal s ON s.recording = w.recording AND s.sample = i),
+    sp AS (SELECT vec_id AS rec, trial, ['sad', 'happy', 'neutral'][(vec_id + trial) % 3 + 1] AS valence, w, a + o AS f, a + o + 120 AS u, a AS cross_end FROM embeddings, (VALUES (1, 80), (2, 400)) q(trial, a), (VALUES ('early', 0), ('late', 120)) z(w, o)),
+    seen AS (SELECT sp.*, sm.*, CASE WHEN x IS NULL THEN NULL WHEN {_rect("eyes")} THEN 'eyes' WHEN {_rect("mouth")} THEN 'mouth' WHEN {_rect("face")} THEN 'face_other' ELSE 'off_face' END AS region FROM sp JOIN sm ON sm.recording = rec AND t >= f AND t < u),
+    tr AS (SELECT (rec * 10 + trial) * 2 + CASE w WHEN 'late' THEN 1 ELSE 0 END AS recording, row_number() OVER (PARTITION BY rec, trial, w ORDER BY t) - 1 AS i, t, x, y FROM seen WHERE x IS NOT NULL), {FIXATIONS},
+    fp AS (SELECT *, sqrt(power(x - lag(x) OVER v, 2) + power(y - lag(y) OVER v, 2)) AS step FROM fix WINDOW v AS (PARTITION BY recording ORDER BY start)),
+    fx AS (SELECT recording AS id, count(*) AS n_fix, avg("end" - start) AS dur, coalesce(sum(step), 0) AS path, min(start) AS s1, arg_min(x, start) AS x, arg_min(y, start) AS y FROM fp GROUP BY recording),
+    ms AS (SELECT rec, trial, valence, w, f, count(*) AS n_samples, avg(CAST(x IS NOT NULL AS INT)) AS valid_share, {", ".join(f"avg(CAST(region = '{r}' AS INT)) AS {r}_share" for r in ("eyes", "mouth", "face_other", "off_face"))}, median(pupil) AS pupil,
+        CASE WHEN count(x) >= 3 THEN 2 * -ln(1 - 0.68::DOUBLE) * pi() * stddev_samp(x) * stddev_samp(y) * sqrt(greatest(1 - power(coalesce(CASE WHEN var_pop(x) > 1e-9 AND var_pop(y) > 1e-9 THEN corr(x, y) END, 0), 2), 0)) END AS bcea FROM seen GROUP BY rec, trial, valence, w, f),
+    bs AS (SELECT rec, trial, median(pupil) AS base FROM (SELECT DISTINCT rec, trial, cross_end FROM sp) JOIN sm ON recording = rec AND t >= cross_end - {BASELINE_MS} AND t < cross_end GROUP BY rec, trial),
+    vw AS (SELECT rec AS recording, trial, valence, w AS "window", n_samples, valid_share, eyes_share, mouth_share, face_other_share, off_face_share, CAST(coalesce(n_fix, 0) AS DOUBLE) AS n_fixations, dur AS mean_fixation_ms, coalesce(path, 0) AS scanpath, bcea, pupil - base AS pupil_delta,
+        CASE WHEN w = 'early' THEN s1 - f END AS first_fixation_ms, CASE WHEN w = 'early' THEN CAST({_rect("eyes")} AS DOUBLE) END AS first_fixation_on_eyes
+        FROM ms LEFT JOIN fx ON id = (rec * 10 + trial) * 2 + CASE w WHEN 'late' THEN 1 ELSE 0 END LEFT JOIN bs USING (rec, trial))"""
+VIEW_NUMBERS = ("valid_share", "eyes_share", "mouth_share", "face_other_share", "off_face_share", "mean_fixation_ms", "scanpath", "bcea", "pupil_delta", "first_fixation_ms")
+
+
+@book.query("a39_viewing_windows", f"""WITH RECURSIVE {VIEWED} SELECT recording, CAST(trial AS BIGINT) AS trial, valence, "window", n_samples, n_fixations, first_fixation_on_eyes, {", ".join(f"round({c}, 6) AS {c}" for c in VIEW_NUMBERS)} FROM vw""")
+def a39_windows(spark, d):
+    return all_rounded(viewed(spark, d))
+
+
+_LONG = "CASE WHEN starts_with(measure, 'first_') THEN {} ELSE {} END"
+
+
+@book.query(
+    "a38_viewing_summary",
+    f"""WITH RECURSIVE {VIEWED}, lg AS (SELECT recording % 25 AS subject, recording * 10 + trial AS trial, valence, "window" AS w, unnest({list((*E.MEASURES, "first_fixation_ms", "first_fixation_on_eyes"))}) AS measure, unnest([{", ".join((*E.MEASURES, "first_fixation_ms", "first_fixation_on_eyes"))}]) AS value FROM vw),
+    kept AS (SELECT * FROM lg WHERE NOT starts_with(measure, 'first_') OR value IS NOT NULL),
+    mn AS (SELECT subject, w, valence, measure, avg(value) AS value, stddev_samp(value) AS sd, {_LONG.format("measure || '_' || valence", "w || '_' || valence || '_' || measure")} AS name FROM kept GROUP BY ALL),
+    wd AS (SELECT subject, w, measure, {", ".join(f"max(value) FILTER (valence = '{v}') AS {v}" for v in VALENCES)} FROM mn WHERE measure IN ({", ".join(f"'{m}'" for m in (*E.CONTRASTED, "first_fixation_ms", "first_fixation_on_eyes"))}) GROUP BY ALL),
+    ct AS ({" UNION ALL ".join(f"SELECT subject, {_LONG.format(f"'contrast_{a}_minus_{b}_' || measure", f"'contrast_' || w || '_{a}_minus_{b}_' || measure")} AS feature, {a} - {b} AS value FROM wd" for a, b in CONTRASTS)}),
+    td AS (SELECT subject, 'trend_' || measure AS feature, CASE WHEN count(value) >= 3 THEN regr_slope(value, trial) END AS value FROM kept WHERE w = 'late' AND measure IN ('eyes_share', 'n_fixations', 'pupil_delta') GROUP BY ALL)
+    SELECT subject, feature, round(value, 6) + 0 AS value FROM (SELECT subject, name AS feature, value FROM mn UNION ALL SELECT subject, name || '_sd', sd FROM mn WHERE measure IN ('eyes_share', 'pupil_delta') UNION ALL SELECT * FROM ct UNION ALL SELECT * FROM td)""",
+)
+def a38_summary(spark, d):
+    """All nine measures by window and valence, their spreads and contrasts, first fixations and trends."""
+    t = viewed(spark, d).withColumns({"subject": F.col("recording") % 25, "trial": F.col("recording") * 10 + F.col("trial")})
+    # no negative zero
+    return all_rounded(E.viewing_summary(t, "subject", VALENCES, CONTRASTS)).withColumn("value", F.col("value") + 0.0)
+
+
 FOLLOW = f"{Z}, p AS (SELECT recording, sample, x, (sample * 41 % 97) / 96.0::DOUBLE AS tx, CASE WHEN sample % 2 = 0 THEN 1 ELSE -1 END AS expected FROM gaze)"
 
 
