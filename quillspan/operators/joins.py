@@ -64,16 +64,34 @@ def attach_comparator(paired: DataFrame, pooled: DataFrame, keys: Sequence[str],
     return paired.join(pooled, list(keys), "left").withColumn("above_chance", F.coalesce((F.col(auroc) > 0.5).cast("int"), F.lit(0)))
 
 
+#: Columns that place an interval: its level, and a bucket of that level.
+LEVEL, BUCKET = "_level", "_bucket"
+
+
+def leveled(intervals: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """Intervals under the buckets that they touch: of ``width`` doubled so often that a bucket is as long as the interval, so they are two at most.
+
+    An interval that ends before it starts, or lacks an end, holds nothing and is left out.
+    """
+    times = F.ceil(F.log2((F.col(end) - F.col(start)).cast("double") / width))
+    sized = intervals.filter(F.col(end) >= F.col(start)).withColumn(LEVEL, F.greatest(F.lit(0), times).cast("int"))
+    at = lambda c: F.floor(F.col(c) / (width * F.pow(F.lit(2.0), F.col(LEVEL)))).cast("long")
+    return sized.withColumn(BUCKET, F.explode(F.sequence(at(start), at(end))))
+
+
 def window_join(samples: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, width: float, closed: bool = True) -> DataFrame:
     """Samples inside intervals of the same recording; closed at both ends or half-open.
 
-    Intervals are listed under every bucket of ``width`` they touch and samples under their own, so the range
-    join is an equi join whose work follows the matches; a width near the usual interval length is best.
+    Intervals are listed by length: under two buckets at most of a level of their own (``leveled``), whatever their lengths, and a sample
+    looks up one bucket of each level that there is.  So the range join is an equi join whose work follows the matches.
     """
-    b = F.floor(F.col(time) / width)
-    spread = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    spread = leveled(intervals, start, end, width)
+    # a number for each doubling between the shortest interval and the longest
+    levels = [r[0] for r in spread.select(LEVEL).distinct().collect()]
     inside = (F.col(time) >= F.col(start)) & ((F.col(time) <= F.col(end)) if closed else (F.col(time) < F.col(end)))
-    return samples.withColumn("_b", b).join(spread, [key, "_b"]).filter(inside).drop("_b")
+    looked = F.explode(F.array(*[F.struct(F.lit(n).alias(LEVEL), F.floor(F.col(time) / (width * 2.0**n)).cast("long").alias(BUCKET)) for n in sorted(levels) or [0]])).alias("_look")
+    placed = samples.select("*", looked).select(*samples.columns, f"_look.{LEVEL}", f"_look.{BUCKET}")
+    return placed.join(spread, [key, LEVEL, BUCKET]).filter(inside).drop(LEVEL, BUCKET)
 
 
 def asof_prior(events: DataFrame, markers: DataFrame, key: str, time: str, value: str) -> DataFrame:

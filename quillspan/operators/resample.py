@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.clean import stable_number
 
 def interval(draws: DataFrame, keys: Sequence[str], metrics: Sequence[str], level: float = 0.95) -> DataFrame:
     """Percentile interval and mean of each metric over the replicates."""
@@ -51,14 +50,43 @@ def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str = "p", order:
     return ranked.withColumn("rejected", F.coalesce(F.col("_rank") <= last, F.lit(False))).drop("_rank", "_m")
 
 
+#: A prime below 2**31, so that a square fits a long, and the rounds of a permutation.
+PRIME, ROUNDS = 2147483647, 32
+
+
+def permuted_place(place: Column, size: Column, replicate: Column) -> Column:
+    """Where a place below ``size`` goes in a replicate: a bijection of all places (swap or not), which needs no other row.
+
+    In each round a place has one partner, the mirror about a point of that round; whether the two change places is
+    read from the greater one, so both agree.
+    """
+    def noise(x: Column, turn: Column) -> Column:
+        v = (x + turn * 48271 + replicate * 1640531527) % PRIME
+        v = (v * v + 12345 + x) % PRIME
+        return (v * v + turn) % PRIME
+
+    def swapped(x: Column, turn: Column) -> Column:
+        partner = (noise(size * 0, turn) % size - x + size) % size
+        return F.when(F.floor(noise(F.greatest(x, partner), turn) / 1024) % 2 == 1, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), place, swapped)
+
+
 def permute_labels(rows: DataFrame, keys: Sequence[str], subject: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Rows of each replicate with the labels shuffled inside the keys, so their shares stay."""
-    copies = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    groups = [*keys, "replicate"]
-    w = Window.partitionBy(*groups)
-    place = copies.withColumn("_at", F.row_number().over(w.orderBy(subject)))
-    shuffled = copies.select(*groups, "label", F.row_number().over(w.orderBy(stable_number(seed, F.col("replicate"), F.col(subject)), subject)).alias("_at"))
-    return place.drop("label").join(shuffled, [*groups, "_at"]).drop("_at")
+    """Rows of each replicate with the labels shuffled inside the keys, so their shares stay.
+
+    Rows are numbered once, in hash order.  A replicate moves the numbers by a bijection, and the rows whose number is then below the number of
+    positives are its positives: nothing is sorted or joined a replicate.
+    """
+    from quillspan.operators.splits import hash_order, hash_ranks
+
+    ranked = hash_ranks(rows, keys, hash_order(seed, subject), subject)
+    positives = rows.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.sum("label").cast("long").alias("_positives"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    known = ranked.join(positives, same) if keys else ranked.crossJoin(F.broadcast(positives))
+    copies = known.withColumn("replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))))
+    place = permuted_place((F.col("_k") - 1).cast("long"), F.col("_n").cast("long"), F.col("replicate"))
+    return copies.withColumn("label", (place < F.col("_positives")).cast("int")).select(*rows.columns, "replicate")
 
 
 def permutation_null(null: DataFrame, observed: DataFrame, keys: Sequence[str], stat: str = "auroc") -> DataFrame:

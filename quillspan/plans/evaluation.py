@@ -332,25 +332,35 @@ def e22(spark, sf_dir):
 
 #: Permutations of a null distribution, as in the reference.
 PERMUTATIONS = 100
+def _noise(x, turn):
+    v = f"(({x} + {turn} * 48271 + replicate * 1640531527) % {PRIME})"
+    v = f"(({v} * {v} + 12345 + {x}) % {PRIME})"
+    return f"(({v} * {v} + {turn}) % {PRIME})"
+
+
+#: A place among n that the rounds of the replicate move; all values are below 2**62.
+PARTNER = f"(({_noise('0', 'turn')} % n - place + n) % n)"
 NULLS = f"""one AS (SELECT outer_fold, subject, label, probability FROM predictions WHERE cv_protocol = 'standard' AND feature_set = 'signal' AND seed = 0),
-    c AS (SELECT * FROM one, range(1, 101) r(replicate)),
-    a AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, replicate ORDER BY subject) AS k FROM c),
-    b AS (SELECT outer_fold, replicate, label, row_number() OVER (PARTITION BY outer_fold, replicate ORDER BY ('0x' || substr(sha1('0|' || replicate || '|' || subject), 1, 8))::BIGINT, subject) AS k FROM c),
-    permuted AS (SELECT a.outer_fold, a.replicate, a.subject, a.probability, b.label FROM a JOIN b USING (outer_fold, replicate, k))"""
+    k AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY sha1('0|' || subject), subject) - 1 AS place, count(*) OVER (PARTITION BY outer_fold) AS n, sum(label) OVER (PARTITION BY outer_fold) AS positives FROM one),
+    moved AS (SELECT outer_fold, subject, probability, n, positives, replicate, place, CAST(1 AS BIGINT) AS turn FROM k, range(1, 101) r(replicate)
+        UNION ALL SELECT outer_fold, subject, probability, n, positives, replicate, CASE WHEN {_noise('greatest(place, partner)', 'turn')} // 1024 % 2 = 1 THEN partner ELSE place END, turn + 1
+        FROM (SELECT *, {PARTNER} AS partner FROM moved WHERE turn <= {resample.ROUNDS})),
+    permuted AS (SELECT outer_fold, replicate, subject, probability, CAST(place < positives AS INTEGER) AS label FROM moved WHERE turn = {resample.ROUNDS + 1})"""
+PR = P.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def one_model(spark, sf_dir):
     return predictions(spark, sf_dir).filter("cv_protocol = 'standard' AND feature_set = 'signal' AND seed = 0").select("outer_fold", "subject", "label", "probability")
 
 
-@book.query("e23_permute_labels", f"{P}, {NULLS} SELECT * FROM permuted")
+@book.query("e23_permute_labels", f"{PR}, {NULLS} SELECT * FROM permuted")
 def e23(spark, sf_dir):
     return resample.permute_labels(one_model(spark, sf_dir), ["outer_fold"], "subject", PERMUTATIONS).select("outer_fold", "replicate", "subject", "probability", "label")
 
 
 @book.query(
     "e24_permutation_null",
-    f"""{P}, {NULLS}, n AS (SELECT * FROM {auroc_sql('replicate', 'permuted')}), o AS (SELECT max(auroc) AS observed FROM {auroc_sql('k', '(SELECT 1 AS k, * FROM one)')})
+    f"""{PR}, {NULLS}, n AS (SELECT * FROM {auroc_sql('replicate', 'permuted')}), o AS (SELECT max(auroc) AS observed FROM {auroc_sql('k', '(SELECT 1 AS k, * FROM one)')})
     SELECT round(max(observed), 6) AS observed, round(avg(auroc), 6) AS null_mean, round(stddev_samp(auroc), 6) AS null_std, round(max(auroc), 6) AS null_max,
         round(avg(CAST(auroc >= observed AS DOUBLE)), 6) AS exceedance FROM n, o""",
 )
