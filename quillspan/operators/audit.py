@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.quantiles import median
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their counts."""
@@ -47,8 +49,7 @@ def assert_no_holdout(df: DataFrame, locked: str = "is_locked_test") -> DataFram
 
 def median_split(df: DataFrame, col: str, out: str) -> DataFrame:
     """1 where col is above the median of all rows, 0 where not, NULL where NULL."""
-    middle = df.agg(F.median(col).alias("_median"))
-    return df.crossJoin(F.broadcast(middle)).withColumn(out, F.when(F.col(col).isNotNull(), (F.col(col) > F.col("_median")).cast("int"))).drop("_median")
+    return df.withColumn(out, F.when(F.col(col).isNotNull(), (F.col(col) > F.lit(median(df, col))).cast("int")))
 
 
 def assert_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:

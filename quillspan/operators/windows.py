@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.quantiles import median
 from quillspan.operators.scans import carried, long_keys
 
 
@@ -195,8 +196,7 @@ def largest_detection(frames: DataFrame, detections: DataFrame, frame: Sequence[
 
 def segment_index(segments: DataFrame, subject: str, anchor: str, lead_in: str, length: float, limit: str) -> DataFrame:
     """Segment starts and ends relative to an anchor, with the cohort's median lead-in where a subject has none; beyond the end they are NULL, with a reason."""
-    middle = segments.agg(F.median(lead_in).alias("_median"))
-    t = segments.crossJoin(F.broadcast(middle)).withColumn("used_lead_in", F.coalesce(lead_in, "_median")).drop("_median")
+    t = segments.withColumn("used_lead_in", F.coalesce(F.col(lead_in).cast("double"), F.lit(median(segments, lead_in)).cast("double")))
     start = F.col(anchor) + F.col("used_lead_in")
     inside = start + length <= F.col(limit)
     return t.withColumns({"segment_start": F.when(inside, start), "segment_end": F.when(inside, start + length),
