@@ -4,7 +4,7 @@ A document is the set of its distinct three-word shingles; two documents link wh
 0.85 or more, which is confirmed on the full sets.
 
 1. *Sketch.*  A set has FUNCTIONS MinHash values of one byte.  Documents of one set form a class and are searched as one.
-2. *Orders.*  Each of ORDERS sorted orders reads KEY of the values, in a sequence of its own, as a key.  Sets with a long common
+2. *Orders.*  Each of ORDERS sorted orders reads the values in a sequence of its own.  Sets with a long common
    prefix lie next to each other in that order.
 3. *Adaptive depth.*  A region is what shares a prefix.  Regions are counted at the first of DEPTHS; one of more than REGION sets is
    cut again at the next depth, alone, and so on, so thin regions are read at a shallow depth and crowded ones at a deep one.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import documents, dropped, small, stored
@@ -41,10 +41,10 @@ from quillspan.llm.textcore import mix, shingle_sets
 WORDS = 3
 #: Similarity in per cent.
 PERCENT = 85
-#: MinHash values of a sketch, sorted orders, and values of an order's key.
-FUNCTIONS, ORDERS, KEY = 128, 24, 16
+#: MinHash values of a sketch, and sorted orders.
+FUNCTIONS, ORDERS = 128, 24
 #: Values that a region has in common; a region of more than REGION sets is cut at the next depth.
-DEPTHS = (5, 6, 8, 11, 16)
+DEPTHS = (5, 8, 16, 32, 64, 128)
 REGION = 40
 #: Sets of a region that is crowded at the last depth which meet all others in a round.
 PIVOTS = 8
@@ -57,7 +57,6 @@ HASHED = 1 << 16
 
 _SEEDS = mix(np.arange(1, 2 * FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEEDS[:FUNCTIONS], _SEEDS[FUNCTIONS:] | np.uint64(1)
-_LONGS = [f"s{i}" for i in range(FUNCTIONS // 8)]
 
 
 def signature(shingles: np.ndarray) -> tuple[int, int]:
@@ -87,8 +86,8 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         found = np.zeros((len(sets), FUNCTIONS), np.uint8)
         if size.any():
             found[size > 0] = sketches([s for s in sets if len(s)])
-        longs = found.view(np.int64)
-        return pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy()), *(pa.array(longs[:, i].copy()) for i in range(len(_LONGS)))], ["doc_id", "n_shingles", "sig", "sig_b", *_LONGS])
+        packed = pa.array([x.tobytes() for x in found], pa.binary())
+        return pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy()), packed], ["doc_id", "n_shingles", "sig", "sig_b", "sketch"])
 
     for batch in batches:
         held: list[np.ndarray] = []
@@ -104,69 +103,79 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sig and sig_b (hashes of the set) and the sketch, eight values a column; stored."""
+    """doc_id, n_shingles, sig and sig_b (hashes of the set) and the sketch; stored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, sig long, sig_b long, {', '.join(f'{s} long' for s in _LONGS)}"
-    return stored(docs.select("doc_id", "text").mapInArrow(_profile_batches, schema), "profile")
+    return stored(docs.select("doc_id", "text").mapInArrow(_profile_batches, f"doc_id {kind}, n_shingles long, sig long, sig_b long, sketch binary"), "profile")
 
 
-def sequences() -> np.ndarray:
-    """The functions that each order reads: each of three shufflings of all functions gives eight orders that share none."""
-    per = FUNCTIONS // KEY
-    shuffled = [np.argsort(mix(np.arange(FUNCTIONS, dtype=np.uint64) + np.uint64(1000 * r + 7))) for r in range(-(-ORDERS // per))]
-    return np.concatenate([s.reshape(per, KEY) for s in shuffled])[:ORDERS]
-
-
-def _order_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each set in each order."""
-    of = sequences()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sketch = np.stack([batch.column(s).to_numpy() for s in _LONGS], 1).view(np.uint8)
-        for t in range(ORDERS):
-            key = np.ascontiguousarray(sketch[:, of[t]]).view(">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), batch.column("sig")], ["tree", "k1", "k2", "sig"])
-
-
-def prefix(depth: int) -> list[Column]:
-    """p1 and p2: the first ``depth`` values of the key, the others zero."""
-    def head(name: str, n: int) -> Column:
-        bits = (1 << 64) - (1 << 64 - 8 * max(0, min(8, n)))
-        return F.col(name).bitwiseAND(F.lit(bits - (1 << 64) if bits >= 1 << 63 else bits).cast("long"))
+def unpacked(column: pa.Array) -> np.ndarray:
+    """The sketches of a column, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), FUNCTIONS)
 
-    return [head("k1", depth).alias("p1"), head("k2", depth - 8).alias("p2")]
 
-
-REGION_KEY = ("tree", "p1", "p2")
+def sequences() -> np.ndarray:
+    """The functions in the sequence of each order: eight orders turn one shuffling by 16 places each, so that their first 16 functions are all different."""
+    shuffled = [np.argsort(mix(np.arange(FUNCTIONS, dtype=np.uint64) + np.uint64(1000 * r + 7))) for r in range(-(-ORDERS // 8))]
+    return np.stack([np.roll(shuffled[t // 8], -FUNCTIONS // 8 * (t % 8)) for t in range(ORDERS)])
+
+
+def _order_batches(depth: int, every: bool):
+    """For each set in each order, or in the order of its row: the first 16 values in two longs, and a name of the first ``depth``."""
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sequences()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketch = unpacked(batch.column("sketch"))
+            tree = None if every else batch.column("tree").to_numpy()
+            for t in range(ORDERS) if every else np.unique(tree).tolist():
+                own = np.arange(batch.num_rows) if every else np.flatnonzero(tree == t)
+                values = np.ascontiguousarray(sketch[own][:, of[t]])
+                key = np.ascontiguousarray(values[:, :16]).view(">u8").astype(np.uint64)
+                name = key[:, 0] & np.uint64((1 << 64) - (1 << 8 * max(0, 8 - depth)))
+                if depth > 8:
+                    longs = np.ascontiguousarray(values[:, :depth]).view(np.uint64)
+                    name = np.zeros(len(own), np.uint64)
+                    for j in range(longs.shape[1]):
+                        name = mix(name ^ longs[:, j]) + np.uint64(j)
+                columns = [key[:, 0], key[:, 1], name]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), *(pa.array(c.astype(np.int64)) for c in columns), batch.column("sig").take(pa.array(own))], ["tree", "k1", "k2", "name", "sig"])
+
+    return placed
+
+
+PLACED = "tree int, k1 long, k2 long, name long, sig long"
+REGION_KEY = ("tree", "name")
 
 
 def regions(orders: DataFrame, depth: int) -> DataFrame:
     """The rows in a region of two sets or more, with its number of sets and its smallest one; stored."""
-    cut = orders.select("tree", "k1", "k2", "sig", *prefix(depth))
-    known = cut.groupBy(*REGION_KEY).agg(F.count("*").alias("sets"), F.min("sig").alias("pivot")).filter("sets > 1")
+    known = orders.groupBy(*REGION_KEY).agg(F.count("*").alias("sets"), F.min("sig").alias("pivot")).filter("sets > 1")
     # the counts are stored first, so that a crowded region can be split in the join
     known = stored(known, "regions")
-    found = stored(cut.join(small(known), list(REGION_KEY)).withColumn("depth", F.lit(depth)), "region-rows")
+    found = stored(orders.join(small(known), list(REGION_KEY)).withColumn("depth", F.lit(depth)), "region-rows")
     dropped(known)
     return found
 
 
 def forest(classes: DataFrame) -> list[DataFrame]:
     """The rows of regions at each depth tried: at the first one all sets, at the next ones those of crowded regions."""
-    orders = classes.select("sig", *_LONGS).mapInArrow(_order_batches, "tree int, k1 long, k2 long, sig long")
     levels: list[DataFrame] = []
     for depth in DEPTHS:
+        if levels:
+            crowded = levels[-1].filter(F.col("sets") > REGION).select("tree", "sig")
+            if crowded.isEmpty():
+                break
+            orders = crowded.join(classes.select("sig", "sketch"), "sig").mapInArrow(_order_batches(depth, False), PLACED)
+        else:
+            orders = classes.select("sig", "sketch").mapInArrow(_order_batches(depth, True), PLACED)
         levels.append(regions(orders, depth))
-        orders = levels[-1].filter(F.col("sets") > REGION).select("tree", "k1", "k2", "sig")
-        if orders.isEmpty():
-            break
     return levels
 
 
 def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of unconnected neighbours in each region, from rows in the sorted orders; the last region of a batch waits for the next one."""
-    names = ("tree", "depth", "p1", "p2", "sig", "group")
+    names = ("tree", "depth", "name", "sig", "group")
     rest: list[np.ndarray] | None = None
     for batch in _and_end(batches):
         rows = [batch.column(c).to_numpy() for c in names] if batch is not None else None
@@ -174,11 +183,11 @@ def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             rows = [np.append(a, b) for a, b in zip(rest, rows)] if rows else rest
         if rows is None or not len(rows[0]):
             continue
-        fresh = np.append(True, np.any([c[1:] != c[:-1] for c in rows[:4]], axis=0))
+        fresh = np.append(True, np.any([c[1:] != c[:-1] for c in rows[:3]], axis=0))
         run = np.cumsum(fresh) - 1
         done = run < run[-1] if batch is not None else np.ones(len(run), bool)
         rest = [c[~done] for c in rows] if batch is not None else None
-        sig, group = rows[4], rows[5]
+        sig, group = rows[3], rows[4]
         pairs = []
         for step in range(1, REGION):
             i = np.flatnonzero(done[:-step] & (run[:-step] == run[step:]) & (group[:-step] != group[step:])) if len(run) > step else np.zeros(0, np.int64)
@@ -196,8 +205,8 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 def neighbours(leaves: DataFrame) -> DataFrame:
     """a, b: unconnected sets of one region of at most REGION, next to each other in one of the sorted orders."""
-    rows = leaves.repartitionByRange(*REGION_KEY).sortWithinPartitions("tree", "depth", "k1", "k2", "sig")
-    return rows.select("tree", "depth", "p1", "p2", "sig", "group").mapInArrow(_neighbour_batches, "a long, b long")
+    rows = leaves.repartitionByRange(*REGION_KEY).sortWithinPartitions("tree", "depth", "k1", "k2", "name", "sig")
+    return rows.select("tree", "depth", "name", "sig", "group").mapInArrow(_neighbour_batches, "a long, b long")
 
 
 def _agreeing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +214,7 @@ def _agreeing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         if not batch.num_rows:
             continue
-        one, two = (np.stack([batch.column(f"{x}_{s}").to_numpy() for s in _LONGS], 1).view(np.uint8) for x in "ab")
+        one, two = (unpacked(batch.column(f"{x}_sketch")) for x in "ab")
         n, m = (batch.column(f"{x}_n").to_numpy() for x in "ab")
         keep = ((one == two).sum(1) >= AGREED) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
         yield batch.select(["a", "b", "a_rep", "b_rep"]).filter(pa.array(keep))
@@ -213,7 +222,7 @@ def _agreeing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b, a_rep, b_rep of the pairs, each once, that may link; stored."""
-    sides = [classes.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n_shingles").alias(f"{x}_n"), *(F.col(s).alias(f"{x}_{s}") for s in _LONGS)) for x in "ab"]
+    sides = [classes.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab"]
     pairs = stored(pairs.distinct(), "candidates")
     kind = classes.schema["rep"].dataType.simpleString()
     found = stored(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_agreeing_batches, f"a long, b long, a_rep {kind}, b_rep {kind}"), "possible")
@@ -299,7 +308,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     rows = profile(docs)
     classes = stored(
-        rows.filter("n_shingles > 0").groupBy("sig", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), *[F.min(s).alias(s) for s in _LONGS]).filter("rep IS NOT NULL"),
+        rows.filter("n_shingles > 0").groupBy("sig", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")).filter("rep IS NOT NULL"),
         "classes",
     )
     found = small(_connected(docs, classes))
