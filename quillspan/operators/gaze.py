@@ -279,31 +279,36 @@ def score_saccades(samples: DataFrame, trials: DataFrame, key: str, time: str, l
 
 
 def smoothed_velocity(samples: DataFrame, key: str, time: str, value: str, width: int) -> DataFrame:
-    """Velocity by a quadratic least-squares fit over ``width`` (odd) samples; at the ends the edge window's parabola is used.
+    """Velocity by a quadratic least-squares fit over ``width`` (odd) samples; at the ends the edge window's parabola is used; NaN for shorter series.
 
-    The fit of evenly spaced samples is a fixed convolution, done per series in a grouped map.
+    The fit of evenly spaced samples is a fixed convolution over the rows around a sample.  A recording is cut into pieces of PIECE samples, and a piece is
+    given the half window before and after it.
     """
-    import numpy as np
-    import pandas as pd
-
-    def derive(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        t, v = pdf[time].to_numpy(float), pdf[value].to_numpy(float)
-        out = np.full(len(v), np.nan)
-        if len(v) >= width:
-            half = width // 2
-            place = np.arange(-half, half + 1)
-            pinv = np.linalg.pinv(np.stack([np.ones(width), place, place**2], 1))
-            dt = np.median(np.diff(t)) / 1000.0
-            windows = np.lib.stride_tricks.sliding_window_view(v, width) @ pinv.T
-            out[half : len(v) - half] = windows[:, 1] / dt
-            for i in range(half):
-                out[i] = (windows[0, 1] + 2 * windows[0, 2] * (i - half)) / dt
-                out[-1 - i] = (windows[-1, 1] + 2 * windows[-1, 2] * (half - i)) / dt
-        return pd.DataFrame({key: pdf[key], time: pdf[time], "velocity": out})
-
-    kinds = samples.schema
-    return samples.select(key, time, value).groupBy(key).applyInPandas(derive, f"`{key}` {kinds[key].dataType.simpleString()}, `{time}` {kinds[time].dataType.simpleString()}, velocity double")
+    half = width // 2
+    places = range(-half, half + 1)
+    square = sum(j * j for j in places)
+    middle = square / width
+    curved = sum((j * j - middle) ** 2 for j in places)
+    rows = samples.select(key, time, F.col(value).cast("double").alias("_v"))
+    found = long_keys(rows, [key], time)
+    t = carried(rows, [key], [time], found, upto={"_at": F.lit(1).cast("long")}, before={"_was": F.col(time).cast("double")}).withColumn("_at", F.col("_at") - 1)
+    whole = t.groupBy(key).agg(F.count("*").alias("_n"), (F.median(F.col(time).cast("double") - F.col("_was")) / 1000.0).alias("_dt"))
+    own, inside = F.floor(F.col("_at") / PIECE), F.col("_at") % PIECE
+    seen = F.array_compact(F.array(own, F.when(inside < half, own - 1), F.when(inside >= PIECE - half, own + 1)))
+    t = t.withColumn("_own", own).withColumn("_piece", F.explode(seen))
+    w = Window.partitionBy(key, "_piece").orderBy("_at")
+    around = {j: F.lag("_v", -j).over(w) for j in places}
+    slope = sum((around[j] * (j / square) for j in places if j), F.lit(0.0))
+    bend = sum((around[j] * ((j * j - middle) / curved) for j in places), F.lit(0.0))
+    t = t.withColumns({"_b1": slope, "_b2": bend}).filter("_own = _piece").join(whole, key, "left")
+    fit = F.struct("_b1", "_b2")
+    # the fits of the first and the last whole window stand for the samples before and after their centres
+    ends = t.groupBy(key).agg(F.max(F.when(F.col("_at") == half, fit)).alias("_first"), F.max(F.when(F.col("_at") == F.col("_n") - 1 - half, fit)).alias("_last"))
+    t = t.join(ends, key, "left")
+    before = F.col("_first._b1") + 2 * F.col("_first._b2") * (F.col("_at") - half)
+    after = F.col("_last._b1") + 2 * F.col("_last._b2") * (F.col("_at") - (F.col("_n") - 1 - half))
+    velocity = F.when(F.col("_at") < half, before).when(F.col("_at") >= F.col("_n") - half, after).otherwise(F.col("_b1")) / F.col("_dt")
+    return t.select(key, time, F.when(F.col("_n") >= width, velocity).otherwise(F.lit(float("nan"))).alias("velocity"))
 
 
 def velocity_gain(pairs: DataFrame, key: str, least_target: float) -> DataFrame:

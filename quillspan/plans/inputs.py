@@ -151,12 +151,26 @@ def velocities(spark, d):
     return eye.select("recording", "time_ms", F.col("velocity").alias("eye_velocity"), target.alias("target_velocity"))
 
 
-@book.query("w15_smoothed_velocity")
+_J = range(-7, 8)
+VELOCITIES = f"""{SIGNAL}, f AS (SELECT recording, sample AS i, sample * 10.0::DOUBLE AS time_ms, ({" + ".join(f"({j}) * lead(value, {j}) OVER w" if j > 0 else f"({j}) * lag(value, {-j}) OVER w" for j in _J if j)}) / 280.0::DOUBLE AS b1,
+        ({" + ".join(f"({j * j} - 56.0::DOUBLE / 3) * lag(value, {-j}) OVER w" if j <= 0 else f"({j * j} - 56.0::DOUBLE / 3) * lead(value, {j}) OVER w" for j in _J)}) / {sum((j * j - 56 / 3) ** 2 for j in _J)!r}::DOUBLE AS b2 FROM signal WINDOW w AS (PARTITION BY recording ORDER BY sample)),
+    e AS (SELECT recording, max(b1) FILTER (i = 7) AS p1, max(b2) FILTER (i = 7) AS p2, max(b1) FILTER (i = 56) AS q1, max(b2) FILTER (i = 56) AS q2 FROM f GROUP BY recording),
+    vel AS (SELECT recording, time_ms, CASE WHEN i < 7 THEN p1 + 2 * p2 * (i - 7) WHEN i > 56 THEN q1 + 2 * q2 * (i - 56) ELSE b1 END / 0.01::DOUBLE AS eye_velocity, 1.0::DOUBLE + recording % 3 AS target_velocity FROM f JOIN e USING (recording))"""
+
+
+@book.query("w15_smoothed_velocity", f"WITH {VELOCITIES} SELECT recording, time_ms, round(eye_velocity, 6) AS eye_velocity, target_velocity FROM vel")
 def w15(spark, d):
     return all_rounded(velocities(spark, d))
 
 
-@book.query("w15_velocity_gain")
+@book.query(
+    "w15_velocity_gain",
+    f"""WITH {VELOCITIES}, fast AS (SELECT *, CAST(abs(eye_velocity - target_velocity) > 1 AS INT) AS ok FROM vel),
+    isl AS (SELECT *, sum(1 - ok) OVER (PARTITION BY recording ORDER BY time_ms) AS island FROM fast),
+    rn AS (SELECT recording, count(*) AS n_runs FROM (SELECT recording, island FROM isl WHERE ok = 1 GROUP BY ALL HAVING max(time_ms) - min(time_ms) >= 10) GROUP BY ALL),
+    g AS (SELECT recording, median(eye_velocity / target_velocity) AS gain, count(*) AS n_used, (max(time_ms) - min(time_ms)) / 1000 AS seconds FROM vel WHERE abs(target_velocity) >= 0.5 GROUP BY ALL)
+    SELECT recording, round(gain, 6) AS velocity_gain, n_used, coalesce(n_runs, 0) AS n_runs, round(coalesce(n_runs, 0) / seconds, 6) AS rate FROM g LEFT JOIN rn USING (recording)""",
+)
 def w15_gain(spark, d):
     v = velocities(spark, d)
     return all_rounded(E.velocity_gain(v, "recording", 0.5).join(E.catch_up_rate(v, "recording", "time_ms", 1.0, 10), "recording"))

@@ -65,3 +65,23 @@ def test_levels_of_chunks(spark, monkeypatch, piece):
     assert len(found) == len(rows)
     for k, v in tracks.items():
         assert [found[k, i] for i in range(len(v))] == plain_levels(v, 0.05, 5)
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 25])
+def test_velocities_of_pieces(spark, monkeypatch, piece):
+    """Against parabolas fitted sample by sample; the edges read those of the first and the last whole window."""
+    monkeypatch.setattr(scans, "CHUNK", piece)
+    monkeypatch.setattr(gaze, "PIECE", piece)
+    rng = np.random.default_rng(1)
+    series = {"long": np.cumsum(rng.normal(size=203)), "even": np.cumsum(rng.normal(size=50)), "one": rng.normal(size=9), "none": rng.normal(size=8)}
+    df = spark.createDataFrame([(k, 10.0 * i, float(x)) for k, v in series.items() for i, x in enumerate(v)], "k string, t double, v double").repartition(3)
+    found = {(r.k, r.t): r.velocity for r in gaze.smoothed_velocity(df, "k", "t", "v", 9).collect()}
+    for k, v in series.items():
+        for i in range(len(v)):
+            got = found[k, 10.0 * i]
+            if len(v) < 9:
+                assert np.isnan(got)
+                continue
+            c = min(max(i, 4), len(v) - 5)
+            a, b, _ = np.polyfit(np.arange(-4, 5), v[c - 4 : c + 5], 2)
+            assert got == pytest.approx((b + 2 * a * (i - c)) / 0.01)
