@@ -11,7 +11,7 @@ A document is the set of its distinct three-word shingles; two documents link wh
    Counts and each region's smallest set come from aggregates, so a crowded region lies in no one task.
 4. *Candidates.*  First the smallest set of every region, at every depth that was tried, with the others of the region; what these
    links connect need not be compared again.  Then, in the sorted orders, the unconnected neighbours in every region of at most REGION sets; and in
-   larger ones, where at most REGION sets are outside the region's main component, those sets with all others.  A region with more of them
+   larger ones, where at most OUTSIDE sets are outside the region's main component, those sets with all others.  A region with more of them
    is read at its next depth; at the last one it goes on with PIVOTS sets at a time, until all its unconnected pairs are tried.
 5. *Confirmation.*  A candidate whose sketches agree in under AGREED values is left out (a linked pair is with a chance under
    1e-8).  The sets of the others are sent to a place, a centre before its partners, and compared shingle by shingle; a centre with many partners has several places.
@@ -46,6 +46,8 @@ FUNCTIONS, ORDERS = 128, 24
 #: Values that a region has in common; a region of more than REGION sets is cut at the next depth.
 DEPTHS = (5, 8, 16, 32, 64, 128)
 REGION = 40
+#: Sets outside the main component of a crowded region that meet all others; with more of them the region is read at the next depth.
+OUTSIDE = 12
 #: Sets of a region that is crowded at the last depth which meet all others in a round.
 PIVOTS = 8
 #: Sketch values that a candidate agrees in: six deviations below the mean of a pair at PERCENT.
@@ -282,14 +284,14 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _outside(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """In crowded regions (stored rows with their group): pairs of sets outside the main group with the others, and the rows of the last depth with more than REGION outside."""
+    """In crowded regions (stored rows with their group): pairs of sets outside the main group with the others, and the rows of the last depth with more than OUTSIDE outside."""
     key = ["depth", *REGION_KEY]
     sizes = crowded.groupBy(*key, "group").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max_by("group", F.struct("n", "group")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
     sizes = stored(sizes.filter("outside > 0"), "mains")
-    few = small(sizes.filter(F.col("outside") <= REGION).drop("outside"))
+    few = small(sizes.filter(F.col("outside") <= OUTSIDE).drop("outside"))
     some = stored(crowded.join(few, key).filter("group <> main").select(*key, F.col("sig").alias("own"), F.col("group").alias("of")), "outside")
     pairs = crowded.join(small(some), key).filter("group <> of").select(F.least("sig", "own").alias("a"), F.greatest("sig", "own").alias("b"))
-    many = small(sizes.filter((F.col("outside") > REGION) & (F.col("depth") == DEPTHS[-1])).select(*key))
+    many = small(sizes.filter((F.col("outside") > OUTSIDE) & (F.col("depth") == DEPTHS[-1])).select(*key))
     return pairs, crowded.join(many, key).filter("sig <> pivot").select(F.xxhash64(*REGION_KEY).alias("region"), "sig")
 
 

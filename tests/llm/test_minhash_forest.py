@@ -70,6 +70,7 @@ def found(spark, rows):
 def test_equals_brute_force(spark, monkeypatch, region, missed):
     """No link that is none, and next to none missed, also with regions so small that nearly all are cut down to the last depth."""
     monkeypatch.setattr(mf, "REGION", region)
+    monkeypatch.setattr(mf, "OUTSIDE", min(region, mf.OUTSIDE))
     monkeypatch.setattr(mf, "PLACE", 40)
     rows = corpus()
     got, want = found(spark, rows), brute(rows)
