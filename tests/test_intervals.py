@@ -42,3 +42,29 @@ def test_places_are_a_bijection(spark):
     for n in (1, 2, 7, 100):
         t = spark.range(n).select(resample.permuted_place(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long")).alias("p"))
         assert sorted(r.p for r in t.collect()) == list(range(n))
+
+
+def test_many_places_take_a_fixed_number_of_operations_each(spark):
+    """The rounds against plain integers, and 100,000 places of 300,000; with nested expressions these took minutes."""
+    import time
+
+    import numpy as np
+
+    def plain(place, n, replicate):
+        def noise(x, turn):
+            v = (x + turn * 48271 + replicate * 1640531527) % resample.PRIME
+            v = (v * v + 12345 + x) % resample.PRIME
+            return (v * v + turn) % resample.PRIME
+
+        for turn in range(1, resample.ROUNDS + 1):
+            partner = (noise(0, turn) - place) % n
+            place = partner if noise(max(place, partner), turn) // 1024 % 2 == 1 else place
+        return place
+
+    began = time.time()
+    for n, some in ((1, 1), (13, 13), (300_000, 100_000)):
+        t = spark.range(some).select(resample.permuted_place(F.col("id"), F.lit(n).cast("long"), F.lit(100).cast("long")).alias("p"))
+        found = np.array([r.p for r in t.collect()])
+        assert len(set(found.tolist())) == some
+        assert found[:200].tolist() == [plain(i, n, 100) for i in range(min(some, 200))]
+    assert time.time() - began < 20
