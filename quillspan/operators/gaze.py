@@ -354,9 +354,15 @@ def viewing_features(trials: DataFrame, subject: str, valence: str, value: str,
     return out.withColumns({f"contrast_{v}": F.col(f"{v}_mean") - F.col(f"{valences[0]}_mean") for v in valences[1:]})
 
 
-def direction_agreement(samples: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Share of segments whose mean gaze lies on the target's side of the middle."""
-    seg = samples.filter("x IS NOT NULL").groupBy(*keys, "expected").agg(F.avg(F.col("x") - 0.5).alias("_m"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
+def direction_agreement(samples: DataFrame, keys: list[str], least: int, order: str) -> DataFrame:
+    """Share of segments whose mean gaze lies on the target's side of the middle.
+
+    Where a mean is 0 but for rounding, its sign hangs on the order of the additions; so a segment's samples are added one after
+    the other as ``order`` has them, whatever the partitions.
+    """
+    place = [*keys, "expected"]
+    ordered = samples.filter("x IS NOT NULL").repartition(*place).sortWithinPartitions(*place, order)
+    seg = ordered.groupBy(*place).agg(F.avg(F.col("x") - 0.5).alias("_m"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
     return seg.groupBy(*keys[:-1]).agg(F.avg((F.signum("_m") == F.col("expected")).cast("double")).alias("agreement"), F.count("*").alias("n_segments"))
 
 

@@ -272,7 +272,7 @@ def a41(spark, d):
 @book.query("a42_direction_agreement", f"{FOLLOW}, s AS (SELECT recording, sample % 10 AS segment, expected, avg(x - 0.5) AS m FROM p WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) >= 3) SELECT recording, round(avg(CAST(sign(m) = expected AS DOUBLE)), 6) AS agreement, count(*) AS n_segments FROM s GROUP BY recording")
 def a42(spark, d):
     t = follow(spark, d).withColumn("segment", F.col("sample") % 10)
-    return rounded(E.direction_agreement(t, ["recording", "segment"], 3), "agreement")
+    return rounded(E.direction_agreement(t, ["recording", "segment"], 3, "sample"), "agreement")
 
 
 @book.query("a54_spectral_features")
