@@ -24,3 +24,39 @@ def test_agreement_adds_in_order_in_any_partitions(spark):
         t = spark.createDataFrame(rows, "recording int, sample int, segment int, expected int, x double").repartition(parts)
         found = {r.recording: r.agreement for r in gaze.direction_agreement(t, ["recording", "segment"], 3, "sample").collect()}
         assert found == want
+
+
+def test_bootstrap_draws_go_down_one_level_for_any_number_of_subjects(spark):
+    """As in the SQL of e13; from 16,385 subjects on there was a second level, with other draws."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillspan.functions.clean import stable_number
+    from quillspan.operators import bootstrap
+
+    n = 20_000
+    t = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("subject"))
+    found = {r.subject: np.frombuffer(r.weights, np.uint8) for r in bootstrap.subject_weights(t, ["g"], "subject", 2).collect()}
+    group = t.select((stable_number(0, F.col("g")) % bootstrap.PRIME).alias("v")).first().v
+    order = [(r.h, r.subject) for r in t.select("subject", stable_number(0, F.col("g"), F.col("subject")).alias("h")).collect()]
+    order.sort()
+    children = [[s for h, s in order if h >> 28 == c] for c in range(16)]
+
+    def draw(node, b, i):
+        p = bootstrap.PRIME
+        a = (group + 16807 * node + i) % p
+        v = (a + b * 1640531527) % p
+        y = (v * v + 12345 + a) % p
+        z = (y * y + b) % p
+        return (z * z + i) % p
+
+    for b in (1, 2):
+        counts = [0] * 16
+        ends = np.cumsum([len(c) for c in children])
+        for i in range(n):
+            counts[int(np.searchsorted(ends, draw(0, b, i) * n // bootstrap.PRIME, "right"))] += 1
+        want = dict.fromkeys(range(n), 0)
+        for child, subjects in enumerate(children):
+            for i in range(counts[child]):
+                want[subjects[draw(1 + child, b, i) * len(subjects) // bootstrap.PRIME]] += 1
+        assert {s: int(w[b - 1]) for s, w in found.items()} == want
