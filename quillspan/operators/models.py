@@ -44,10 +44,12 @@ def estimator(name: str, seed: int = 0, **params):
 
 
 def balanced(train: DataFrame) -> DataFrame:
-    """``weight`` so that the classes weigh the same."""
-    sizes = train.groupBy("label").agg(F.count("*").alias("_n"))
-    total = train.count()
-    return train.join(F.broadcast(sizes), "label").withColumn("weight", F.lit(float(total)) / (2 * F.col("_n"))).drop("_n")
+    """``weight`` so that the classes weigh the same; one pass counts the classes, and no stage that follows counts or joins again."""
+    # a row a class
+    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = float(sum(sizes.values()))
+    weight = reduce(lambda c, kv: c.when(F.col("label") == kv[0], total / (2 * kv[1])), ((k, n) for k, n in sizes.items() if k is not None), F.when(F.lit(False), F.lit(None).cast("double")))
+    return train.filter("label IS NOT NULL").withColumn("weight", weight)
 
 
 def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], model: str, embedding: Sequence[str] = (), components: int = 0, **params) -> PipelineModel:
