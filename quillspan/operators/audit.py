@@ -66,9 +66,8 @@ def count_values(df: DataFrame, columns: Sequence[str], marker: str = "[missing]
 def role_files(files: DataFrame, key: str, path: str, patterns: Mapping[str, str]) -> DataFrame:
     """key, role, path of the first file of each role by path, and how many there are."""
     chosen = reduce(lambda c, kv: c.when(F.col(path).rlike(kv[1]), kv[0]), patterns.items(), F.when(F.lit(False), F.lit(None)))
-    w = Window.partitionBy(key, "role")
-    ranked = files.withColumn("role", chosen).filter("role IS NOT NULL").withColumn("n_files", F.count("*").over(w)).withColumn("_rank", F.row_number().over(w.orderBy(path)))
-    return ranked.filter("_rank = 1").select(key, "role", path, "n_files")
+    known = files.withColumn("role", chosen).filter("role IS NOT NULL")
+    return known.groupBy(key, "role").agg(F.min(path).alias(path), F.count("*").alias("n_files"))
 
 
 def resolve_duplicates(takes: DataFrame, keys: Sequence[str], order: Sequence[Column], path: str = "path") -> DataFrame:

@@ -60,3 +60,13 @@ def test_bootstrap_draws_go_down_one_level_for_any_number_of_subjects(spark):
             for i in range(counts[child]):
                 want[subjects[draw(1 + child, b, i) * len(subjects) // bootstrap.PRIME]] += 1
         assert {s: int(w[b - 1]) for s, w in found.items()} == want
+
+
+def test_role_files_keep_no_rows_of_a_group(spark):
+    """One row a role by aggregation; before, a window sorted all rows of a group in one task."""
+    from quillspan.operators import audit
+
+    t = spark.createDataFrame([(1, "b.bdf"), (1, "a.bdf"), (1, "a.evt"), (None, "z.bdf"), (None, "y.bdf"), (2, "x.txt")], "subject int, path string")
+    found = audit.role_files(t, "subject", "path", {"data": r"\.bdf$", "event": r"\.evt$"})
+    assert sorted(map(str, map(tuple, found.collect()))) == ["(1, 'data', 'a.bdf', 2)", "(1, 'event', 'a.evt', 1)", "(None, 'data', 'y.bdf', 2)"]
+    assert "Window" not in found._jdf.queryExecution().toString()
