@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.common import documents, without_gc
 
-#: Entries of a task's cache of encoded pieces, and of known pairs of tokens; each is emptied when full.
+#: Entries of a worker's cache of encoded pieces, and of known pairs of tokens; each is emptied when full.
 CACHE_ENTRIES, PAIR_ENTRIES = 500_000, 4_000_000
 #: Longer pieces are not kept, so that the cache is bounded in bytes as well.
 KEPT_LENGTH = 64
@@ -40,6 +40,12 @@ class PrefixTable:
         self.rank = ranks
         self.bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        # by the last three bytes: how long the tokens are that end so, the longest first
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], {2, 1}).add(len(token))
+        self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in ends.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self._learn_merges()
@@ -100,9 +106,12 @@ class PrefixTable:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Fill in the last tokens of the prefixes of piece that ``last`` (one entry per prefix) lacks."""
-        rank, longest, apart = self.rank, self.longest, self.apart
+        rank, lengths, apart = self.rank, self.lengths, self.apart
         for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
+            for length in lengths.get(piece[end - 3 : end], (2, 1)) if end > 2 else range(end, 0, -1):
+                if length > end:
+                    continue
+                start = end - length
                 token = rank.get(piece[start:end])
                 if token is None:
                     continue
@@ -178,44 +187,50 @@ def prefix_table(path: str) -> PrefixTable:
 
 
 class _Pieces(dict):
-    """Piece to its ids, as a list and as text; emptied when full."""
+    """Piece to its ids, as a list and as text, and to the bytes that they decode to; emptied when full."""
 
     def __init__(self, table: PrefixTable) -> None:
         self.table = table
 
-    def __missing__(self, piece: str) -> tuple[list[int], str]:
+    def __missing__(self, piece: str) -> tuple[list[int], str, bytes]:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         ids = self.table.encode(piece.encode())
-        value = (ids, " ".join(map(str, ids)))
+        value = (ids, " ".join(map(str, ids)), self.table.decode(ids))
         if len(piece) <= KEPT_LENGTH:
             self[piece] = value
         return value
 
 
+_known: dict[str, _Pieces] = {}
+
+
+def known_pieces(path: str) -> _Pieces:
+    """The pieces that this worker has encoded; its next tasks use them again."""
+    if path not in _known:
+        _known[path] = _Pieces(prefix_table(path))
+    return _known[path]
+
+
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, and the ids on demand."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = prefix_table(vocabulary)
         split = regex.compile(pattern).findall
-        known = _Pieces(table)
+        known = known_pieces(vocabulary)
         with without_gc():
-            yield from encode_with(table, split, known, batches)
+            yield from encode_with(split, known, batches)
 
-    def encode_with(table, split, known, batches):
+    def encode_with(split, known, batches):
         for batch in batches:
             count, ids_sha, bytes_sha, kept = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = list(map(known.__getitem__, split(text or "")))
-                ids: list[int] = []
-                for own, _ in found:
-                    ids += own
-                count.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join([s for _, s in found]).encode()).hexdigest())
-                bytes_sha.append(hashlib.sha256(table.decode(ids)).hexdigest())
+                count.append(sum([len(ids) for ids, _, _ in found]))
+                ids_sha.append(hashlib.sha256(" ".join([s for _, s, _ in found]).encode()).hexdigest())
+                bytes_sha.append(hashlib.sha256(b"".join([b for _, _, b in found])).hexdigest())
                 if with_ids:
-                    kept.append(ids)
+                    kept.append([i for ids, _, _ in found for i in ids])
             out = [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names)
 
