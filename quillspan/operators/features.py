@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,15 +93,69 @@ def autocorr_lag1(df: DataFrame, keys: Sequence[str], y: str, order: str) -> Dat
     return t.groupBy(*keys).agg(pearson(F.col("_p"), F.col(y)).alias("autocorr"))
 
 
+#: Samples whose pairs of channels are summed at a time, and the sums of a pair.
+SAMPLES, PAIR_SUMS = 2048, ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _pair_batches(key: str):
+    """For each pair of channels of a key: the sums of a batch that a correlation is made of, by products of matrices."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            for k in np.unique(code).tolist():
+                mine = batch.filter(pa.array(code == k))
+                for at in range(0, mine.num_rows, SAMPLES):
+                    some = mine.slice(at, SAMPLES)
+                    own = some.column("_v").flatten()
+                    if len(own) < 2:
+                        continue
+                    yield summed(some.column(key).slice(0, 1), some.column("_v"), *own.flatten())
+
+    def summed(head: pa.Array, lists: pa.Array, channel: pa.Array, value: pa.Array) -> pa.RecordBatch:
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        coded = channel.dictionary_encode(null_encoding="encode")
+        known = coded.dictionary.take(pc.sort_indices(coded.dictionary, null_placement="at_start"))
+        place = np.argsort(pc.sort_indices(coded.dictionary, null_placement="at_start").to_numpy())[coded.indices.to_numpy()]
+        # a channel that a sample has twice takes a further column
+        again = np.arange(len(row)) - np.maximum.accumulate(np.where(np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1])), np.arange(len(row)), 0))
+        columns, column = np.unique(np.stack([place, again]), axis=1, return_inverse=True)
+        shape = (len(lists), columns.shape[1])
+        v, there, odd = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        x = value.to_numpy(zero_copy_only=False).astype(float)
+        at = (row, column.ravel())
+        there[at] = value.is_valid().to_numpy(zero_copy_only=False)
+        odd[at] = ~np.isfinite(x) & (there[at] > 0)
+        v[at] = np.where(np.isfinite(x), x, 0.0)
+        a, b = np.triu_indices(shape[1], 1)
+        n, sx, sxx, sxy = there.T @ there, v.T @ there, (v * v).T @ there, v.T @ v
+        # sums with a value that is no finite number are none
+        bad = odd.T @ there > 0
+        sx[bad], sxx[bad], sxy[bad | bad.T] = np.nan, np.nan, np.nan
+        take = pa.array(np.zeros(len(a), np.int64))
+        names = [known.take(pa.array(columns[0][i])) for i in (a, b)]
+        data = [n[a, b].astype(np.int64), sx[a, b], sx[b, a], sxx[a, b], sxx[b, a], sxy[a, b]]
+        return pa.RecordBatch.from_arrays([head.take(take), *names, *(pa.array(d) for d in data)], [key, "a", "b", *PAIR_SUMS])
+
+    return sums
+
+
 def connectivity(df: DataFrame, key: str, sample: str, channel: str, value: str) -> DataFrame:
     """Mean and deviation of the correlations of all channel pairs.
 
-    Quadratic in channels, linear in samples: the channels of a sample are put side by side, and their
-    pairs are summed in the tasks before they are exchanged.
+    Quadratic in channels, linear in samples: the channels of a sample are put side by side, and the sums of their
+    pairs are made in the tasks, by products of matrices of SAMPLES samples, before they are exchanged.
     """
-    side = df.groupBy(key, sample).agg(F.array_sort(F.collect_list(F.struct(F.col(channel).alias("c"), F.col(value).alias("v")))).alias("_v"))
-    pair = F.transform("_v", lambda x, i: F.transform(F.slice("_v", i + 2, F.size("_v")), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b"), x["v"].alias("x"), y["v"].alias("y"))))
-    r = side.select(key, F.explode(F.flatten(pair)).alias("p")).select(key, "p.*").groupBy(key, "a", "b").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    side = df.groupBy(key, sample).agg(F.array_sort(F.collect_list(F.struct(F.col(channel).alias("c"), F.col(value).cast("double").alias("v")))).alias("_v")).select(key, "_v")
+    kind = {c: df.schema[c].dataType.simpleString() for c in (key, channel)}
+    schema = f"`{key}` {kind[key]}, a {kind[channel]}, b {kind[channel]}, n long, {', '.join(f'{s} double' for s in PAIR_SUMS[1:])}"
+    t = side.mapInArrow(_pair_batches(key), schema).groupBy(key, "a", "b").agg(*[F.sum(s).alias(s) for s in PAIR_SUMS])
+    mean = {s: F.try_divide(F.col(s), F.col("n")) for s in PAIR_SUMS[1:]}
+    vx, vy = mean["xx"] - mean["x"] * mean["x"], mean["yy"] - mean["y"] * mean["y"]
+    r = t.withColumn("r", F.when((vx > 1e-9) & (vy > 1e-9), (mean["xy"] - mean["x"] * mean["y"]) / F.sqrt(F.greatest(vx * vy, F.lit(1e-300)))))
     return r.groupBy(key).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.count("r").alias("n_pairs"))
 
 
