@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm.common import documents, without_gc
+from quillspan.llm.common import documents, held, without_gc
 
 #: Entries of a worker's cache of encoded pieces, and of known pairs of tokens; each is emptied when full.
 CACHE_ENTRIES, PAIR_ENTRIES = 500_000, 4_000_000
@@ -202,14 +202,9 @@ class _Pieces(dict):
         return value
 
 
-_known: dict[str, _Pieces] = {}
-
-
 def known_pieces(path: str) -> _Pieces:
     """The pieces that this worker has encoded; its next tasks use them again."""
-    if path not in _known:
-        _known[path] = _Pieces(prefix_table(path))
-    return _known[path]
+    return held(("pieces", path), lambda: _Pieces(prefix_table(path)))
 
 
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:

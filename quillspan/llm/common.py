@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 from operator import add
@@ -96,6 +97,38 @@ def without_gc() -> Iterator[None]:
             gc.enable()
 
 
+_held: dict = {}
+
+
+def held(name: Hashable, make: Callable):
+    """The one large object that this worker keeps from task to task; one of another name takes its place."""
+    if name not in _held:
+        forget()
+        _held[name] = make()
+    return _held[name]
+
+
+def forget() -> None:
+    _held.clear()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system, which allocators of a worker else keep for its next task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The work of a task that needs nothing which its worker holds of others, and leaves it no free memory."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

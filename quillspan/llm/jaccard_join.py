@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import documents, dropped, small, stored
+from quillspan.llm.common import documents, dropped, lean, small, stored
 from quillspan.llm.components import components
 from quillspan.llm.textcore import mix, shingle_sets
 
@@ -152,7 +152,7 @@ def profile(docs: DataFrame) -> DataFrame:
     """A row per document (size and signature of its set) and rows of locally repeated shingles; stored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_shingles long, sig_a long, sig_b long, shingle long, count long"
-    return stored(docs.select("doc_id", "text").mapInArrow(_profile_batches, schema), "profile")
+    return stored(docs.select("doc_id", "text").mapInArrow(lean(_profile_batches), schema), "profile")
 
 
 def frequent_shingles(profiled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -277,10 +277,10 @@ def stars(docs: DataFrame, classes: DataFrame, known: np.ndarray, rank: np.ndarr
     Any two sets that link are members of a common star or a candidate pair (the centre is one of its two).
     """
     schema = "shingle long, sig long, n int, frequent boolean"
-    postings = docs.select("text").mapInArrow(_posting_batches(known, rank), schema)
+    postings = docs.select("text").mapInArrow(lean(_posting_batches(known, rank)), schema)
     near = stored(
         postings.filter("NOT frequent").drop("frequent").repartition("shingle").sortWithinPartitions("shingle", "n", "sig")
-        .mapInArrow(_star_batches, "centre long, sig long, hits long"),
+        .mapInArrow(lean(_star_batches), "centre long, sig long, hits long"),
         "near",
     )
     common = stored(postings.filter("frequent").select("shingle", "sig").distinct(), "frequent")
@@ -482,7 +482,7 @@ def _possible_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def _sets_at(docs: DataFrame, rows: DataFrame, cut) -> DataFrame:
     """rows (stored) with the shingles of their sets, dealt by place."""
     wanted = small(stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_set_batches(cut), "sig long, shingles binary")
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(lean(_set_batches(cut)), "sig long, shingles binary")
     return sets.join(small(rows), "sig").repartition(*PLACE).sortWithinPartitions(*PLACE, "sig")
 
 
@@ -506,13 +506,13 @@ def _connected(docs: DataFrame, profiled: DataFrame, classes: DataFrame, kind: s
     members, pairs = stars(docs, classes, known, rank)
 
     def possible(rows: DataFrame) -> DataFrame:
-        found = _sets_at(docs, rows, lambda own: in_order(own, known, rank)[0]).mapInArrow(_possible_batches, f"{ROW}, rep {kind}, component {kind}")
+        found = _sets_at(docs, rows, lambda own: in_order(own, known, rank)[0]).mapInArrow(lean(_possible_batches), f"{ROW}, rep {kind}, component {kind}")
         found = stored(found, "possible")
         dropped(rows)
         return found
 
     def linked(rows: DataFrame) -> DataFrame:
-        found = stored(_sets_at(docs, rows, lambda own: own).mapInArrow(_link_batches, f"a {kind}, b {kind}"), "links")
+        found = stored(_sets_at(docs, rows, lambda own: own).mapInArrow(lean(_link_batches), f"a {kind}, b {kind}"), "links")
         dropped(rows)
         return found
 

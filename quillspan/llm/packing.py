@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import documents, stored, without_gc
+from quillspan.llm.common import documents, held, stored, without_gc
 
 SEQUENCE = 2048
 SEPARATOR = 0
@@ -106,13 +106,8 @@ class WordEncoder:
             yield b"".join(map(self.words.__getitem__, words))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(vocabulary: str) -> WordEncoder:
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = WordEncoder(vocabulary)
-    return _encoders[vocabulary]
+    return held(("words", vocabulary), lambda: WordEncoder(vocabulary))
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE) -> DataFrame:

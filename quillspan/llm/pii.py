@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import documents
+from quillspan.llm.common import documents, lean
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -552,7 +552,7 @@ def masked(docs: DataFrame, model: Model | None) -> DataFrame:
                 columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(replace, docs.schema)
+    return docs.mapInArrow(lean(replace), docs.schema)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

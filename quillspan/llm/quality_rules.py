@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import documents
+from quillspan.llm.common import documents, lean
 from quillspan.llm.textcore import IS_SPACE, pieces, shingles, span_hashes, text_bytes, word_bounds
 
 #: What the base rules are about; the query returns these for every text.
@@ -283,7 +283,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             alive = [cascade(piece, ordered, {}) < 0 for _, _, piece in pieces_of(batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate(alive))) if alive else batch
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
