@@ -10,11 +10,13 @@ A document is the set of its distinct three-word shingles; two documents link wh
    cut again at the next depth, alone, and so on, so thin regions are read at a shallow depth and crowded ones at a deep one.
    Counts and each region's smallest set come from aggregates, so a crowded region lies in no one task.
 4. *Candidates.*  First the smallest set of every region, at every depth that was tried, with the others of the region; what these
-   links connect need not be compared again.  Then, in the sorted orders, the unconnected neighbours in every region of at most REGION sets; and in
+   links connect need not be compared again, nor what was compared.  Then, in the sorted orders, the unconnected neighbours in every region of at most REGION sets; and in
    larger ones, where at most OUTSIDE sets are outside the region's main component, those sets with all others.  A region with more of them
    is read at its next depth; at the last one it goes on with PIVOTS sets at a time, until all its unconnected pairs are tried.
 5. *Confirmation.*  A candidate whose sketches agree in under AGREED values is left out (a linked pair is with a chance under
-   1e-8).  The sets of the others are sent to a place, a centre before its partners, and compared shingle by shingle; a centre with many partners has several places.
+   1e-8).  The sets of the others are compared shingle by shingle.  Centres (a region's smallest set, those outside its main component) that have most partners
+   in common, by the least hash of a partner, form a bundle of about BUNDLE; a set is sent to a place of the bundle once, not once for each
+   centre that it meets there, and a bundle with many pairs has several places.
 6. *Components* by minimum-star steps; the label is the smallest doc_id.
 
 A pair of similarity s is met in one order with chance s^5 at the first depth: a pair at 0.85 is missed by all orders with a chance of 8e-7.  In a
@@ -52,8 +54,8 @@ OUTSIDE = 12
 PIVOTS = 8
 #: Sketch values that a candidate agrees in: six deviations below the mean of a pair at PERCENT.
 AGREED = 84
-#: Partners of a centre that are compared at one place.
-PLACE = 512
+#: Pairs that are compared at one place, and centres that are held there at a time.
+PLACE, BUNDLE = 512, 16
 #: Shingles that are hashed at a time.
 HASHED = 1 << 16
 
@@ -122,16 +124,18 @@ def sequences() -> np.ndarray:
 
 
 def _order_batches(depth: int, every: bool):
-    """For each set in each order, or in the order of its row: the first 16 values in two longs, and a name of the first ``depth``."""
+    """For each set in each order, or in those of the bits of ``trees``: the first 16 values in two longs, and a name of the first ``depth``."""
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sequences()
         for batch in batches:
             if not batch.num_rows:
                 continue
             sketch = unpacked(batch.column("sketch"))
-            tree = None if every else batch.column("tree").to_numpy()
-            for t in range(ORDERS) if every else np.unique(tree).tolist():
-                own = np.arange(batch.num_rows) if every else np.flatnonzero(tree == t)
+            trees = np.full(batch.num_rows, -1) if every else batch.column("trees").to_numpy()
+            for t in range(ORDERS):
+                own = np.flatnonzero(trees >> t & 1)
+                if not len(own):
+                    continue
                 values = np.ascontiguousarray(sketch[own][:, of[t]])
                 key = np.ascontiguousarray(values[:, :16]).view(">u8").astype(np.uint64)
                 name = key[:, 0] & np.uint64((1 << 64) - (1 << 8 * max(0, 8 - depth)))
@@ -165,13 +169,16 @@ def forest(classes: DataFrame) -> list[DataFrame]:
     levels: list[DataFrame] = []
     for depth in DEPTHS:
         if levels:
-            crowded = levels[-1].filter(F.col("sets") > REGION).select("tree", "sig")
+            crowded = levels[-1].filter(F.col("sets") > REGION)
             if crowded.isEmpty():
                 break
-            orders = crowded.join(classes.select("sig", "sketch"), "sig").mapInArrow(_order_batches(depth, False), PLACED)
+            # a set meets its sketch once, with its orders as bits
+            trees = crowded.groupBy("sig").agg(F.expr("bit_or(shiftleft(1, tree))").alias("trees"))
+            sets = stored(trees.join(classes.select("sig", "sketch"), "sig"), "crowded-sets")
+            levels.append(regions(sets.mapInArrow(_order_batches(depth, False), PLACED), depth))
+            dropped(sets)
         else:
-            orders = classes.select("sig", "sketch").mapInArrow(_order_batches(depth, True), PLACED)
-        levels.append(regions(orders, depth))
+            levels.append(regions(classes.select("sig", "sketch").mapInArrow(_order_batches(depth, True), PLACED), depth))
     return levels
 
 
@@ -222,14 +229,19 @@ def _agreeing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield batch.select(["a", "b", "a_rep", "b_rep"]).filter(pa.array(keep))
 
 
+def candidates(pairs: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """lo, hi, a, b: the pairs that are not among those tried, each once, with one of its sets as the centre a; stored."""
+    once = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+    if tried is not None:
+        once = once.join(tried.select("lo", "hi"), ["lo", "hi"], "left_anti")
+    return stored(once.withColumn("b", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))), "candidates")
+
+
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, a_rep, b_rep of the pairs, each once, that may link; stored."""
+    """a, b, a_rep, b_rep of the pairs that may link; stored."""
     sides = [classes.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab"]
-    pairs = stored(pairs.distinct(), "candidates")
     kind = classes.schema["rep"].dataType.simpleString()
-    found = stored(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_agreeing_batches, f"a long, b long, a_rep {kind}, b_rep {kind}"), "possible")
-    dropped(pairs)
-    return found
+    return stored(pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").mapInArrow(_agreeing_batches, f"a long, b long, a_rep {kind}, b_rep {kind}"), "possible")
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,33 +263,55 @@ def linked(one: np.ndarray, two: np.ndarray) -> bool:
 
 
 def _confirming_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links between a centre and its partners, from rows sorted by place with the centre first."""
-    place, centre, rep = None, None, None
+    """The links between the centres and partners of a place, from rows sorted by place with the centres first."""
+    place, known = None, {}
     for batch in batches:
         a, b = [], []
-        columns = [batch.column(c).to_pylist() for c in ("centre", "part", "partner", "rep", "shingles")]
-        for c, part, partner, own, data in zip(*columns):
-            if not partner:
-                place, centre, rep = (c, part), np.frombuffer(data, np.uint64), own
-            elif place == (c, part) and linked(centre, np.frombuffer(data, np.uint64)):
-                a.append(rep)
-                b.append(own)
+        columns = [batch.column(c).to_pylist() for c in (*PLACE_KEY, "centres", "sig", "rep", "shingles")]
+        for home, block, part, centres, sig, own, data in zip(*columns):
+            if place != (home, block, part):
+                place, known = (home, block, part), {}
+            shingles = np.frombuffer(data, np.uint64)
+            if centres is None:
+                known[sig] = own, shingles
+                continue
+            for rep, other in (known[c] for c in centres if c in known):
+                if linked(other, shingles):
+                    a.append(rep)
+                    b.append(own)
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("rep").type), pa.array(b, batch.column("rep").type)], ["a", "b"])
 
 
+PLACE_KEY = ("home", "block", "part")
+
+
+def placed(pairs: DataFrame) -> DataFrame:
+    """home, block, part, centres, sig, rep: the sets that meet at each place, each once; centres are null for a centre, else those that the set meets there.
+
+    The least hash of a partner is the same for two centres as often as they share partners.
+    """
+    centres = stored(pairs.groupBy("a", "a_rep").agg(F.min(F.xxhash64("b")).alias("home"), F.count("*").alias("pairs")), "centres")
+    blocks = centres.groupBy("home").agg(F.ceil(F.count("*") / BUNDLE).alias("blocks"))
+    held = stored(centres.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("a"), "blocks")).select("a", "a_rep", "home", "block", "pairs"), "held")
+    parts = held.groupBy("home", "block").agg(F.ceil(F.sum("pairs") / PLACE).alias("parts"))
+    where = small(stored(held.drop("pairs").join(parts, ["home", "block"]), "bundles"))
+    met = pairs.join(where.drop("a_rep"), "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
+    partners = met.groupBy(*PLACE_KEY, F.col("b").alias("sig"), F.col("b_rep").alias("rep")).agg(F.collect_set("a").alias("centres"))
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    own = where.select("home", "block", everywhere, F.col("a").alias("sig"), F.col("a_rep").alias("rep"))
+    rows = stored(partners.unionByName(own, allowMissingColumns=True), "compared")
+    dropped(centres, held)
+    return rows
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b (doc_ids of classes): the stored pairs that link by their full sets; stored."""
     kind = pairs.schema["a_rep"].dataType.simpleString()
-    hubs = small(stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PLACE).alias("parts")).filter("parts > 1"), "hubs"))
-    placed = pairs.join(hubs, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0).cast("long")))
-    partners = placed.select(F.col("a").alias("centre"), "part", F.lit(True).alias("partner"), F.col("b").alias("sig"), F.col("b_rep").alias("rep"))
-    centres = placed.groupBy("a", "part", "a_rep").count().select(F.col("a").alias("centre"), "part", F.lit(False).alias("partner"), F.col("a").alias("sig"), F.col("a_rep").alias("rep"))
-    rows = stored(partners.unionByName(centres), "compared")
+    rows = placed(pairs)
     wanted = small(stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
     sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_set_batches, "sig long, shingles binary")
-    place = ("centre", "part")
-    met = sets.join(small(rows), "sig").repartition(*place).sortWithinPartitions(*place, "partner", "sig")
+    met = sets.join(small(rows), "sig").repartition(*PLACE_KEY).sortWithinPartitions(*PLACE_KEY, F.col("centres").isNotNull(), "sig")
     links = stored(met.mapInArrow(_confirming_batches, f"a {kind}, b {kind}"), "links")
     dropped(rows, pairs)
     return links
@@ -290,7 +324,7 @@ def _outside(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = stored(sizes.filter("outside > 0"), "mains")
     few = small(sizes.filter(F.col("outside") <= OUTSIDE).drop("outside"))
     some = stored(crowded.join(few, key).filter("group <> main").select(*key, F.col("sig").alias("own"), F.col("group").alias("of")), "outside")
-    pairs = crowded.join(small(some), key).filter("group <> of").select(F.least("sig", "own").alias("a"), F.greatest("sig", "own").alias("b"))
+    pairs = crowded.join(small(some), key).filter("group <> of").select(F.col("own").alias("a"), F.col("sig").alias("b"))
     many = small(sizes.filter((F.col("outside") > OUTSIDE) & (F.col("depth") == DEPTHS[-1])).select(*key))
     return pairs, crowded.join(many, key).filter("sig <> pivot").select(F.xxhash64(*REGION_KEY).alias("region"), "sig")
 
@@ -301,7 +335,7 @@ def _pivot_pairs(deep: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = deep.groupBy("region").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), *chosen).filter("lo <> hi")
     open_ = open_.select("region", F.explode(F.array_distinct(F.transform(F.array(*(f"m{i}" for i in range(PIVOTS))), lambda x: x.dropFields("h")))).alias("p"))
     open_ = stored(open_.select("region", F.col("p.sig").alias("pivot"), F.col("p.group").alias("of")), "pivots")
-    met = deep.join(small(open_), "region").filter("group <> of").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
+    met = deep.join(small(open_), "region").filter("group <> of").select(F.col("pivot").alias("a"), F.col("sig").alias("b"))
     left = deep.join(open_.select("region").distinct(), "region", "left_semi").join(open_.select("region", F.col("pivot").alias("sig")), ["region", "sig"], "left_anti")
     return met, left.select("region", "sig")
 
@@ -328,7 +362,8 @@ def _connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
     for level in levels[1:]:
         rows = rows.unionByName(level)
     pairs = rows.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b"))
-    of = stored(components(confirmed(docs, possible(pairs, classes))), "components")
+    first = candidates(pairs)
+    of = stored(components(confirmed(docs, possible(first, classes))), "components")
 
     def grouped(some: DataFrame, name: str) -> DataFrame:
         """``group``: a hash of the component so far; stored."""
@@ -342,12 +377,15 @@ def _connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
         more, left = _outside(rows.filter(F.col("sets") > REGION))
         pairs, left = pairs.unionByName(more), stored(left, "left")
     while True:
-        links = confirmed(docs, possible(pairs, classes))
+        fresh = candidates(pairs, first)
+        links = confirmed(docs, possible(fresh, classes))
+        dropped(fresh)
         if not links.isEmpty():
             # what is connected so far stands for the links found before
             so_far = of.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             of = stored(components(so_far.unionByName(links)), "components")
         if left is None or left.isEmpty():
+            dropped(first)
             return of.withColumnRenamed("node", "rep")
         pairs, left = _pivot_pairs(grouped(left, "crowded"))
         left = stored(left, "left")

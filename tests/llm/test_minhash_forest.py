@@ -116,3 +116,48 @@ def test_sketches_estimate_similarity():
     both, a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (6000, 1000, 1000))
     one, two = mf.sketches([np.unique(np.append(both, a)), np.unique(np.append(both, b))])
     assert abs((one == two).mean() - 0.75) < 0.12
+
+
+def recorded(monkeypatch, *names):
+    """The tables of these names that are stored from now on, as rows."""
+    seen = {n: [] for n in names}
+    real = mf.stored
+
+    def stored(df, name):
+        out = real(df, name)
+        if name in seen:
+            seen[name].append(out.collect())
+        return out
+
+    monkeypatch.setattr(mf, "stored", stored)
+    return seen
+
+
+def test_a_set_is_sent_once_to_many_centres(spark, monkeypatch):
+    """12 centres that meet the same 200 partners: 2,400 pairs are compared, but far fewer sets are sent."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(212):
+        own = list(base)
+        for at in rng.choice(300, int(rng.integers(2, 7)), replace=False):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sig = {r.doc_id: r.sig for r in mf.profile(docs).collect()}
+    assert len(set(sig.values())) == 212
+    pairs = [(sig[a], sig[b], a, b) for a in range(12) for b in range(12, 212)]
+    seen = recorded(monkeypatch, "compared")
+    stored = mf.stored(spark.createDataFrame(pairs, "a long, b long, a_rep long, b_rep long"), "pairs")
+    got = {(r.a, r.b) for r in mf.confirmed(docs, stored).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {(a, b) for a in range(12) for b in range(12, 212) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert got == want and 0 < len(want) < 2400
+    assert len(seen["compared"][0]) <= 400
+
+
+def test_no_pair_is_tried_twice(spark, monkeypatch):
+    seen = recorded(monkeypatch, "candidates")
+    found(spark, corpus())
+    tried = [tuple(sorted((r.a, r.b))) for rows in seen["candidates"] for r in rows]
+    assert len(tried) == len(set(tried)) > 100
