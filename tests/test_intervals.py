@@ -68,3 +68,27 @@ def test_many_places_take_a_fixed_number_of_operations_each(spark):
         assert len(set(found.tolist())) == some
         assert found[:200].tolist() == [plain(i, n, 100) for i in range(min(some, 200))]
     assert time.time() - began < 20
+
+
+def test_counts_of_permutations_are_those_of_the_permuted_rows(spark, monkeypatch):
+    rows = [(f, i, i % 3 // 2, None if i % 11 == 0 else i % 7 / 10) for f in (0, 1) for i in range(40 + 30 * f)]
+    t = spark.createDataFrame(rows, "fold int, subject long, label int, probability double")
+    for cells in (1, 20, 1 << 17):
+        monkeypatch.setattr(resample, "CELLS", cells)
+        found = resample.permuted_counts(t, ["fold"], "subject", 30, ["fold", "probability"])
+        want = resample.permute_labels(t, ["fold"], "subject", 30).groupBy("fold", "probability", "replicate", "label").agg(F.count("*").alias("weight"))
+        assert found.exceptAll(want.select(*found.columns)).count() == want.select(*found.columns).exceptAll(found).count() == 0
+    # few rows are dealt to more tasks than one
+    assert resample.permute_labels(t, ["fold"], "subject", 30).rdd.getNumPartitions() > 1
+
+
+def test_rows_are_permuted_once_for_a_null_distribution(spark, tmp_path):
+    from quillspan.plans.evaluation import QUERIES
+
+    t = spark.range(0, 40)
+    t.selectExpr("id AS doc_id", "'en' AS lang", "7 * id AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    t.selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    found = QUERIES["e24_permutation_null"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert found.count() == 1
