@@ -70,3 +70,35 @@ def test_role_files_keep_no_rows_of_a_group(spark):
     found = audit.role_files(t, "subject", "path", {"data": r"\.bdf$", "event": r"\.evt$"})
     assert sorted(map(str, map(tuple, found.collect()))) == ["(1, 'data', 'a.bdf', 2)", "(1, 'event', 'a.evt', 1)", "(None, 'data', 'y.bdf', 2)"]
     assert "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_bootstrap_of_a_group_whose_subjects_lie_in_one_range(spark):
+    import numpy as np
+
+    from quillspan.operators import bootstrap
+
+    t = spark.createDataFrame([("a", 7), ("b", 8)], "g string, subject long")
+    found = bootstrap.subject_weights(t, ["g"], "subject", 130).collect()
+    assert sorted((r.g, r.subject) for r in found) == [("a", 7), ("b", 8)]
+    assert all((np.frombuffer(r.weights, np.uint8) == 1).all() and len(r.weights) == 130 for r in found)
+
+
+def test_draws_in_blocks_are_those_of_the_formula(monkeypatch):
+    import numpy as np
+
+    from quillspan.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "DRAWS", 100)
+    p = bootstrap.PRIME
+    for group, node, replicate in ((0, 0, 1), (p - 1, 16, 1000), (123456789, 3, 77)):
+        want = []
+        for i in range(1010):
+            a = (group + 16807 * node + i) % p
+            y = (((a + replicate * 1640531527) % p) ** 2 + 12345 + a) % p
+            want.append((((y * y + replicate) % p) ** 2 + i) % p)
+        found = [int(v) for x in bootstrap.draws(group, node, replicate, 1010) for v in x]
+        assert found == want
+        below = np.array([5, 1, 300, 2, 702])
+        ends = np.cumsum(below)
+        assert bootstrap.dealt(group, node, replicate, 1010, below).tolist() == np.bincount([int(np.searchsorted(ends, v * 1010 // p, "right")) for v in want], minlength=5).tolist()
+        assert bootstrap.subject_counts(group, node, replicate, 1010, 37).tolist() == np.bincount([v * 37 // p for v in want], minlength=37).tolist()
