@@ -10,17 +10,19 @@ A document is the set of its distinct three-word shingles; two documents link wh
    cut again at the next depth, alone, and so on, so thin regions are read at a shallow depth and crowded ones at a deep one.
    Counts and each region's smallest set come from aggregates, so a crowded region lies in no one task.
 4. *Candidates.*  First the smallest set of every region, at every depth that was tried, with the others of the region; what these
-   links connect need not be compared again, nor what was compared.  Then, in the sorted orders, the unconnected neighbours in every region of at most REGION sets; and in
-   larger ones, where at most OUTSIDE sets are outside the region's main component, those sets with all others.  A region with more of them
-   is read at its next depth; at the last one it goes on with PIVOTS sets at a time, until all its unconnected pairs are tried.
-5. *Confirmation.*  A candidate whose sketches agree in under AGREED values is left out (a linked pair is with a chance under
+   links connect need not be compared again, nor what was compared.  Then, at the first depth, in the sorted orders, the unconnected neighbours in every region of at most
+   REGION sets; and in larger ones, where at most OUTSIDE sets are outside the region's main component, those sets with all others.
+5. *Crowds.*  Regions of the first depth with more sets outside, and that have sets in common, are one crowd.  Its sets are dealt to blocks of about BLOCK shingles by their size,
+   and by whether they are in the crowd's main component.  Two blocks whose sizes may link and that are not all connected meet in one task, which compares
+   all unconnected pairs; so no pair that shares a first prefix is left out, whatever the size of a group, and no crowd lies in one task.
+6. *Confirmation.*  A candidate whose sketches agree in under AGREED values is left out (a linked pair is with a chance under
    1e-8).  The sets of the others are compared shingle by shingle.  Centres (a region's smallest set, those outside its main component) that have most partners
    in common, by the least hash of a partner, form a bundle of about BUNDLE; a set is sent to a place of the bundle once, not once for each
    centre that it meets there, and a bundle with many pairs has several places.
-6. *Components* by minimum-star steps; the label is the smallest doc_id.
+7. *Components* by minimum-star steps; the label is the smallest doc_id.
 
-A pair of similarity s is met in one order with chance s^5 at the first depth: a pair at 0.85 is missed by all orders with a chance of 8e-7.  In a
-crowded region the chance of one order is less, but there other sets and the regions' smallest ones connect the pair as well; the tests measure recall against brute force.
+A pair of similarity s is met in one order with chance s^5 at the first depth: a pair at 0.85 is missed by all orders with a chance of 8e-7.  Deeper
+depths only connect crowded regions early, so that less is left to compare; the tests measure recall against brute force.
 
 Defined cases: null and empty texts, and texts of white space only, have an empty set, link with nothing and are their own
 component; a text of one or two words has its whole sequence as its only shingle; repeated rows are members of one class and each
@@ -48,10 +50,10 @@ FUNCTIONS, ORDERS = 128, 24
 #: Values that a region has in common; a region of more than REGION sets is cut at the next depth.
 DEPTHS = (5, 8, 16, 32, 64, 128)
 REGION = 40
-#: Sets outside the main component of a crowded region that meet all others; with more of them the region is read at the next depth.
+#: Sets outside the main component of a crowded region that meet all others as candidates; a region with more of them is part of a crowd.
 OUTSIDE = 12
-#: Sets of a region that is crowded at the last depth which meet all others in a round.
-PIVOTS = 8
+#: Shingles of a block of a crowd.
+BLOCK = 1 << 19
 #: Sketch values that a candidate agrees in: six deviations below the mean of a pair at PERCENT.
 AGREED = 84
 #: Pairs that are compared at one place, and centres that are held there at a time.
@@ -305,12 +307,16 @@ def placed(pairs: DataFrame) -> DataFrame:
     return rows
 
 
+def shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """sig and shingles of the documents of these ids."""
+    return docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").select("text").mapInArrow(_set_batches, "sig long, shingles binary")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b (doc_ids of classes): the stored pairs that link by their full sets; stored."""
     kind = pairs.schema["a_rep"].dataType.simpleString()
     rows = placed(pairs)
-    wanted = small(stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_set_batches, "sig long, shingles binary")
+    sets = shingled(docs, stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
     met = sets.join(small(rows), "sig").repartition(*PLACE_KEY).sortWithinPartitions(*PLACE_KEY, F.col("centres").isNotNull(), "sig")
     links = stored(met.mapInArrow(_confirming_batches, f"a {kind}, b {kind}"), "links")
     dropped(rows, pairs)
@@ -318,26 +324,119 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _outside(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """In crowded regions (stored rows with their group): pairs of sets outside the main group with the others, and the rows of the last depth with more than OUTSIDE outside."""
-    key = ["depth", *REGION_KEY]
-    sizes = crowded.groupBy(*key, "group").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max_by("group", F.struct("n", "group")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+    """In crowded regions (stored rows with their group): pairs of sets outside the main group with the others, and the rows of regions with more than OUTSIDE outside."""
+    sizes = crowded.groupBy(*REGION_KEY, "group").agg(F.count("*").alias("n")).groupBy(*REGION_KEY).agg(F.max_by("group", F.struct("n", "group")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
     sizes = stored(sizes.filter("outside > 0"), "mains")
     few = small(sizes.filter(F.col("outside") <= OUTSIDE).drop("outside"))
-    some = stored(crowded.join(few, key).filter("group <> main").select(*key, F.col("sig").alias("own"), F.col("group").alias("of")), "outside")
-    pairs = crowded.join(small(some), key).filter("group <> of").select(F.col("own").alias("a"), F.col("sig").alias("b"))
-    many = small(sizes.filter((F.col("outside") > OUTSIDE) & (F.col("depth") == DEPTHS[-1])).select(*key))
-    return pairs, crowded.join(many, key).filter("sig <> pivot").select(F.xxhash64(*REGION_KEY).alias("region"), "sig")
+    some = stored(crowded.join(few, list(REGION_KEY)).filter("group <> main").select(*REGION_KEY, F.col("sig").alias("own"), F.col("group").alias("of")), "outside")
+    pairs = crowded.join(small(some), list(REGION_KEY)).filter("group <> of").select(F.col("own").alias("a"), F.col("sig").alias("b"))
+    many = small(sizes.filter(F.col("outside") > OUTSIDE).select(*REGION_KEY))
+    return pairs, crowded.join(many, list(REGION_KEY), "left_semi").select(F.col("pivot").alias("a"), F.col("sig").alias("b"))
+
+
+BLOCK_KEY = ("crowd", "level", "apart", "part")
+
+
+def blocks(sets: DataFrame) -> DataFrame:
+    """sets (stored: sig, rep, n_shingles, sketch, group, crowd) with the block of each; stored.
+
+    Sets that link have the same level or two neighbouring ones; apart is a set outside the crowd's main group.
+    """
+    mains = sets.groupBy("crowd", "group").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups"))
+    mains = small(stored(mains.filter("groups > 1").drop("groups"), "crowds"))
+    # a little wider than the bound, for rounding
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / np.log(100 / (PERCENT - 1))).cast("int")
+    sets = sets.join(mains, "crowd").withColumns({"level": level, "apart": F.col("group") != F.col("main")}).drop("main")
+    parts = sets.groupBy(*BLOCK_KEY[:3]).agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("parts"))
+    return stored(sets.join(small(stored(parts, "parts")), list(BLOCK_KEY[:3])).withColumn("part", F.pmod(F.xxhash64("sig"), "parts")).drop("parts"), "dealt")
+
+
+def meetings(dealt: DataFrame) -> DataFrame:
+    """The blocks of each place, with side 0 or 1: two blocks that may have links, or a block with itself, unless all sets there are connected; stored."""
+    known = dealt.groupBy(*BLOCK_KEY).agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    one, two = (F.struct(*(f"{x}.{c}" for c in BLOCK_KEY[1:])) for x in "xy")
+    near = known.withColumn("at", F.explode(F.array("level", F.col("level") - 1)))
+    met = known.alias("x").join(near.alias("y"), (F.col("x.crowd") == F.col("y.crowd")) & (F.col("x.level") == F.col("y.at")) & (one <= two))
+    met = met.filter(F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi")).select(F.xxhash64("x.crowd", one, two).alias("place"), F.col("x.crowd").alias("crowd"), one.alias("one"), two.alias("two"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("of")), F.struct(F.lit(1).alias("side"), F.col("two").alias("of")))
+    each = met.withColumn("s", F.explode(F.when(F.col("one") == F.col("two"), F.slice(sides, 1, 1)).otherwise(sides)))
+    return stored(each.select("place", "s.side", "crowd", "s.of.*"), "meetings")
+
+
+def met_links(side: np.ndarray, group: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect the groups of a place: of the sets of side 0 with those of side 1, or with each other if there are no others.
+
+    What a link connects is one group from then on.
+    """
+    size = np.array([len(s) for s in sets])
+    ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    # what only one set has counts for its size alone, and a set with too much of it links with none
+    shared = times[ids] > 1
+    ends = np.cumsum(np.add.reduceat(shared, np.cumsum(size) - size, dtype=np.int64))
+    ids, marks = ids[shared].astype(np.int32), np.zeros(len(times), np.int32)
+    width = np.diff(ends, prepend=0)
+    starts = ends - width
+    able = 100 * width >= PERCENT * size
+    group = np.unique(group, return_inverse=True)[1]
+    first = int((side == 0).sum())
+    found = []
+    for i in np.flatnonzero(able[:first]).tolist():
+        at = first if first < len(sets) else i + 1
+        others = at + np.flatnonzero((group[at:] != group[i]) & able[at:] & (100 * np.minimum(size[i], size[at:]) >= PERCENT * np.maximum(size[i], size[at:])))
+        # equal values are counted eight at a time
+        agreed = (sketch[others] == sketch[i]).view(np.uint64).sum(1, dtype=np.uint64) * np.uint64(0x0101010101010101) >> np.uint64(56)
+        others = others[agreed >= AGREED]
+        if not len(others):
+            continue
+        marks[ids[starts[i] : ends[i]]] = 1
+        for low in range(0, len(others), PLACE):
+            some = others[low : low + PLACE]
+            some = some[group[some] != group[i]]
+            until = np.cumsum(width[some])
+            total = np.cumsum(marks[ids[np.repeat(starts[some] - until + width[some], width[some]) + np.arange(width[some].sum())]])
+            common = np.diff(total[until - 1], prepend=0)
+            for j in some[100 * common >= PERCENT * (size[i] + size[some] - common)].tolist():
+                if group[j] != group[i]:
+                    found.append((i, j))
+                    group[group == group[j]] = group[i]
+        marks[ids[starts[i] : ends[i]]] = 0
+    return found
+
 
+def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each place, from rows sorted by place and side."""
+    names = ("place", "side", "group", "rep", "sketch", "shingles")
+    held: list[tuple] = []
 
-def _pivot_pairs(deep: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of PIVOTS sets of each region (stored rows with their group) with the unconnected others, and the rows that are left to do."""
-    chosen = [F.min(F.struct(F.xxhash64("sig", F.lit(i)).alias("h"), "sig", "group")).alias(f"m{i}") for i in range(PIVOTS)]
-    open_ = deep.groupBy("region").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), *chosen).filter("lo <> hi")
-    open_ = open_.select("region", F.explode(F.array_distinct(F.transform(F.array(*(f"m{i}" for i in range(PIVOTS))), lambda x: x.dropFields("h")))).alias("p"))
-    open_ = stored(open_.select("region", F.col("p.sig").alias("pivot"), F.col("p.group").alias("of")), "pivots")
-    met = deep.join(small(open_), "region").filter("group <> of").select(F.col("pivot").alias("a"), F.col("sig").alias("b"))
-    left = deep.join(open_.select("region").distinct(), "region", "left_semi").join(open_.select("region", F.col("pivot").alias("sig")), ["region", "sig"], "left_anti")
-    return met, left.select("region", "sig")
+    def links(kind: pa.DataType) -> pa.RecordBatch:
+        _, side, group, rep, sketch, sets = zip(*held)
+        found = met_links(np.array(side), np.array(group), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, FUNCTIONS), [np.frombuffer(s, np.uint64) for s in sets])
+        return pa.RecordBatch.from_arrays([pa.array([rep[p[x]] for p in found], kind) for x in (0, 1)], ["a", "b"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.column("rep").type
+        for row in zip(*(batch.column(c).to_pylist() for c in names)):
+            if held and held[0][0] != row[0]:
+                yield links(kind)
+                held = []
+            held.append(row)
+    if held:
+        yield links(kind)
+
+
+def crowd_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b (doc_ids of classes): links that connect all that is linked in each crowd (stored sets: sig, rep, n_shingles, sketch, group, crowd); stored."""
+    kind = sets.schema["rep"].dataType.simpleString()
+    dealt = blocks(sets)
+    met = meetings(dealt)
+    # a set is read once, whatever number of blocks it meets
+    full = shingled(docs, dealt.select(F.col("rep").alias("doc_id")).distinct())
+    full = stored(full.dropDuplicates(["sig"]).join(small(dealt.drop("n_shingles")), "sig"), "crowd-sets")
+    rows = full.join(small(met), list(BLOCK_KEY)).select("place", "side", "group", "rep", "sketch", "shingles")
+    links = stored(rows.repartition("place").sortWithinPartitions("place", "side").mapInArrow(_meeting_batches, f"a {kind}, b {kind}"), "links")
+    dropped(dealt, met, full)
+    return links
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -370,25 +469,28 @@ def _connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
         named = small(stored(classes.select("sig", "rep").join(small(of.withColumnRenamed("node", "rep")), "rep").select("sig", F.xxhash64("component").alias("group")), "groups"))
         return stored(some.join(named, "sig", "left").withColumn("group", F.coalesce("group", F.xxhash64("sig", F.lit(0)))), name)
 
-    rows = grouped(rows, "rows")
+    def connected(links: DataFrame) -> DataFrame:
+        """The components with these links; what is connected so far stands for the links found before."""
+        if links.isEmpty():
+            return of
+        so_far = of.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return stored(components(so_far.unionByName(links)), "components")
+
+    rows = grouped(levels[0], "rows")
     dropped(*levels)
-    pairs, left = neighbours(rows.filter(F.col("sets") <= REGION)), None
+    pairs, crowded = neighbours(rows.filter(F.col("sets") <= REGION)), None
     if len(levels) > 1:
-        more, left = _outside(rows.filter(F.col("sets") > REGION))
-        pairs, left = pairs.unionByName(more), stored(left, "left")
-    while True:
-        fresh = candidates(pairs, first)
-        links = confirmed(docs, possible(fresh, classes))
-        dropped(fresh)
-        if not links.isEmpty():
-            # what is connected so far stands for the links found before
-            so_far = of.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            of = stored(components(so_far.unionByName(links)), "components")
-        if left is None or left.isEmpty():
-            dropped(first)
-            return of.withColumnRenamed("node", "rep")
-        pairs, left = _pivot_pairs(grouped(left, "crowded"))
-        left = stored(left, "left")
+        more, crowded = _outside(rows.filter(F.col("sets") > REGION))
+        pairs, crowded = pairs.unionByName(more), stored(crowded, "crowded")
+    fresh = candidates(pairs, first)
+    of = connected(confirmed(docs, possible(fresh, classes)))
+    dropped(first, fresh)
+    if crowded is not None and not crowded.isEmpty():
+        crowds = stored(components(crowded).select(F.col("node").alias("sig"), F.col("component").alias("crowd")), "crowds")
+        sets = grouped(classes.select("sig", "rep", "n_shingles", "sketch").join(small(crowds), "sig"), "crowd")
+        of = connected(crowd_links(docs, sets))
+        dropped(crowds, sets, crowded)
+    return of.withColumnRenamed("node", "rep")
 
 
 def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

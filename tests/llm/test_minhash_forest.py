@@ -161,3 +161,57 @@ def test_no_pair_is_tried_twice(spark, monkeypatch):
     found(spark, corpus())
     tried = [tuple(sorted((r.a, r.b))) for rows in seen["candidates"] for r in rows]
     assert len(tried) == len(set(tried)) > 100
+
+
+def crowded_copies(copies=300, words=800):
+    """A text and its near copies at just over the threshold, which are under it to one another."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(words)]
+    rows = [(copies, " ".join(base))]
+    for k in range(copies):
+        own = list(base)
+        for at in rng.choice(words // 4 - 1, 20, replace=False) * 4 + 1:
+            own[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1 << 19, 12000])
+def test_copies_of_one_text_in_a_crowd_that_does_not_link(spark, monkeypatch, block):
+    """Each copy has one link, to a set that is no region's smallest but by chance, and meets it only in crowded regions; also over many blocks."""
+    monkeypatch.setattr(mf, "REGION", 3)
+    monkeypatch.setattr(mf, "OUTSIDE", 3)
+    monkeypatch.setattr(mf, "BLOCK", block)
+    rows = crowded_copies()
+    want = brute(rows)
+    assert sum(r[3] for r in want) == 1
+    seen = recorded(monkeypatch, "dealt", "meetings")
+    assert found(spark, rows) == want
+    n = len({(r.crowd, r.level, r.apart, r.part) for r in seen["dealt"][0]})
+    assert len(seen["dealt"][0]) > 250 and n > (15 if block == 12000 else 0)
+    # places of two blocks and of one with itself
+    assert len({r.place for r in seen["meetings"][0]}) <= n * (n + 1) // 2
+
+
+def test_met_links_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(160):
+        own = base.copy()
+        at = rng.choice(200, int(rng.integers(4, 40)), replace=False)
+        own[at] = rng.integers(0, 1 << 63, len(at), dtype=np.uint64)
+        sets.append(np.unique(own)[int(rng.integers(0, 12)) :])
+    sketch, group = mf.sketches(sets), np.arange(160)
+    group[:10] = 0
+
+    def parts(pairs):
+        of = group.tolist()
+        for i, j in pairs:
+            of = [of[i] if x == of[j] else x for x in of]
+        return [of.index(x) for x in of]
+
+    for first in (160, 70):
+        pairs = [(i, j) for i in range(first) for j in range(first if first < 160 else 0, 160) if i != j and mf.linked(sets[i], sets[j])]
+        got = mf.met_links(np.repeat([0, 1], [first, 160 - first]), group, sketch, sets)
+        assert 0 < len(got) < len(pairs) and set(got) <= set(pairs) and parts(got) == parts(pairs)
